@@ -71,3 +71,78 @@ def m5(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["m14_net_retention"](spark, sf_dir)
+
+
+# ------------------------------------------------------------ churn / cohort
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions.dates import month_start  # noqa: E402
+from .plans import care, churn, cohort  # noqa: E402
+
+PROCESSOR_VENDORS = {"urgent": "1-URGENT", "high": "2-HIGH"}
+NON_PREVENTABLE = ("AUTOMOBILE", "MACHINERY")
+CARE_START, CARE_END = "2024-01-01", "2024-01-31"
+
+
+@register("m42_processor_churn")
+def m42(spark, d):
+    t = _t(spark, d)
+    o = fx.order_days(t)
+    ev = o.select("customer_id", "dt", F.col("o_orderkey").alias("seq"),
+                  F.col("o_orderpriority").alias("vendor"))
+    pay = o.groupBy("customer_id", month_start("dt").alias("month")).agg(F.sum("o_totalprice").alias("gmv"))
+    return churn.processor_churn(fx.customers(t), ev, pay, "1995-01-01", fx.AS_OF, PROCESSOR_VENDORS)
+
+
+def _cohort(t):
+    c = fx.customers(t).withColumnRenamed("parent_id", "account_id")
+    return cohort.cohort_drivers(fx.daily(t), c, "1995-01-01", "2001-07-31", NON_PREVENTABLE)
+
+
+@register("m43_cohort_drivers")
+def m43(spark, d):
+    g = _cohort(_t(spark, d))
+    return g.select("dt", "account_id", "location_count",
+                    *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
+
+
+@register("m44_period_growth")
+def m44(spark, d):
+    g = _cohort(_t(spark, d))
+    g = g.select("dt", "account_id", "location_count",
+                 *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
+    return cohort.period_growth(g, fx.AS_OF, "1995-01-01")
+
+
+# --------------------------------------------------------------------- care
+@register("m50_occupancy")
+def m50(spark, d):
+    t = _t(spark, d)
+    return care.occupancy(fx.agent_state_log(t), fx.employee_daily(t), CARE_START, CARE_END)
+
+
+@register("m51_attrition")
+def m51(spark, d):
+    t = _t(spark, d)
+    return care.attrition(fx.employee_daily(t), CARE_START, CARE_END, satx_end="2024-01-30")
+
+
+@register("m49_unmatched_identities")
+def m49(spark, d):
+    t = _t(spark, d)
+    as_of = F.lit(fx.AS_OF).cast("date")
+    lists = (t("customer").select(as_of.alias("as_of"), F.upper("c_name").alias("email"),
+                                  F.lit("list_a").alias("source"))
+             .unionByName(t("supplier").select(as_of.alias("as_of"), F.col("s_name").alias("email"),
+                                               F.lit("list_b").alias("source"))))
+    directory = t("customer").select(F.col("c_custkey").alias("username"), F.col("c_name").alias("email"))
+    return care.unmatched_identities(lists, directory)
+
+
+@register("m52_managed_counts")
+def m52(spark, d):
+    t = _t(spark, d)
+    cust = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("segment"),
+                                F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"))
+    mgr = t("nation").select(F.col("n_nationkey").alias("manager_id"), F.col("n_name").alias("manager_name"))
+    return care.managed_counts(cust, mgr)

@@ -85,7 +85,8 @@ def hierarchy(entities: DataFrame, key: str, parent: str, time_col: str | None =
 def hour_split(states: DataFrame, start_col: str = "start_ts", seconds_col: str = "seconds",
                hour_col: str = "hour", out_col: str = "seconds_in_hour") -> DataFrame:
     """One row per (interval, touched clock hour) with the overlap seconds
-    ``min(end, hour+1h) - max(start, hour)``.  An interval ending exactly on
+    ``min(end, hour+1h) - max(start, hour)`` counted on whole-second
+    boundaries.  An interval ending exactly on
     an hour boundary also touches that hour with 0 seconds (the warehouse
     range-join form includes the end hour)."""
     start = F.col(start_col)
@@ -98,5 +99,9 @@ def hour_split(states: DataFrame, start_col: str = "start_ts", seconds_col: str
     next_h = h + F.expr("INTERVAL 1 HOUR")
     lo = F.greatest(start, h)
     hi = F.least(F.col("_end"), next_h)
-    secs = F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))
-    return exploded.withColumn(out_col, (secs / 1_000_000).cast("long")).drop("_end")
+
+    def whole_seconds(ts):
+        # seconds counted on second boundaries (sub-second parts truncated)
+        return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000)
+    secs = whole_seconds(hi) - whole_seconds(lo)
+    return exploded.withColumn(out_col, secs.cast("long")).drop("_end")

@@ -123,3 +123,55 @@ def agent_states(t: Tables) -> DataFrame:
         F.col("user_id").alias("agent"), F.col("ts").alias("start_ts"),
         F.col("event_type").alias("state"),
         (F.col("value") * STATE_SECONDS_PER_VALUE).cast("int").alias("seconds"))
+
+
+# --------------------------------------------------------------------- care
+# Fixed values of the employee binding: attribute lists picked by
+# ``user_id % len(list)``; agent states by event type.
+ORGS = ["Campaign A", "Hardware", "Chat", "Networking & NOC", "Payments", "API Integrations",
+        "Enterprise Support", "Customer Care Escalations", "Inside Sales Managers", "Employee Cloud"]
+TEAMS = ["Sutherland", "Ibex", "Care", None]
+ROLES = ["Senior Tier 1 Specialist", "Senior Tier 2 Expert", "Tier 1 Agent", "Tier 2 Agent",
+         "SME Lead", "Manager"]
+OFFICES = ["San Antonio", "Boston", "Dublin"]
+STATE_OF_EVENT = {"view": "Ready", "click": "On Call", "purchase": "After Call Work",
+                  "signup": "On Hold", "error": "Not Ready"}
+
+
+def _pick(values, key):
+    arr = F.array(*[F.lit(v).cast("string") for v in values])
+    return F.element_at(arr, (key % len(values)).cast("int") + 1)
+
+
+def agent_email(user_id) -> "F.Column":
+    """Mixed-case agent address (the directory stores it lower-cased)."""
+    return F.concat(F.lit("Agent"), user_id.cast("string"), F.lit("@Care.Example"))
+
+
+def agent_state_log(t: Tables) -> DataFrame:
+    """email, start_ts, state, seconds."""
+    e = t("events")
+    state = None
+    for k, v in STATE_OF_EVENT.items():
+        state = F.when(F.col("event_type") == k, F.lit(v)) if state is None else \
+            state.when(F.col("event_type") == k, F.lit(v))
+    return e.select(agent_email(F.col("user_id")).alias("email"), F.col("ts").alias("start_ts"),
+                    state.alias("state"),
+                    (F.col("value") * STATE_SECONDS_PER_VALUE).cast("int").alias("seconds"))
+
+
+def employee_daily(t: Tables) -> DataFrame:
+    """One row per (employee, day) seen in events: email (lower case),
+    employee_date, supervisory_org, team, high_level_role, office_location,
+    role_start_date, employment_start_date, employment_end_date (last active
+    day for every third employee, else null)."""
+    e = t("events").select("user_id", F.to_date("ts").alias("employee_date")).distinct()
+    span = e.groupBy("user_id").agg(F.min("employee_date").alias("first_day"),
+                                    F.max("employee_date").alias("last_day"))
+    u = F.col("user_id")
+    return (e.join(span, "user_id").select(
+        u.alias("employee_id"), F.lower(agent_email(u)).alias("email"), "employee_date",
+        _pick(ORGS, u).alias("supervisory_org"), _pick(TEAMS, u).alias("team"),
+        _pick(ROLES, u).alias("high_level_role"), _pick(OFFICES, u).alias("office_location"),
+        F.col("first_day").alias("role_start_date"), F.col("first_day").alias("employment_start_date"),
+        F.when(u % 3 == 0, F.col("last_day")).alias("employment_end_date")))
