@@ -146,3 +146,124 @@ def m52(spark, d):
                                 F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"))
     mgr = t("nation").select(F.col("n_nationkey").alias("manager_id"), F.col("n_name").alias("manager_name"))
     return care.managed_counts(cust, mgr)
+
+
+# ------------------------------------------------------------ modules/uplift
+from .plans import modules as mods, uplift  # noqa: E402
+
+# Fixed binding values: module columns <- p_type; 'standard' is the core
+# product (not counted); guest modules; payments-tx priority; payroll status.
+MODULE_TYPES = {"economy": "ECONOMY", "large": "LARGE", "medium": "MEDIUM", "promo": "PROMO",
+                "small": "SMALL", "standard": "STANDARD"}
+COUNTED = ["economy", "large", "medium", "promo", "small"]
+GUEST = ["promo", "small"]
+TDS_PRIORITY = "3-MEDIUM"
+EC_STATUS = "P"
+MODULE_SINCE = "1996-01-01"
+PANEL_MODULES = list(MODULE_TYPES) + ["tds", "ec", "mod_count"]
+UPLIFT_MODULES = PANEL_MODULES + ["guest_count"]
+BUNDLE_FLAGS = {"PR": "promo", "SM": "small", "EC": "ec", "TD": "tds"}
+BUNDLE_QUARTERS = ["1998-01-01", "1999-01-01", "2000-01-01"]
+BUNDLE_MIN_N = 20
+
+
+def _module_quarters(t):
+    o = fx.order_days(t)
+    lines = fx.module_lines(t).filter(F.col("o_orderstatus") == "F")
+    live = fx.daily(t).filter(F.col("status") == "Live").select("customer_id", "dt")
+    tds = o.select("customer_id", "dt", (F.col("o_orderpriority") == TDS_PRIORITY).cast("long").alias("tds_tx"))
+    ec = o.filter(F.col("o_orderstatus") == EC_STATUS).select("customer_id", "dt")
+    return mods.module_quarters(lines, live, tds, ec, MODULE_TYPES, COUNTED, MODULE_SINCE)
+
+
+def _mod_panel(t):
+    mq = _module_quarters(t).withColumnRenamed("tds_count", "tds").withColumnRenamed("ec_count", "ec")
+    mq = mq.select("customer_id", "quarter", *[F.col(f"{m}_count").alias(m) for m in MODULE_TYPES],
+                   "tds", "ec", F.col("unique_mod").alias("mod_count"))
+    return mq.filter(F.col("mod_count").isNotNull())
+
+
+@register("m23_module_distribution")
+def m23(spark, d):
+    return mods.module_distribution(_module_quarters(_t(spark, d)))
+
+
+@register("m25_customer_quarter_modules")
+def m25(spark, d):
+    p = _mod_panel(_t(spark, d))
+    return p.select("customer_id", "quarter", F.add_months("quarter", -3).alias("prev_quarter"),
+                    F.add_months("quarter", 15).alias("next_year"),
+                    *[F.round(m, 2).alias(m) if m in MODULE_TYPES else F.col(m) for m in PANEL_MODULES])
+
+
+def _module_yoy(t):
+    return mods.module_yoy(_mod_panel(t), PANEL_MODULES, months=15)
+
+
+@register("m26_module_yoy")
+def m26(spark, d):
+    y = _module_yoy(_t(spark, d))
+    return y.select("customer_id", "quarter", *[F.round(c, 2).alias(c) if c.split("_ly")[0] in MODULE_TYPES
+                                                else F.col(c) for c in y.columns[2:]])
+
+
+@register("m24_latest_customer")
+def m24(spark, d):
+    t = _t(spark, d)
+    return uplift.latest_customer(fx.daily(t), fx.customers(t), ["segment", "parent_id"])
+
+
+def _qv(t):
+    return uplift.quarter_volume(fx.daily(t), fx.customers(t))
+
+
+@register("m27_quarter_volume")
+def m27(spark, d):
+    q = _qv(_t(spark, d))
+    return q.select("customer_id", "quarter", F.round("gmv", 2).alias("gmv"), "active_days",
+                    *[F.round(c, 4).alias(c) for c in q.columns[4:]])
+
+
+def _vy(t):
+    return uplift.volume_yoy(_qv(t), 12)
+
+
+@register("m28_volume_yoy")
+def m28(spark, d):
+    v = _vy(_t(spark, d))
+    return v.select("customer_id", "quarter", *[
+        F.round(c, 4).alias(c) if dict(v.dtypes)[c] == "double" and not c.endswith("_pct") else F.col(c)
+        for c in v.columns[2:]])
+
+
+def _panel(t):
+    return uplift.growth_panel(_vy(t), _module_yoy(t), PANEL_MODULES, GUEST)
+
+
+@register("m29_growth_panel")
+def m29(spark, d):
+    p = _panel(_t(spark, d))
+    return p.select("customer_id", "quarter", "gmv_pd_growth_pct", "guest_count", "guest_count_ly",
+                    *[F.round(f"{m}_change", 2).alias(f"{m}_change") for m in UPLIFT_MODULES])
+
+
+@register("m30_adopter_uplift")
+def m30(spark, d):
+    return uplift.adopter_uplift(_panel(_t(spark, d)), UPLIFT_MODULES, with_p=False)
+
+
+@register("m30_adopter_uplift_pvalue")
+def m30p(spark, d):
+    return uplift.adopter_uplift(_panel(_t(spark, d)), UPLIFT_MODULES, with_p=True)
+
+
+@register("m31_bundle_uplift")
+def m31(spark, d):
+    return uplift.bundle_uplift(_panel(_t(spark, d)), BUNDLE_FLAGS, BUNDLE_QUARTERS,
+                                min_n=BUNDLE_MIN_N, with_p=False)
+
+
+@register("m32_single_module_uplift")
+def m32(spark, d):
+    return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, BUNDLE_QUARTERS,
+                                min_n=0, with_p=False)

@@ -104,16 +104,17 @@ def customer_month(t: Tables) -> DataFrame:
 
 
 def module_lines(t: Tables) -> DataFrame:
-    """customer_id, dt, module, qty, amount: line items with their part type.
+    """customer_id, dt, o_orderkey, o_orderstatus, module, qty, amount: line
+    items with their part type.
 
     ``part`` is joined without a broadcast hint: it grows with the scale
     factor, so the choice is left to AQE's measured sizes."""
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     part = t("part").select(F.col("p_partkey"), F.col("p_type").alias("module"))
-    o = order_days(t).select("o_orderkey", "customer_id", "dt")
+    o = order_days(t).select("o_orderkey", "customer_id", "dt", "o_orderstatus")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey)
-              .select("customer_id", "dt", "o_orderkey", "module",
+              .select("customer_id", "dt", "o_orderkey", "o_orderstatus", "module",
                       F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount")))
 
 
