@@ -267,3 +267,144 @@ def m31(spark, d):
 def m32(spark, d):
     return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, BUNDLE_QUARTERS,
                                 min_n=0, with_p=False)
+
+
+# ------------------------------------------------------- location-month chain
+# Fixture schedule: the contract's rates with change dates moved into the
+# fixture's years and tier edges scaled to its account counts.
+FIXTURE_SCHEDULE = sub.ShareSchedule(first_change="1998-03-01", tds_edges=(20, 50, 100, 200),
+                                     second_change="1998-10-01", gh_edges=(20, 40))
+EC_START = "1996-07-01"
+ARPU_SEGMENT, ARPU_SINCE = "BUILDING", "1996-01-01"
+INVESTOR_MONTHS = [f"1998-{m:02d}-01" for m in range(1, 13)]
+NON_RECURRING_PRIORITY = "5-LOW"
+
+
+@register("m1_explode_ids")
+def m1(spark, d):
+    return sub.explode_ids(fx.id_lists(_t(spark, d)), "id_list", "account_id")
+
+
+def _ec_parent(t):
+    ids = sub.explode_ids(fx.id_lists(t), "id_list", "account_id")
+    inv = fx.order_days(t).select(F.concat(F.lit("G-"), F.col("customer_id").cast("string")).alias("guid"),
+                                  F.col("dt").alias("check_date"), F.col("o_totalprice").alias("total"),
+                                  (F.col("o_orderpriority") != NON_RECURRING_PRIORITY).alias("recurring"))
+    acc = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("parent_id"))
+    return sub.recurring_parent_month(inv, ids, acc, EC_START)
+
+
+@register("m2_recurring_parent_month")
+def m2(spark, d):
+    return _ec_parent(_t(spark, d))
+
+
+def _live_month(t):
+    return (fx.daily(t).filter(F.col("status") == "Live")
+            .groupBy("customer_id", month_start("dt").alias("month"))
+            .agg((F.sum("margin") * 12).alias("payments_margin_arr"),
+                 *[F.sum(c).alias(c) for c in fx.SOURCE_PRIORITY]))
+
+
+@register("m6_revenue_share")
+def m6(spark, d):
+    return sub.revenue_share(_live_month(_t(spark, d)), FIXTURE_SCHEDULE)
+
+
+def _loc(t):
+    cm = fx.customer_month(t)
+    cust = fx.customers(t)
+    m3 = sub.month_end_subscription(fx.daily(t), cust)
+    pos = m3.join(cm, ["customer_id", "month"]).select(
+        "customer_id", "month", "status", F.col("go_live_this_month").alias("go_live"),
+        F.col("booked_this_month").alias("booked"), F.col("pos_saas_arr").alias("pos_live_saas_arr"),
+        F.col("gh_tx").alias("has_guest_saas"))
+    lm = _live_month(t)
+    pay = lm.select("customer_id", "month", "payments_margin_arr").join(
+        sub.revenue_share(lm, FIXTURE_SCHEDULE).select("customer_id", "month", "rev_share_arr"),
+        ["customer_id", "month"], "left")
+    vol = cm.select("customer_id", "month", "annual_gmv", "annual_gpv")
+    return sub.location_month(pos, cust, vol, pay)
+
+
+_M7_OUT = ["customer_id", "parent_id", "month", "month_12", "status", "status_12", "is_live_12",
+           "churn_reason", "live_count", "backlog_count", "go_live_count", "booked_count",
+           "pos_live_saas_arr", "pos_live_saas_arr_full_month", "payments_margin_arr_full_month",
+           "annual_gmv", "annual_gpv", "has_guest_saas"]
+
+
+def _round_money(df, cols):
+    return df.select(*[F.round(c, 2).alias(c) if dict(df.dtypes)[c] == "double" else F.col(c) for c in cols])
+
+
+@register("m7_location_month")
+def m7(spark, d):
+    return _round_money(_loc(_t(spark, d)), _M7_OUT)
+
+
+@register("m8_churn_policy_remove")
+def m8(spark, d):
+    return _round_money(sub.apply_churn_policy(_loc(_t(spark, d)), "remove"), _M7_OUT)
+
+
+def _parent_month(t, policy="keep"):
+    return sub.parent_month(sub.apply_churn_policy(_loc(t), policy), _ec_parent(t), fx.parents(t))
+
+
+@register("m9_parent_month")
+def m9(spark, d):
+    p = _parent_month(_t(spark, d))
+    return _round_money(p, p.columns)
+
+
+@register("m14_parent_net_retention")
+def m14p(spark, d):
+    """Net retention on the parent-month panel (the full M7-M9 chain)."""
+    p = _parent_month(_t(spark, d)).select(
+        "month", F.col("pos_live_saas_arr_full_month").alias("pos_saas_arr"),
+        F.col("pos_live_saas_arr_full_month_12").alias("pos_saas_arr_12"),
+        "ec_saas_arr", "ec_saas_arr_12",
+        F.col("payments_margin_arr_full_month").alias("payments_arr"),
+        F.col("payments_margin_arr_full_month_12").alias("payments_arr_12"),
+        "annual_gmv", "annual_gmv_12", "annual_gpv", "annual_gpv_12")
+    return sub.retention(p, "net")
+
+
+def _prorated(t):
+    cust = fx.customers(t)
+    par = fx.parents(t).select("parent_id", "parent_first_go_live")
+    acc = cust.select("customer_id", "parent_id", F.col("segment").alias("market_segment")).join(
+        par, "parent_id", "left")
+    keep = sub.apply_churn_policy(_loc(t), "keep")
+    pm = sub.parent_month(keep, _ec_parent(t), fx.parents(t))
+    return sub.location_month_prorated(keep.drop("parent_id"), pm, acc)
+
+
+@register("m10_location_month_prorated")
+def m10(spark, d):
+    p = _prorated(_t(spark, d))
+    return _round_money(p, ["customer_id", "parent_id", "month", "live_count", "live_count_12",
+                            "live_locations", "live_locations_12", "ec_saas_arr", "ec_saas_arr_12",
+                            "pos_live_saas_arr_full_month", "pos_live_saas_arr_full_month_12", "quarter"])
+
+
+@register("m11_arpu_by_line")
+def m11(spark, d):
+    t = _t(spark, d)
+    return sub.arpu_by_line(_prorated(t), fx.nps_scores(t), ARPU_SEGMENT, ARPU_SINCE)
+
+
+@register("m12_investor_long")
+def m12l(spark, d):
+    lg = sub.investor_long(_loc(_t(spark, d)))
+    return _round_money(lg, lg.columns)
+
+
+@register("m12_investor_wide")
+def m12w(spark, d):
+    return sub.investor_wide(sub.investor_long(_loc(_t(spark, d))), INVESTOR_MONTHS)
+
+
+@register("m13_account_timeline")
+def m13(spark, d):
+    return sub.account_timeline(sub.investor_long(_loc(_t(spark, d))))

@@ -119,3 +119,261 @@ def monthly_payments(daily: DataFrame, status: str = "Live") -> DataFrame:
         F.round("margin", 2).alias("margin"), F.round(F.col("margin") * 12, 2).alias("annual_margin"),
         "tx", F.row_number().over(w).alias("month_num"),
         F.round(safe_div(F.col("margin"), F.col("volume")) * 10000, 4).alias("margin_bps"))
+
+
+# =====================================================================
+# M1/M2: id lists and recurring payroll revenue by parent
+# =====================================================================
+def explode_ids(df: DataFrame, col: str, key: str, delims: str = " ;:,/",
+                must_contain: str = "-") -> DataFrame:
+    """M1: one row per distinct (id, key) from a delimited id list."""
+    pattern = "[" + "".join("\\" + c if c in "\\^]-" else c for c in delims) + "]+"
+    return (df.select(F.explode(F.split(F.col(col), pattern)).alias("guid"), F.col(key))
+              .filter(F.col("guid").contains(must_contain))
+              .distinct())
+
+
+def recurring_parent_month(invoices: DataFrame, id_map: DataFrame, accounts: DataFrame,
+                           start: str, allow_fanout: bool = False) -> DataFrame:
+    """M2: recurring invoice totals x12 by parent and month from ``start``.
+
+    invoices: guid, check_date, total, recurring (bool); id_map: guid,
+    account_id; accounts: account_id, parent_id.  By default each
+    (guid, parent) pair counts once, so a guid listed on several accounts of
+    one parent is not multiplied."""
+    gp = id_map.join(accounts, "account_id").select("guid", "parent_id")
+    if not allow_fanout:
+        gp = gp.distinct()
+    inv = (invoices.filter(F.col("recurring") & (month_start("check_date") >= F.lit(start).cast("date")))
+                   .select("guid", month_start("check_date").alias("month"), "total"))
+    return (inv.join(gp, "guid").groupBy("parent_id", "month")
+               .agg(F.round(F.sum(F.col("total") * 12), 2).alias("ec_saas_arr")))
+
+
+# =====================================================================
+# M6: tiered revenue share
+# =====================================================================
+from dataclasses import dataclass  # noqa: E402
+
+
+@dataclass(frozen=True)
+class ShareSchedule:
+    """Revenue-share contract.  Defaults are the contract's fixed values:
+    before ``first_change`` the first source earns 0.65; from then on its
+    rate steps with the month's count of transacting accounts (<= 2000:
+    0.78, <= 5000: 0.81, <= 10000: 0.84, <= 20000: 0.87, above: 0.90).
+    From ``second_change`` the second source earns 0.17, the fourth 0.08,
+    and the third steps with the month's transactions (<= 200000: 0.15,
+    <= 400000: 0.10, above: 0.05); before that both are 0."""
+    first_change: str = "2021-03-01"
+    before_rate: float = 0.65
+    tds_edges: tuple = (2000, 5000, 10000, 20000)
+    tds_rates: tuple = (0.78, 0.81, 0.84, 0.87, 0.90)
+    second_change: str = "2021-10-01"
+    dd_rate: float = 0.17
+    ue_rate: float = 0.08
+    gh_edges: tuple = (200000, 400000)
+    gh_rates: tuple = (0.15, 0.10, 0.05)
+
+
+def _step(x, edges, rates):
+    out = F.when(x <= edges[0], F.lit(rates[0]))
+    for e, r in zip(edges[1:], rates[1:-1]):
+        out = out.when(x <= e, F.lit(r))
+    return out.otherwise(F.lit(rates[-1]))
+
+
+def revenue_share(monthly: DataFrame, schedule: ShareSchedule = ShareSchedule()) -> DataFrame:
+    """M6: monthly multipliers from month-level counts, joined back to the
+    account-months; share ARR per source and their null-skipping total.
+    monthly: customer_id, month, tds_tx, dd_tx, gh_tx, ue_tx."""
+    m = F.col("month")
+    c1, c2 = F.lit(schedule.first_change).cast("date"), F.lit(schedule.second_change).cast("date")
+    rates = (monthly.groupBy("month").agg(
+        F.sum(F.when(F.col("tds_tx") > 0, 1).otherwise(0)).alias("tds_cx"),
+        F.sum("gh_tx").alias("gh_total"))
+        .select("month",
+                F.when(m < c1, F.lit(schedule.before_rate))
+                 .otherwise(_step(F.col("tds_cx"), schedule.tds_edges, schedule.tds_rates)).alias("tds_mult"),
+                F.when(m >= c2, F.lit(schedule.dd_rate)).otherwise(0.0).alias("dd_mult"),
+                F.when(m >= c2, F.lit(schedule.ue_rate)).otherwise(0.0).alias("ue_mult"),
+                F.when(m >= c2, _step(F.col("gh_total"), schedule.gh_edges, schedule.gh_rates))
+                 .otherwise(0.0).alias("gh_mult")))
+    # one row per month: bounded by the calendar, so the broadcast is size-safe
+    j = monthly.join(F.broadcast(rates), "month", "left")
+    srcs = ["tds", "dd", "gh", "ue"]
+    for s in srcs:
+        j = j.withColumn(f"{s}_rev_share_arr",
+                         F.coalesce(F.col(f"{s}_tx") * F.col(f"{s}_mult"), F.lit(0.0)) * 12)
+    total = sum(F.col(f"{s}_rev_share_arr") for s in srcs)
+    return j.select("customer_id", "month", *[f"{s}_mult" for s in srcs],
+                    *[F.round(f"{s}_rev_share_arr", 2).alias(f"{s}_rev_share_arr") for s in srcs],
+                    F.round(total, 2).alias("rev_share_arr"))
+
+
+# =====================================================================
+# Location month, churn policy, parent month, proration, ARPU
+# =====================================================================
+LOC_MEASURES = ["pos_live_saas_arr_full_month", "payments_margin_arr_full_month", "annual_gmv",
+                "annual_gpv", "live_count", "backlog_count", "go_live_count", "booked_count",
+                "has_guest_saas"]
+
+
+def location_month(pos: DataFrame, accounts: DataFrame, volume: DataFrame,
+                   payments: DataFrame) -> DataFrame:
+    """M7.  pos: customer_id, month, status, go_live, booked,
+    pos_live_saas_arr, has_guest_saas.  accounts: customer_id, parent_id,
+    churn_reason, churn_date, first_order_date.  volume: customer_id, month,
+    annual_gmv, annual_gpv.  payments: customer_id, month,
+    payments_margin_arr, rev_share_arr."""
+    a = accounts.select("customer_id", "parent_id", "churn_reason", "churn_date",
+                        F.col("first_order_date").alias("fod"),
+                        month_start("churn_date").alias("churn_month"))
+    j = (pos.join(a, "customer_id", "left").join(volume, ["customer_id", "month"], "left")
+            .join(payments, ["customer_id", "month"], "left")
+            .fillna(0.0, subset=["annual_gmv", "annual_gpv", "payments_margin_arr"]))
+    status = F.when(month_start("fod") == F.col("month"), F.lit("Go-Live")).otherwise(F.col("status"))
+    j = j.withColumn("status", status)
+    live_like = F.col("status").isin("Live", "Go-Live") & (F.col("fod") < F.col("month"))
+    saas = F.col("pos_live_saas_arr") + F.coalesce("rev_share_arr", F.lit(0.0))
+    j = j.select(
+        "customer_id", "parent_id", "month", F.add_months("month", 12).alias("month_12"), "status",
+        "churn_reason", "churn_month", "fod",
+        F.when(F.col("status") == "Live", 1).otherwise(0).alias("live_count"),
+        F.when(F.col("status") == "Backlog", 1).otherwise(0).alias("backlog_count"),
+        F.when(F.col("go_live"), 1).otherwise(0).alias("go_live_count"),
+        F.when(F.col("booked"), 1).otherwise(0).alias("booked_count"),
+        saas.alias("pos_live_saas_arr"), F.coalesce("rev_share_arr", F.lit(0.0)).alias("rev_share_arr"),
+        F.when(live_like, saas).otherwise(0.0).alias("pos_live_saas_arr_full_month"),
+        F.when(live_like, F.col("payments_margin_arr")).otherwise(0.0).alias("payments_margin_arr_full_month"),
+        "annual_gmv", "annual_gpv", "has_guest_saas")
+    # status 12 months later is read before the churn relabel (source order)
+    fut = j.select("customer_id", F.col("month").alias("month_12"), F.col("status").alias("status_12"),
+                   F.col("live_count").alias("is_live_12"))
+    j = j.join(fut, ["customer_id", "month_12"], "left")
+    return j.withColumn("status", F.when(F.col("month") >= F.col("churn_month"), F.lit("Churn"))
+                        .otherwise(F.col("status")))
+
+
+def apply_churn_policy(loc: DataFrame, policy: str = "keep") -> DataFrame:
+    """M8: 'keep' rows whose status is Backlog/Live/Go-Live; 'remove' also
+    drops rows churned 12 months later or churned to a competitor (null
+    reasons and statuses count as different)."""
+    keep = F.col("status").isin("Backlog", "Live", "Go-Live")
+    if policy == "keep":
+        return loc.filter(keep)
+    if policy == "remove":
+        return loc.filter(keep & ~F.col("status_12").eqNullSafe("Churn") &
+                          ~F.col("churn_reason").eqNullSafe("Competitor"))
+    raise ValueError("policy must be 'keep' or 'remove'")
+
+
+def parent_month(loc: DataFrame, ec_parent: DataFrame, parents: DataFrame) -> DataFrame:
+    """M9.  loc: M8 rows; ec_parent: parent_id, month, ec_saas_arr (M2);
+    parents: parent_id, parent_name, market_segment, parent_first_go_live."""
+    g = (loc.filter(F.col("parent_id").isNotNull())
+            .groupBy("parent_id", "month").agg(*[F.sum(m).alias(m) for m in LOC_MEASURES]))
+    g = (g.join(parents, "parent_id", "inner").join(ec_parent, ["parent_id", "month"], "left")
+          .fillna(0.0, subset=["ec_saas_arr"]))
+    measures = LOC_MEASURES + ["ec_saas_arr"]
+    g = period_offset(g, ["parent_id"], "month", measures, 12, "_12", 0,
+                      attrs=["parent_name", "market_segment", "parent_first_go_live"])
+    g = g.filter(F.col("parent_first_go_live").isNotNull() & (F.col("month") > F.col("parent_first_go_live")))
+    ffm = F.trunc(F.add_months("parent_first_go_live", 1), "month")
+    return g.select("parent_id", "parent_name", "market_segment", "parent_first_go_live", "month",
+                    F.add_months("month", 12).alias("month_12"), *measures,
+                    *[f"{m}_12" for m in measures], ffm.alias("first_full_month"),
+                    F.year(ffm).alias("cohort_year"), F.trunc("month", "quarter").alias("quarter"))
+
+
+def location_month_prorated(loc_keep: DataFrame, parent: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Location rows (live only) with the parent's EC ARR split evenly
+    over the parent's live locations, now and 12 months later.
+    accounts: customer_id, parent_id, market_segment, parent_first_go_live."""
+    measures = LOC_MEASURES + ["rev_share_arr"]
+    lm = period_offset(loc_keep.select("customer_id", "month", *measures), ["customer_id"], "month",
+                       measures, 12, "_12", 0)
+    lm = (lm.join(accounts, "customer_id", "left").filter(F.col("live_count") > 0)
+            .join(parent.select("parent_id", "month", "ec_saas_arr", "ec_saas_arr_12"),
+                  ["parent_id", "month"], "left"))
+    sib = lm.groupBy("parent_id", "month").agg(F.sum("live_count").alias("live_locations"),
+                                               F.sum("live_count_12").alias("live_locations_12"))
+    lm = lm.join(sib, ["parent_id", "month"], "left")
+    lm = (lm.withColumn("ec_saas_arr", F.coalesce(safe_div("ec_saas_arr", "live_locations"), F.lit(0.0)))
+            .withColumn("ec_saas_arr_12", F.coalesce(safe_div("ec_saas_arr_12", "live_locations_12"), F.lit(0.0))))
+    lm = lm.filter(F.col("month") > F.col("parent_first_go_live"))
+    return lm.withColumn("quarter", F.trunc("month", "quarter"))
+
+
+def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str) -> DataFrame:
+    """Per month and product line (POS, POS + Guest, POS + EC,
+    POS + Guest + EC, plus Total): locations, ARR sums, NPS and ARPUs.
+    nps: customer_id, nps_score (0-10)."""
+    d = (loc.filter((F.col("month") >= F.lit(since).cast("date")) & (F.col("market_segment") == segment))
+            .join(nps, "customer_id", "left"))
+    guest, ec = F.col("has_guest_saas") > 0, F.col("ec_saas_arr") > 0
+    line = (F.when(guest & ec, "POS + Guest + EC").when(guest, "POS + Guest").when(ec, "POS + EC")
+             .otherwise("POS"))
+    s = F.col("nps_score")
+    d = d.withColumn("line", line)
+    from ..operators.aggregates import with_total
+    g = with_total(d, ["month"], "line", [
+        F.count("customer_id").alias("locations"),
+        F.sum("payments_margin_arr_full_month").alias("payments_arr"),
+        F.sum("pos_live_saas_arr_full_month").alias("pos_saas"),
+        F.sum("ec_saas_arr").alias("ec_saas"),
+        F.count_if(s.isin(9, 10)).alias("promoters"),
+        F.count_if(s.between(0, 6)).alias("detractors"),
+        F.count(s).alias("surveys")])
+    pay = safe_div("payments_arr", "locations")
+    saas = safe_div(F.col("pos_saas") + F.col("ec_saas"), F.col("locations"))
+    return g.select(
+        "month", "line", "locations", F.round("payments_arr", 2).alias("payments_arr"),
+        F.round("pos_saas", 2).alias("pos_saas"), F.round("ec_saas", 2).alias("ec_saas"),
+        F.round(safe_div((F.col("promoters") - F.col("detractors")) * 100, F.col("surveys")), 6).alias("nps"),
+        "surveys", F.round(pay, 4).alias("payments_arpu"), F.round(saas, 4).alias("saas_arpu"),
+        F.round(pay + saas, 4).alias("total_arpu"))
+
+
+# =====================================================================
+# Investor sets and account timeline
+# =====================================================================
+def investor_long(loc: DataFrame) -> DataFrame:
+    """M12 long: account-month rows of active statuses with backlog, live
+    ARR and volume counted only while live."""
+    live = F.col("status").isin("Live", "Go-Live")
+    return (loc.filter(F.col("status").isin("Backlog", "Live", "Go-Live", "Churn"))
+               .select("customer_id", "parent_id", "month", "status",
+                       F.when(F.col("status") == "Backlog", F.col("pos_live_saas_arr")).otherwise(0.0)
+                        .alias("backlog_arr"),
+                       F.when(live, F.col("pos_live_saas_arr")).otherwise(0.0).alias("live_arr"),
+                       F.when(live, F.col("annual_gmv")).otherwise(0.0).alias("volume")))
+
+
+def investor_wide(long: DataFrame, months: list[str], metrics=("live_arr", "volume")) -> DataFrame:
+    """M12 wide: one row per account, one column per (month, metric) named
+    ``<yyyy_MM>_<metric>``; the month list is fixed, so the column set is
+    known before the job runs (no extra pass to find pivot values)."""
+    labels = [m[:7].replace("-", "_") for m in months]
+    return (long.withColumn("m", F.date_format("month", "yyyy_MM")).filter(F.col("m").isin(*labels))
+                .groupBy("customer_id").pivot("m", labels)
+                .agg(*[F.round(F.sum(x), 2).alias(x) for x in metrics]))
+
+
+def account_timeline(long: DataFrame, far: str = "2099-01-01") -> DataFrame:
+    """Per account: first booked month, first live month, latest status;
+    go-live = first live month, else first month seen; booking = the earlier
+    booked month, or the day before go-live when booking is missing or
+    later; missing dates become ``far``."""
+    last = latest_per_key(long, ["customer_id"], "month", ["status"])
+    g = long.groupBy("customer_id").agg(
+        F.min(F.when(F.col("status") == "Backlog", F.col("month"))).alias("first_booked"),
+        F.min(F.when(F.col("status").isin("Live", "Go-Live"), F.col("month"))).alias("first_live"),
+        F.min("month").alias("first_seen"))
+    go = F.coalesce("first_live", "first_seen")
+    book = F.when(F.col("first_booked").isNull() | (F.col("first_booked") > go), F.date_sub(go, 1)) \
+        .otherwise(F.col("first_booked"))
+    farl = F.lit(far).cast("date")
+    return g.join(last, "customer_id").select(
+        "customer_id", F.col("status").alias("last_status"),
+        F.coalesce(book, farl).alias("booking_date"), F.coalesce(go, farl).alias("go_live_date"))

@@ -10,7 +10,10 @@ plain values):
   day from the smallest ``o_orderstatus``: F -> Live, O -> Backlog,
   P -> Go-Live.  volume = sum(o_totalprice); tx = count(orders);
   margin = sum(o_totalprice) of priority 1-URGENT orders;
-  gpv = sum(o_totalprice) of orders whose priority is not 5-LOW.
+  gpv = sum(o_totalprice) of orders whose priority is not 5-LOW;
+  transactions by source tds/dd/gh/ue = order counts of priorities
+  1-URGENT / 2-HIGH / 3-MEDIUM / 4-NOT SPECIFIED.
+* churn reason: 'Competitor' for churned BUILDING customers, else 'Other'.
 * first/last order day per customer from orders; churn date = last order day
   + 180 days when that is on or before ``as_of``, else null.
 * modules: ``p_type`` of the parts on an order's line items; quantity =
@@ -33,6 +36,8 @@ MARGIN_PRIORITY = "1-URGENT"
 NON_GPV_PRIORITY = "5-LOW"
 MODULES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 STATE_SECONDS_PER_VALUE = 30
+SOURCE_PRIORITY = {"tds_tx": "1-URGENT", "dd_tx": "2-HIGH", "gh_tx": "3-MEDIUM", "ue_tx": "4-NOT SPECIFIED"}
+COMPETITOR_SEGMENT = "BUILDING"
 
 
 def _status(c):
@@ -59,7 +64,8 @@ def daily(t: Tables) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("o_orderpriority") == MARGIN_PRIORITY, F.col("o_totalprice"))),
                    F.lit(0.0)).alias("margin"),
         F.coalesce(F.sum(F.when(F.col("o_orderpriority") != NON_GPV_PRIORITY, F.col("o_totalprice"))),
-                   F.lit(0.0)).alias("gpv")))
+                   F.lit(0.0)).alias("gpv"),
+        *[F.count_if(F.col("o_orderpriority") == v).alias(k) for k, v in SOURCE_PRIORITY.items()]))
 
 
 def order_span(t: Tables) -> DataFrame:
@@ -82,13 +88,16 @@ def customers(t: Tables, as_of: str = AS_OF) -> DataFrame:
             .join(F.broadcast(nation), F.col("parent_id") == F.col("n_nationkey"), "inner")
             .drop("n_nationkey")
             .join(order_span(t), "customer_id", "left")
-            .withColumn("churn_date", F.when(churn <= F.lit(as_of).cast("date"), churn)))
+            .withColumn("churn_date", F.when(churn <= F.lit(as_of).cast("date"), churn))
+            .withColumn("churn_reason", F.when(F.col("churn_date").isNotNull(),
+                                               F.when(F.col("segment") == COMPETITOR_SEGMENT, "Competitor")
+                                               .otherwise("Other"))))
 
 
 def customer_month(t: Tables) -> DataFrame:
     """Customer-month measures (annualised x12): pos_saas_arr (Live days),
     ec_saas_arr (Go-Live days), payments_arr (margin), annual_gmv, annual_gpv,
-    plus volume, tx and live_days."""
+    plus volume, tx, live_days and gh_tx."""
     d = daily(t)
     live = F.col("status") == "Live"
     return (d.groupBy("customer_id", month_start("dt").alias("month")).agg(
@@ -100,7 +109,8 @@ def customer_month(t: Tables) -> DataFrame:
         (F.sum("gpv") * 12).alias("annual_gpv"),
         F.sum("volume").alias("volume"),
         F.sum("tx").alias("tx"),
-        F.count_if(live).alias("live_days")))
+        F.count_if(live).alias("live_days"),
+        F.sum("gh_tx").alias("gh_tx")))
 
 
 def module_lines(t: Tables) -> DataFrame:
@@ -176,3 +186,36 @@ def employee_daily(t: Tables) -> DataFrame:
         _pick(ROLES, u).alias("high_level_role"), _pick(OFFICES, u).alias("office_location"),
         F.col("first_day").alias("role_start_date"), F.col("first_day").alias("employment_start_date"),
         F.when(u % 3 == 0, F.col("last_day")).alias("employment_end_date")))
+
+
+def id_lists(t: Tables) -> DataFrame:
+    """account_id, id_list: per customer a delimited list 'G-<custkey>',
+    'N-<nationkey>', 'x<custkey % 7>' joined by one of ' ;:,/' (chosen by
+    custkey % 5); every 13th customer has no list."""
+    c = t("customer")
+    k = F.col("c_custkey")
+    delim = F.element_at(F.array(*[F.lit(x) for x in [" ", ";", ":", ",", "/"]]), (k % 5).cast("int") + 1)
+    lst = F.concat(F.lit("G-"), k.cast("string"), delim,
+                   F.lit("N-"), F.col("c_nationkey").cast("string"), delim,
+                   F.lit("x"), (k % 7).cast("string"))
+    return c.select(k.alias("account_id"), F.when(k % 13 != 0, lst).alias("id_list"))
+
+
+def parents(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """parent_id, parent_name, market_segment (region name),
+    parent_first_go_live (earliest first order of its customers)."""
+    n = t("nation").select(F.col("n_nationkey").alias("parent_id"), F.col("n_name").alias("parent_name"),
+                           "n_regionkey")
+    r = t("region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("market_segment"))
+    fg = customers(t, as_of).groupBy("parent_id").agg(F.min("first_order_date").alias("parent_first_go_live"))
+    # nation/region are fixed-size dimensions (25 / 5 rows)
+    return (n.join(F.broadcast(r), "n_regionkey").drop("n_regionkey")
+             .join(fg, "parent_id", "left"))
+
+
+def nps_scores(t: Tables) -> DataFrame:
+    """customer_id (= user_id), nps_score = event_id % 11 of the latest
+    signup event."""
+    e = t("events").filter(F.col("event_type") == "signup")
+    return e.groupBy(F.col("user_id").alias("customer_id")).agg(
+        F.max_by(F.col("event_id") % 11, F.struct("ts", "event_id")).cast("int").alias("nps_score"))
