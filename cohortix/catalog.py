@@ -408,3 +408,155 @@ def m12w(spark, d):
 @register("m13_account_timeline")
 def m13(spark, d):
     return sub.account_timeline(sub.investor_long(_loc(_t(spark, d))))
+
+
+# ------------------------------------------------------------------ reporting
+from .operators.stats import exact_quantiles  # noqa: E402,F401
+from .plans import arpu, reporting as rep  # noqa: E402
+
+KEY_MEASURES = {"live_payments_arr": "payments_arr", "live_saas_arr": "pos_saas_arr",
+                "live_ec_arr": "ec_saas_arr", "live_arr": "live_arr"}
+
+
+@register("m17_arr_report")
+def m17(spark, d):
+    cm = fx.customer_month(_t(spark, d)).withColumn(
+        "live_arr", F.col("payments_arr") + F.col("pos_saas_arr") + F.col("ec_saas_arr"))
+    return rep.arr_report(rep.key_metrics(cm, KEY_MEASURES), "FULL MONTH")
+
+
+@register("m17_arr_report_quarter")
+def m17q(spark, d):
+    cm = fx.customer_month(_t(spark, d)).withColumn(
+        "live_arr", F.col("payments_arr") + F.col("pos_saas_arr") + F.col("ec_saas_arr"))
+    return rep.arr_report(rep.key_metrics(cm, KEY_MEASURES), "QUARTER")
+
+
+@register("m18_annualized_volume")
+def m18(spark, d):
+    li = _t(spark, d)("lineitem").select(F.to_date("l_shipdate").alias("dt"),
+                                         F.col("l_extendedprice").alias("volume"), F.lit(1).alias("tx"))
+    return rep.annualized_volume(li)
+
+
+def _m19(t):
+    return rep.churn_counts(fx.customer_months(t))
+
+
+def _m20(t):
+    o = fx.order_days(t).join(t("customer").select(F.col("c_custkey").alias("customer_id"),
+                                                   F.col("c_nationkey").alias("parent_id")), "customer_id")
+    return rep.new_parents(o.select("parent_id", F.col("dt").alias("close_date"),
+                                    (F.col("o_orderstatus") == "F").alias("is_won")))
+
+
+def _m21(t):
+    cust = fx.customers(t)
+    m3 = sub.month_end_subscription(fx.daily(t), cust)
+    return rep.month_end_parents(m3.join(cust.select("customer_id", "parent_id"), "customer_id"))
+
+
+@register("m19_churn_counts")
+def m19(spark, d):
+    return _m19(_t(spark, d))
+
+
+@register("m20_new_parents")
+def m20(spark, d):
+    return _m20(_t(spark, d))
+
+
+@register("m21_month_end_parents")
+def m21(spark, d):
+    return _m21(_t(spark, d))
+
+
+@register("m22_customer_report")
+def m22(spark, d):
+    t = _t(spark, d)
+    return rep.customer_report(_m19(t), _m20(t), _m21(t))
+
+
+# ------------------------------------------------------------------- ARPU
+ARPU_QUARTERS = ("1996-01-01", "2001-07-01")
+CURRENT_MONTH = "2000-06-01"
+HEADROOM_MIN_N = 3
+LIVE_MONTH_MIN_N = 10
+MIX_TYPE, MIX_TIER = "FSR - BUILDING", "1M - 3M"
+ARR_COLS = {"live_payments_arr": "live_payments_arr", "live_saas_arr": "live_saas_arr",
+            "ec_saas_arr": "ec_saas_arr"}
+
+
+def _m33(t):
+    return arpu.trailing_volume(fx.monthly_book(t), 12)
+
+
+@register("m33_trailing_volume")
+def m33(spark, d):
+    m = _m33(_t(spark, d))
+    return m.select("customer_id", "month", "service_group", "close_month", "close_quarter", "foq",
+                    F.round("gpv", 2).alias("gpv"), F.round("gpv_last_n_months", 2).alias("gpv_last_n_months"),
+                    "last_months", F.round("annualized_gpv", 2).alias("annualized_gpv"),
+                    F.round("live_arr", 2).alias("live_arr"))
+
+
+@register("m34_split_usage")
+def m34(spark, d):
+    t = _t(spark, d)
+    fixed = (fx.module_lines(t).filter(F.col("module") == "STANDARD")
+             .groupBy("customer_id", month_start("dt").alias("month"))
+             .agg((F.sum("amount") * 12).alias("ec_monthly_arr")))
+    s = arpu.split_usage(_m33(t), fixed)
+    return s.select("customer_id", "month", *[F.round(c, 2).alias(c) for c in
+                                               ("ec_saas_arr", "ec_monthly_arr", "ec_usage_arr")])
+
+
+@register("m35_booking_cohort")
+def m35(spark, d):
+    b = arpu.booking_cohort(_m33(_t(spark, d)), "service_group", 3, *ARPU_QUARTERS)
+    return b.select("close_quarter", "service_group", "locations", F.round("annualized_gpv", 2).alias("annualized_gpv"),
+                    F.round("live_arr", 2).alias("live_arr"), "avg_gpv", F.round("arpu", 4).alias("arpu"),
+                    "percent_of_locations")
+
+
+@register("m36_live_month_averages")
+def m36(spark, d):
+    g = arpu.live_month_averages(_m33(_t(spark, d)), "service_group", ARR_COLS, 3, LIVE_MONTH_MIN_N,
+                                 *ARPU_QUARTERS)
+    return g.select("month", "service_group", "locations",
+                    *[F.round(c, 2).alias(c) for c in ARR_COLS],
+                    *[F.round(f"{c}_arpu", 4).alias(f"{c}_arpu") for c in ARR_COLS], "percent_of_locations")
+
+
+def _m37(t):
+    m = _m33(t).withColumn("margin_bps", F.try_divide(F.col("margin"), F.col("gpv")) * 10000)
+    m = arpu.with_tiers(m, "annualized_gpv", arpu.GPV_EDGES, arpu.GPV_LABELS, "gpv_tier")
+    return arpu.with_tiers(m, "margin_bps", arpu.BPS_EDGES, arpu.BPS_LABELS, "bps_tier")
+
+
+@register("m37_tiers")
+def m37(spark, d):
+    m = _m37(_t(spark, d))
+    return m.select("customer_id", "month", F.round("annualized_gpv", 2).alias("annualized_gpv"),
+                    "gpv_tier", "gpv_tier_rank", F.round("margin_bps", 4).alias("margin_bps"), "bps_tier",
+                    "bps_tier_rank")
+
+
+def _current(t):
+    return _m37(t).filter(F.col("month") == F.lit(CURRENT_MONTH).cast("date"))
+
+
+@register("m38_arpu_headroom")
+def m38(spark, d):
+    h = arpu.arpu_headroom(_current(_t(spark, d)), "full_type", "gpv_tier", "live_arr", 0.95, 0.25,
+                           HEADROOM_MIN_N)
+    return h.select("full_type", "gpv_tier", "tier_rank", "num_locations", "num_rest",
+                    F.round("median_rest", 4).alias("median_rest"), "target",
+                    F.round("potential_arr", 4).alias("potential_arr"),
+                    F.round("potential_arpu_impact", 6).alias("potential_arpu_impact"))
+
+
+@register("m39_top_rest_mix")
+def m39(spark, d):
+    cur = _current(_t(spark, d)).filter((F.col("full_type") == MIX_TYPE) & (F.col("gpv_tier") == MIX_TIER))
+    return arpu.top_rest_mix(cur, "live_arr", "bps_tier", arpu.BPS_LABELS, 0.95)

@@ -183,3 +183,35 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
         rd(f"q2{i}").alias("p50"), rd(f"q3{i}").alias("p75"), rd(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)]))
     return row.select(stack.alias("s")).select("s.*")
+
+
+# ----------------------------------------------------------- exact quantiles
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas/numpy default) per group.
+
+    Built from a (group, value) histogram -- a hash aggregation with
+    map-side combine -- and cumulative counts over the *distinct* values of
+    each group.  Unlike the ``percentile`` aggregate, which keeps every
+    value of a group in one in-memory buffer, the cumulative-count window
+    sorts and can spill, so a group holding a large share of the rows does
+    not have to fit in memory.  Returns group + one column per prob name.
+    """
+    from pyspark.sql import Window
+    h = (df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v"))
+           .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*group).orderBy("_v")
+    h = (h.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))))
+    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))  # ranks [_lo, _hi) hold _v (0-based)
+    aggs = []
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        k0, k1 = F.floor(pos), F.ceil(pos)
+        at = lambda k: (F.col("_lo") <= k) & (k < F.col("_hi"))
+        aggs += [F.max(F.when(at(k0), F.col("_v"))).alias(f"_{name}_0"),
+                 F.max(F.when(at(k1), F.col("_v"))).alias(f"_{name}_1"),
+                 F.max(pos - k0).alias(f"_{name}_f")]
+    g = h.groupBy(*group).agg(*aggs)
+    return g.select(*group, *[
+        (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")).alias(n)
+        for n in probs])

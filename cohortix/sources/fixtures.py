@@ -38,6 +38,9 @@ MODULES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 STATE_SECONDS_PER_VALUE = 30
 SOURCE_PRIORITY = {"tds_tx": "1-URGENT", "dd_tx": "2-HIGH", "gh_tx": "3-MEDIUM", "ue_tx": "4-NOT SPECIFIED"}
 COMPETITOR_SEGMENT = "BUILDING"
+FSR_SEGMENTS = ("AUTOMOBILE", "BUILDING")
+ECOMM_EVERY = 10
+CLOSE_LEAD_DAYS = 30
 
 
 def _status(c):
@@ -110,7 +113,8 @@ def customer_month(t: Tables) -> DataFrame:
         F.sum("volume").alias("volume"),
         F.sum("tx").alias("tx"),
         F.count_if(live).alias("live_days"),
-        F.sum("gh_tx").alias("gh_tx")))
+        F.sum("gh_tx").alias("gh_tx"),
+        F.sum("margin").alias("margin")))
 
 
 def module_lines(t: Tables) -> DataFrame:
@@ -219,3 +223,41 @@ def nps_scores(t: Tables) -> DataFrame:
     e = t("events").filter(F.col("event_type") == "signup")
     return e.groupBy(F.col("user_id").alias("customer_id")).agg(
         F.max_by(F.col("event_id") % 11, F.struct("ts", "event_id")).cast("int").alias("nps_score"))
+
+
+def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Monthly book of business: one row per customer and month with a live
+    day, before the ``as_of`` month, for customers with a first order.
+    service_model FSR for the FSR segments else QSR; every 10th customer is
+    e-commerce; close date = first order - 30 days."""
+    cm = customer_month(t).filter(F.col("live_days") > 0)
+    c = customers(t, as_of).select("customer_id", "segment", "first_order_date")
+    svc = F.when(F.col("segment").isin(*FSR_SEGMENTS), "FSR").otherwise("QSR")
+    ecomm = F.col("customer_id") % ECOMM_EVERY == 0
+    close = F.date_sub("first_order_date", CLOSE_LEAD_DAYS)
+    return (cm.join(c, "customer_id")
+              .filter((F.col("month") < F.trunc(F.lit(as_of).cast("date"), "month")) &
+                      F.col("first_order_date").isNotNull())
+              .select("customer_id", "month", F.col("segment").alias("restaurant_type"),
+                      svc.alias("service_model"), ecomm.alias("ecomm"),
+                      F.when(ecomm, "E-Comm").otherwise(svc).alias("service_group"),
+                      F.when(ecomm, "E-Comm").otherwise(F.concat(svc, F.lit(" - "), F.col("segment")))
+                      .alias("full_type"),
+                      F.col("first_order_date").alias("fod"), close.alias("close_date"),
+                      F.trunc(close, "month").alias("close_month"), F.trunc(close, "quarter").alias("close_quarter"),
+                      F.trunc("first_order_date", "quarter").alias("foq"),
+                      (F.col("pos_saas_arr") + F.col("payments_arr")).alias("live_arr"),
+                      F.col("payments_arr").alias("live_payments_arr"),
+                      F.col("pos_saas_arr").alias("live_saas_arr"), "ec_saas_arr",
+                      F.col("volume").alias("gpv"), "margin", F.col("tx").alias("gpv_tx")))
+
+
+def customer_months(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Dense customer-month snapshot: every month from the first-order month
+    to the churn month (or the ``as_of`` month); generated per customer, so
+    its size is bounded by the calendar, not by a cross join."""
+    c = customers(t, as_of).filter(F.col("first_order_date").isNotNull())
+    end = F.trunc(F.coalesce("churn_date", F.lit(as_of).cast("date")), "month")
+    return c.select("customer_id", "parent_id", "churn_date", "first_order_date",
+                    F.explode(F.sequence(F.trunc("first_order_date", "month"), end,
+                                         F.expr("INTERVAL 1 MONTH"))).alias("month"))
