@@ -560,3 +560,147 @@ def m38(spark, d):
 def m39(spark, d):
     cur = _current(_t(spark, d)).filter((F.col("full_type") == MIX_TYPE) & (F.col("gpv_tier") == MIX_TIER))
     return arpu.top_rest_mix(cur, "live_arr", "bps_tier", arpu.BPS_LABELS, 0.95)
+
+
+# ------------------------------------------------------------------ attach
+from .plans import attach, series, tickets as tk  # noqa: E402
+from .operators import stats  # noqa: E402
+from .sources.query import coerce_types  # noqa: E402
+
+# Fixed binding values: won = not 'P'; new business = priorities 1-3;
+# module families by part type; acquisition dates of the two families.
+FAMILIES = {"sling": ["PROMO", "SMALL"], "xc": ["ECONOMY", "LARGE", "MEDIUM"]}
+ACQUIRED = {"sling": "1998-06-10", "xc": "1997-07-01"}
+NEW_BUSINESS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+OPP_SINCE = "1996-07-01"
+
+
+def _opp_flags(t):
+    o = fx.order_days(t).filter(F.col("dt") >= F.lit(OPP_SINCE).cast("date")).select(
+        F.col("o_orderkey").alias("opp_id"),
+        F.when(F.col("o_orderpriority").isin(*NEW_BUSINESS), "New Business").otherwise("Existing Business")
+        .alias("opp_type"), F.col("dt").alias("close_date"), (F.col("o_orderstatus") != "P").alias("is_won"))
+    items = (t("lineitem").select("l_orderkey", "l_partkey")
+             .join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+             .select(F.col("l_orderkey").alias("opp_id"), F.col("p_type").alias("product")))
+    return attach.opportunity_flags(o, items, FAMILIES)
+
+
+@register("m40_attach_by_age")
+def m40(spark, d):
+    return attach.attach_by_age(_opp_flags(_t(spark, d)), ACQUIRED, fx.AS_OF)
+
+
+@register("m41_attach_by_month")
+def m41(spark, d):
+    return attach.attach_by_month(_opp_flags(_t(spark, d)), list(FAMILIES), fx.AS_OF)
+
+
+# ------------------------------------------------------------------ tickets
+TICKET_AT, TICKET_END = "1999-01-01", "1999-07-01"
+EVENT_START, EVENT_MID, EVENT_END = "2024-01-01", "2024-01-16", "2024-01-31"
+TICKET_MODULES = ["economy", "large", "medium", "promo", "small", "standard"]
+THIRD_PARTY = ["promo", "small"]
+
+
+def _features(t, with_devices=True):
+    cust = fx.customers(t)
+    pop = tk.population(cust, TICKET_AT)
+    lines = fx.module_lines(t).withColumn("module", F.lower("module"))
+    at, end = F.lit(TICKET_AT).cast("date"), F.lit(TICKET_END).cast("date")
+    start_mods = (lines.filter((F.col("dt") >= F.date_sub(at, 180)) & (F.col("dt") < at))
+                  .groupBy("customer_id").agg(F.count_distinct("module").alias("start_mods")))
+    end_mods = (lines.filter((F.col("dt") >= at) & (F.col("dt") < end))
+                .select("customer_id", "module").distinct().withColumn("is_activated", F.lit(1)))
+    dev = fx.devices(t, EVENT_START, EVENT_MID, EVENT_END) if with_devices else None
+    return tk.ticket_features(pop, fx.tickets(t, EVENT_START, EVENT_END), start_mods, end_mods,
+                              TICKET_MODULES, dev, THIRD_PARTY, 0)
+
+
+_FEAT_DEV = ["customer_id", "age_bucket", "age", "ticket_count", "start_mods", "start_devices",
+             "end_devices", "net_device", *TICKET_MODULES, "end_mods", "modules_added", "third_party",
+             "end_mod_sq", "end_devices_sq", "age_sq"]
+_FEAT = [c for c in _FEAT_DEV if "device" not in c]
+
+
+@register("m45_ticket_features")
+def m45(spark, d):
+    return _features(_t(spark, d)).select(*_FEAT_DEV)
+
+
+@register("m48_ticket_features_no_devices")
+def m48(spark, d):
+    return _features(_t(spark, d), with_devices=False).select(*_FEAT)
+
+
+OLS_X_ALL = ["age", "age_sq", "end_mods", "modules_added", "end_mod_sq", "end_devices", "end_devices_sq",
+             "net_device", *TICKET_MODULES, "third_party"]
+OLS_X_SEG = [c for c in OLS_X_ALL if not c.startswith("age")]
+
+
+@register("m46_ols")
+def m46(spark, d):
+    f = _features(_t(spark, d))
+    whole = stats.ols_by(f, "ticket_count", OLS_X_ALL)
+    seg = stats.ols_by(f, "ticket_count", OLS_X_SEG, by="age_bucket")
+    return whole.unionByName(seg)
+
+
+@register("m46_ols_single")
+def m46s(spark, d):
+    f = _features(_t(spark, d))
+    out = stats.ols_by(f, "ticket_count", ["end_mods"]).unionByName(
+        stats.ols_by(f, "ticket_count", ["end_mods"], by="age_bucket"))
+    return out.select("segment", "term", F.round("coef", 6).alias("coef"), "n")
+
+
+_DESCRIBE_COLS = ["age", "ticket_count", "start_mods", "end_mods", "modules_added", "start_devices",
+                  "end_devices", "net_device"]
+
+
+@register("m47_describe")
+def m47d(spark, d):
+    return stats.describe(_features(_t(spark, d)), _DESCRIBE_COLS)
+
+
+@register("m47_corr_matrix")
+def m47c(spark, d):
+    return stats.corr_matrix(_features(_t(spark, d)), _DESCRIBE_COLS)
+
+
+@register("flt15_ticket_iqr_flags")
+def flt15(spark, d):
+    f = stats.iqr_flags(_features(_t(spark, d)), "ticket_count", 1.5)
+    return f.select("customer_id", "ticket_count", "q1", "q3", "is_upper_outlier", "is_lower_outlier")
+
+
+# ------------------------------------------------------------------ series
+def _series(t):
+    o = fx.order_days(t).filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+    o = o.join(t("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation")),
+               "customer_id")
+    return o.groupBy("nation", month_start("dt").alias("month")).agg(F.sum("o_totalprice").alias("volume"))
+
+
+@register("m53_align_series")
+def m53(spark, d):
+    a = series.align_series(_series(_t(spark, d)), "month", "volume", "nation")
+    return a.select("nation", "month", "pos", F.round("volume", 2).alias("volume"))
+
+
+@register("m54_resample_curve")
+def m54(spark, d):
+    a = series.align_series(_series(_t(spark, d)), "month", "volume", "nation")
+    return series.resample_curve(a, "nation", "pos", "volume", 20)
+
+
+# ------------------------------------------------------------------ sources
+@register("src2_coerce_types")
+def src2(spark, d):
+    """Orders re-read as text, then typed back by the coercion rule."""
+    o = _t(spark, d)("orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        F.col("o_orderpriority"))
+    return coerce_types(o)

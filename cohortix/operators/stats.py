@@ -156,37 +156,38 @@ def ols_by(df: DataFrame, y: str, xs: list[str], by: str | None = None,
 
 # ----------------------------------------------------------- describe/corr
 def corr_matrix(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Pearson r for every pair (pairwise complete), long form: x, y, r."""
+    """Pearson r for every pair (pairwise complete), long form: x, y, r.
+    A constant column gives null (not NaN)."""
     pairs = list(combinations(cols, 2))
     row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    fix = lambda c: F.when(F.isnan(c), F.lit(None)).otherwise(c)
     stack = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                                         F.round(F.col(f"{i}"), digits).alias("r"))
+                                         F.round(fix(F.col(f"{i}")), digits).alias("r"))
                                 for i, (a, b) in enumerate(pairs)]))
     return row.select(stack.alias("s")).select("s.*")
 
 
 def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Per column: count, mean, sample std, min, exact 25/50/75 percentiles
-    (linear interpolation), max.  One aggregate over all columns."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.percentile(x, 0.25).alias(f"q1{i}"),
-                 F.percentile(x, 0.5).alias(f"q2{i}"), F.percentile(x, 0.75).alias(f"q3{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs)
-    rd = lambda k: F.round(F.col(k), digits)
-    stack = F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), rd(f"m{i}").alias("mean"),
-        rd(f"s{i}").alias("std"), rd(f"lo{i}").alias("min"), rd(f"q1{i}").alias("p25"),
-        rd(f"q2{i}").alias("p50"), rd(f"q3{i}").alias("p75"), rd(f"hi{i}").alias("max"))
-        for i, c in enumerate(cols)]))
-    return row.select(stack.alias("s")).select("s.*")
+    (linear interpolation), max.  The columns are unpivoted to (column,
+    value) once; moments come from one aggregation and the quartiles from
+    the histogram quantiles."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
+        .alias("u")).select("u.*")
+    mom = long.groupBy("column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    j = mom.join(q, "column", "left")
+    rd = lambda c: F.round(F.col(c), digits).alias(c)
+    return j.select("column", "count", rd("mean"), rd("std"), rd("min"), rd("p25"), rd("p50"),
+                    rd("p75"), rd("max"))
 
 
 # ----------------------------------------------------------- exact quantiles
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
+                    method: str = "linear") -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/numpy default) per group.
 
     Built from a (group, value) histogram -- a hash aggregation with
@@ -212,6 +213,23 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
                  F.max(F.when(at(k1), F.col("_v"))).alias(f"_{name}_1"),
                  F.max(pos - k0).alias(f"_{name}_f")]
     g = h.groupBy(*group).agg(*aggs)
+    if method == "midpoint":
+        return g.select(*group, *[((F.col(f"_{n}_0") + F.col(f"_{n}_1")) / 2).alias(n) for n in probs])
     return g.select(*group, *[
         (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")).alias(n)
         for n in probs])
+
+
+def iqr_flags(df: DataFrame, col: str, k: float = 1.5, by: list[str] | None = None) -> DataFrame:
+    """FLT-15: Tukey fences from midpoint quartiles; adds ``q1``, ``q3``,
+    ``is_upper_outlier`` (>= q3 + k IQR) and ``is_lower_outlier``
+    (<= q1 - k IQR).  Filter on the flags to drop outliers."""
+    by = by or []
+    key = by or ["_all"]
+    d = df if by else df.withColumn("_all", F.lit(1))
+    q = exact_quantiles(d, key, col, {"q1": 0.25, "q3": 0.75}, method="midpoint")
+    j = d.join(q, key, "left")   # one row per group on the right
+    iqr = F.col("q3") - F.col("q1")
+    j = (j.withColumn("is_upper_outlier", F.col(col) >= F.col("q3") + k * iqr)
+          .withColumn("is_lower_outlier", F.col(col) <= F.col("q1") - k * iqr))
+    return j if by else j.drop("_all")

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.nulls import div0
-from ..sources.spines import day_spine, month_spine, period_table
 from ..operators.windows import running_sum
 
 FLOWS = ["new_live_saas", "upsell_saas_arr", "downsell_saas_arr", "churned_saas_arr",
@@ -47,10 +46,11 @@ def cohort_drivers(daily: DataFrame, customers: DataFrame, start: str, end: str,
         F.sum(F.when(~F.col("np"), F.col("c_arr")).otherwise(0.0)).alias("preventable_churn_arr"),
         F.sum(F.when(F.col("np"), F.col("c_arr")).otherwise(0.0)).alias("non_preventable_churn_arr"),
         (-F.count(F.lit(1))).alias("churn_delta"))
-    accounts = c.select("account_id").distinct()
-    days = day_spine(daily.sparkSession, start, end)
-    # the day spine is bounded by the calendar range -> broadcast is size-safe
-    grid = accounts.crossJoin(F.broadcast(days))
+    # dense day grid per account, generated from the calendar range (no
+    # cross join: each account row expands to its own days)
+    grid = (c.select("account_id").distinct()
+             .select("account_id", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"),
+                                                        F.expr("INTERVAL 1 DAY"))).alias("dt")))
     g = (grid.join(day_flows, ["account_id", "dt"], "left").join(churn, ["account_id", "dt"], "left")
              .fillna(0, subset=FLOWS + ["loc_delta", "churn_delta"]))
     g = g.withColumn("net", F.col("new_live_saas") + F.col("upsell_saas_arr") +
@@ -62,18 +62,26 @@ def cohort_drivers(daily: DataFrame, customers: DataFrame, start: str, end: str,
 
 def period_growth(cohort: DataFrame, as_of: str, first_month: str,
                   lengths=(30, 60, 90, 180, 270, 365)) -> DataFrame:
-    spark = cohort.sparkSession
     a = F.lit(as_of).cast("date")
-    months = month_spine(spark, first_month, as_of)
-    periods = (period_table(spark, months, lengths)
-               .withColumn("period_end", F.when(F.col("period_end") > a, F.date_sub(a, 1))
-                           .otherwise(F.col("period_end"))))
     # one row per account with its last day: flows of a period that runs past
     # the data are summed up to that day, as a range join would
     accounts = cohort.groupBy("account_id").agg(F.max("dt").alias("last_dt"))
-    # periods: months x 12 rows, bounded by the calendar -> broadcast
-    pa = (accounts.crossJoin(F.broadcast(periods))
-                  .withColumn("flow_end", F.least("period_end", "last_dt")))
+    # each account expands to its (month, length, direction) periods: months
+    # from the calendar, 12 period shapes from the parameter list
+    shapes = F.array(*[F.struct(F.lit(n).alias("daysinperiod"), F.lit(d).alias("period_type"))
+                       for d in ("backward", "forward") for n in lengths])
+    pa = (accounts
+          .withColumn("month", F.explode(F.sequence(F.trunc(F.lit(first_month).cast("date"), "month"),
+                                                    F.trunc(a, "month"), F.expr("INTERVAL 1 MONTH"))))
+          .withColumn("p", F.explode(shapes)).select("account_id", "last_dt", "month", "p.*"))
+    back = F.col("period_type") == "backward"
+    pa = (pa.withColumn("period_start", F.when(back, F.date_sub("month", F.col("daysinperiod")))
+                        .otherwise(F.col("month")))
+            .withColumn("period_end", F.when(back, F.col("month"))
+                        .otherwise(F.date_add("month", F.col("daysinperiod"))))
+            .withColumn("period_end", F.when(F.col("period_end") > a, F.date_sub(a, 1))
+                        .otherwise(F.col("period_end")))
+            .withColumn("flow_end", F.least("period_end", "last_dt")))
     cum = running_sum(cohort, ["account_id"], "dt", {f"cum_{f}": f for f in FLOWS})
     cum = cum.select("account_id", "dt", "live_saas_arr", "location_count",
                      *[f"cum_{f}" for f in FLOWS])

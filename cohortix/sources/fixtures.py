@@ -261,3 +261,26 @@ def customer_months(t: Tables, as_of: str = AS_OF) -> DataFrame:
     return c.select("customer_id", "parent_id", "churn_date", "first_order_date",
                     F.explode(F.sequence(F.trunc("first_order_date", "month"), end,
                                          F.expr("INTERVAL 1 MONTH"))).alias("month"))
+
+
+# ------------------------------------------------------- tickets and devices
+TICKET_EVENT, DEVICE_EVENT = "error", "click"
+
+
+def tickets(t: Tables, start: str, end: str) -> DataFrame:
+    """customer_id (= user_id), ticket_count: error events in [start, end)."""
+    e = t("events").filter((F.col("event_type") == TICKET_EVENT) &
+                           (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
+                           (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    return e.groupBy(F.col("user_id").alias("customer_id")).agg(F.count("event_id").alias("ticket_count"))
+
+
+def devices(t: Tables, start: str, mid: str, end: str) -> DataFrame:
+    """customer_id, period (1: [start, mid), 2: [mid, end)), devices =
+    distinct device keys (``props``) of click events."""
+    e = t("events").filter((F.col("event_type") == DEVICE_EVENT) &
+                           (F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
+                           (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    period = F.when(F.col("ts") < F.lit(mid).cast("timestamp_ntz"), 1).otherwise(2)
+    return e.groupBy(F.col("user_id").alias("customer_id"), period.alias("period")).agg(
+        F.count_distinct("props").alias("devices"))

@@ -29,7 +29,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
     checks = []
     for c in strings:
         v = F.col(c)
-        checks.append(F.sum(F.when(v.isNotNull() & F.try_cast(v, "double").isNull(), 1)
+        checks.append(F.sum(F.when(v.isNotNull() & v.try_cast("double").isNull(), 1)
                             .otherwise(0)).alias(f"d_{c}"))
         checks.append(F.sum(F.when(v.isNotNull() & F.try_to_date(v).isNull(), 1)
                             .otherwise(0)).alias(f"t_{c}"))
@@ -38,7 +38,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = f.name
         if c in strings and bad[f"d_{c}"] == 0:
-            out.append(F.try_cast(F.col(c), "double").alias(c))
+            out.append(F.col(c).try_cast("double").alias(c))
         elif c in strings and bad[f"t_{c}"] == 0:
             out.append(F.try_to_date(F.col(c)).alias(c))
         else:
