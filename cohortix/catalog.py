@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import subscription as sub
@@ -25,6 +26,8 @@ def register(name: str):
 
 
 def _t(spark, sf_dir) -> Tables:
+    """A fresh table accessor per query call (its memo holds lazy frames
+    only for the duration of building one query)."""
     return Tables(spark, sf_dir)
 
 
@@ -312,19 +315,14 @@ def m6(spark, d):
 
 
 def _loc(t):
-    cm = fx.customer_month(t)
-    cust = fx.customers(t)
-    m3 = sub.month_end_subscription(fx.daily(t), cust)
-    pos = m3.join(cm, ["customer_id", "month"]).select(
-        "customer_id", "month", "status", F.col("go_live_this_month").alias("go_live"),
-        F.col("booked_this_month").alias("booked"), F.col("pos_saas_arr").alias("pos_live_saas_arr"),
-        F.col("gh_tx").alias("has_guest_saas"))
-    lm = _live_month(t)
-    pay = lm.select("customer_id", "month", "payments_margin_arr").join(
-        sub.revenue_share(lm, FIXTURE_SCHEDULE).select("customer_id", "month", "rev_share_arr"),
-        ["customer_id", "month"], "left")
-    vol = cm.select("customer_id", "month", "annual_gmv", "annual_gpv")
-    return sub.location_month(pos, cust, vol, pay)
+    """Location-month table (M7).  Several pipelines read it with different
+    column sets (churn policies, parent roll-up, proration), which defeats
+    exchange reuse, so it is persisted (memory, spilling to disk; lost
+    blocks are recomputed from lineage)."""
+    if "loc" not in t.memo:
+        loc = sub.location_month(sub.month_facts(fx.daily(t)), fx.customers(t), FIXTURE_SCHEDULE)
+        t.memo["loc"] = loc.persist(StorageLevel.MEMORY_AND_DISK)
+    return t.memo["loc"]
 
 
 _M7_OUT = ["customer_id", "parent_id", "month", "month_12", "status", "status_12", "is_live_12",

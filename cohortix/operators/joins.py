@@ -1,9 +1,8 @@
 """Join-shaped operators.
 
 period_offset   JOI-7/8   same entity's values N months later, as a left
-                          join with zero fill -- planned as union + one
-                          aggregation (one shuffle, map-side combine) instead
-                          of a self-join.
+                          join with zero fill -- planned as one range window
+                          over a month index instead of a self-join.
 hour_split      JOI-17    state intervals split over clock hours by
                           exploding the (bounded) hour list of each interval,
                           replacing an interval-overlap nested-loop join.
@@ -15,45 +14,54 @@ hierarchy       JOI-10    entity -> parent -> grandparent chain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def _month_index(c):
+    return F.year(c) * 12 + F.month(c)
 
 
 def period_offset(df: DataFrame, keys: list[str], time_col: str, measures: list[str],
                   months: int = 12, suffix: str = "_12", fill: float | None = 0.0,
                   attrs: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (unique on keys + time_col, time_col a month/quarter
-    start) with ``m + suffix`` = the same keys' ``m`` at time_col + months.
-    Missing future rows give ``fill``.  ``attrs`` are carried from the
-    current row; ``attrs`` are also looked up in the future row under the
-    same suffix when ``future_attrs`` is wanted (see ``period_offset_attrs``).
+    start) with ``m + suffix`` = the same keys' ``m`` exactly ``months``
+    later; a missing future row gives ``fill``.
+
+    Planned as one window per key ordered by a month index with the frame
+    ``RANGE BETWEEN months FOLLOWING AND months FOLLOWING``: the frame holds
+    the single row ``months`` later or nothing, so gaps are handled exactly
+    (unlike ``lead``) and the input is read once (unlike a self-join).  A
+    key's partition holds one row per period, bounded by the calendar.
+    ``attrs`` is accepted for call compatibility (all columns are kept).
     """
-    attrs = attrs or []
-    t = F.col(time_col)
-    now = df.select(*keys, t, F.lit(1).alias("_now"),
-                    *[F.col(a) for a in attrs],
-                    *[F.col(m).alias(m) for m in measures],
-                    *[F.lit(None).cast(df.schema[m].dataType).alias(m + suffix) for m in measures])
-    fut = df.select(*keys, F.add_months(t, -months).alias(time_col), F.lit(0).alias("_now"),
-                    *[F.lit(None).cast(df.schema[a].dataType).alias(a) for a in attrs],
-                    *[F.lit(None).cast(df.schema[m].dataType).alias(m) for m in measures],
-                    *[F.col(m).alias(m + suffix) for m in measures])
-    aggs = [F.max("_now").alias("_now")]
-    aggs += [F.max(a).alias(a) for a in attrs]
-    aggs += [F.sum(m).alias(m) for m in measures]
+    w = Window.partitionBy(*keys).orderBy(_month_index(F.col(time_col))).rangeBetween(months, months)
+    out = df
+    cols = []
     for m in measures:
-        s = F.sum(m + suffix)
-        aggs.append((F.coalesce(s, F.lit(fill)) if fill is not None else s).alias(m + suffix))
-    return (now.unionByName(fut).groupBy(*keys, time_col).agg(*aggs)
-            .filter(F.col("_now") == 1).drop("_now"))
+        v = F.first(F.col(m)).over(w)
+        cols.append((F.coalesce(v, F.lit(fill)) if fill is not None else v).alias(m + suffix))
+    return out.select("*", *cols)
+
+
+def period_lookback(df: DataFrame, keys: list[str], time_col: str, cols: list[str],
+                    months: int, suffix: str = "_ly") -> DataFrame:
+    """Inner-join form: rows that have a row of the same keys exactly
+    ``months`` earlier, with that row's ``cols`` as ``c + suffix`` (one
+    range window, no self-join)."""
+    w = (Window.partitionBy(*keys).orderBy(_month_index(F.col(time_col)))
+         .rangeBetween(-months, -months))
+    out = df.select("*", F.first(F.lit(1)).over(w).alias("_has"),
+                    *[F.first(F.col(c)).over(w).alias(c + suffix) for c in cols])
+    return out.filter(F.col("_has").isNotNull()).drop("_has")
 
 
 def period_offset_join(df: DataFrame, keys: list[str], time_col: str, cols: list[str],
                        months: int = 12, suffix: str = "_12") -> DataFrame:
-    """Plain left self-join form of the offset lookup, for non-additive
-    columns (status strings, flags).  ``df`` must be unique on keys+time."""
-    fut = df.select(*keys, F.add_months(F.col(time_col), -months).alias(time_col),
-                    *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(fut, keys + [time_col], "left")
+    """Non-additive columns (status strings, flags) of the same keys
+    ``months`` later, null when absent (same window plan as
+    :func:`period_offset`)."""
+    return period_offset(df, keys, time_col, cols, months, suffix, fill=None)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str,

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import is_last_month_of_quarter, is_quarter_end, quarter_start
-from ..functions.nulls import row_sum
+from ..operators.joins import period_lookback
 
 BUCKETS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 PLUS = {"three_plus": 3, "four_plus": 4, "five_plus": 5, "six_plus": 6}
@@ -86,7 +86,6 @@ def customer_quarter_modules(mq: DataFrame, modules: list[str], next_year_months
 def module_yoy(panel: DataFrame, cols: list[str], months: int = 15) -> DataFrame:
     """Each (customer, quarter) with the same customer's values from
     ``months`` earlier (inner match) and the module-count change."""
-    ly = panel.select("customer_id", F.add_months("quarter", months).alias("quarter"),
-                      *[F.col(c).alias(f"{c}_ly") for c in cols])
-    return (panel.select("customer_id", "quarter", *cols).join(ly, ["customer_id", "quarter"], "inner")
-                 .withColumn("mod_count_change", F.col("mod_count") - F.col("mod_count_ly")))
+    j = period_lookback(panel.select("customer_id", "quarter", *cols), ["customer_id"], "quarter",
+                        cols, months, "_ly")
+    return j.withColumn("mod_count_change", F.col("mod_count") - F.col("mod_count_ly"))

@@ -219,42 +219,67 @@ LOC_MEASURES = ["pos_live_saas_arr_full_month", "payments_margin_arr_full_month"
                 "has_guest_saas"]
 
 
-def location_month(pos: DataFrame, accounts: DataFrame, volume: DataFrame,
-                   payments: DataFrame) -> DataFrame:
-    """M7.  pos: customer_id, month, status, go_live, booked,
-    pos_live_saas_arr, has_guest_saas.  accounts: customer_id, parent_id,
-    churn_reason, churn_date, first_order_date.  volume: customer_id, month,
-    annual_gmv, annual_gpv.  payments: customer_id, month,
-    payments_margin_arr, rev_share_arr."""
-    a = accounts.select("customer_id", "parent_id", "churn_reason", "churn_date",
+def location_month(facts: DataFrame, accounts: DataFrame,
+                   schedule: ShareSchedule | None = None) -> DataFrame:
+    """M7 from one customer-month fact table.
+
+    facts: customer_id, month, status (the month's last status),
+    pos_live_saas_arr, has_guest_saas, annual_gmv, annual_gpv,
+    payments_margin_arr and tds/dd/gh/ue_tx (live days only; 0 when the
+    month has no live day).  accounts: customer_id, parent_id,
+    churn_reason, churn_date, first_order_date.  The revenue share (M6) is
+    computed here from the same facts when ``schedule`` is given (else
+    facts must carry ``rev_share_arr``).  One aggregation feeds everything:
+    no re-aggregation of the daily data per measure.
+    """
+    if schedule is not None:
+        rs = revenue_share(facts.select("customer_id", "month", "tds_tx", "dd_tx", "gh_tx", "ue_tx"), schedule)
+        facts = facts.join(rs.select("customer_id", "month", "rev_share_arr"), ["customer_id", "month"], "left")
+    a = accounts.select("customer_id", "parent_id", "churn_reason",
                         F.col("first_order_date").alias("fod"),
                         month_start("churn_date").alias("churn_month"))
-    j = (pos.join(a, "customer_id", "left").join(volume, ["customer_id", "month"], "left")
-            .join(payments, ["customer_id", "month"], "left")
-            .fillna(0.0, subset=["annual_gmv", "annual_gpv", "payments_margin_arr"]))
-    status = F.when(month_start("fod") == F.col("month"), F.lit("Go-Live")).otherwise(F.col("status"))
-    j = j.withColumn("status", status)
-    live_like = F.col("status").isin("Live", "Go-Live") & (F.col("fod") < F.col("month"))
-    saas = F.col("pos_live_saas_arr") + F.coalesce("rev_share_arr", F.lit(0.0))
+    j = (facts.join(a, "customer_id", "left")
+              .fillna(0.0, subset=["annual_gmv", "annual_gpv", "payments_margin_arr"]))
+    go_live = month_start("fod") == F.col("month")
+    booked = F.col("status") == "Backlog"
+    status = F.when(go_live, F.lit("Go-Live")).otherwise(F.col("status"))
+    live_like = status.isin("Live", "Go-Live") & (F.col("fod") < F.col("month"))
+    rev = F.coalesce("rev_share_arr", F.lit(0.0))
+    saas = F.col("pos_live_saas_arr") + rev
     j = j.select(
-        "customer_id", "parent_id", "month", F.add_months("month", 12).alias("month_12"), "status",
-        "churn_reason", "churn_month", "fod",
-        F.when(F.col("status") == "Live", 1).otherwise(0).alias("live_count"),
-        F.when(F.col("status") == "Backlog", 1).otherwise(0).alias("backlog_count"),
-        F.when(F.col("go_live"), 1).otherwise(0).alias("go_live_count"),
-        F.when(F.col("booked"), 1).otherwise(0).alias("booked_count"),
-        saas.alias("pos_live_saas_arr"), F.coalesce("rev_share_arr", F.lit(0.0)).alias("rev_share_arr"),
+        "customer_id", "parent_id", "month", F.add_months("month", 12).alias("month_12"),
+        status.alias("status"), "churn_reason", "churn_month", "fod",
+        F.when(status == "Live", 1).otherwise(0).alias("live_count"),
+        F.when(status == "Backlog", 1).otherwise(0).alias("backlog_count"),
+        F.when(go_live, 1).otherwise(0).alias("go_live_count"),
+        F.when(booked, 1).otherwise(0).alias("booked_count"),
+        saas.alias("pos_live_saas_arr"), rev.alias("rev_share_arr"),
         F.when(live_like, saas).otherwise(0.0).alias("pos_live_saas_arr_full_month"),
         F.when(live_like, F.col("payments_margin_arr")).otherwise(0.0).alias("payments_margin_arr_full_month"),
         "annual_gmv", "annual_gpv", "has_guest_saas")
     # status 12 months later is read before the churn relabel (source order)
-    fut = j.select("customer_id", F.col("month").alias("month_12"), F.col("status").alias("status_12"),
-                   F.col("live_count").alias("is_live_12"))
-    j = j.join(fut, ["customer_id", "month_12"], "left")
+    j = period_offset(j.withColumnRenamed("live_count", "is_live"), ["customer_id"], "month",
+                      ["status", "is_live"], 12, "_12", fill=None)
+    j = j.withColumnRenamed("is_live", "live_count")
     return j.withColumn("status", F.when(F.col("month") >= F.col("churn_month"), F.lit("Churn"))
                         .otherwise(F.col("status")))
 
 
+def month_facts(daily: DataFrame) -> DataFrame:
+    """The customer-month fact table of :func:`location_month` in one
+    aggregation of the daily snapshot (daily: customer_id, dt, status,
+    volume, margin, gpv, tds/dd/gh/ue_tx)."""
+    live = F.col("status") == "Live"
+    lsum = lambda c: F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0))
+    return daily.groupBy("customer_id", month_start("dt").alias("month")).agg(
+        F.max_by("status", "dt").alias("status"),
+        (lsum("volume") * 12).cast("double").alias("pos_live_saas_arr"),
+        F.sum("gh_tx").alias("has_guest_saas"),
+        (F.sum("volume") * 12).alias("annual_gmv"), (F.sum("gpv") * 12).alias("annual_gpv"),
+        (lsum("margin") * 12).cast("double").alias("payments_margin_arr"),
+        *[lsum(c).cast("long").alias(c) for c in ("tds_tx", "dd_tx", "gh_tx", "ue_tx")])
+
+
 def apply_churn_policy(loc: DataFrame, policy: str = "keep") -> DataFrame:
     """M8: 'keep' rows whose status is Backlog/Live/Go-Live; 'remove' also
     drops rows churned 12 months later or churned to a competitor (null

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import quarter_start
 from ..functions.nulls import row_sum, safe_div
-from ..operators.joins import latest_per_key
+from ..operators.joins import latest_per_key, period_lookback
 from ..operators.stats import pooled_t, t_two_sided_p
 
 
@@ -40,11 +40,8 @@ def quarter_volume(daily: DataFrame, customers: DataFrame, status: str = "Live")
 def volume_yoy(qv: DataFrame, months: int = 12) -> DataFrame:
     """Quarter vs the same customer's quarter ``months`` earlier (inner):
     total, per-active-day and median-day growth with percentages (bround 2)."""
-    ly = qv.select("customer_id", F.add_months("quarter", months).alias("quarter"),
-                   F.col("gmv").alias("gmv_ly"), F.col("active_days").alias("active_days_ly"),
-                   F.col("med_gmv_pd").alias("med_gmv_pd_ly"))
-    j = qv.select("customer_id", "quarter", "gmv", "active_days", "med_gmv_pd").join(
-        ly, ["customer_id", "quarter"], "inner")
+    j = period_lookback(qv.select("customer_id", "quarter", "gmv", "active_days", "med_gmv_pd"),
+                        ["customer_id"], "quarter", ["gmv", "active_days", "med_gmv_pd"], months, "_ly")
     j = (j.withColumn("gmv_pd", safe_div("gmv", "active_days"))
           .withColumn("gmv_pd_ly", safe_div("gmv_ly", "active_days_ly")))
     out = j

@@ -26,9 +26,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from functools import wraps
+
 from ..functions.dates import month_start
 from .tables import Tables
 
+
+MEMO_FIXTURES = True
+
+
+def _memo(fn):
+    """Build each fixture frame once per Tables object (frames are lazy:
+    this caches plan objects, not data)."""
+    @wraps(fn)
+    def inner(t: Tables, *args, **kw):
+        if not MEMO_FIXTURES:
+            return fn(t, *args, **kw)
+        key = (fn.__name__, args, tuple(sorted(kw.items())))
+        if key not in t.memo:
+            t.memo[key] = fn(t, *args, **kw)
+        return t.memo[key]
+    return inner
+
 AS_OF = "2001-08-01"
 STATUS_MAP = {"F": "Live", "O": "Backlog", "P": "Go-Live"}
 CHURN_LAG_DAYS = 180
@@ -50,6 +69,7 @@ def _status(c):
     return out
 
 
+@_memo
 def order_days(t: Tables) -> DataFrame:
     """One row per order with its calendar day (pruned to used columns)."""
     return t("orders").select(
@@ -57,6 +77,7 @@ def order_days(t: Tables) -> DataFrame:
         F.to_date("o_orderdate").alias("dt"), "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
+@_memo
 def daily(t: Tables) -> DataFrame:
     """Daily customer snapshot: customer_id, dt, status, volume, tx, margin, gpv."""
     o = order_days(t)
@@ -71,12 +92,14 @@ def daily(t: Tables) -> DataFrame:
         *[F.count_if(F.col("o_orderpriority") == v).alias(k) for k, v in SOURCE_PRIORITY.items()]))
 
 
+@_memo
 def order_span(t: Tables) -> DataFrame:
     o = order_days(t)
     return o.groupBy("customer_id").agg(F.min("dt").alias("first_order_date"),
                                          F.max("dt").alias("last_order_date"))
 
 
+@_memo
 def customers(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """customer_id, customer_name, parent_id, grandparent_id, segment, acctbal,
     first_order_date, last_order_date, churn_date."""
@@ -97,6 +120,7 @@ def customers(t: Tables, as_of: str = AS_OF) -> DataFrame:
                                                .otherwise("Other"))))
 
 
+@_memo
 def customer_month(t: Tables) -> DataFrame:
     """Customer-month measures (annualised x12): pos_saas_arr (Live days),
     ec_saas_arr (Go-Live days), payments_arr (margin), annual_gmv, annual_gpv,
@@ -117,6 +141,7 @@ def customer_month(t: Tables) -> DataFrame:
         F.sum("margin").alias("margin")))
 
 
+@_memo
 def module_lines(t: Tables) -> DataFrame:
     """customer_id, dt, o_orderkey, o_orderstatus, module, qty, amount: line
     items with their part type.
@@ -132,6 +157,7 @@ def module_lines(t: Tables) -> DataFrame:
                       F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount")))
 
 
+@_memo
 def agent_states(t: Tables) -> DataFrame:
     """agent, start_ts, state, seconds (state intervals)."""
     return t("events").select(
@@ -163,6 +189,7 @@ def agent_email(user_id) -> "F.Column":
     return F.concat(F.lit("Agent"), user_id.cast("string"), F.lit("@Care.Example"))
 
 
+@_memo
 def agent_state_log(t: Tables) -> DataFrame:
     """email, start_ts, state, seconds."""
     e = t("events")
@@ -175,6 +202,7 @@ def agent_state_log(t: Tables) -> DataFrame:
                     (F.col("value") * STATE_SECONDS_PER_VALUE).cast("int").alias("seconds"))
 
 
+@_memo
 def employee_daily(t: Tables) -> DataFrame:
     """One row per (employee, day) seen in events: email (lower case),
     employee_date, supervisory_org, team, high_level_role, office_location,
@@ -192,6 +220,7 @@ def employee_daily(t: Tables) -> DataFrame:
         F.when(u % 3 == 0, F.col("last_day")).alias("employment_end_date")))
 
 
+@_memo
 def id_lists(t: Tables) -> DataFrame:
     """account_id, id_list: per customer a delimited list 'G-<custkey>',
     'N-<nationkey>', 'x<custkey % 7>' joined by one of ' ;:,/' (chosen by
@@ -205,6 +234,7 @@ def id_lists(t: Tables) -> DataFrame:
     return c.select(k.alias("account_id"), F.when(k % 13 != 0, lst).alias("id_list"))
 
 
+@_memo
 def parents(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """parent_id, parent_name, market_segment (region name),
     parent_first_go_live (earliest first order of its customers)."""
@@ -217,6 +247,7 @@ def parents(t: Tables, as_of: str = AS_OF) -> DataFrame:
              .join(fg, "parent_id", "left"))
 
 
+@_memo
 def nps_scores(t: Tables) -> DataFrame:
     """customer_id (= user_id), nps_score = event_id % 11 of the latest
     signup event."""
@@ -225,6 +256,7 @@ def nps_scores(t: Tables) -> DataFrame:
         F.max_by(F.col("event_id") % 11, F.struct("ts", "event_id")).cast("int").alias("nps_score"))
 
 
+@_memo
 def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Monthly book of business: one row per customer and month with a live
     day, before the ``as_of`` month, for customers with a first order.
@@ -252,6 +284,7 @@ def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
                       F.col("volume").alias("gpv"), "margin", F.col("tx").alias("gpv_tx")))
 
 
+@_memo
 def customer_months(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Dense customer-month snapshot: every month from the first-order month
     to the churn month (or the ``as_of`` month); generated per customer, so
@@ -267,6 +300,7 @@ def customer_months(t: Tables, as_of: str = AS_OF) -> DataFrame:
 TICKET_EVENT, DEVICE_EVENT = "error", "click"
 
 
+@_memo
 def tickets(t: Tables, start: str, end: str) -> DataFrame:
     """customer_id (= user_id), ticket_count: error events in [start, end)."""
     e = t("events").filter((F.col("event_type") == TICKET_EVENT) &
@@ -275,6 +309,7 @@ def tickets(t: Tables, start: str, end: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("customer_id")).agg(F.count("event_id").alias("ticket_count"))
 
 
+@_memo
 def devices(t: Tables, start: str, mid: str, end: str) -> DataFrame:
     """customer_id, period (1: [start, mid), 2: [mid, end)), devices =
     distinct device keys (``props``) of click events."""
