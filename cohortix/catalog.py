@@ -702,3 +702,47 @@ def src2(spark, d):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
         F.col("o_orderpriority"))
     return coerce_types(o)
+
+
+# --------------------------------------------- SQL path, hierarchy, top-k
+from .operators.joins import hierarchy  # noqa: E402
+from .operators.windows import top_k  # noqa: E402
+from .sources.query import query_to_table  # noqa: E402
+
+CHURN_SQL = """
+SELECT month,
+       count(DISTINCT CASE WHEN trunc(churn_date, 'MM') = month AND first_order_date IS NOT NULL
+                           THEN customer_id END),
+       count(DISTINCT CASE WHEN trunc(churn_date, 'MM') = month AND first_order_date IS NULL
+                           THEN customer_id END)
+FROM customer_months
+GROUP BY month
+"""
+
+
+@register("src1_sql_churn_counts")
+def src1(spark, d):
+    """M19 through the SQL path: a temp view over the derived monthly
+    snapshot, SQL text, positional column names."""
+    fx.customer_months(_t(spark, d)).createOrReplaceTempView("customer_months")
+    return query_to_table(spark, CHURN_SQL, ["month", "churns", "cancelled_contracts"])
+
+
+@register("joi10_hierarchy")
+def joi10(spark, d):
+    t = _t(spark, d)
+    ent = (t("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("k"),
+                                F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent"))
+           .unionByName(t("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("k"),
+                                           F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent")))
+           .unionByName(t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("k"),
+                                           F.lit(None).cast("string").alias("parent"))))
+    return hierarchy(ent, "k", "parent", levels=2).select("k", "parent_1", "parent_2")
+
+
+@register("srt2_headroom_top5")
+def srt2(spark, d):
+    """Top 5 type x tier slices by potential ARPU impact (ties broken by
+    type and tier)."""
+    h = m38(spark, d)
+    return top_k(h, [F.col("potential_arpu_impact").desc_nulls_last(), "full_type", "gpv_tier"], 5)

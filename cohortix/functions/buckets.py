@@ -34,3 +34,10 @@ def label_map(c, mapping: dict, default=None) -> Column:
 def flag_label(flags: dict, sep: str = "+") -> Column:
     """Concatenate the names of the true flags (``{name: column}``)."""
     return F.concat_ws(sep, *[F.when(_c(col), F.lit(name)) for name, col in flags.items()])
+
+
+def ilike_any(c, patterns) -> Column:
+    """Case-insensitive match against any of the SQL patterns."""
+    from functools import reduce
+    from operator import or_
+    return reduce(or_, [_c(c).ilike(p) for p in patterns])

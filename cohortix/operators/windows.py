@@ -50,3 +50,10 @@ def share_of_total(df: DataFrame, group: list[str], value: str, name: str, scale
         df.agg(F.sum(value).alias("_tot"))
     j = df.join(tot, group, "left") if group else df.crossJoin(tot)  # one-row side
     return j.withColumn(name, F.try_divide(F.col(value), F.col("_tot")) * scale).drop("_tot")
+
+
+def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
+    """Top-k report rows (the limit is the feature): ``order`` must make the
+    ranking total (add tie-breakers) so the result is deterministic.
+    Plans as TakeOrderedAndProject (k rows per partition, then a merge)."""
+    return df.orderBy(*order).limit(k)

@@ -17,7 +17,8 @@ def latest_customer(daily: DataFrame, customers: DataFrame, attrs: list[str]) ->
     last = latest_per_key(daily, ["customer_id"], "dt", ["dt", "status"])
     c = customers.select("customer_id", "first_order_date", *attrs)
     return (last.join(c, "customer_id", "left")
-                .select("customer_id", F.col("dt").alias("latest_dt"), "status", *attrs,
+                .select("customer_id", F.md5(F.col("customer_id").cast("string")).alias("customer_key"),
+                        F.col("dt").alias("latest_dt"), "status", *attrs,
                         quarter_start("first_order_date").alias("first_order_quarter")))
 
 

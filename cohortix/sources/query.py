@@ -5,6 +5,7 @@
   string -- decided by one aggregate over all columns (a cast is kept only if
   it turns no non-null value into null).
 * ``use_database``  : select the current catalog namespace.
+* ``random_peek``   : a seeded random sample of ``n`` rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ def query_to_table(spark: SparkSession, sql: str, columns: list[str] | None = No
     return df.toDF(*columns) if columns else df
 
 
+def random_peek(df: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
+    """``n`` random rows (sampling operator): ordering by a seeded random key
+    under a limit plans as TakeOrderedAndProject -- each partition keeps its
+    best ``n`` rows, no full sort."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
 def use_database(spark: SparkSession, database: str) -> None:
     spark.catalog.setCurrentDatabase(database)
 
