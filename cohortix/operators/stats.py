@@ -188,22 +188,39 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
 # ----------------------------------------------------------- exact quantiles
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
                     method: str = "linear") -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/numpy default) per group.
-
-    Built from a (group, value) histogram -- a hash aggregation with
-    map-side combine -- and cumulative counts over the *distinct* values of
-    each group.  Unlike the ``percentile`` aggregate, which keeps every
-    value of a group in one in-memory buffer, the cumulative-count window
-    sorts and can spill, so a group holding a large share of the rows does
-    not have to fit in memory.  Returns group + one column per prob name.
+    """Exact quantiles per group: 'linear' (numpy default) or 'midpoint'
+    (mean of the two neighbouring ranks).  Returns group + one column per
+    prob name.
+
+    Distributed rank, no single-task sort even for one global group:
+    1. (group, value) histogram -- hash aggregation with map-side combine;
+    2. range-partition the histogram by (group, value): partition ids are
+       ordered, and each partition is balanced by the sampled bounds;
+    3. running counts inside each range partition;
+    4. per (partition, group) totals -> offsets of earlier partitions (a
+       window per group over at most ``P`` rows);
+    5. global rank interval [lo, hi) of every distinct value, then the
+       values at the two ranks around ``(n - 1) p``.
     """
     from pyspark.sql import Window
-    h = (df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v"))
+    key = list(group)
+    h = (df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*group).orderBy("_v")
-    h = (h.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group))))
-    h = h.withColumn("_lo", F.col("_hi") - F.col("_c"))  # ranks [_lo, _hi) hold _v (0-based)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = h.repartitionByRange(parts, *key, "_v").withColumn("_b", F.spark_partition_id())
+    local = Window.partitionBy("_b").orderBy(*key, "_v").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("_lc", F.sum("_c").over(local))
+    tot = h.groupBy("_b", *key).agg(F.sum("_c").alias("_bt"))
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = (tot.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
+              .withColumn("_n", F.sum("_bt").over(Window.partitionBy(*key))))
+    # running count inside the partition restarts per group: subtract the
+    # group's earlier rows of the same partition
+    first_in_b = Window.partitionBy("_b", *key)
+    h = h.withColumn("_gstart", F.min(F.col("_lc") - F.col("_c")).over(first_in_b))
+    h = (h.join(tot.select("_b", *key, "_off", "_n"), ["_b", *key])
+          .withColumn("_hi", F.col("_off") + F.col("_lc") - F.col("_gstart"))
+          .withColumn("_lo", F.col("_hi") - F.col("_c")))   # ranks [_lo, _hi) hold _v (0-based)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -212,10 +229,10 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         aggs += [F.max(F.when(at(k0), F.col("_v"))).alias(f"_{name}_0"),
                  F.max(F.when(at(k1), F.col("_v"))).alias(f"_{name}_1"),
                  F.max(pos - k0).alias(f"_{name}_f")]
-    g = h.groupBy(*group).agg(*aggs)
+    g = h.groupBy(*key).agg(*aggs)
     if method == "midpoint":
-        return g.select(*group, *[((F.col(f"_{n}_0") + F.col(f"_{n}_1")) / 2).alias(n) for n in probs])
-    return g.select(*group, *[
+        return g.select(*key, *[((F.col(f"_{n}_0") + F.col(f"_{n}_1")) / 2).alias(n) for n in probs])
+    return g.select(*key, *[
         (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")).alias(n)
         for n in probs])
 

@@ -42,11 +42,10 @@ def period_table(spark: SparkSession, months: DataFrame, lengths=(30, 60, 90, 18
 
     backward: [month - length days, month];  forward: [month, month + length days].
     """
-    params = spark.createDataFrame(
-        [(n, d) for d in ("backward", "forward") for n in lengths],
-        "daysinperiod int, period_type string")
+    shapes = F.array(*[F.struct(F.lit(n).alias("daysinperiod"), F.lit(d).alias("period_type"))
+                       for d in ("backward", "forward") for n in lengths])
     m = F.col(month_col)
-    return (months.select(m.alias("month")).crossJoin(F.broadcast(params))
+    return (months.select(m.alias("month"), F.explode(shapes).alias("p")).select("month", "p.*")
             .withColumn("period_start", F.when(F.col("period_type") == "backward",
                                                F.date_sub("month", F.col("daysinperiod")))
                         .otherwise(F.col("month")))

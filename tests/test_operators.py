@@ -127,3 +127,17 @@ def test_hierarchy_two_levels(spark):
                                  "k string, parent string")
     got = {r.k: (r.parent_1, r.parent_2) for r in hierarchy(ents, "k", "parent").collect()}
     assert got["loc1"] == ("p1", "g1") and got["p1"] == ("g1", None)
+
+
+def test_exact_quantiles_many_groups_across_partitions(spark):
+    rng = np.random.default_rng(11)
+    rows, ref = [], {}
+    for g, n in (("a", 500), ("b", 37), ("c", 1)):
+        vals = rng.normal(size=n).round(3)
+        ref[g] = vals
+        rows += [(g, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for g, vals in ref.items():
+        for name, p in (("p10", 10), ("p50", 50), ("p99", 99)):
+            assert abs(got[g][name] - np.percentile(vals, p)) < 1e-9
