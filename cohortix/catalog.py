@@ -314,15 +314,16 @@ def m6(spark, d):
     return sub.revenue_share(_live_month(_t(spark, d)), FIXTURE_SCHEDULE)
 
 
-def _loc(t):
-    """Location-month table (M7).  Several pipelines read it with different
-    column sets (churn policies, parent roll-up, proration), which defeats
-    exchange reuse, so it is persisted (memory, spilling to disk; lost
-    blocks are recomputed from lineage)."""
-    if "loc" not in t.memo:
+def _loc(t, persist=False):
+    """Location-month table (M7).  When one query reads it twice with
+    different column sets (proration + parent roll-up), exchange reuse cannot
+    share the work, so that caller persists it (memory, spilling to disk;
+    lost blocks are recomputed from lineage).  Single readers stream it."""
+    key = ("loc", persist)
+    if key not in t.memo:
         loc = sub.location_month(sub.month_facts(fx.daily(t)), fx.customers(t), FIXTURE_SCHEDULE)
-        t.memo["loc"] = loc.persist(StorageLevel.MEMORY_AND_DISK)
-    return t.memo["loc"]
+        t.memo[key] = loc.persist(StorageLevel.MEMORY_AND_DISK) if persist else loc
+    return t.memo[key]
 
 
 _M7_OUT = ["customer_id", "parent_id", "month", "month_12", "status", "status_12", "is_live_12",
@@ -373,7 +374,7 @@ def _prorated(t):
     par = fx.parents(t).select("parent_id", "parent_first_go_live")
     acc = cust.select("customer_id", "parent_id", F.col("segment").alias("market_segment")).join(
         par, "parent_id", "left")
-    keep = sub.apply_churn_policy(_loc(t), "keep")
+    keep = sub.apply_churn_policy(_loc(t, persist=True), "keep")
     pm = sub.parent_month(keep, _ec_parent(t), fx.parents(t))
     return sub.location_month_prorated(keep.drop("parent_id"), pm, acc)
 

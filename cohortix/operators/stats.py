@@ -115,13 +115,15 @@ def ols_by(df: DataFrame, y: str, xs: list[str], by: str | None = None,
     seg = F.col(by).cast("string") if by else F.lit("all")
     d = df.select(seg.alias("segment"), F.col(y).cast("double").alias("_y"),
                   *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]).dropna()
-    cols = ([F.lit(1.0)] if add_const else []) + [F.col(f"_x{i}") for i in range(len(xs))]
-    p = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy")]
+    names = (["1.0D"] if add_const else []) + [f"_x{i}" for i in range(len(xs))]
+    p = len(names)
+    # the p(p+1)/2 cross products as SQL text: one expression per term keeps
+    # plan construction cheap; the aggregate itself is codegen'd
+    aggs = [F.expr("count(1) AS n"), F.expr("sum(_y) AS sy"), F.expr("sum(_y * _y) AS syy")]
     for i in range(p):
-        aggs.append(F.sum(cols[i] * F.col("_y")).alias(f"xy_{i}"))
+        aggs.append(F.expr(f"sum({names[i]} * _y) AS xy_{i}"))
         for j in range(i, p):
-            aggs.append(F.sum(cols[i] * cols[j]).alias(f"xx_{i}_{j}"))
+            aggs.append(F.expr(f"sum({names[i]} * {names[j]}) AS xx_{i}_{j}"))
     gram = d.groupBy("segment").agg(*aggs)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,15 +214,15 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     h = h.withColumn("_lc", F.sum("_c").over(local))
     tot = h.groupBy("_b", *key).agg(F.sum("_c").alias("_bt"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = (tot.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
-              .withColumn("_n", F.sum("_bt").over(Window.partitionBy(*key))))
+    tot = tot.withColumns({"_off": F.coalesce(F.sum("_bt").over(before), F.lit(0)),
+                           "_n": F.sum("_bt").over(Window.partitionBy(*key))})
     # running count inside the partition restarts per group: subtract the
     # group's earlier rows of the same partition
     first_in_b = Window.partitionBy("_b", *key)
     h = h.withColumn("_gstart", F.min(F.col("_lc") - F.col("_c")).over(first_in_b))
+    hi = F.col("_off") + F.col("_lc") - F.col("_gstart")
     h = (h.join(tot.select("_b", *key, "_off", "_n"), ["_b", *key])
-          .withColumn("_hi", F.col("_off") + F.col("_lc") - F.col("_gstart"))
-          .withColumn("_lo", F.col("_hi") - F.col("_c")))   # ranks [_lo, _hi) hold _v (0-based)
+          .withColumns({"_hi": hi, "_lo": hi - F.col("_c")}))   # ranks [_lo, _hi) hold _v (0-based)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -247,6 +249,6 @@ def iqr_flags(df: DataFrame, col: str, k: float = 1.5, by: list[str] | None = No
     q = exact_quantiles(d, key, col, {"q1": 0.25, "q3": 0.75}, method="midpoint")
     j = d.join(q, key, "left")   # one row per group on the right
     iqr = F.col("q3") - F.col("q1")
-    j = (j.withColumn("is_upper_outlier", F.col(col) >= F.col("q3") + k * iqr)
-          .withColumn("is_lower_outlier", F.col(col) <= F.col("q1") - k * iqr))
+    j = j.withColumns({"is_upper_outlier": F.col(col) >= F.col("q3") + k * iqr,
+                       "is_lower_outlier": F.col(col) <= F.col("q1") - k * iqr})
     return j if by else j.drop("_all")

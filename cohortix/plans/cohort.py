@@ -83,20 +83,20 @@ def period_growth(cohort: DataFrame, as_of: str, first_month: str,
                         .otherwise(F.col("period_end")))
             .withColumn("flow_end", F.least("period_end", "last_dt")))
     cum = running_sum(cohort, ["account_id"], "dt", {f"cum_{f}": f for f in FLOWS})
-    cum = cum.select("account_id", "dt", "live_saas_arr", "location_count",
+    cum = cum.select("account_id", "dt", "live_saas_arr", "location_count", *FLOWS,
                      *[f"cum_{f}" for f in FLOWS])
-    st = cum.select("account_id", F.date_add("dt", 1).alias("period_start"),  # cum at start - 1
-                    *[F.col(f"cum_{f}").alias(f"s_{f}") for f in FLOWS])
+    # one lookup at the start day gives the start stock and, since
+    # cum(start - 1) = cum(start) - flow(start), the flow baseline too
+    st = cum.select("account_id", F.col("dt").alias("period_start"),
+                    F.col("live_saas_arr").alias("period_start_saas"),
+                    F.col("location_count").alias("period_start_location"),
+                    *[(F.col(f"cum_{f}") - F.col(f)).alias(f"s_{f}") for f in FLOWS])
     en = cum.select("account_id", F.col("dt").alias("flow_end"),
                     F.col("live_saas_arr").alias("end_saas"),
                     *[F.col(f"cum_{f}").alias(f"e_{f}") for f in FLOWS])
-    stock0 = cum.select("account_id", F.col("dt").alias("period_start"),
-                        F.col("live_saas_arr").alias("period_start_saas"),
-                        F.col("location_count").alias("period_start_location"))
-    j = (pa.join(stock0, ["account_id", "period_start"], "inner")   # needs a start row
+    j = (pa.join(st, ["account_id", "period_start"], "inner")   # needs a start row
            .filter(F.col("period_start_location") > 0)
            .join(en, ["account_id", "flow_end"], "left")
-           .join(st, ["account_id", "period_start"], "left")
            .withColumn("end_saas", F.when(F.col("flow_end") == F.col("period_end"), F.col("end_saas"))))
     flow = {f: F.col(f"e_{f}") - F.coalesce(F.col(f"s_{f}"), F.lit(0.0)) for f in FLOWS}
     keys = ["month", "period_start", "period_end", "daysinperiod", "period_type"]

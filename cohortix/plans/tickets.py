@@ -44,12 +44,11 @@ def ticket_features(pop: DataFrame, tickets: DataFrame, start_mods: DataFrame, e
         j = j.join(dv, "customer_id", "left")
     num = [c for c, t in j.dtypes if c not in ("customer_id", "age_bucket") and t != "string"]
     j = j.fillna(0, subset=num)
-    j = j.withColumn("end_mods", row_sum(*modules)).withColumn(
-        "modules_added", F.col("end_mods") - F.col("start_mods"))
+    end = row_sum(*modules)
+    new = {"end_mods": end, "modules_added": end - F.col("start_mods"),
+           "end_mod_sq": end * end, "age_sq": F.col("age") * F.col("age")}
     if third_party:
-        j = j.withColumn("third_party", F.when(row_sum(*third_party) > third_party_min, 1).otherwise(0))
-    j = j.withColumn("end_mod_sq", F.col("end_mods") * F.col("end_mods")) \
-         .withColumn("age_sq", F.col("age") * F.col("age"))
+        new["third_party"] = F.when(row_sum(*third_party) > third_party_min, 1).otherwise(0)
     if devices is not None:
-        j = j.withColumn("end_devices_sq", F.col("end_devices") * F.col("end_devices"))
-    return j
+        new["end_devices_sq"] = F.col("end_devices") * F.col("end_devices")
+    return j.withColumns(new)

@@ -43,15 +43,15 @@ def volume_yoy(qv: DataFrame, months: int = 12) -> DataFrame:
     total, per-active-day and median-day growth with percentages (bround 2)."""
     j = period_lookback(qv.select("customer_id", "quarter", "gmv", "active_days", "med_gmv_pd"),
                         ["customer_id"], "quarter", ["gmv", "active_days", "med_gmv_pd"], months, "_ly")
-    j = (j.withColumn("gmv_pd", safe_div("gmv", "active_days"))
-          .withColumn("gmv_pd_ly", safe_div("gmv_ly", "active_days_ly")))
-    out = j
+    j = j.withColumns({"gmv_pd": safe_div("gmv", "active_days"),
+                       "gmv_pd_ly": safe_div("gmv_ly", "active_days_ly")})
+    growth = {}
     for name, now, last in [("gmv", "gmv", "gmv_ly"), ("gmv_pd", "gmv_pd", "gmv_pd_ly"),
                             ("med_gmv_pd", "med_gmv_pd", "med_gmv_pd_ly")]:
-        out = (out.withColumn(f"{name}_growth", F.col(now) - F.col(last))
-                  .withColumn(f"{name}_growth_pct",
-                              F.bround(safe_div(F.col(f"{name}_growth") * 100, F.col(last)), 2)))
-    return out
+        g = F.col(now) - F.col(last)
+        growth[f"{name}_growth"] = g
+        growth[f"{name}_growth_pct"] = F.bround(safe_div(g * 100, F.col(last)), 2)
+    return j.withColumns(growth)
 
 
 def growth_panel(vy: DataFrame, my: DataFrame, modules: list[str],
@@ -59,11 +59,10 @@ def growth_panel(vy: DataFrame, my: DataFrame, modules: list[str],
     """Growth joined to module changes (inner); guest count = row-wise
     sum of the guest modules; per-module change with null -> 0."""
     j = vy.join(my, ["customer_id", "quarter"], "inner")
-    j = (j.withColumn("guest_count", row_sum(*guest))
-          .withColumn("guest_count_ly", row_sum(*[f"{g}_ly" for g in guest])))
-    for m in modules + ["guest_count"]:
-        j = j.withColumn(f"{m}_change", F.coalesce(F.col(m) - F.col(f"{m}_ly"), F.lit(0)))
-    return j
+    j = j.withColumns({"guest_count": row_sum(*guest),
+                       "guest_count_ly": row_sum(*[f"{g}_ly" for g in guest])})
+    return j.withColumns({f"{m}_change": F.coalesce(F.col(m) - F.col(f"{m}_ly"), F.lit(0))
+                          for m in modules + ["guest_count"]})
 
 
 def _two_group_summary(df: DataFrame, keys: list[str], group_col: str, pos: str, neg: str,
@@ -82,11 +81,10 @@ def _two_group_summary(df: DataFrame, keys: list[str], group_col: str, pos: str,
     s = s.filter(F.col("n_pos").isNotNull() & F.col("n_neg").isNotNull())
     t = pooled_t(F.col("k_pos"), F.col("mean_pos"), F.col("var_pos"),
                  F.col("k_neg"), F.col("mean_neg"), F.col("var_neg"))
-    return (s.withColumn("t_stat", t)
-             .withColumn("dof", F.col("k_pos") + F.col("k_neg") - 2)
-             .withColumn("typical_growth_diff", F.col("med_pos") - F.col("med_neg"))
-             .withColumn("growth_rate_diff", F.bround(safe_div(F.col("typical_growth_diff") * 100,
-                                                               F.col("med_neg")), 2)))
+    diff = F.col("med_pos") - F.col("med_neg")
+    return s.withColumns({"t_stat": t, "dof": F.col("k_pos") + F.col("k_neg") - 2,
+                          "typical_growth_diff": diff,
+                          "growth_rate_diff": F.bround(safe_div(diff * 100, F.col("med_neg")), 2)})
 
 
 def adopter_uplift(panel: DataFrame, modules: list[str], growth: str = "gmv_pd_growth_pct",

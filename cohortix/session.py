@@ -24,7 +24,7 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "cohortix") -> SparkSession:
+                app_name: str = "cohortix", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
 
     On a cluster ``master`` stays ``None`` and the launcher decides; the
@@ -37,6 +37,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:   # local mode: the driver JVM is the executor; only effective at JVM start
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

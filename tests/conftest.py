@@ -10,7 +10,7 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from cohortix.session import get_session
-    s = get_session("local[4]", 4)
+    s = get_session("local[4]", 4, driver_memory="4g")
     yield s
     s.stop()
 
