@@ -607,10 +607,14 @@ def _features(t, with_devices=True):
     pop = tk.population(cust, TICKET_AT)
     lines = fx.module_lines(t).withColumn("module", F.lower("module"))
     at, end = F.lit(TICKET_AT).cast("date"), F.lit(TICKET_END).cast("date")
-    start_mods = (lines.filter((F.col("dt") >= F.date_sub(at, 180)) & (F.col("dt") < at))
-                  .groupBy("customer_id").agg(F.count_distinct("module").alias("start_mods")))
-    end_mods = (lines.filter((F.col("dt") >= at) & (F.col("dt") < end))
-                .select("customer_id", "module").distinct().withColumn("is_activated", F.lit(1)))
+    # one pass over the line items of both windows: module held before the
+    # start date (180 days) and/or during the period
+    per = (lines.filter((F.col("dt") >= F.date_sub(at, 180)) & (F.col("dt") < end))
+                .groupBy("customer_id", "module")
+                .agg(F.bool_or(F.col("dt") < at).alias("in_start"), F.bool_or(F.col("dt") >= at).alias("in_end")))
+    start_mods = (per.filter("in_start").groupBy("customer_id")
+                     .agg(F.count(F.lit(1)).alias("start_mods")))
+    end_mods = per.filter("in_end").select("customer_id", "module", F.lit(1).alias("is_activated"))
     dev = fx.devices(t, EVENT_START, EVENT_MID, EVENT_END) if with_devices else None
     return tk.ticket_features(pop, fx.tickets(t, EVENT_START, EVENT_END), start_mods, end_mods,
                               TICKET_MODULES, dev, THIRD_PARTY, 0)
@@ -639,10 +643,7 @@ OLS_X_SEG = [c for c in OLS_X_ALL if not c.startswith("age")]
 
 @register("m46_ols")
 def m46(spark, d):
-    f = _features(_t(spark, d))
-    whole = stats.ols_by(f, "ticket_count", OLS_X_ALL)
-    seg = stats.ols_by(f, "ticket_count", OLS_X_SEG, by="age_bucket")
-    return whole.unionByName(seg)
+    return stats.ols_segments(_features(_t(spark, d)), "ticket_count", OLS_X_ALL, "age_bucket", OLS_X_SEG)
 
 
 @register("m46_ols_single")

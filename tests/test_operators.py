@@ -141,3 +141,17 @@ def test_exact_quantiles_many_groups_across_partitions(spark):
     for g, vals in ref.items():
         for name, p in (("p10", 10), ("p50", 50), ("p99", 99)):
             assert abs(got[g][name] - np.percentile(vals, p)) < 1e-9
+
+
+def test_ols_segments_equal_separate_fits(spark):
+    from cohortix.operators.stats import ols_segments
+    rng = np.random.default_rng(5)
+    rows = [("young" if i % 3 == 0 else "old", float(a), float(b), float(1 + a - 2 * b + rng.normal()))
+            for i, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "seg string, a double, b double, y double")
+    one = {(r.segment, r.term): r.coef for r in ols_segments(df, "y", ["a", "b"], "seg", ["a"]).collect()}
+    whole = {r.term: r.coef for r in ols_by(df, "y", ["a", "b"]).collect()}
+    old = {r.term: r.coef for r in ols_by(df.filter("seg = 'old'"), "y", ["a"]).collect()}
+    assert all(abs(one[("all", t)] - c) < 1e-9 for t, c in whole.items())
+    assert all(abs(one[("old", t)] - c) < 1e-9 for t, c in old.items())
+    assert ("old", "b") not in one
