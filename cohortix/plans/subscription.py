@@ -271,13 +271,21 @@ def month_facts(daily: DataFrame) -> DataFrame:
     volume, margin, gpv, tds/dd/gh/ue_tx)."""
     live = F.col("status") == "Live"
     lsum = lambda c: F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0))
-    return daily.groupBy("customer_id", month_start("dt").alias("month")).agg(
-        F.max_by("status", "dt").alias("status"),
+    # the month's last status is taken by its integer code when present
+    # (fixed-width buffer -> hash aggregation), else by the label
+    last = (F.max_by("status_code", "dt") if "status_code" in daily.columns
+            else F.max_by("status", "dt"))
+    g = daily.groupBy("customer_id", month_start("dt").alias("month")).agg(
+        last.alias("_last"),
         (lsum("volume") * 12).cast("double").alias("pos_live_saas_arr"),
         F.sum("gh_tx").alias("has_guest_saas"),
         (F.sum("volume") * 12).alias("annual_gmv"), (F.sum("gpv") * 12).alias("annual_gpv"),
         (lsum("margin") * 12).cast("double").alias("payments_margin_arr"),
         *[lsum(c).cast("long").alias(c) for c in ("tds_tx", "dd_tx", "gh_tx", "ue_tx")])
+    if "status_code" in daily.columns:
+        from ..sources.fixtures import status_label
+        return g.withColumn("status", status_label(F.col("_last"))).drop("_last")
+    return g.withColumnRenamed("_last", "status")
 
 
 def apply_churn_policy(loc: DataFrame, policy: str = "keep") -> DataFrame:

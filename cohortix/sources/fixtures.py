@@ -62,13 +62,22 @@ ECOMM_EVERY = 10
 CLOSE_LEAD_DAYS = 30
 
 
-def _status(c):
+STATUS_CODES = {k: i + 1 for i, k in enumerate(sorted(STATUS_MAP))}   # F < O < P, as the letters
+
+
+def _status_code(c):
     out = None
-    for k, v in STATUS_MAP.items():
+    for k, v in STATUS_CODES.items():
         out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
     return out
 
 
+def status_label(code):
+    """Status label of a status code (see STATUS_CODES)."""
+    labels = [STATUS_MAP[k] for k in sorted(STATUS_CODES, key=STATUS_CODES.get)]
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), code)
+
+
 @_memo
 def order_days(t: Tables) -> DataFrame:
     """One row per order with its calendar day (pruned to used columns)."""
@@ -79,17 +88,21 @@ def order_days(t: Tables) -> DataFrame:
 
 @_memo
 def daily(t: Tables) -> DataFrame:
-    """Daily customer snapshot: customer_id, dt, status, volume, tx, margin, gpv."""
+    """Daily customer snapshot: customer_id, dt, status_code, status, volume,
+    tx, margin, gpv, tx per source."""
     o = order_days(t)
+    # the smallest status letter of the day, aggregated as an integer code so
+    # the aggregation stays hash-based (a string buffer forces a sort)
     return (o.groupBy("customer_id", "dt").agg(
-        _status(F.min("o_orderstatus")).alias("status"),
+        F.min(_status_code(F.col("o_orderstatus"))).alias("status_code"),
         F.sum("o_totalprice").alias("volume"),
         F.count(F.lit(1)).alias("tx"),
         F.coalesce(F.sum(F.when(F.col("o_orderpriority") == MARGIN_PRIORITY, F.col("o_totalprice"))),
                    F.lit(0.0)).alias("margin"),
         F.coalesce(F.sum(F.when(F.col("o_orderpriority") != NON_GPV_PRIORITY, F.col("o_totalprice"))),
                    F.lit(0.0)).alias("gpv"),
-        *[F.count_if(F.col("o_orderpriority") == v).alias(k) for k, v in SOURCE_PRIORITY.items()]))
+        *[F.count_if(F.col("o_orderpriority") == v).alias(k) for k, v in SOURCE_PRIORITY.items()])
+        .withColumn("status", status_label(F.col("status_code"))))
 
 
 @_memo
