@@ -234,8 +234,9 @@ def _vy(t):
 @register("m28_volume_yoy")
 def m28(spark, d):
     v = _vy(_t(spark, d))
+    types = dict(v.dtypes)
     return v.select("customer_id", "quarter", *[
-        F.round(c, 4).alias(c) if dict(v.dtypes)[c] == "double" and not c.endswith("_pct") else F.col(c)
+        F.round(c, 4).alias(c) if types[c] == "double" and not c.endswith("_pct") else F.col(c)
         for c in v.columns[2:]])
 
 
@@ -333,7 +334,8 @@ _M7_OUT = ["customer_id", "parent_id", "month", "month_12", "status", "status_12
 
 
 def _round_money(df, cols):
-    return df.select(*[F.round(c, 2).alias(c) if dict(df.dtypes)[c] == "double" else F.col(c) for c in cols])
+    types = dict(df.dtypes)   # one schema lookup
+    return df.select(*[F.round(c, 2).alias(c) if types[c] == "double" else F.col(c) for c in cols])
 
 
 @register("m7_location_month")

@@ -109,7 +109,9 @@ def hour_split(states: DataFrame, start_col: str = "start_ts", seconds_col: str
     hi = F.least(F.col("_end"), next_h)
 
     def whole_seconds(ts):
-        # seconds counted on second boundaries (sub-second parts truncated)
-        return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000)
+        # seconds counted on second boundaries (sub-second parts truncated),
+        # from the wall-clock fields: no time-zone conversion is involved
+        return (F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600
+                + F.minute(ts) * 60 + F.floor(F.second(ts)))
     secs = whole_seconds(hi) - whole_seconds(lo)
     return exploded.withColumn(out_col, secs.cast("long")).drop("_end")
