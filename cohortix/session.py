@@ -23,6 +23,18 @@ DEFAULT_CONF = {
 }
 
 
+# Cluster sizing (applied when no local master is given, i.e. the launcher
+# decides): start shuffles with many partitions and let AQE merge them to
+# ~256 MB; split skewed partitions above 5x the median / 512 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "cohortix", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine defaults.
@@ -35,6 +47,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if not master:
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:   # local mode: the driver JVM is the executor; only effective at JVM start
