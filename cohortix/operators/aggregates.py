@@ -43,5 +43,5 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
     c = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     if not normalize:
         return c
-    tot = c.agg(F.sum("n").alias("_t"))
-    return c.crossJoin(tot).withColumn("share", F.round(F.col("n") / F.col("_t"), 6)).drop("_t")
+    tot = c.agg(F.sum("n").alias("_t"))   # keyless aggregate: one row
+    return c.crossJoin(F.broadcast(tot)).withColumn("share", F.round(F.col("n") / F.col("_t"), 6)).drop("_t")

@@ -284,7 +284,9 @@ def iqr_flags(df: DataFrame, col: str, k: float = 1.5, by: list[str] | None = No
     key = by or ["_all"]
     d = df if by else df.withColumn("_all", F.lit(1))
     q = exact_quantiles(d, key, col, {"q1": 0.25, "q3": 0.75}, method="midpoint")
-    j = d.join(q, key, "left")   # one row per group on the right
+    # one row per group; without ``by`` it is a single row joined on a
+    # constant key, which must be broadcast (a shuffle would gather all rows)
+    j = d.join(q, key, "left") if by else d.join(F.broadcast(q), key, "left")
     iqr = F.col("q3") - F.col("q1")
     j = j.withColumns({"is_upper_outlier": F.col(col) >= F.col("q3") + k * iqr,
                        "is_lower_outlier": F.col(col) <= F.col("q1") - k * iqr})

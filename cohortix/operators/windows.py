@@ -48,7 +48,7 @@ def share_of_total(df: DataFrame, group: list[str], value: str, name: str, scale
     one row per group; AQE picks broadcast when it is small)."""
     tot = df.groupBy(*group).agg(F.sum(value).alias("_tot")) if group else \
         df.agg(F.sum(value).alias("_tot"))
-    j = df.join(tot, group, "left") if group else df.crossJoin(tot)  # one-row side
+    j = df.join(tot, group, "left") if group else df.crossJoin(F.broadcast(tot))  # keyless: one row
     return j.withColumn(name, F.try_divide(F.col(value), F.col("_tot")) * scale).drop("_tot")
 
 

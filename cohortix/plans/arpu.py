@@ -97,8 +97,8 @@ def arpu_headroom(cur: DataFrame, type_col: str, tier_col: str, value: str = "li
     g = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_locations"),
                              F.count_if(F.col(value) < F.col("target")).alias("num_rest"),
                              F.min(f"{tier_col}_rank").alias("tier_rank"), F.first("target").alias("target"))
-    total = cur.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    out = (g.join(med, keys, "left").crossJoin(total)
+    total = cur.agg(F.count(F.lit(1)).alias("_all"))  # keyless aggregate: exactly one row
+    out = (g.join(med, keys, "left").crossJoin(F.broadcast(total))
             .withColumn("potential_arr", (F.col("target") - F.col("median_rest")) * F.col("num_rest") * uptake)
             .withColumn("potential_arpu_impact", F.col("potential_arr") / F.col("_all"))
             .drop("_all"))
@@ -109,8 +109,10 @@ def top_rest_mix(cur: DataFrame, value: str, tier_col: str, tier_labels, q: floa
     """Split a slice at p``q`` of ``value`` into top (>=) and rest (<);
     locations and percent per tier for both sides, empty tiers included."""
     spark = cur.sparkSession
-    cut = exact_quantiles(cur.withColumn("_g", F.lit(1)), ["_g"], value, {"cut": q})
-    j = cur.withColumn("_g", F.lit(1)).join(cut, "_g")  # one-row side
+    cut = exact_quantiles(cur.withColumn("_g", F.lit(1)), ["_g"], value, {"cut": q}).drop("_g")
+    # a single group -> exactly one row: broadcasting it is size-safe (a
+    # shuffle join on a constant key would send every row to one task)
+    j = cur.crossJoin(F.broadcast(cut))
     j = j.withColumn("side", F.when(F.col(value) >= F.col("cut"), "top").otherwise("rest"))
     counts = j.groupBy("side", tier_col).agg(F.count(F.lit(1)).alias("locations"))
     grid = spark.createDataFrame([(s, t) for s in ("top", "rest") for t in tier_labels],

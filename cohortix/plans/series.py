@@ -18,7 +18,7 @@ def align_series(df: DataFrame, x: str, y: str, group: str, mask_outside: bool =
     expanded per group with ``posexplode`` -- no pairwise join."""
     axis = df.agg(F.array_sort(F.collect_set(x)).alias("_axis"))      # one row
     span = df.groupBy(group).agg(F.min(x).alias("_first"), F.max(x).alias("_last"))
-    grid = span.crossJoin(axis).select(group, "_first", "_last",
+    grid = span.crossJoin(F.broadcast(axis)).select(group, "_first", "_last",
                                        F.posexplode("_axis").alias("pos", x))
     j = grid.join(df.select(group, x, y), [group, x], "left")
     w = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -144,10 +144,13 @@ def recurring_parent_month(invoices: DataFrame, id_map: DataFrame, accounts: Dat
     gp = id_map.join(accounts, "account_id").select("guid", "parent_id")
     if not allow_fanout:
         gp = gp.distinct()
+    # pre-aggregate to (guid, month) before the join: a guid with a large
+    # share of the invoices reaches the join as one row per month
     inv = (invoices.filter(F.col("recurring") & (month_start("check_date") >= F.lit(start).cast("date")))
-                   .select("guid", month_start("check_date").alias("month"), "total"))
+                   .groupBy("guid", month_start("check_date").alias("month"))
+                   .agg(F.sum(F.col("total") * 12).alias("arr")))
     return (inv.join(gp, "guid").groupBy("parent_id", "month")
-               .agg(F.round(F.sum(F.col("total") * 12), 2).alias("ec_saas_arr")))
+               .agg(F.round(F.sum("arr"), 2).alias("ec_saas_arr")))
 
 
 # =====================================================================
