@@ -235,7 +235,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     1. (group, value) histogram -- hash aggregation with map-side combine;
     2. range-partition the histogram by (group, value): partition ids are
        ordered, and each partition is balanced by the sampled bounds;
-    3. running counts inside each range partition;
+    3. running counts per (range partition, group);
     4. per (partition, group) totals -> offsets of earlier partitions (a
        window per group over at most ``P`` rows);
     5. global rank interval [lo, hi) of every distinct value, then the
@@ -247,17 +247,16 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
            .agg(F.count(F.lit(1)).alias("_c")))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = h.repartitionByRange(parts, *key, "_v").withColumn("_b", F.spark_partition_id())
-    local = Window.partitionBy("_b").orderBy(*key, "_v").rowsBetween(Window.unboundedPreceding, 0)
+    # running count per (range partition, group): chunks are bounded by the
+    # balanced range partitions; totals and the join back reuse the same
+    # (partition, group) clustering
+    local = Window.partitionBy("_b", *key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_lc", F.sum("_c").over(local))
     tot = h.groupBy("_b", *key).agg(F.sum("_c").alias("_bt"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumns({"_off": F.coalesce(F.sum("_bt").over(before), F.lit(0)),
                            "_n": F.sum("_bt").over(Window.partitionBy(*key))})
-    # running count inside the partition restarts per group: subtract the
-    # group's earlier rows of the same partition
-    first_in_b = Window.partitionBy("_b", *key)
-    h = h.withColumn("_gstart", F.min(F.col("_lc") - F.col("_c")).over(first_in_b))
-    hi = F.col("_off") + F.col("_lc") - F.col("_gstart")
+    hi = F.col("_off") + F.col("_lc")
     h = (h.join(tot.select("_b", *key, "_off", "_n"), ["_b", *key])
           .withColumns({"_hi": hi, "_lo": hi - F.col("_c")}))   # ranks [_lo, _hi) hold _v (0-based)
     aggs = []
