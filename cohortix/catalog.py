@@ -269,8 +269,7 @@ def m31(spark, d):
 
 @register("m32_single_module_uplift")
 def m32(spark, d):
-    return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, BUNDLE_QUARTERS,
-                                min_n=0, with_p=False)
+    return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, None, min_n=0, with_p=False)
 
 
 # ------------------------------------------------------- location-month chain

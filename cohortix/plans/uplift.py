@@ -115,15 +115,17 @@ def _finish(s: DataFrame, keys: list[str], with_p: bool) -> DataFrame:
     return s.select(*cols)
 
 
-def bundle_uplift(panel: DataFrame, flags: dict[str, str], quarters: list[str],
+def bundle_uplift(panel: DataFrame, flags: dict[str, str], quarters: list[str] | None,
                   growth: str = "gmv_pd_growth_pct", band: tuple[float, float] = (-50.0, 200.0),
                   min_n: int = 500, with_p: bool = True) -> DataFrame:
     """Stable-bundle label (modules held both now and a year ago,
     joined with '+'); bundles with more than ``min_n`` customers plus 'All';
     customers in the bundle ('Had') vs customers holding none of the studied
     modules ('Didnt Have'), per quarter and bundle."""
-    p = (panel.filter((F.col(growth) > band[0]) & (F.col(growth) < band[1]) &
-                      F.col("quarter").isin(*[F.lit(q).cast("date") for q in quarters]))
+    keep = (F.col(growth) > band[0]) & (F.col(growth) < band[1])
+    if quarters is not None:     # None: every quarter of the panel
+        keep = keep & F.col("quarter").isin(*[F.lit(q).cast("date") for q in quarters])
+    p = (panel.filter(keep)
               .select("customer_id", "quarter", F.col(growth).alias("growth"),
                       *{c for v in flags.values() for c in (v, f"{v}_ly")}))
     stable = {name: (F.col(c) > 0) & (F.col(f"{c}_ly") > 0) for name, c in flags.items()}
