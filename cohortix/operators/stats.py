@@ -245,7 +245,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     key = list(group)
     h = (df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    parts = int(conf) if str(conf).isdigit() else 200
     h = h.repartitionByRange(parts, *key, "_v").withColumn("_b", F.spark_partition_id())
     # running count per (range partition, group): chunks are bounded by the
     # balanced range partitions; totals and the join back reuse the same
