@@ -749,3 +749,14 @@ def srt2(spark, d):
     type and tier)."""
     h = m38(spark, d)
     return top_k(h, [F.col("potential_arpu_impact").desc_nulls_last(), "full_type", "gpv_tier"], 5)
+
+
+@register("m43_cohort_drivers_grandparent")
+def m43g(spark, d):
+    """Cohort drivers rolled up one more level (location -> parent ->
+    grandparent): stocks and flows per region and day."""
+    t = _t(spark, d)
+    c = fx.customers(t).withColumn("account_id", F.col("grandparent_id").cast("long"))
+    g = cohort.cohort_drivers(fx.daily(t), c, "1995-01-01", "2001-07-31", NON_PREVENTABLE)
+    return g.select("dt", "account_id", "location_count",
+                    *[F.round(c_, 2).alias(c_) for c_ in ["live_saas_arr"] + cohort.FLOWS])
