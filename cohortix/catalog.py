@@ -10,9 +10,19 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from .functions.dates import month_start
+from .operators import stats
+from .operators.joins import hierarchy
+from .operators.windows import top_k
+from .plans import arpu, attach, care, churn, cohort, series, uplift
+from .plans import modules as mods
+from .plans import reporting as rep
 from .plans import subscription as sub
+from .plans import tickets as tk
 from .sources import fixtures as fx
+from .sources.query import coerce_types, query_to_table
 from .sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,10 +87,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ churn / cohort
-from pyspark.sql import functions as F  # noqa: E402
 
-from .functions.dates import month_start  # noqa: E402
-from .plans import care, churn, cohort  # noqa: E402
 
 PROCESSOR_VENDORS = {"urgent": "1-URGENT", "high": "2-HIGH"}
 NON_PREVENTABLE = ("AUTOMOBILE", "MACHINERY")
@@ -152,7 +159,6 @@ def m52(spark, d):
 
 
 # ------------------------------------------------------------ modules/uplift
-from .plans import modules as mods, uplift  # noqa: E402
 
 # Fixed binding values: module columns <- p_type; 'standard' is the core
 # product (not counted); guest modules; payments-tx priority; payroll status.
@@ -411,8 +417,6 @@ def m13(spark, d):
 
 
 # ------------------------------------------------------------------ reporting
-from .operators.stats import exact_quantiles  # noqa: E402,F401
-from .plans import arpu, reporting as rep  # noqa: E402
 
 KEY_MEASURES = {"live_payments_arr": "payments_arr", "live_saas_arr": "pos_saas_arr",
                 "live_ec_arr": "ec_saas_arr", "live_arr": "live_arr"}
@@ -563,9 +567,6 @@ def m39(spark, d):
 
 
 # ------------------------------------------------------------------ attach
-from .plans import attach, series, tickets as tk  # noqa: E402
-from .operators import stats  # noqa: E402
-from .sources.query import coerce_types  # noqa: E402
 
 # Fixed binding values: won = not 'P'; new business = priorities 1-3;
 # module families by part type; acquisition dates of the two families.
@@ -708,9 +709,6 @@ def src2(spark, d):
 
 
 # --------------------------------------------- SQL path, hierarchy, top-k
-from .operators.joins import hierarchy  # noqa: E402
-from .operators.windows import top_k  # noqa: E402
-from .sources.query import query_to_table  # noqa: E402
 
 CHURN_SQL = """
 SELECT month,
