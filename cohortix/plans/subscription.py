@@ -361,14 +361,16 @@ def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str) -> Da
         F.count_if(s.isin(9, 10)).alias("promoters"),
         F.count_if(s.between(0, 6)).alias("detractors"),
         F.count(s).alias("surveys")])
-    pay = safe_div("payments_arr", "locations")
-    saas = safe_div(F.col("pos_saas") + F.col("ec_saas"), F.col("locations"))
+    # ARPUs divide the rounded (cent) sums: both inputs are exact decimals,
+    # and IEEE division then gives the same double on any engine, without a
+    # second rounding whose ties (sums / 8 end in ...5) would be ambiguous
+    rp, rs, re_ = F.round("payments_arr", 2), F.round("pos_saas", 2), F.round("ec_saas", 2)
+    pay = F.try_divide(rp, F.col("locations"))
+    saas = F.try_divide(rs + re_, F.col("locations"))
     return g.select(
-        "month", "line", "locations", F.round("payments_arr", 2).alias("payments_arr"),
-        F.round("pos_saas", 2).alias("pos_saas"), F.round("ec_saas", 2).alias("ec_saas"),
-        F.round(safe_div((F.col("promoters") - F.col("detractors")) * 100, F.col("surveys")), 6).alias("nps"),
-        "surveys", F.round(pay, 4).alias("payments_arpu"), F.round(saas, 4).alias("saas_arpu"),
-        F.round(pay + saas, 4).alias("total_arpu"))
+        "month", "line", "locations", rp.alias("payments_arr"), rs.alias("pos_saas"), re_.alias("ec_saas"),
+        F.try_divide((F.col("promoters") - F.col("detractors")) * 100, F.col("surveys")).alias("nps"),
+        "surveys", pay.alias("payments_arpu"), saas.alias("saas_arpu"), (pay + saas).alias("total_arpu"))
 
 
 # =====================================================================
