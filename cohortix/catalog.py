@@ -499,8 +499,7 @@ def _m33(t):
 def m33(spark, d):
     m = _m33(_t(spark, d))
     return m.select("customer_id", "month", "service_group", "close_month", "close_quarter", "foq",
-                    F.round("gpv", 2).alias("gpv"), F.round("gpv_last_n_months", 2).alias("gpv_last_n_months"),
-                    "last_months", F.round("annualized_gpv", 2).alias("annualized_gpv"),
+                    F.round("gpv", 2).alias("gpv"), "gpv_last_n_months", "last_months", "annualized_gpv",
                     F.round("live_arr", 2).alias("live_arr"))
 
 
@@ -541,8 +540,7 @@ def _m37(t):
 @register("m37_tiers")
 def m37(spark, d):
     m = _m37(_t(spark, d))
-    return m.select("customer_id", "month", F.round("annualized_gpv", 2).alias("annualized_gpv"),
-                    "gpv_tier", "gpv_tier_rank", F.round("margin_bps", 4).alias("margin_bps"), "bps_tier",
+    return m.select("customer_id", "month", "annualized_gpv", "gpv_tier", "gpv_tier_rank", F.round("margin_bps", 4).alias("margin_bps"), "bps_tier",
                     "bps_tier_rank")
 
 

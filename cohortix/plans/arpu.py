@@ -22,8 +22,11 @@ def trailing_volume(book: DataFrame, n: int = 12) -> DataFrame:
     book: customer_id, month, fod, gpv, ... (one row per live month)."""
     w = Window.partitionBy("customer_id").orderBy("month").rowsBetween(-(n - 1), 0)
     after = F.col("fod") < F.col("month")
-    b = (book.withColumn("gpv_last_n_months", F.sum(F.when(after, F.col("gpv")).otherwise(0.0)).over(w))
-             .withColumn("last_months", F.count(F.when(after, F.col("month"))).over(w)))
+    # the trailing sum is kept in cents; the annualised value divides that
+    # exact amount (no second rounding: sum / 8 * 12 can end in a 5)
+    b = book.withColumns({
+        "gpv_last_n_months": F.round(F.sum(F.when(after, F.col("gpv")).otherwise(0.0)).over(w), 2),
+        "last_months": F.count(F.when(after, F.col("month"))).over(w)})
     return b.withColumn("annualized_gpv", div0("gpv_last_n_months", "last_months") * 12)
 
 
