@@ -389,9 +389,14 @@ def _prorated(t):
 @register("m10_location_month_prorated")
 def m10(spark, d):
     p = _prorated(_t(spark, d))
-    return _round_money(p, ["customer_id", "parent_id", "month", "live_count", "live_count_12",
-                            "live_locations", "live_locations_12", "ec_saas_arr", "ec_saas_arr_12",
-                            "pos_live_saas_arr_full_month", "pos_live_saas_arr_full_month_12", "quarter"])
+    # the prorated EC ARR is a cent amount divided by a location count: the
+    # same double on any engine, so it is returned as computed (rounding it
+    # again could land on a ...5 tie)
+    return p.select("customer_id", "parent_id", "month", "live_count", "live_count_12", "live_locations",
+                    "live_locations_12", "ec_saas_arr", "ec_saas_arr_12",
+                    F.round("pos_live_saas_arr_full_month", 2).alias("pos_live_saas_arr_full_month"),
+                    F.round("pos_live_saas_arr_full_month_12", 2).alias("pos_live_saas_arr_full_month_12"),
+                    "quarter")
 
 
 @register("m11_arpu_by_line")
