@@ -611,17 +611,11 @@ def _features(t, with_devices=True):
     cust = fx.customers(t)
     pop = tk.population(cust, TICKET_AT)
     lines = fx.module_lines(t).withColumn("module", F.lower("module"))
-    at, end = F.lit(TICKET_AT).cast("date"), F.lit(TICKET_END).cast("date")
-    # one pass over the line items of both windows: module held before the
-    # start date (180 days) and/or during the period
-    per = (lines.filter((F.col("dt") >= F.date_sub(at, 180)) & (F.col("dt") < end))
-                .groupBy("customer_id", "module")
-                .agg(F.bool_or(F.col("dt") < at).alias("in_start"), F.bool_or(F.col("dt") >= at).alias("in_end")))
-    start_mods = (per.filter("in_start").groupBy("customer_id")
-                     .agg(F.count(F.lit(1)).alias("start_mods")))
-    end_mods = per.filter("in_end").select("customer_id", "module", F.lit(1).alias("is_activated"))
+    # one pass over the line items of both windows (start modules and the
+    # module flags of the period come from the same aggregation)
+    state = tk.module_state(lines, TICKET_AT, TICKET_END, TICKET_MODULES)
     dev = fx.devices(t, EVENT_START, EVENT_MID, EVENT_END) if with_devices else None
-    return tk.ticket_features(pop, fx.tickets(t, EVENT_START, EVENT_END), start_mods, end_mods,
+    return tk.ticket_features(pop, fx.tickets(t, EVENT_START, EVENT_END), state, None,
                               TICKET_MODULES, dev, THIRD_PARTY, 0)
 
 

@@ -20,21 +20,38 @@ def population(customers: DataFrame, at: str, young_days: int = 90) -> DataFrame
                     F.when(start_age <= young_days, "Less than 3 Months").otherwise("3+ Months").alias("age_bucket"))
 
 
-def ticket_features(pop: DataFrame, tickets: DataFrame, start_mods: DataFrame, end_mods: DataFrame,
+def module_state(lines: DataFrame, at: str, end: str, modules: list[str], lookback_days: int = 180) -> DataFrame:
+    """customer_id, start_mods (distinct modules in the ``lookback_days``
+    before ``at``) and one 0/1 column per module held in [at, end) -- the
+    long-to-wide step as one conditional aggregation over the fixed module
+    list, from a single pass over the line items.
+    lines: customer_id, dt, module."""
+    a, e = F.lit(at).cast("date"), F.lit(end).cast("date")
+    per = (lines.filter((F.col("dt") >= F.date_sub(a, lookback_days)) & (F.col("dt") < e))
+                .groupBy("customer_id", "module")
+                .agg(F.bool_or(F.col("dt") < a).alias("in_start"), F.bool_or(F.col("dt") >= a).alias("in_end")))
+    return per.groupBy("customer_id").agg(
+        F.count_if("in_start").alias("start_mods"),
+        *[F.max(F.when((F.col("module") == m) & F.col("in_end"), 1)).alias(m) for m in modules])
+
+
+def ticket_features(pop: DataFrame, tickets: DataFrame, start_mods: DataFrame, end_mods: DataFrame | None,
                     modules: list[str], devices: DataFrame | None = None,
                     third_party: list[str] | None = None, third_party_min: int = 0) -> DataFrame:
     """Wide feature table: one row per account of ``pop``.
 
     tickets: customer_id, ticket_count; start_mods: customer_id,
-    start_mods; end_mods: customer_id, module, is_activated (long form,
-    pivoted over the fixed ``modules`` list); devices: customer_id, period
+    start_mods (and, when ``end_mods`` is None, the module columns as made
+    by :func:`module_state`); end_mods: customer_id, module, is_activated
+    (long form, pivoted over the fixed ``modules`` list); devices: customer_id, period
     (1 = start, 2 = end), devices -- the end count is the next period's
     value (lead), as in the source query.  Nulls become 0 after the pivot.
     """
-    wide = (end_mods.groupBy("customer_id").pivot("module", modules)
-                    .agg(F.max("is_activated")))
-    j = (pop.join(tickets, "customer_id", "left").join(start_mods, "customer_id", "left")
-            .join(wide, "customer_id", "left"))
+    j = pop.join(tickets, "customer_id", "left").join(start_mods, "customer_id", "left")
+    if end_mods is not None:
+        wide = (end_mods.groupBy("customer_id").pivot("module", modules)
+                        .agg(F.max("is_activated")))
+        j = j.join(wide, "customer_id", "left")
     if devices is not None:
         w = Window.partitionBy("customer_id").orderBy("period")
         dv = (devices.withColumn("end_devices", F.lead("devices").over(w))
