@@ -87,3 +87,15 @@ def test_align_and_resample(spark):
     ys = xs ** 3 - 2 * xs
     assert np.allclose(spline_eval(xs, ys, np.array([0.5, 2.5, 3.7])), np.array([0.5, 2.5, 3.7]) ** 3
                        - 2 * np.array([0.5, 2.5, 3.7]))
+
+
+def test_module_state_windows(spark):
+    from cohortix.plans.tickets import module_state
+    rows = [(1, d(1998, 12, 1), "promo"), (1, d(1999, 2, 1), "promo"), (1, d(1999, 3, 1), "small"),
+            (2, d(1998, 1, 1), "promo"), (2, d(1999, 8, 1), "small"), (3, d(1998, 10, 1), "large")]
+    lines = spark.createDataFrame(rows, "customer_id int, dt date, module string")
+    got = {r.customer_id: r for r in module_state(lines, "1999-01-01", "1999-07-01",
+                                                  ["promo", "small", "large"]).collect()}
+    assert got[1].start_mods == 1 and got[1].promo == 1 and got[1].small == 1 and got[1].large is None
+    assert 2 not in got                      # both rows outside the windows
+    assert got[3].start_mods == 1 and got[3].large is None
