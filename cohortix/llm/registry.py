@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import grace_dedup, packing, token_files
+from . import grace_dedup, packing, piece_codec, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,13 @@ def op5(spark, sf_dir):
 @register("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf_dir):
+    return piece_codec.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op10_token_counts")
+def op10(spark, sf_dir):
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
