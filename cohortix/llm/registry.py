@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import grace_dedup, packing, piece_codec, token_counts, token_files
+from . import grace_dedup, language_id, packing, piece_codec, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op5(spark, sf_dir):
     return grace_dedup.dedup_decisions(_read(spark, sf_dir, "documents"))
 
 
+@register("op8_language_id")
+def op8(spark, sf_dir):
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
 @register("op9_packing")
 def op9(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
