@@ -18,6 +18,8 @@ BREAK = "\x00"
 def as_large(texts) -> pa.Array:
     """A batch column as large strings, null as empty."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    if arr.offset:      # a slice: some kernels look at the whole buffers
+        arr = arr.take(pa.array(np.arange(len(arr))))
     return pc.fill_null(arr.cast(pa.large_string()), "")
 
 
