@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import grace_dedup, language_id, packing, piece_codec, token_counts, token_files
+from . import grace_dedup, language_id, ngram_join, packing, piece_codec, token_counts, token_files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,6 +25,11 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@register("op1_ngram_join")
+def op1(spark, sf_dir):
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
+
+
 @register("op2_token_files")
 def op2(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")

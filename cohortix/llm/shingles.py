@@ -86,12 +86,11 @@ def shingle_sets(texts, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return total[upto], hashes[keep]
 
 
-def set_keys(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys per set; equal sets have equal keys."""
+def set_keys(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key per set; equal sets have equal keys."""
     n = np.diff(offsets)
-    a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    key = np.zeros(len(n), np.uint64)
     some = n > 0
     if some.any():
-        a[some] = np.add.reduceat(mix(hashes + np.uint64(1)), offsets[:-1][some])
-        b[some] = np.add.reduceat(mix(hashes ^ _POWER) * _MULT[1], offsets[:-1][some])
-    return mix(a).view(np.int64), mix(b).view(np.int64)
+        key[some] = np.add.reduceat(mix(hashes + _POWER), offsets[:-1][some])
+    return mix(key + n.astype(np.uint64)).view(np.int64)
