@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import grace_dedup, language_id, ngram_join, packing, piece_codec, token_counts, token_files
+from . import grace_dedup, language_id, ngram_join, packing, piece_codec, token_counts, token_files, url_filter
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +45,15 @@ def op5(spark, sf_dir):
     return grace_dedup.dedup_decisions(_read(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@register("op7_url_filter")
+def op7(spark, sf_dir):
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 @register("op8_language_id")
 def op8(spark, sf_dir):
     return language_id.identify(_read(spark, sf_dir, "documents"))
