@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import grace_dedup, language_id, ngram_join, packing, piece_codec, token_counts, token_files, url_filter
+from . import (
+    grace_dedup,
+    html_extract,
+    language_id,
+    ngram_join,
+    packing,
+    piece_codec,
+    token_counts,
+    token_files,
+    url_filter,
+)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +55,11 @@ def op5(spark, sf_dir):
     return grace_dedup.dedup_decisions(_read(spark, sf_dir, "documents"))
 
 
+@register("op6_html_extract")
+def op6(spark, sf_dir):
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
