@@ -11,6 +11,7 @@ from . import (
     ngram_join,
     packing,
     piece_codec,
+    pivot_search,
     token_counts,
     token_files,
     url_filter,
@@ -47,6 +48,16 @@ def op2(spark, sf_dir):
     return token_files.read_token_files(spark, folder, manifest)
 
 
+@register("op3_pivot_search")
+def op3(spark, sf_dir):
+    return pivot_search.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf_dir):
+    return piece_codec.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op5_exact_dedup", f"""
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
@@ -79,11 +90,6 @@ def op9(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-@register("op4_sentencepiece")
-def op4(spark, sf_dir):
-    return piece_codec.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-
-
 @register("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

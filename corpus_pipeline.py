@@ -9,21 +9,31 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cohortix.llm import grace_dedup, packing
+from cohortix.llm import grace_dedup, language_id, ngram_join, packing
 from cohortix.llm._util import scratch
 
 
+def language(spark, docs, sf_dir):
+    """Documents whose language is recognised; text without a letter goes."""
+    return language_id.with_language(docs)
+
+
 def exact_dedup(spark, docs, sf_dir):
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
     return grace_dedup.dedup(docs)
 
 
+def near_dedup(spark, docs, sf_dir):
+    """One document of each component of linked documents (five words, 0.8)."""
+    return ngram_join.one_per_component(docs)
+
+
 def pack(spark, docs, sf_dir):
     """Sequences of at most 4096 tokens, one row per piece."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("pack", pack)]
+STAGES = [("language_id", language), ("exact_dedup", exact_dedup), ("ngram_join", near_dedup), ("packing", pack)]
 
 ORACLE_SQL = None
 
