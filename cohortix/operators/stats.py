@@ -225,6 +225,9 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
 
 
 # ----------------------------------------------------------- exact quantiles
+BUCKETS = 4096      # value ranges per group that exact_quantiles counts apart
+
+
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
                     method: str = "linear") -> DataFrame:
     """Exact quantiles per group: 'linear' (numpy default) or 'midpoint'
@@ -233,11 +236,14 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
 
     Distributed rank, no single-task sort even for one global group:
     1. (group, value) histogram -- hash aggregation with map-side combine;
-    2. range-partition the histogram by (group, value): partition ids are
-       ordered, and each partition is balanced by the sampled bounds;
-    3. running counts per (range partition, group);
-    4. per (partition, group) totals -> offsets of earlier partitions (a
-       window per group over at most ``P`` rows);
+    2. bucket of each value: its place between the group's smallest and
+       largest value, cut into ``BUCKETS``.  A rounded subtraction, division
+       and product keep the order, and the bounds are exact aggregates, so the
+       bucket is the same however often the plan is evaluated (with a cached
+       input, without exchange reuse, after a lost executor);
+    3. running counts per (group, bucket);
+    4. per (group, bucket) totals -> offsets of earlier buckets (a window per
+       group over at most ``BUCKETS`` rows);
     5. global rank interval [lo, hi) of every distinct value, then the
        values at the two ranks around ``(n - 1) p``.
     """
@@ -245,21 +251,28 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     key = list(group)
     h = (df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
-    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    parts = int(conf) if str(conf).isdigit() else 200
-    h = h.repartitionByRange(parts, *key, "_v").withColumn("_b", F.spark_partition_id())
-    # running count per (range partition, group): chunks are bounded by the
-    # balanced range partitions; totals and the join back reuse the same
-    # (partition, group) clustering
-    local = Window.partitionBy("_b", *key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = h.groupBy(*key).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}"))
+    width = F.col("_max") - F.col("_min")
+    place = F.floor((F.col("_v").cast("double") - F.col("_min")) / width * BUCKETS)
+    h = h.alias("h").join(ends.alias("e"), same).select(
+        *[F.col(f"h.{k}").alias(k) for k in key], "_v", "_c",
+        F.when((width > 0) & (width < float("inf")), place).otherwise(0).cast("int").alias("_b"))
+    local = Window.partitionBy(*key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_lc", F.sum("_c").over(local))
-    tot = h.groupBy("_b", *key).agg(F.sum("_c").alias("_bt"))
+    tot = h.groupBy(*key, "_b").agg(F.sum("_c").alias("_bt"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumns({"_off": F.coalesce(F.sum("_bt").over(before), F.lit(0)),
                            "_n": F.sum("_bt").over(Window.partitionBy(*key))})
+    same = F.col("h._b") == F.col("t._b")
+    for k in key:
+        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}"))
     hi = F.col("_off") + F.col("_lc")
-    h = (h.join(tot.select("_b", *key, "_off", "_n"), ["_b", *key])
-          .withColumns({"_hi": hi, "_lo": hi - F.col("_c")}))   # ranks [_lo, _hi) hold _v (0-based)
+    h = (h.alias("h").join(tot.alias("t"), same)
+          .select(*[F.col(f"h.{k}").alias(k) for k in key], "_v", "_n",
+                  hi.alias("_hi"), (hi - F.col("_c")).alias("_lo")))   # ranks [_lo, _hi) hold _v (0-based)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortix.operators.aggregates import conditional_distinct, value_counts, with_total
@@ -86,8 +87,27 @@ def test_exact_quantiles_match_numpy(spark):
     assert abs(q.p95 - np.percentile(vals, 95)) < 1e-9
     m = exact_quantiles(df, ["g"], "v", {"q1": 0.25}, method="midpoint").first()
     assert abs(m.q1 - np.percentile(vals, 25, method="midpoint")) < 1e-9
-    flags = iqr_flags(df, "v").filter("is_upper_outlier or is_lower_outlier").count()
-    assert flags >= 0
+    q1, q3 = (np.percentile(vals, p, method="midpoint") for p in (25, 75))
+    out = ((vals >= q3 + 0.2 * (q3 - q1)) | (vals <= q1 - 0.2 * (q3 - q1))).sum()
+    assert iqr_flags(df, "v", k=0.2).filter("is_upper_outlier or is_lower_outlier").count() == out > 0
+
+
+@pytest.mark.parametrize("conf", [{"spark.sql.exchange.reuse": "false"}, {"spark.sql.adaptive.enabled": "false"}, {}])
+def test_exact_quantiles_do_not_depend_on_plan_reuse(spark, conf):
+    before = {k: spark.conf.get(k) for k in conf}
+    df = spark.range(200_000).select(F.lit(1).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(10 ** 6)) / 7.0).alias("v"))
+    df = df.unionByName(df.select("g", (F.col("v") * 1e6).alias("v")).limit(1000)).repartition(7).cache()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        vals = np.array([r.v for r in df.select("v").collect()])
+        got = exact_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.95}).first()
+        for name, p in (("a", 25), ("b", 50), ("c", 95)):
+            assert got[name] == pytest.approx(np.percentile(vals, p), rel=1e-12)
+    finally:
+        df.unpersist()
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_t_distribution_tail():
