@@ -18,7 +18,7 @@ import struct
 import numpy as np
 
 MAGIC, VERSION, CHUNK_BITS, RANK_BLOCK = b"DACT", 1, 8, 512
-_HEAD = struct.Struct("<4sHHQQ")
+_HEAD = "<4sHHQQ"
 
 
 def encode(doc_ids: list, offsets: np.ndarray, ids: np.ndarray) -> bytes:
@@ -35,7 +35,7 @@ def encode(doc_ids: list, offsets: np.ndarray, ids: np.ndarray) -> bytes:
         if not more.any():
             break
         rest = rest[more] >> CHUNK_BITS
-    out = [_HEAD.pack(MAGIC, VERSION, len(levels), len(doc_ids), len(ids)),
+    out = [struct.pack(_HEAD, MAGIC, VERSION, len(levels), len(doc_ids), len(ids)),
            np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
            np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
            np.asarray(offsets, "<u8").tobytes()]
@@ -48,10 +48,10 @@ class Reader:
     """Random access to the ids of one file."""
 
     def __init__(self, data: bytes):
-        magic, version, n_levels, n_docs, self.n_tokens = _HEAD.unpack_from(data, 0)
+        magic, version, n_levels, n_docs, self.n_tokens = struct.unpack_from(_HEAD, data, 0)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file")
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
 
         def take(dtype, n):
             nonlocal at

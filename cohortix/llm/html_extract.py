@@ -22,7 +22,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import html as _html
 import math
 import re
@@ -31,7 +30,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import with_columns_of
+from ._util import with_columns_of, worker_cache
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
@@ -63,7 +62,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN, AWAY, HOME = "hidden", "away", "home"
 
 
-@functools.lru_cache(maxsize=20_000)
+def kind_of(tag: str, attributes: str) -> str | None:
+    """``container_kind``, remembered by the worker (the memory is bounded)."""
+    cache = worker_cache().setdefault("html-containers", {})
+    if (tag, attributes) not in cache:
+        if len(cache) >= 20_000:
+            cache.clear()
+        cache[tag, attributes] = container_kind(tag, attributes)
+    return cache[tag, attributes]
+
+
 def container_kind(tag: str, attributes: str) -> str | None:
     """What an element says about its content, by tag, role, class and id."""
     if tag == "head":
@@ -155,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] not in INLINE and not (stack[k][0] == "p" and "p" in ends):
                 break
         top, number = stack[-1], number + 1
-        kind = container_kind(tag, m[4] or m[7] or "")
+        kind = kind_of(tag, m[4] or m[7] or "")
         home, away, hidden, head, region = top[2], top[3], top[4], top[5], top[6]
         if kind == HIDDEN:
             hidden = True
@@ -286,7 +294,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        from cohortix.llm.html_extract import extract_text
         for b in it:
             texts = [extract_text(h) for h in b["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from ._util import discard, with_columns_of, written
 from .graph import connected_components
+from .shingles import set_keys, shingle_sets
 
 FRAGMENT_BYTES = 8 << 20
 CUTS = 4
@@ -95,7 +96,6 @@ def _blocks(docs: DataFrame, size: int, limit: int, fragments: int, width: int)
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        from cohortix.llm.shingles import set_keys, shingle_sets
         part = TaskContext.get().partitionId()
         names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
         types = [pa.int32()] * 4 + [pa.binary()] * 9
@@ -189,7 +189,6 @@ def _live_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        from cohortix.llm.shingles import set_keys, shingle_sets
         for b in it:
             offsets, hashes = shingle_sets(b["text"], size)
             k1 = set_keys(offsets, hashes)

@@ -21,10 +21,14 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import with_columns_of
+from ._util import with_columns_of, worker_cache
+from .piece_model import BPE, BYTE, CONTROL, MARK, NORMAL, UNIGRAM, UNKNOWN, USER_DEFINED, Cutter, parse
+from .segments import BREAK, RaggedCache, as_large, factorize, gather, spans
 
 CODEC_SCHEMA = ("doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_chars bigint, round_trip boolean, "
                 "ids array<int>, decoded string")
@@ -32,7 +36,6 @@ CODEC_SCHEMA = ("doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_chars
 
 def implied_merges(proto) -> list[tuple[str, str]]:
     """All splits of a piece into two pieces, best score first."""
-    from .piece_model import NORMAL, USER_DEFINED
     score = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER_DEFINED)}
     rank = {p.piece: i for i, p in enumerate(proto.pieces)}
     found = [(-s, rank[piece[:k]], rank[piece[k:]], piece[:k], piece[k:]) for piece, s in score.items()
@@ -43,8 +46,6 @@ def implied_merges(proto) -> list[tuple[str, str]]:
 def build(proto, prefix: bool | None = None):
     """A tokenizers pipeline with the ids of the SentencePiece model."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
-
-    from .piece_model import BPE, MARK, UNIGRAM
     norm, trainer = proto.normalizer_spec, proto.trainer_spec
     prefix = norm.add_dummy_prefix if prefix is None else prefix
     unk = proto.pieces[trainer.unk_id].piece
@@ -79,8 +80,6 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece as spm
 
-        from cohortix.llm.piece_model import BYTE, CONTROL, MARK, UNKNOWN, Cutter, parse
-        from cohortix.llm.segments import RaggedCache
         proto = parse(path)
         self.cutter = Cutter(proto)
         self.whole_lib = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
@@ -119,9 +118,6 @@ class Codec:
 
     def encode(self, texts):
         """Yield (first, last + 1, offsets, ids) in runs of bounded size."""
-        import pyarrow.compute as pc
-
-        from cohortix.llm.segments import BREAK, as_large, factorize, gather, spans
         cut, whole = self.cutter(texts)
         distinct, codes, offsets = factorize(pc.split_pattern(cut, BREAK))
         starts, lengths, flat = self.cache.lookup(distinct)
@@ -144,7 +140,6 @@ class Codec:
 
     def decode(self, upto: np.ndarray, ids: np.ndarray) -> list[str]:
         """Texts of documents whose ids lie between the offsets."""
-        from cohortix.llm.segments import gather
         raw = gather(ids, self.starts, self.lengths, self.bytes).tobytes()
         at = np.concatenate([[0], np.cumsum(self.lengths[ids])])[upto]
         drop = 1 if self.prefix else 0
@@ -159,10 +154,6 @@ def encode_decode(docs: DataFrame, model: str, threads: int = 2, with_ids: bool
     """Per document: doc_id, n_tokens, ids_crc32, decoded_chars, round_trip
     (the decoded text is the text); with ``with_ids`` also ids and decoded."""
     def run(it):
-        import pyarrow as pa
-
-        from cohortix.llm._util import worker_cache
-        from cohortix.llm.piece_codec import Codec
         cache = worker_cache()
         if ("codec", model) not in cache:
             cache["codec", model] = Codec(model, threads)

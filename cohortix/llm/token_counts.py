@@ -16,10 +16,14 @@ empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import with_columns_of
+from ._util import with_columns_of, worker_cache
+from .piece_model import NORMAL, Cutter, parse
+from .segments import BREAK, RaggedCache, as_large, factorize
 
 COUNT_SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
@@ -28,11 +32,8 @@ class Counter:
     """Token counts of batches of texts, as the library gives them."""
 
     def __init__(self, path: str):
-        import pyarrow as pa
         import sentencepiece as spm
 
-        from cohortix.llm.piece_model import NORMAL, Cutter, parse
-        from cohortix.llm.segments import RaggedCache
         proto = parse(path)
         self.cutter = Cutter(proto)
         self.library = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
@@ -48,10 +49,6 @@ class Counter:
         return n, np.zeros(0, np.uint16)
 
     def __call__(self, texts) -> np.ndarray:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        from cohortix.llm.segments import BREAK, as_large, factorize
         cut, whole = self.cutter(texts)
         distinct, codes, offsets = factorize(pc.split_pattern(cut, BREAK))
         counts = np.ones(len(distinct), np.int64)
@@ -67,11 +64,6 @@ class Counter:
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     def run(it):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        from cohortix.llm._util import worker_cache
-        from cohortix.llm.token_counts import Counter
         cache = worker_cache()
         if ("counter", model) not in cache:
             cache["counter", model] = Counter(model)

@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import scratch, with_columns_of, written
+from .dac import Reader
+from .dac import encode as encode_dac
+from .word_tokens import batch_ids
 
 MANIFEST_SCHEMA = "part int, seq int, file string, n_docs bigint, n_tokens bigint"
 READ_SCHEMA = "file string, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -47,9 +50,6 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, file_to
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        from cohortix.llm import dac
-        from cohortix.llm.word_tokens import batch_ids
-
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
         store, root = pafs.FileSystem.from_uri(folder)
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, file_to
             nonlocal doc_ids, lengths, chunks, held, seq
             name = f"part-{part:07d}-{seq:05d}-{attempt}.dac"
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64)
-            body = dac.encode(doc_ids, offsets, np.concatenate(chunks))
+            body = encode_dac(doc_ids, offsets, np.concatenate(chunks))
             store.create_dir(root, recursive=True)
             with store.open_output_stream(f"{root}/{name}") as f:
                 f.write(body)
@@ -110,11 +110,9 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     def read(it):
         import pyarrow as pa
-
-        from cohortix.llm import dac
         for b in it:
             for path, content in zip(b["path"].to_pylist(), b["content"]):
-                r = dac.Reader(content.as_buffer())
+                r = Reader(content.as_buffer())
                 ids = r.all().astype("<u4")
                 at = r.offsets
                 yield pa.RecordBatch.from_pydict({

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._util import worker_cache
 from .segments import RaggedCache, as_large, factorize, gather, spans
 
 SEPARATOR = "<|endoftext|>"
@@ -89,7 +90,6 @@ class WordEncoder:
 
 def encoder(path: str) -> RaggedCache:
     """The worker's cache for the vocabulary at ``path``."""
-    from cohortix.llm._util import worker_cache
     cache = worker_cache()
     key = ("words", path)
     if key not in cache:
