@@ -125,16 +125,32 @@ def m44(spark, d):
 
 
 # --------------------------------------------------------------------- care
+# Binding values of the two care reports.
+_ROLES = (("%senior tier 1%", "Senior Specialist"), ("%senior tier 2%", "Senior Expert"),
+          ("%tier 1%", "Specialist"), ("%tier 2%", "Expert"), ("%sme%", "SME"))
+OCCUPANCY_LABELS = care.Labels(
+    campaigns={"kitchen": "Kitchen", "hardware": "Hardware", "chat": "Chat", "network": "Networking", "payments": "Money",
+               "integrations": "Integrations", "enterprise": "Enterprise", "escalations": "Escalations"},
+    outsourced=("vendor a", "vendor b"), roles=_ROLES, ready=("Ready",), handle=("On Call", "After Call Work", "On Hold"),
+    other="No Campaign")
+ATTRITION_LABELS = care.Labels(
+    campaigns={"kitchen": "Kitchen", "hardware": "Hardware", "chat": "Chat", "network": "Networking", "payments": "Money",
+               "enterprise": "Enterprise"},
+    vendor="vendor b", vendor_campaigns={"integrations": "Integrations"}, outsourced=("vendor a", "vendor b"),
+    roles=_ROLES, ready=(), handle=(), excluded=("back office",))
+
+
 @register("m50_occupancy")
 def m50(spark, d):
     t = _t(spark, d)
-    return care.occupancy(fx.agent_state_log(t), fx.employee_daily(t), CARE_START, CARE_END)
+    return care.occupancy(fx.agent_state_log(t), fx.employee_daily(t), CARE_START, CARE_END, OCCUPANCY_LABELS)
 
 
 @register("m51_attrition")
 def m51(spark, d):
     t = _t(spark, d)
-    return care.attrition(fx.employee_daily(t), CARE_START, CARE_END, satx_end="2024-01-30")
+    return care.attrition(fx.employee_daily(t), CARE_START, CARE_END, ATTRITION_LABELS, office="south",
+                          office_end="2024-01-30")
 
 
 @register("m49_unmatched_identities")
@@ -145,15 +161,19 @@ def m49(spark, d):
                                   F.lit("list_a").alias("source"))
              .unionByName(t("supplier").select(as_of.alias("as_of"), F.col("s_name").alias("email"),
                                                F.lit("list_b").alias("source"))))
-    directory = t("customer").select(F.col("c_custkey").alias("username"), F.col("c_name").alias("email"))
-    return care.unmatched_identities(lists, directory)
+    # a user without an address (binding: a negative balance) is reported too
+    directory = t("customer").select(F.col("c_name").alias("username"),
+                                     F.when(F.col("c_acctbal") >= 0, F.lower("c_name")).alias("email"))
+    return care.unmatched_identities(lists, directory, "2001-01-01")
 
 
 @register("m52_managed_counts")
 def m52(spark, d):
     t = _t(spark, d)
     cust = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("segment"),
-                                F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"))
+                                F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"),
+                                (F.col("c_acctbal") > -500).alias("is_live"),
+                                (F.col("c_mktsegment") != "MACHINERY").alias("is_managed"))
     mgr = t("nation").select(F.col("n_nationkey").alias("manager_id"), F.col("n_name").alias("manager_name"))
     return care.managed_counts(cust, mgr)
 
@@ -573,8 +593,8 @@ def m39(spark, d):
 
 # Fixed binding values: won = not 'P'; new business = priorities 1-3;
 # module families by part type; acquisition dates of the two families.
-FAMILIES = {"sling": ["PROMO", "SMALL"], "xc": ["ECONOMY", "LARGE", "MEDIUM"]}
-ACQUIRED = {"sling": "1998-06-10", "xc": "1997-07-01"}
+FAMILIES = {"guest": ["PROMO", "SMALL"], "core": ["ECONOMY", "LARGE", "MEDIUM"]}
+ACQUIRED = {"guest": "1998-06-10", "core": "1997-07-01"}
 NEW_BUSINESS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 OPP_SINCE = "1996-07-01"
 

@@ -3,69 +3,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import div0
 from ..operators.aggregates import conditional_distinct
 from ..operators.joins import hour_split
 from ..sources.spines import hour_spine
 
-# Supervisory org -> campaign (occupancy report), in source order.
-OCCUPANCY_CAMPAIGNS = {
-    "Campaign A": "POS Kitchen", "Kitchen Ops": "POS Kitchen", "POS Kitchen": "POS Kitchen",
-    "Campaign B": "POS Hardware", "Campaign Hardware": "POS Hardware", "Hardware": "POS Hardware",
-    "POS Hardware": "POS Hardware",
-    "Campaign C": "POS Chat", "Chat": "POS Chat", "POS Chat": "POS Chat",
-    "Campaign D": "POS Networking", "Networking": "POS Networking",
-    "Networking & NOC": "POS Networking", "POS Networking": "POS Networking",
-    "Network Care": "POS Networking",
-    "Money": "POS Money", "POS Payments": "POS Money", "Payments": "POS Money",
-    "Integrations": "POS Integrations", "API Integrations": "POS Integrations",
-    "POS Integrations": "POS Integrations",
-    "Customer Care Escalations": "POS Escalations", "Escalations": "POS Escalations",
-    "Technical Escalations": "POS Escalations",
-    "Enterprise Support": "POS Enterprise Support", "Order Operations": "POS Order Ops",
-    "Subscription Services": "POS Subscription Services", "POS A Kitchen": "POS Kitchen",
-}
-# Supervisory org -> campaign (attrition report); two entries
-# only apply to the Ibex team; orgs matching '%Dublin%' map to Dublin.
-ATTRITION_CAMPAIGNS = {
-    "Campaign A": "POS Kitchen", "Kitchen Ops": "POS Kitchen", "POS Kitchen": "POS Kitchen",
-    "Campaign B": "POS Hardware", "Campaign Hardware": "POS Hardware", "Hardware": "POS Hardware",
-    "POS Hardware": "POS Hardware",
-    "Campaign C": "POS Chat", "Chat": "POS Chat", "POS Chat": "POS Chat",
-    "Campaign D": "POS Networking", "Networking": "POS Networking",
-    "Networking & NOC": "POS Networking", "POS Networking": "POS Networking",
-    "Network Care": "POS Networking",
-    "Money": "POS Money", "POS Payments": "POS Money", "Payments": "POS Money",
-    "Integrations": "POS Integrations",
-    "Enterprise Support": "POS Enterprise Support", "POS A Kitchen": "POS Kitchen",
-    "Customer Success, Guest Experience": "Guest Experience",
-}
-ATTRITION_IBEX_ONLY = {"API Integrations": "POS Integrations", "POS Integrations": "POS Integrations"}
-EXCLUDED_ORGS = ("Employee Cloud", "xtraCHEF")
-SITE_TEAMS = ("Sutherland", "Ibex")
-READY_STATES = ("Ready",)
-HANDLE_STATES = ("On Call", "After Call Work", "On Hold")
-# role patterns, first match wins
-ROLE_PATTERNS = [("%Senior Tier 1%", "Senior Specialist"), ("%Senior Tier 2%", "Senior Expert"),
-                 ("%tier 1%", "Specialist"), ("%tier 2%", "Expert"), ("%SME%", "SME")]
+@dataclass(frozen=True)
+class Labels:
+    """What a site calls its groups; every value is the caller's.
+
+    campaigns: org -> campaign; vendor_campaigns: the same, for one vendor's
+    team only (``vendor``); outsourced: teams reported under their own name;
+    roles: (pattern, label), first match wins; other: label of an unknown
+    campaign."""
+    campaigns: dict[str, str]
+    outsourced: tuple[str, ...]
+    roles: tuple[tuple[str, str], ...]
+    ready: tuple[str, ...]
+    handle: tuple[str, ...]
+    other: str = "Other"
+    vendor: str = ""
+    vendor_campaigns: dict[str, str] = field(default_factory=dict)
+    excluded: tuple[str, ...] = ()
 
 
 def _map(c, mapping):
+    if not mapping:
+        return F.lit(None).cast("string")
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.try_element_at(m, c)
 
 
-def role_label(c) -> "F.Column":
-    out = None
-    for pat, lab in ROLE_PATTERNS:
-        cond = c.ilike(pat)
-        out = F.when(cond, F.lit(lab)) if out is None else out.when(cond, F.lit(lab))
-    return out.otherwise(F.lit("Other"))
+def role_label(c: Column, roles) -> Column:
+    out = F.lit("Other")
+    for pattern, label in reversed(roles):
+        out = F.when(c.ilike(pattern), F.lit(label)).otherwise(out)
+    return out
+
 
+def _campaign(org: Column, team: Column, labels: Labels) -> Column:
+    return F.coalesce(_map(org, labels.campaigns),
+                      F.when(team == labels.vendor, _map(org, labels.vendor_campaigns)), F.lit(labels.other))
 
-def occupancy(states: DataFrame, employees: DataFrame, start: str, end: str) -> DataFrame:
+
+def occupancy(states: DataFrame, employees: DataFrame, start: str, end: str, labels: Labels) -> DataFrame:
     """Ready and handle seconds per clock hour x campaign x site x role.
 
     states: email, start_ts, state, seconds.  employees: email (lower case),
@@ -76,26 +61,28 @@ def occupancy(states: DataFrame, employees: DataFrame, start: str, end: str) ->
     hours = hour_spine(spark, start, end, "hour")
     lo = F.to_timestamp_ntz(F.lit(start))
     hi = F.to_timestamp_ntz(F.lit(end)) + F.expr("INTERVAL 23 HOURS")
-    pieces = (hour_split(states, "start_ts", "seconds", "hour", "time_in_hour")
+    # an interval that ends before the range or starts after it has no hour in
+    # it; the start bound reaches the scan
+    near = states.filter((F.col("start_ts") < hi + F.expr("INTERVAL 1 HOUR")) & (
+        F.col("start_ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("seconds").cast("decimal(18,6)")) >= lo))
+    pieces = (hour_split(near, "start_ts", "seconds", "hour", "time_in_hour")
               .filter(F.col("hour").between(lo, hi))
               .withColumn("email_key", F.lower("email"))
               .withColumn("employee_date", F.to_date("hour")))
     emp = employees.select(F.col("email").alias("email_key"), "employee_date", "supervisory_org",
                            "team", "high_level_role")
     j = pieces.join(emp, ["email_key", "employee_date"], "left")
-    org = F.when(F.col("supervisory_org") == "Inside Sales Managers", F.lit("Inside")) \
-        .otherwise(F.col("supervisory_org"))
-    campaign = F.coalesce(_map(org, OCCUPANCY_CAMPAIGNS), F.lit("Non POS Campaign"))
-    site = (F.when(F.col("team").isin(*SITE_TEAMS), F.col("team"))
+    campaign = _campaign(F.col("supervisory_org"), F.col("team"), labels)
+    site = (F.when(F.col("team").isin(*labels.outsourced), F.col("team"))
              .when(F.col("team").isNotNull(), F.lit("Internal")).otherwise(F.lit("Other")))
     agg = j.groupBy("hour", campaign.alias("campaign"), site.alias("site"),
-                    role_label(F.col("high_level_role")).alias("role")).agg(
-        F.sum(F.when(F.col("state").isin(*READY_STATES), F.col("time_in_hour")).otherwise(0)).alias("ready_time"),
-        F.sum(F.when(F.col("state").isin(*HANDLE_STATES), F.col("time_in_hour")).otherwise(0)).alias("handle_time"))
+                    role_label(F.col("high_level_role"), labels.roles).alias("role")).agg(
+        F.sum(F.when(F.col("state").isin(*labels.ready), F.col("time_in_hour")).otherwise(0)).alias("ready_time"),
+        F.sum(F.when(F.col("state").isin(*labels.handle), F.col("time_in_hour")).otherwise(0)).alias("handle_time"))
     # the hour spine is bounded by the date range; the aggregate is hour x
     # labels.  Left join keeps hours without states.
     out = hours.join(agg, "hour", "left").select(
-        "hour", F.coalesce("campaign", F.lit("Non POS Campaign")).alias("campaign"),
+        "hour", F.coalesce("campaign", F.lit(labels.other)).alias("campaign"),
         F.coalesce("site", F.lit("Other")).alias("site"),
         F.coalesce("role", F.lit("Other")).alias("role"),
         F.coalesce("ready_time", F.lit(0)).cast("long").alias("ready_time"),
@@ -104,8 +91,8 @@ def occupancy(states: DataFrame, employees: DataFrame, start: str, end: str) ->
                                                     F.col("handle_time") + F.col("ready_time")), 6))
 
 
-def attrition(employees: DataFrame, start: str, end: str, satx_end: str | None = None,
-              satx_office: str = "San Antonio") -> DataFrame:
+def attrition(employees: DataFrame, start: str, end: str, labels: Labels, office: str,
+              office_end: str | None = None) -> DataFrame:
     """Monthly leavers by cause, average daily headcount and attrition rate.
 
     employees: email, employee_date, supervisory_org, team, high_level_role,
@@ -113,16 +100,13 @@ def attrition(employees: DataFrame, start: str, end: str, satx_end: str | None =
     The next-day headcount flag is computed before the date filter; a
     missing next day counts as leaving.
     """
-    satx_end = satx_end or end
-    e = employees.filter(~F.col("supervisory_org").isin(*EXCLUDED_ORGS))
-    org, team = F.col("supervisory_org"), F.col("team")
-    campaign = F.coalesce(
-        _map(org, ATTRITION_CAMPAIGNS),
-        F.when(team == "Ibex", _map(org, ATTRITION_IBEX_ONLY)),
-        F.when(org.ilike("%Dublin%"), F.lit("Dublin")), F.lit("Other"))
-    role = role_label(F.col("high_level_role"))
-    site = F.when(team.isin(*SITE_TEAMS), team).otherwise(F.lit("Internal"))
-    b = (e.withColumn("in_hc", (role != "Other") & (campaign != "Other"))
+    office_end = office_end or end
+    e = employees.filter(~F.col("supervisory_org").isin(*labels.excluded))
+    team = F.col("team")
+    campaign = _campaign(F.col("supervisory_org"), team, labels)
+    role = role_label(F.col("high_level_role"), labels.roles)
+    site = F.when(team.isin(*labels.outsourced), team).otherwise(F.lit("Internal"))
+    b = (e.withColumn("in_hc", (role != "Other") & (campaign != labels.other))
           .withColumn("site", site)
           .filter((F.col("employee_date") >= F.col("role_start_date")) &
                   ((F.col("employee_date") <= F.col("employment_end_date")) |
@@ -139,33 +123,36 @@ def attrition(employees: DataFrame, start: str, end: str, satx_end: str | None =
         "leavers": leaver,
         "leavers_company": leaver & (ee == F.col("employee_date")),
         "leavers_finance_hc": leaver & (ee.isNull() | (ee > F.col("employee_date"))),
-        "leavers_satx": leaver & (ee == F.lit(satx_end).cast("date")) &
-                        (F.col("office_location") == satx_office)})
+        "leavers_office": leaver & (ee == F.lit(office_end).cast("date")) &
+                          (F.col("office_location") == office)})
     m = daily.groupBy(F.trunc("employee_date", "month").alias("month"), "site_grouped").agg(
         F.sum("leavers").alias("leavers_total"), F.sum("leavers_company").alias("leavers_company"),
         F.sum("leavers_finance_hc").alias("leavers_finance_hc"),
         F.round(F.avg("hc"), 0).alias("avg_daily_headcount"),
-        F.sum("leavers_satx").alias("leavers_satx"))
+        F.sum("leavers_office").alias("leavers_office"))
     return m.withColumn("attrition", F.round(div0(F.col("leavers_total"), F.col("avg_daily_headcount")), 6))
 
 
-def unmatched_identities(lists: DataFrame, directory: DataFrame) -> DataFrame:
-    """Identities on the tagged outsourced lists that have no directory
-    user (case-insensitive), counted by list day and source.
+def unmatched_identities(lists: DataFrame, directory: DataFrame, since: str) -> DataFrame:
+    """Identities on the tagged outsourced lists, from ``since`` on, that
+    name no directory user (case-insensitive), or one whose e-mail is missing.
 
     lists: as_of, email, source.  directory: username, email."""
-    dkey = directory.select(F.lower("email").alias("k")).filter(F.col("k").isNotNull()).distinct()
-    l2 = lists.withColumn("k", F.lower("email"))
-    miss = l2.join(dkey, "k", "left_anti").filter(F.col("email").isNotNull())
+    known = directory.filter(F.col("email").isNotNull()).select(F.lower("username").alias("k"))
+    recent = lists.filter((F.col("as_of") >= F.lit(since).cast("date")) & F.col("email").isNotNull())
+    miss = recent.withColumn("k", F.lower("email")).join(known, "k", "left_anti")
     return (miss.groupBy("as_of", "source", "email").agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("is_pending", F.col("email") == "Pending"))
 
 
-def managed_counts(customers: DataFrame, managers: DataFrame) -> DataFrame:
-    """Distinct accounts per manager and segment; a missing manager or
-    one named 'No ...' is 'Unmanaged'."""
-    j = customers.join(managers, "manager_id", "left")
-    name = F.when(F.col("manager_name").isNull() | F.col("manager_name").startswith("No "),
+def managed_counts(customers: DataFrame, managers: DataFrame, unmanaged: str = "No RSM") -> DataFrame:
+    """Distinct accounts per manager and segment.  Only live accounts of
+    managed locations count; a missing manager, or the placeholder
+    ``unmanaged``, is 'Unmanaged'.
+
+    customers: account_id, segment, manager_id, is_live, is_managed."""
+    j = customers.filter("is_live and is_managed").join(managers, "manager_id", "left")
+    name = F.when(F.col("manager_name").isNull() | (F.col("manager_name") == unmanaged),
                   F.lit("Unmanaged")).otherwise(F.col("manager_name"))
     return j.groupBy(name.alias("manager"), "segment").agg(
         F.count_distinct("account_id").alias("accounts"))

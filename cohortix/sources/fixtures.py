@@ -182,12 +182,12 @@ def agent_states(t: Tables) -> DataFrame:
 # --------------------------------------------------------------------- care
 # Fixed values of the employee binding: attribute lists picked by
 # ``user_id % len(list)``; agent states by event type.
-ORGS = ["Campaign A", "Hardware", "Chat", "Networking & NOC", "Payments", "API Integrations",
-        "Enterprise Support", "Customer Care Escalations", "Inside Sales Managers", "Employee Cloud"]
-TEAMS = ["Sutherland", "Ibex", "Care", None]
+ORGS = ["kitchen", "hardware", "chat", "network", "payments", "integrations", "enterprise", "escalations",
+        "sales", "back office"]
+TEAMS = ["vendor a", "vendor b", "care", None]
 ROLES = ["Senior Tier 1 Specialist", "Senior Tier 2 Expert", "Tier 1 Agent", "Tier 2 Agent",
          "SME Lead", "Manager"]
-OFFICES = ["San Antonio", "Boston", "Dublin"]
+OFFICES = ["south", "east", "overseas"]
 STATE_OF_EVENT = {"view": "Ready", "click": "On Call", "purchase": "After Call Work",
                   "signup": "On Hold", "error": "Not Ready"}
 
