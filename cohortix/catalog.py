@@ -171,9 +171,9 @@ def m49(spark, d):
 def m52(spark, d):
     t = _t(spark, d)
     cust = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_mktsegment").alias("segment"),
-                                F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"),
-                                (F.col("c_acctbal") > -500).alias("is_live"),
-                                (F.col("c_mktsegment") != "MACHINERY").alias("is_managed"))
+                                F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("manager_id"))
+    cust = cust.join(fx.customers(t).select(F.col("customer_id").alias("account_id"), "first_order_date", "churn_date"),
+                     "account_id")
     mgr = t("nation").select(F.col("n_nationkey").alias("manager_id"), F.col("n_name").alias("manager_name"))
     return care.managed_counts(cust, mgr)
 
@@ -192,7 +192,6 @@ MODULE_SINCE = "1996-01-01"
 PANEL_MODULES = list(MODULE_TYPES) + ["tds", "ec", "mod_count"]
 UPLIFT_MODULES = PANEL_MODULES + ["guest_count"]
 BUNDLE_FLAGS = {"PR": "promo", "SM": "small", "EC": "ec", "TD": "tds"}
-BUNDLE_QUARTERS = ["1998-01-01", "1999-01-01", "2000-01-01"]
 BUNDLE_MIN_N = 20
 
 
@@ -289,7 +288,7 @@ def m30p(spark, d):
 
 @register("m31_bundle_uplift")
 def m31(spark, d):
-    return uplift.bundle_uplift(_panel(_t(spark, d)), BUNDLE_FLAGS, BUNDLE_QUARTERS,
+    return uplift.bundle_uplift(_panel(_t(spark, d)), BUNDLE_FLAGS, None,
                                 min_n=BUNDLE_MIN_N, with_p=False)
 
 

@@ -22,12 +22,6 @@ def quarter_start(c) -> Column:
     return F.trunc(_c(c), "quarter")
 
 
-def quarter_last_month_start(c) -> Column:
-    """First day of the quarter's last month (parity helper for a helper in
-    the original notebooks that returned this instead of the quarter start)."""
-    return F.add_months(F.trunc(_c(c), "quarter"), 2)
-
-
 def quarter_end(c) -> Column:
     return F.date_sub(F.add_months(F.trunc(_c(c), "quarter"), 3), 1)
 
@@ -58,12 +52,6 @@ def week_start(c) -> Column:
     return F.trunc(_c(c), "week")
 
 
-def clamp_before(c, as_of) -> Column:
-    """Dates after ``as_of`` become the day before ``as_of``."""
-    a = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
-    return F.when(_c(c) > a, F.date_sub(a, 1)).otherwise(_c(c))
-
-
 def months_between_cal(later, earlier) -> Column:
     """Calendar-month boundaries crossed (warehouse ``DATEDIFF(month, ..)``)."""
     la, ea = _c(later), _c(earlier)

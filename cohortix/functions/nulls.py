@@ -39,8 +39,3 @@ def zsum(c) -> Column:
 
 def ne_or_null(c, value) -> Column:
     return ~_c(c).eqNullSafe(F.lit(value))
-
-
-def null_safe_on(left, right, keys) -> Column:
-    """Join condition where null keys match null keys (pandas ``merge``)."""
-    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -6,8 +6,9 @@ period_offset   JOI-7/8   same entity's values N months later, as a left
 hour_split      JOI-17    state intervals split over clock hours by
                           exploding the (bounded) hour list of each interval,
                           replacing an interval-overlap nested-loop join.
-latest_per_key  JOI-9     latest row per key via ``max_by`` (hash aggregate
-                          with partial aggregation, skew-safe).
+latest_per_key  JOI-9     latest row per key: the greatest (order, columns)
+                          struct, so ties have one answer; aggregated before
+                          the shuffle.
 unmatched       JOI-20    anti join.
 hierarchy       JOI-10    entity -> parent -> grandparent chain.
 """
@@ -56,20 +57,13 @@ def period_lookback(df: DataFrame, keys: list[str], time_col: str, cols: list[st
     return out.filter(F.col("_has").isNotNull()).drop("_has")
 
 
-def period_offset_join(df: DataFrame, keys: list[str], time_col: str, cols: list[str],
-                       months: int = 12, suffix: str = "_12") -> DataFrame:
-    """Non-additive columns (status strings, flags) of the same keys
-    ``months`` later, null when absent (same window plan as
-    :func:`period_offset`)."""
-    return period_offset(df, keys, time_col, cols, months, suffix, fill=None)
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str,
                    cols: list[str] | None = None) -> DataFrame:
-    """Row with the greatest ``order_col`` per key (ties: greatest struct)."""
+    """Row with the greatest ``order_col`` per key (ties: the
+    greatest of the other columns, in their order)."""
     cols = cols or [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(*keys).agg(F.max_by(packed, F.col(order_col)).alias("_r"))
+    packed = F.struct(F.col(order_col).alias("_order"), *[F.col(c) for c in cols])
+    return (df.groupBy(*keys).agg(F.max(packed).alias("_r"))
               .select(*keys, *[F.col("_r." + c).alias(c) for c in cols]))
 
 

@@ -43,15 +43,6 @@ def ffill(df: DataFrame, keys: list[str], order: str, col: str, name: str | None
     return df.withColumn(name or col, out)
 
 
-def share_of_total(df: DataFrame, group: list[str], value: str, name: str, scale: float = 100.0) -> DataFrame:
-    """value / group total * scale, via aggregate + join (the totals side has
-    one row per group; AQE picks broadcast when it is small)."""
-    tot = df.groupBy(*group).agg(F.sum(value).alias("_tot")) if group else \
-        df.agg(F.sum(value).alias("_tot"))
-    j = df.join(tot, group, "left") if group else df.crossJoin(F.broadcast(tot))  # keyless: one row
-    return j.withColumn(name, F.try_divide(F.col(value), F.col("_tot")) * scale).drop("_tot")
-
-
 def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
     """Top-k report rows (the limit is the feature): ``order`` must make the
     ranking total (add tie-breakers) so the result is deterministic.

@@ -142,16 +142,16 @@ def unmatched_identities(lists: DataFrame, directory: DataFrame, since: str) ->
     recent = lists.filter((F.col("as_of") >= F.lit(since).cast("date")) & F.col("email").isNotNull())
     miss = recent.withColumn("k", F.lower("email")).join(known, "k", "left_anti")
     return (miss.groupBy("as_of", "source", "email").agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("is_pending", F.col("email") == "Pending"))
+                .withColumns({"is_pending": F.col("email") == "Pending", "is_email": F.col("email").contains("@")}))
 
 
 def managed_counts(customers: DataFrame, managers: DataFrame, unmanaged: str = "No RSM") -> DataFrame:
-    """Distinct accounts per manager and segment.  Only live accounts of
-    managed locations count; a missing manager, or the placeholder
+    """Distinct accounts per manager and segment, of accounts that have
+    ordered and not churned; a missing manager, or the placeholder
     ``unmanaged``, is 'Unmanaged'.
 
-    customers: account_id, segment, manager_id, is_live, is_managed."""
-    j = customers.filter("is_live and is_managed").join(managers, "manager_id", "left")
+    customers: account_id, segment, manager_id, first_order_date, churn_date."""
+    j = customers.filter("first_order_date is not null and churn_date is null").join(managers, "manager_id", "left")
     name = F.when(F.col("manager_name").isNull() | (F.col("manager_name") == unmanaged),
                   F.lit("Unmanaged")).otherwise(F.col("manager_name"))
     return j.groupBy(name.alias("manager"), "segment").agg(

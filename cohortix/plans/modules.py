@@ -73,16 +73,6 @@ def module_distribution(mq: DataFrame) -> DataFrame:
     return g.select("quarter", "ct", *BUCKETS, *PLUS, *pct)
 
 
-def customer_quarter_modules(mq: DataFrame, modules: list[str], next_year_months: int = 15) -> DataFrame:
-    """Module panel per (customer, quarter) with the previous quarter
-    and the next-year key (quarter + ``next_year_months``)."""
-    return mq.filter(F.col("unique_mod").isNotNull()).select(
-        "customer_id", "quarter", F.add_months("quarter", -3).alias("prev_quarter"),
-        F.add_months("quarter", next_year_months).alias("next_year"),
-        *[F.col(f"{m}_count").alias(m) for m in modules],
-        F.col("unique_mod").alias("mod_count"))
-
-
 def module_yoy(panel: DataFrame, cols: list[str], months: int = 15) -> DataFrame:
     """Each (customer, quarter) with the same customer's values from
     ``months`` earlier (inner match) and the module-count change."""

@@ -65,20 +65,16 @@ def growth_panel(vy: DataFrame, my: DataFrame, modules: list[str],
                           for m in modules + ["guest_count"]})
 
 
-def _two_group_summary(df: DataFrame, keys: list[str], group_col: str, pos: str, neg: str,
-                       value: str) -> DataFrame:
-    g = df.groupBy(*keys, group_col).agg(
-        F.count_distinct("customer_id").alias("n_ids"), F.count(F.col(value)).alias("n"),
-        F.median(value).alias("med"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    pick = lambda c, lab: F.max(F.when(F.col(group_col) == lab, F.col(c)))
-    s = g.groupBy(*keys).agg(
-        pick("n_ids", pos).alias("n_pos"), pick("n_ids", neg).alias("n_neg"),
-        pick("med", pos).alias("med_pos"), pick("med", neg).alias("med_neg"),
-        pick("n", pos).alias("k_pos"), pick("n", neg).alias("k_neg"),
-        pick("mean", pos).alias("mean_pos"), pick("mean", neg).alias("mean_neg"),
-        pick("var", pos).alias("var_pos"), pick("var", neg).alias("var_neg"))
-    # only slices where both groups exist
-    s = s.filter(F.col("n_pos").isNotNull() & F.col("n_neg").isNotNull())
+def _stats(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Counts, median, mean and variance of ``growth`` per key; ``df`` has a
+    customer once per key."""
+    return df.groupBy(*keys).agg(
+        F.count("customer_id").alias(f"n_{tag}"), F.count("growth").alias(f"k_{tag}"),
+        F.median("growth").alias(f"med_{tag}"), F.avg("growth").alias(f"mean_{tag}"),
+        F.var_samp("growth").alias(f"var_{tag}"))
+
+
+def _compared(s: DataFrame) -> DataFrame:
     t = pooled_t(F.col("k_pos"), F.col("mean_pos"), F.col("var_pos"),
                  F.col("k_neg"), F.col("mean_neg"), F.col("var_neg"))
     diff = F.col("med_pos") - F.col("med_neg")
@@ -87,6 +83,15 @@ def _two_group_summary(df: DataFrame, keys: list[str], group_col: str, pos: str,
                           "growth_rate_diff": F.bround(safe_div(diff * 100, F.col("med_neg")), 2)})
 
 
+def _two_group_summary(df: DataFrame, keys: list[str], positive) -> DataFrame:
+    """Slices that have both groups, compared; one aggregation."""
+    g = _stats(df.withColumn("_pos", positive), [*keys, "_pos"], "x")
+    pick = lambda c, side: F.max(F.when(F.col("_pos") == F.lit(side), F.col(f"{c}_x")))
+    s = g.groupBy(*keys).agg(*[pick(c, side).alias(f"{c}_{tag}") for c in ("n", "k", "med", "mean", "var")
+                               for side, tag in ((True, "pos"), (False, "neg"))])
+    return _compared(s.filter(F.col("n_pos").isNotNull() & F.col("n_neg").isNotNull()))
+
+
 def adopter_uplift(panel: DataFrame, modules: list[str], growth: str = "gmv_pd_growth_pct",
                    band: tuple[float, float] = (-50.0, 200.0), with_p: bool = True) -> DataFrame:
     """Per module and quarter, customers who added the module (change
@@ -99,8 +104,7 @@ def adopter_uplift(panel: DataFrame, modules: list[str], growth: str = "gmv_pd_g
                                                  F.col(f"{m}_change").cast("double").alias("change"))
                                         for m in modules])).alias("u")).select(
         "customer_id", "quarter", "growth", "u.module", "u.change")
-    long = long.withColumn("grp", F.when(F.col("change") > 0, "Added").otherwise("Did Not Add"))
-    s = _two_group_summary(long, ["module", "quarter"], "grp", "Added", "Did Not Add", "growth")
+    s = _two_group_summary(long, ["module", "quarter"], F.coalesce(F.col("change") > 0, F.lit(False)))
     return _finish(s, ["module", "quarter"], with_p)
 
 
@@ -118,29 +122,35 @@ def _finish(s: DataFrame, keys: list[str], with_p: bool) -> DataFrame:
 def bundle_uplift(panel: DataFrame, flags: dict[str, str], quarters: list[str] | None,
                   growth: str = "gmv_pd_growth_pct", band: tuple[float, float] = (-50.0, 200.0),
                   min_n: int = 500, with_p: bool = True) -> DataFrame:
-    """Stable-bundle label (modules held both now and a year ago,
-    joined with '+'); bundles with more than ``min_n`` customers plus 'All';
-    customers in the bundle ('Had') vs customers holding none of the studied
-    modules ('Didnt Have'), per quarter and bundle."""
+    """M31/M32, per quarter: customers who hold any studied module now ('Had')
+    against those who hold none.
+
+    A customer's bundle is the modules held both now and a year ago, joined
+    with '+'.  Slices: each bundle label with more than ``min_n`` customers,
+    taking its customers and those without a stable bundle ('' -- who may hold
+    a module now), and 'All', taking every customer.
+
+    Who holds none is in every slice of the quarter, so that group is
+    aggregated once per quarter; only holders without a stable bundle are
+    repeated, once per slice of their quarter."""
     keep = (F.col(growth) > band[0]) & (F.col(growth) < band[1])
     if quarters is not None:     # None: every quarter of the panel
         keep = keep & F.col("quarter").isin(*[F.lit(q).cast("date") for q in quarters])
-    p = (panel.filter(keep)
-              .select("customer_id", "quarter", F.col(growth).alias("growth"),
-                      *{c for v in flags.values() for c in (v, f"{v}_ly")}))
-    stable = {name: (F.col(c) > 0) & (F.col(f"{c}_ly") > 0) for name, c in flags.items()}
-    p = p.withColumn("bundle", F.concat_ws("+", *[F.when(v, F.lit(k)) for k, v in stable.items()]))
-    sizes = p.filter(F.col("bundle") != "").groupBy("quarter", "bundle").agg(
-        F.count_distinct("customer_id").alias("bn"))
-    big = sizes.filter(F.col("bn") > min_n).select("quarter", "bundle")
-    # Had: members of a big bundle, or of any bundle for 'All'
-    had = (p.join(big, ["quarter", "bundle"], "inner").withColumn("grp", F.lit("Had"))
-             .unionByName(p.filter(F.col("bundle") != "").withColumn("bundle", F.lit("All"))
-                           .withColumn("grp", F.lit("Had"))))
-    # Didnt Have: customers with no studied module, compared within every bundle
-    slices = big.unionByName(p.select("quarter").distinct().withColumn("bundle", F.lit("All")))
-    none_ = (p.filter(F.col("bundle") == "").drop("bundle").join(slices, "quarter", "inner")
-              .withColumn("grp", F.lit("Didnt Have")))
-    both = had.unionByName(none_)
-    s = _two_group_summary(both, ["quarter", "bundle"], "grp", "Had", "Didnt Have", "growth")
+    stable = [F.when((F.col(c) > 0) & (F.col(f"{c}_ly") > 0), F.lit(name)) for name, c in flags.items()]
+    now = F.lit(False)
+    for c in flags.values():
+        now = now | F.coalesce(F.col(c) > 0, F.lit(False))
+    p = panel.filter(keep).select("customer_id", "quarter", F.col(growth).alias("growth"), now.alias("had"),
+                                  F.concat_ws("+", *stable).alias("bundle"))
+    big = p.groupBy("quarter", "bundle").agg(F.count("customer_id").alias("_n")).filter(
+        F.col("_n") > min_n).select("quarter", "bundle")
+    none_ = _stats(p.filter(~F.col("had")), ["quarter"], "neg")
+    holders = p.filter("had")
+    # the slices of a quarter as one array: holders without a bundle go to each
+    slices = big.groupBy("quarter").agg(F.collect_set("bundle").alias("_slices"))
+    at = holders.join(slices, "quarter", "left")
+    listed = F.coalesce("_slices", F.array().cast("array<string>"))
+    own = F.when(F.col("bundle") == "", listed).otherwise(F.array_intersect(listed, F.array("bundle")))
+    had = at.select("customer_id", "quarter", "growth", F.explode(F.concat(own, F.array(F.lit("All")))).alias("bundle"))
+    s = _compared(_stats(had, ["quarter", "bundle"], "pos").join(none_, "quarter"))
     return _finish(s, ["quarter", "bundle"], with_p)

@@ -1,7 +1,7 @@
 """Table access, fixture bindings, spines and sinks."""
 from .tables import Tables
 from .query import query_to_table, coerce_types, use_database, random_peek
-from .spines import month_spine, day_spine, hour_spine, yr_mo_spine, period_table
+from .spines import month_spine, day_spine, hour_spine, period_table
 from .sinks import write_csv, write_bundle, save_table
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -170,15 +170,6 @@ def module_lines(t: Tables) -> DataFrame:
                       F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount")))
 
 
-@_memo
-def agent_states(t: Tables) -> DataFrame:
-    """agent, start_ts, state, seconds (state intervals)."""
-    return t("events").select(
-        F.col("user_id").alias("agent"), F.col("ts").alias("start_ts"),
-        F.col("event_type").alias("state"),
-        (F.col("value") * STATE_SECONDS_PER_VALUE).cast("int").alias("seconds"))
-
-
 # --------------------------------------------------------------------- care
 # Fixed values of the employee binding: attribute lists picked by
 # ``user_id % len(list)``; agent states by event type.

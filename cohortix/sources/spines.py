@@ -19,10 +19,6 @@ def month_spine(spark: SparkSession, start, end, name: str = "month") -> DataFra
                              F.expr("INTERVAL 1 MONTH"))).alias(name))
 
 
-def yr_mo_spine(spark: SparkSession, start, end, name: str = "yr_mo") -> DataFrame:
-    return month_spine(spark, start, end).select(F.date_format("month", "yyyy-MM").alias(name))
-
-
 def day_spine(spark: SparkSession, start, end, name: str = "dt") -> DataFrame:
     return spark.range(1).select(
         F.explode(F.sequence(_d(start), _d(end), F.expr("INTERVAL 1 DAY"))).alias(name))
