@@ -106,7 +106,7 @@ def m42(spark, d):
 
 def _cohort(t):
     c = fx.customers(t).withColumnRenamed("parent_id", "account_id")
-    return cohort.cohort_drivers(fx.daily(t), c, "1995-01-01", "2001-07-31", NON_PREVENTABLE)
+    return cohort.cohort_drivers(fx.daily(t), c, NON_PREVENTABLE)
 
 
 @register("m43_cohort_drivers")
@@ -304,7 +304,7 @@ FIXTURE_SCHEDULE = sub.ShareSchedule(first_change="1998-03-01", tds_edges=(20, 5
                                      second_change="1998-10-01", gh_edges=(20, 40))
 EC_START = "1996-07-01"
 ARPU_SEGMENT, ARPU_SINCE = "BUILDING", "1996-01-01"
-INVESTOR_MONTHS = [f"1998-{m:02d}-01" for m in range(1, 13)]
+INVESTOR_MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-01" for m in range(80)]     # every month up to AS_OF
 NON_RECURRING_PRIORITY = "5-LOW"
 
 
@@ -694,22 +694,25 @@ def flt15(spark, d):
 
 # ------------------------------------------------------------------ series
 def _series(t):
-    o = fx.order_days(t).filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT"))
+    """Monthly volume per nation, priority and status: all orders, in series
+    with gaps."""
+    o = fx.order_days(t)
     o = o.join(t("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation")),
                "customer_id")
-    return o.groupBy("nation", month_start("dt").alias("month")).agg(F.sum("o_totalprice").alias("volume"))
+    name = F.concat_ws("/", "nation", "o_orderpriority", "o_orderstatus")
+    return o.groupBy(name.alias("series"), month_start("dt").alias("month")).agg(F.sum("o_totalprice").alias("volume"))
 
 
 @register("m53_align_series")
 def m53(spark, d):
-    a = series.align_series(_series(_t(spark, d)), "month", "volume", "nation")
-    return a.select("nation", "month", "pos", F.round("volume", 2).alias("volume"))
+    a = series.align_series(_series(_t(spark, d)), "month", "volume", "series")
+    return a.select("series", "month", "pos", F.round("volume", 2).alias("volume"))
 
 
 @register("m54_resample_curve")
 def m54(spark, d):
-    a = series.align_series(_series(_t(spark, d)), "month", "volume", "nation")
-    return series.resample_curve(a, "nation", "pos", "volume", 20)
+    a = series.align_series(_series(_t(spark, d)), "month", "volume", "series")
+    return series.resample_curve(a, "series", "pos", "volume", 20)
 
 
 # ------------------------------------------------------------------ sources
@@ -771,6 +774,6 @@ def m43g(spark, d):
     grandparent): stocks and flows per region and day."""
     t = _t(spark, d)
     c = fx.customers(t).withColumn("account_id", F.col("grandparent_id").cast("long"))
-    g = cohort.cohort_drivers(fx.daily(t), c, "1995-01-01", "2001-07-31", NON_PREVENTABLE)
+    g = cohort.cohort_drivers(fx.daily(t), c, NON_PREVENTABLE)
     return g.select("dt", "account_id", "location_count",
                     *[F.round(c_, 2).alias(c_) for c_ in ["live_saas_arr"] + cohort.FLOWS])

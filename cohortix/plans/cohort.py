@@ -24,10 +24,13 @@ FLOWS = ["new_live_saas", "upsell_saas_arr", "downsell_saas_arr", "churned_saas_
          "preventable_churn_arr", "non_preventable_churn_arr"]
 
 
-def cohort_drivers(daily: DataFrame, customers: DataFrame, start: str, end: str,
+def cohort_drivers(daily: DataFrame, customers: DataFrame,
                    non_preventable_segments: tuple[str, ...]) -> DataFrame:
     """daily: customer_id, dt, status, volume.  customers: customer_id,
-    account_id, segment, first_order_date, last_order_date, churn_date."""
+    account_id, segment, first_order_date, last_order_date, churn_date.
+
+    The days run from the first to the last day of the data (snapshots and
+    churn), so no flow lies outside the grid and stocks start at zero."""
     c = customers.select("customer_id", "account_id", "segment", "first_order_date",
                          "last_order_date", "churn_date")
     d = daily.join(c, "customer_id")
@@ -48,9 +51,10 @@ def cohort_drivers(daily: DataFrame, customers: DataFrame, start: str, end: str,
         (-F.count(F.lit(1))).alias("churn_delta"))
     # dense day grid per account, generated from the calendar range (no
     # cross join: each account row expands to its own days)
-    grid = (c.select("account_id").distinct()
-             .select("account_id", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"),
-                                                        F.expr("INTERVAL 1 DAY"))).alias("dt")))
+    bounds = day_flows.select("dt").unionByName(churn.select("dt")).agg(
+        F.min("dt").alias("lo"), F.max("dt").alias("hi"))     # one row
+    grid = (c.select("account_id").distinct().crossJoin(F.broadcast(bounds))
+             .select("account_id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("dt")))
     g = (grid.join(day_flows, ["account_id", "dt"], "left").join(churn, ["account_id", "dt"], "left")
              .fillna(0, subset=FLOWS + ["loc_delta", "churn_delta"]))
     g = g.withColumn("net", F.col("new_live_saas") + F.col("upsell_saas_arr") +
@@ -81,6 +85,7 @@ def period_growth(cohort: DataFrame, as_of: str, first_month: str,
                         .otherwise(F.date_add("month", F.col("daysinperiod"))))
             .withColumn("period_end", F.when(F.col("period_end") > a, F.date_sub(a, 1))
                         .otherwise(F.col("period_end")))
+            .filter("period_start <= period_end")       # the cut at as_of may leave no day
             .withColumn("flow_end", F.least("period_end", "last_dt")))
     cum = running_sum(cohort, ["account_id"], "dt", {f"cum_{f}": f for f in FLOWS})
     cum = cum.select("account_id", "dt", "live_saas_arr", "location_count", *FLOWS,
