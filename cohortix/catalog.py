@@ -426,8 +426,7 @@ def m11(spark, d):
 
 @register("m12_investor_long")
 def m12l(spark, d):
-    lg = sub.investor_long(_loc(_t(spark, d)))
-    return _round_money(lg, lg.columns)
+    return sub.investor_long(_loc(_t(spark, d)))
 
 
 @register("m12_investor_wide")
@@ -437,7 +436,8 @@ def m12w(spark, d):
 
 @register("m13_account_timeline")
 def m13(spark, d):
-    return sub.account_timeline(sub.investor_long(_loc(_t(spark, d))))
+    t = _t(spark, d)
+    return sub.account_timeline(sub.investor_long(_loc(t)), fx.accounts(t))
 
 
 # ------------------------------------------------------------------ reporting

@@ -376,42 +376,57 @@ def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str) -> Da
 # =====================================================================
 # Investor sets and account timeline
 # =====================================================================
+INVESTOR_STATUSES = ("Backlog", "Go-Live", "Live", "Churn", "Canceled Contract")
+INVESTOR_METRICS = ("pre_live_saas", "live_saas", "monthly_gmv", "monthly_payments_margin")
+
+
 def investor_long(loc: DataFrame) -> DataFrame:
-    """M12 long: account-month rows of active statuses with backlog, live
-    ARR and volume counted only while live."""
-    live = F.col("status").isin("Live", "Go-Live")
-    return (loc.filter(F.col("status").isin("Backlog", "Live", "Go-Live", "Churn"))
-               .select("customer_id", "parent_id", "month", "status",
-                       F.when(F.col("status") == "Backlog", F.col("pos_live_saas_arr")).otherwise(0.0)
-                        .alias("backlog_arr"),
-                       F.when(live, F.col("pos_live_saas_arr")).otherwise(0.0).alias("live_arr"),
-                       F.when(live, F.col("annual_gmv")).otherwise(0.0).alias("volume")))
-
-
-def investor_wide(long: DataFrame, months: list[str], metrics=("live_arr", "volume")) -> DataFrame:
-    """M12 wide: one row per account, one column per (month, metric) named
-    ``<yyyy_MM>_<metric>``; the month list is fixed, so the column set is
-    known before the job runs (no extra pass to find pivot values)."""
+    """M12 long: account-month rows of the reported statuses.  The month of the
+    first order is labelled 'Go-Live Month'; monthly SaaS counts as pre-live
+    while in backlog and as live otherwise; volume and payments margin count
+    only in the go-live month and while live."""
+    status = F.when(month_start("fod") == F.col("month"), F.lit("Go-Live Month")).otherwise(F.col("status"))
+    backlog, paying = F.col("status") == "Backlog", F.col("status").isin("Go-Live Month", "Live")
+    monthly = lambda c: F.round(c, 2) / 12
+    return (loc.filter(F.col("status").isin(*INVESTOR_STATUSES)).withColumn("status", status).select(
+        "customer_id", "parent_id", "month", "status",
+        F.when(backlog, monthly("pos_live_saas_arr")).otherwise(0.0).alias("pre_live_saas"),
+        F.when(backlog, 0.0).otherwise(monthly("pos_live_saas_arr")).alias("live_saas"),
+        F.when(paying, monthly("annual_gmv")).otherwise(0.0).alias("monthly_gmv"),
+        F.when(paying, monthly("payments_margin_arr_full_month")).otherwise(0.0).alias("monthly_payments_margin")))
+
+
+def investor_wide(long: DataFrame, months: list[str]) -> DataFrame:
+    """M12 wide: one row per account, a column ``<yyyy_MM>_<metric>`` per month
+    and metric and ``<yyyy_MM>_status``; ``long`` has one row per account and
+    month.  The months are given, so the columns are known before the job runs
+    (no extra pass to find pivot values)."""
     labels = [m[:7].replace("-", "_") for m in months]
     return (long.withColumn("m", F.date_format("month", "yyyy_MM")).filter(F.col("m").isin(*labels))
                 .groupBy("customer_id").pivot("m", labels)
-                .agg(*[F.round(F.sum(x), 2).alias(x) for x in metrics]))
+                .agg(*[F.max(x).alias(x) for x in ("status", *INVESTOR_METRICS)]))
+
 
+def account_timeline(long: DataFrame, accounts: DataFrame, far: str = "2099-01-01",
+                     no_go_live: str = "2013-01-02") -> DataFrame:
+    """M13, per account of ``long``: latest status, booking and go-live date.
 
-def account_timeline(long: DataFrame, far: str = "2099-01-01") -> DataFrame:
-    """Per account: first booked month, first live month, latest status;
-    go-live = first live month, else first month seen; booking = the earlier
-    booked month, or the day before go-live when booking is missing or
-    later; missing dates become ``far``."""
+    accounts: customer_id, first_order_date, close_date.  First booked month:
+    of Backlog or Live rows; first live month: of Live rows.  Go-live is the
+    first live month when that precedes the month of the first order, else the
+    first order.  Booking is the close date, or the day before go-live when it
+    lies behind that (``far`` without one); an earlier first booked month
+    replaces it."""
     last = latest_per_key(long, ["customer_id"], "month", ["status"])
     g = long.groupBy("customer_id").agg(
-        F.min(F.when(F.col("status") == "Backlog", F.col("month"))).alias("first_booked"),
-        F.min(F.when(F.col("status").isin("Live", "Go-Live"), F.col("month"))).alias("first_live"),
-        F.min("month").alias("first_seen"))
-    go = F.coalesce("first_live", "first_seen")
-    book = F.when(F.col("first_booked").isNull() | (F.col("first_booked") > go), F.date_sub(go, 1)) \
-        .otherwise(F.col("first_booked"))
-    farl = F.lit(far).cast("date")
-    return g.join(last, "customer_id").select(
+        F.min(F.when(F.col("status").isin("Backlog", "Live"), F.col("month"))).alias("booked"),
+        F.min(F.when(F.col("status") == "Live", F.col("month"))).alias("live"))
+    j = g.join(last, "customer_id").join(accounts.select("customer_id", "first_order_date", "close_date"), "customer_id", "left")
+    go = F.when(F.col("live") < month_start("first_order_date"), F.col("live")).otherwise(F.col("first_order_date"))
+    day = lambda d: F.lit(d).cast("date")
+    book = F.coalesce(F.when(F.col("close_date") > F.col("go_live_date"),
+                             F.date_sub(F.coalesce("go_live_date", day(no_go_live)), 1)).otherwise(F.col("close_date")), day(far))
+    return j.withColumn("go_live_date", go).select(
         "customer_id", F.col("status").alias("last_status"),
-        F.coalesce(book, farl).alias("booking_date"), F.coalesce(go, farl).alias("go_live_date"))
+        F.when(F.col("booked") < month_start("close_date"), F.col("booked")).otherwise(book).alias("booking_date"),
+        "go_live_date")

@@ -133,6 +133,15 @@ def customers(t: Tables, as_of: str = AS_OF) -> DataFrame:
                                                .otherwise("Other"))))
 
 
+@_memo
+def accounts(t: Tables) -> DataFrame:
+    """customer_id, first_order_date, close_date (within 40 days of the first
+    order, on either side, by customer_id; every 11th account has none)."""
+    lag = (F.col("customer_id") % 80 - 40).cast("int")
+    return customers(t).select("customer_id", "first_order_date", F.when(
+        F.col("customer_id") % 11 != 0, F.date_add("first_order_date", lag)).alias("close_date"))
+
+
 @_memo
 def customer_month(t: Tables) -> DataFrame:
     """Customer-month measures (annualised x12): pos_saas_arr (Live days),
