@@ -69,7 +69,7 @@ def m16(spark, d):
 @register("m3_month_end_subscription")
 def m3(spark, d):
     t = _t(spark, d)
-    return sub.month_end_subscription(fx.daily(t), fx.customers(t))
+    return sub.month_end_subscription(fx.snapshot(t), fx.customers(t))
 
 
 @register("m4_monthly_volume")
@@ -304,6 +304,7 @@ FIXTURE_SCHEDULE = sub.ShareSchedule(first_change="1998-03-01", tds_edges=(20, 5
                                      second_change="1998-10-01", gh_edges=(20, 40))
 EC_START = "1996-07-01"
 ARPU_SEGMENT, ARPU_SINCE = "BUILDING", "1996-01-01"
+SURVEYS_AS_OF = "2024-07-20"     # the surveys (events) are of January 2024
 INVESTOR_MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-01" for m in range(80)]     # every month up to AS_OF
 NON_RECURRING_PRIORITY = "5-LOW"
 
@@ -421,7 +422,7 @@ def m10(spark, d):
 @register("m11_arpu_by_line")
 def m11(spark, d):
     t = _t(spark, d)
-    return sub.arpu_by_line(_prorated(t), fx.nps_scores(t), ARPU_SEGMENT, ARPU_SINCE)
+    return sub.arpu_by_line(_prorated(t), fx.nps_scores(t), ARPU_SEGMENT, ARPU_SINCE, SURVEYS_AS_OF)
 
 
 @register("m12_investor_long")
@@ -480,7 +481,7 @@ def _m20(t):
 
 def _m21(t):
     cust = fx.customers(t)
-    m3 = sub.month_end_subscription(fx.daily(t), cust)
+    m3 = sub.month_end_subscription(fx.snapshot(t), cust)
     return rep.month_end_parents(m3.join(cust.select("customer_id", "parent_id"), "customer_id"))
 
 

@@ -29,14 +29,13 @@ def conditional_distinct(df: DataFrame, group: list, id_col: str, conds: dict[st
 
 def with_total(df: DataFrame, outer: list[str], inner: str, aggs: list[Column],
                total_label: str = "Total") -> DataFrame:
-    """``GROUPING SETS ((outer, inner), (outer))`` with the inner key of the
-    total rows labelled ``total_label``."""
-    g = df.rollup(*outer, inner).agg(*aggs, F.grouping_id().alias("_gid"))
-    # keep (outer, inner) and (outer) levels only
-    keep = (F.col("_gid") == 0) | (F.col("_gid") == 1)
-    return (g.filter(keep)
-             .withColumn(inner, F.when(F.col("_gid") == 1, F.lit(total_label)).otherwise(F.col(inner)))
-             .drop("_gid"))
+    """Rows per (outer, inner) and a total row per outer, its inner key labelled
+    ``total_label``.  ``aggs`` are sums or counts: the input is aggregated once,
+    and the totals add up its few result rows."""
+    g = df.groupBy(*outer, inner).agg(*aggs)
+    values = [c for c in g.columns if c not in (*outer, inner)]
+    both = g.withColumn(inner, F.explode(F.array(F.col(inner), F.lit(total_label))))
+    return both.groupBy(*outer, inner).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def value_counts(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:

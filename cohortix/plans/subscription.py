@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.dates import month_start
+from ..functions.dates import is_month_end, month_start
 from ..functions.nulls import safe_div
 from ..operators.joins import latest_per_key, period_offset
 
@@ -80,12 +80,9 @@ def monthly_qa(panel: DataFrame, year: int, time_col: str = "month",
 
 
 def month_end_subscription(daily: DataFrame, customers: DataFrame) -> DataFrame:
-    """M3: the month's last observed snapshot row per account, with
-    go-live/booked-this-month flags, live/backlog ARR and the +12 key.
-    (The source snapshot is dense, where ``dt = last_day(dt)`` picks the same
-    row; the fixture is sparse, so the latest row of the month is used.)"""
-    last = latest_per_key(daily.withColumn("month", month_start("dt")),
-                          ["customer_id", "month"], "dt", ["dt", "status", "volume"])
+    """M3: the snapshot row of each month's last day per account, with
+    go-live/booked-this-month flags, live/backlog ARR and the +12 key."""
+    last = daily.filter(is_month_end("dt")).withColumn("month", month_start("dt"))
     c = customers.select("customer_id", "first_order_date")
     return (last.join(c, "customer_id", "left").select(
         "customer_id", "month", "status",
@@ -341,10 +338,18 @@ def location_month_prorated(loc_keep: DataFrame, parent: DataFrame, accounts: Da
     return lm.withColumn("quarter", F.trunc("month", "quarter"))
 
 
-def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str) -> DataFrame:
+def recent(df: DataFrame, date_col: str, as_of: str, months: int) -> DataFrame:
+    """Rows dated within the ``months`` before ``as_of`` (a trailing window)."""
+    return df.filter(F.col(date_col) >= F.add_months(F.lit(as_of).cast("date"), -months))
+
+
+def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str, surveys_as_of: str,
+                 survey_months: int = 6) -> DataFrame:
     """Per month and product line (POS, POS + Guest, POS + EC,
     POS + Guest + EC, plus Total): locations, ARR sums, NPS and ARPUs.
-    nps: customer_id, nps_score (0-10)."""
+    nps: customer_id, survey_date, nps_score (0-10) of the latest survey; older
+    ones than the trailing window do not count."""
+    nps = recent(nps, "survey_date", surveys_as_of, survey_months).select("customer_id", "nps_score")
     d = (loc.filter((F.col("month") >= F.lit(since).cast("date")) & (F.col("market_segment") == segment))
             .join(nps, "customer_id", "left"))
     guest, ec = F.col("has_guest_saas") > 0, F.col("ec_saas_arr") > 0

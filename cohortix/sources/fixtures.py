@@ -24,7 +24,7 @@ plain values):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from functools import wraps
 
@@ -262,13 +262,35 @@ def parents(t: Tables, as_of: str = AS_OF) -> DataFrame:
 
 @_memo
 def nps_scores(t: Tables) -> DataFrame:
-    """customer_id (= user_id), nps_score = event_id % 11 of the latest
-    signup event."""
+    """customer_id (= user_id), survey_date and nps_score = event_id % 11 of
+    the latest signup event."""
     e = t("events").filter(F.col("event_type") == "signup")
     return e.groupBy(F.col("user_id").alias("customer_id")).agg(
+        F.to_date(F.max("ts")).alias("survey_date"),
         F.max_by(F.col("event_id") % 11, F.struct("ts", "event_id")).cast("int").alias("nps_score"))
 
 
+@_memo
+def snapshot(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """The daily snapshot with every month end in it: customer_id, dt, status,
+    volume.  The orders are sparse, so a month end between a customer's first
+    order and churn (or ``as_of``) holds the latest row up to it.  The window
+    holds one row per month of a customer."""
+    d = daily(t).select("customer_id", "dt", "status", "volume")
+    last = d.groupBy("customer_id", F.trunc("dt", "month").alias("month")).agg(
+        F.max(F.struct("dt", "status", "volume")).alias("r"))
+    c = customers(t).select("customer_id", "first_order_date", "churn_date").filter("first_order_date is not null")
+    until = F.coalesce("churn_date", F.lit(as_of).cast("date"))
+    months = c.select("customer_id", F.explode(F.sequence(
+        F.trunc("first_order_date", "month"), F.trunc(until, "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"),
+        until.alias("until")).filter(F.last_day("month") <= F.col("until"))
+    w = Window.partitionBy("customer_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    ends = months.join(last, ["customer_id", "month"], "left").select(
+        "customer_id", F.last_day("month").alias("dt"), F.last("r", ignorenulls=True).over(w).alias("r"))
+    ends = ends.select("customer_id", "dt", "r.status", "r.volume")
+    return d.filter(F.col("dt") != F.last_day("dt")).unionByName(ends)
+
+
 @_memo
 def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Monthly book of business: one row per customer and month with a live
