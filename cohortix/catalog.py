@@ -541,10 +541,11 @@ def m34(spark, d):
 
 @register("m35_booking_cohort")
 def m35(spark, d):
-    b = arpu.booking_cohort(_m33(_t(spark, d)), "service_group", 3, *ARPU_QUARTERS)
+    cols = ["live_arr", *ARR_COLS]
+    b = arpu.booking_cohort(_m33(_t(spark, d)), "service_group", cols, 3, *ARPU_QUARTERS)
     return b.select("close_quarter", "service_group", "locations", F.round("annualized_gpv", 2).alias("annualized_gpv"),
-                    F.round("live_arr", 2).alias("live_arr"), "avg_gpv", F.round("arpu", 4).alias("arpu"),
-                    "percent_of_locations")
+                    "avg_gpv", *[F.round(c, 2).alias(c) for c in cols],
+                    *[F.round(f"{c}_arpu", 4).alias(f"{c}_arpu") for c in cols], "percent_of_locations")
 
 
 @register("m36_live_month_averages")

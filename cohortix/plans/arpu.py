@@ -42,19 +42,19 @@ def _percent_of(df: DataFrame, by: str, col: str, name: str) -> DataFrame:
     return (df.join(tot, by).withColumn(name, F.bround(100 * F.col(col) / F.col("_t"), 2)).drop("_t"))
 
 
-def booking_cohort(m33: DataFrame, group: str, exact_months: int = 3,
+def booking_cohort(m33: DataFrame, group: str, arr_cols: list[str], exact_months: int = 3,
                    start: str | None = None, end: str | None = None) -> DataFrame:
     """Each location's latest month having exactly ``exact_months``
     observed months and positive volume; by close quarter x group:
-    locations, average annual volume (thousands, bround 2), ARPU and the
-    share of the quarter's locations."""
+    locations, average annual volume (thousands, bround 2), the sum and the
+    ARPU of each ARR column and the share of the quarter's locations."""
     b = m33.filter((F.col("last_months") == exact_months) & (F.col("gpv") > 0))
-    b = latest_per_key(b, ["customer_id"], "month", ["close_quarter", group, "annualized_gpv", "live_arr"])
+    b = latest_per_key(b, ["customer_id"], "month", ["close_quarter", group, "annualized_gpv", *arr_cols])
     g = b.groupBy("close_quarter", group).agg(
-        F.count_distinct("customer_id").alias("locations"),
-        F.sum("annualized_gpv").alias("annualized_gpv"), F.sum("live_arr").alias("live_arr"))
+        F.count("customer_id").alias("locations"),     # a location once
+        F.sum("annualized_gpv").alias("annualized_gpv"), *[F.sum(c).alias(c) for c in arr_cols])
     g = g.withColumn("avg_gpv", F.bround(F.col("annualized_gpv") / F.col("locations") / 1e3, 2)) \
-         .withColumn("arpu", F.col("live_arr") / F.col("locations"))
+         .withColumns({f"{c}_arpu": F.col(c) / F.col("locations") for c in arr_cols})
     if start:
         g = g.filter(F.col("close_quarter") >= F.lit(start).cast("date"))
     if end:
