@@ -15,14 +15,15 @@ summed.
 3. The live classes' whole sets are cut into fragments again.  A fragment gives
    each shingle its number of classes and a dense code.
 4. In the order of rarity, two linked classes share a shingle among the first
-   n/5 + 1 of each (prefix).  Classes that share one are candidates.
+   n/5 + 1 of each (prefix).  Classes that share one are candidates, if its
+   places in both leave room for the overlap that their sizes ask for.
 5. A candidate pair's overlap is counted per fragment from the codes, and the
    partial counts are summed per pair.
 6. Candidates come star by star: one centre per shingle against the others,
    only between different components.  When what is left is small, or stars
-   stop linking, all remaining cross-component candidates are counted.  So a
-   group of near copies costs its size, not the square, and no candidate is
-   left out.
+   stop linking, all remaining candidates between components are counted.  So
+   a group of near copies costs about its size, not the square, and no
+   candidate that could change a component is left out.
 
 The result has a row per document; pairs are never listed per group.
 
@@ -48,6 +49,7 @@ from .shingles import set_keys, shingle_sets
 
 FRAGMENT_BYTES = 8 << 20
 CUTS = 4
+PAIRS_PER_ENTRY = 64        # so many comparisons per prefix entry are done at once
 BLOCK_SCHEMA = ("frag int, part int, seq int, rows int, idx binary, counts binary, keys binary, hashes binary, "
                 "doc_ids binary, known binary, ns binary, ms binary, k1 binary")
 
@@ -204,68 +206,79 @@ def _live_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def _coded_sets(sets: DataFrame) -> DataFrame:
-    """(cls, n, codes, freqs): the shingles that several live classes have, as
-    codes, with their number of classes; both ordered by code."""
-    total = sets.agg(F.sum("n").alias("s")).first()["s"] or 0
+def _coded_sets(sets: DataFrame, num: int) -> tuple[DataFrame, str]:
+    """Per live class its size, how common its shingles are (weight), its
+    prefix as codes with their places in the order of rarity, and its segments,
+    one per cut of the global order; and the type of the codes.  Classes with
+    too few shared shingles are left out.
+
+    A fragment numbers the shingles that several live classes have.  Its answer
+    is a row per bucket of classes, so rows follow fragments, not classes."""
+    size = sets.agg(F.sum("n").alias("s"), F.count("*").alias("c")).first()
+    total = size["s"] or 0
     fragments = max(1, math.ceil(total * 16 / FRAGMENT_BYTES))
+    buckets = max(1, size["c"] // 256)
     code = "<u4" if total < 1 << 31 else "<u8"
 
     def cut(it):
         for pdf in it:
+            if not len(pdf):
+                continue
             sizes = pdf["n"].to_numpy()
-            hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in pdf["hashes"]]) if len(pdf) else np.zeros(0, np.uint64)
+            hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in pdf["hashes"]])
             doc = np.repeat(np.arange(len(pdf)), sizes)
             keys = pdf["cls"].to_numpy()
             for f, pos in _cut(hashes, doc, fragments, 1 << 64):
                 idx, counts = np.unique(doc[pos], return_counts=True)
                 yield pd.DataFrame({"frag": [f], "keys": [keys[idx].astype("<i8").tobytes()],
+                                    "ns": [sizes[idx].astype("<i8").tobytes()],
                                     "counts": [counts.astype("<i4").tobytes()], "hashes": [_pack(hashes[pos], 8)]})
 
     def code_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
         f = int(pdf["frag"].iloc[0])
         hashes, keys, _ = _fragment_entries(pdf, 8)
+        ns = np.concatenate([np.repeat(np.frombuffer(x, "<i8"), np.frombuffer(c, "<i4"))
+                             for x, c in zip(pdf["ns"], pdf["counts"])])
         _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         rank = np.cumsum(counts > 1) - 1
         keep = counts[inverse] > 1
-        codes = (rank[inverse] * fragments + f)[keep]
-        k, freq = keys[keep], counts[inverse][keep]
-        order = np.argsort(k, kind="stable")
-        k, codes, freq = k[order], codes[order], freq[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        ends = np.concatenate([first[1:], [len(k)]]).astype(np.int64)
-        return pd.DataFrame({"cls": k[first], "frag": np.full(len(first), f, np.int32),
-                             "codes": [codes[a:z].astype(code).tobytes() for a, z in zip(first, ends)],
-                             "freqs": [freq[a:z].astype("<u4").tobytes() for a, z in zip(first, ends)]})
-
-    return sets.mapInPandas(cut, "frag int, keys binary, counts binary, hashes binary").groupBy("frag").applyInPandas(
-        code_fragment, "cls bigint, frag int, codes binary, freqs binary"), code, fragments
-
-
-def _prefixes_and_segments(coded: DataFrame, sizes: DataFrame, num: int, code: str, fragments: int) -> DataFrame:
-    """Per class: its prefix (codes), and its segments, one per cut of the
-    order; classes with too few shared shingles are left out."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, freqs, keys, ns = (rank[inverse] * fragments + f)[keep], counts[inverse][keep], keys[keep], ns[keep]
+        bucket = np.mod(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        parts = [order[x:y] for x, y in zip(at[:-1], at[1:]) if x < y]
+        return pd.DataFrame({"bucket": [int(bucket[o[0]]) for o in parts],
+                             "keys": [keys[o].astype("<i8").tobytes() for o in parts],
+                             "ns": [ns[o].astype("<i8").tobytes() for o in parts],
+                             "codes": [codes[o].astype(code).tobytes() for o in parts],
+                             "freqs": [freqs[o].astype("<u4").tobytes() for o in parts]})
+
+    def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+        def column(name, kind):
+            return np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
+        keys, ns, codes, freqs = column("keys", "<i8"), column("ns", "<i8"), column("codes", code), column("freqs", "<u4")
+        order = np.lexsort((codes, freqs, keys))
+        keys, ns, codes, freqs = keys[order], ns[order], codes[order], freqs[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         out = []
-        for cls, part in pdf.groupby("cls", sort=False):
-            n = int(part["n"].iloc[0])
-            codes = np.concatenate([np.frombuffer(c, code) for c in part["codes"]])
-            freqs = np.concatenate([np.frombuffer(c, "<u4") for c in part["freqs"]])
+        for x, y in zip(first, [*first[1:], len(keys)]):
+            n, mine = int(ns[x]), codes[x:y]
             slack = n * (100 - num) // 100
-            if len(codes) < n - slack:
+            if y - x < n - slack:
                 continue
-            order = np.lexsort((codes, freqs))
-            unmatched = n - len(codes)      # rarest of all, in no other class
-            prefix = codes[order[:slack + 1 - unmatched]]
-            cut = (codes.astype(np.uint64) % np.uint64(fragments)) * np.uint64(CUTS) // np.uint64(fragments)
-            out.append((cls, n, prefix.astype(np.int64).tolist(),
-                        [np.sort(codes[cut == c]).tobytes() for c in range(CUTS)]))
-        return pd.DataFrame(out, columns=["cls", "n", "prefix", "segments"])
+            unmatched = n - (y - x)      # the rarest of all: in no other class
+            prefix = mine[:slack + 1 - unmatched].astype(np.int64)
+            cuts = (mine.astype(np.uint64) % np.uint64(fragments)) * np.uint64(CUTS) // np.uint64(fragments)
+            out.append((int(keys[x]), n, float(np.log(freqs[x:y]).sum() / n),
+                        [{"code": int(c), "pos": unmatched + i} for i, c in enumerate(prefix)],
+                        [np.sort(mine[cuts == c]).tobytes() for c in range(CUTS)]))
+        return pd.DataFrame(out, columns=["cls", "n", "weight", "prefix", "segments"])
 
-    buckets = max(1, sizes.count() // 256)      # about 256 classes in a group
-    rows = coded.join(sizes, "cls").withColumn("bucket", F.pmod(F.col("cls"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInPandas(
-        run, "cls bigint, n bigint, prefix array<bigint>, segments array<binary>")
+    answers = sets.mapInPandas(cut, "frag int, keys binary, ns binary, counts binary, hashes binary").groupBy(
+        "frag").applyInPandas(code_fragment, "bucket bigint, keys binary, ns binary, codes binary, freqs binary")
+    return answers.groupBy("bucket").applyInPandas(
+        prefixes, "cls bigint, n bigint, weight double, prefix array<struct<code:bigint,pos:bigint>>, "
+        "segments array<binary>"), code
 
 
 def _overlap(code: str):
@@ -286,32 +299,50 @@ def _verified(pairs: DataFrame, segments: DataFrame, num: int, code: str) -> Dat
     return sums.filter(f"100 * o >= {num} * (na + nb - o)").select("a", "b")
 
 
-def _class_components(lists: DataFrame, segments: DataFrame, num: int, code: str) -> DataFrame | None:
-    """(cls, comp) of the classes that link; None when none does."""
+def _may_link(num: int, a: str, b: str) -> str:
+    """SQL: sizes and places of a shared shingle allow a link.  A pair needs an
+    overlap of t; its first common shingle lies behind so many of either set
+    that at most n - t are unmatched."""
+    t = f"(({num} * ({a}.n + {b}.n) + {99 + num}) div {100 + num})"
+    return (f"100 * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) "
+            f"and {a}.pos <= {a}.n - {t} and {b}.pos <= {b}.n - {t}")
+
+
+def _class_components(lists: DataFrame, segments: DataFrame, num: int, code: str) -> DataFrame:
+    """(cls, comp) of the classes that link.
+
+    Stars first: the centre of a shingle's list is the class whose shingles are
+    the most common (near copies of one text have that text as such), later any
+    other.  Then the candidates between components: members outside a list's
+    largest component against all others."""
     spark = lists.sparkSession
-    comps, seen, links, star_round, full = None, None, None, 0, False
+    comps, seen, links, star_round, entries = None, None, None, 0, lists.count()
     while True:
-        at = lists.withColumn("comp", F.col("cls")) if comps is None else lists.join(
-            comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        at = written(at, "join-lists") if comps is not None else at
-        if comps is not None:
-            # pairs of different components that the lists still hold
+        if comps is None:
+            at, full = lists.withColumn("comp", F.col("cls")), False
+        else:
+            at = written(lists.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "join-lists")
             inner = at.groupBy("code", "comp").agg(F.count("*").alias("c"))
-            per = inner.groupBy("code").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            row = per.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), F.sum("m").alias("m")).first()
-            if not row["pairs"]:
+            major = inner.groupBy("code").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"))
+            major = major.filter("m > top.c").select("code", "m", F.col("top.comp").alias("major"), F.col("top.c").alias("held"))
+            rows = major.agg(F.sum((F.col("m") - F.col("held")) * F.col("m")).alias("rows")).first()["rows"]
+            if not rows:
                 return comps
-            full = full or row["pairs"] <= 4 * row["m"]
+            full = not new or rows <= PAIRS_PER_ENTRY * entries
         if full:
-            x = at.select("code", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = at.select("code", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "code").filter("a < b and ca <> cb")
+            minor = at.join(major, "code").filter("comp <> major").select("code", "cls", "n", "pos", "comp")
+            pairs = minor.alias("a").join(at.alias("b"), F.expr(
+                f"a.code = b.code and a.comp <> b.comp and {_may_link(num, 'a', 'b')}"))
+            pairs = pairs.selectExpr("if(a.cls < b.cls, a.cls, b.cls) as a", "if(a.cls < b.cls, b.cls, a.cls) as b",
+                                     "if(a.cls < b.cls, a.n, b.n) as na", "if(a.cls < b.cls, b.n, a.n) as nb")
         else:
-            centre = at.groupBy("code").agg(F.min_by(
-                F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(star_round))).alias("c"))
-            pairs = at.join(centre, "code").filter("comp <> c.comp").select(
-                F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
-        pairs = pairs.filter(f"100 * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+            liking = F.col("weight") if not star_round else F.xxhash64("cls", F.lit(star_round)).cast("double")
+            centre = at.groupBy("code").agg(F.max(F.struct(liking.alias("l"), "cls", "n", "pos", "comp")).alias("c"))
+            centre = centre.select("code", "c.*")
+            pairs = at.alias("a").join(centre.alias("b"), F.expr(
+                f"a.code = b.code and a.comp <> b.comp and {_may_link(num, 'a', 'b')}")).selectExpr(
+                "a.cls as a", "b.cls as b", "a.n as na", "b.n as nb")
+        pairs = pairs.distinct()
         if seen is not None:
             told = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(told, ["a", "b"], "left_anti")
@@ -327,7 +358,6 @@ def _class_components(lists: DataFrame, segments: DataFrame, num: int, code: str
             comps = spark.createDataFrame([], "cls bigint, comp bigint")
         if full:
             return comps
-        full = not new
         star_round += 1
 
 
@@ -336,13 +366,12 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, portion: flo
     texts = _texts(docs)
     classes = _document_classes(texts, size, num, portion)
     sets = written(_live_sets(texts, classes, size), "join-sets")
-    coded, code, fragments = _coded_sets(sets)
-    ready = written(_prefixes_and_segments(coded, sets.select("cls", "n"), num, code, fragments), "join-prefixes")
+    coded, code = _coded_sets(sets, num)
+    ready = written(coded, "join-prefixes")
     discard(sets)
     segments = ready.select("cls", F.posexplode("segments").alias("cut", "seg"))
-    entries = ready.select("cls", "n", F.explode("prefix").alias("code"))
-    several = entries.groupBy("code").agg(F.count("*").alias("c")).filter("c > 1").select("code")
-    lists = written(entries.join(several, "code"), "join-lists")
+    entries = ready.select("cls", "n", "weight", F.inline("prefix"))
+    lists = written(entries, "join-lists")
     comps = _class_components(lists, segments, num, code)
     of_class = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low")).join(
         comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
