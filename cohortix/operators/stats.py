@@ -230,7 +230,7 @@ BUCKETS = 4096      # value ranges per group that exact_quantiles counts apart
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
                     method: str = "linear") -> DataFrame:
-    """Exact quantiles per group: 'linear' (numpy default) or 'midpoint'
+    """Exact quantiles per group (none: of the whole table): 'linear' (numpy default) or 'midpoint'
     (mean of the two neighbouring ranks).  Returns group + one column per
     prob name.
 
@@ -252,13 +252,15 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     h = (df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
     ends = h.groupBy(*key).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}"))
+    def with_bounds(h: DataFrame) -> DataFrame:
+        if not key:     # one global group: the bounds are two values
+            return h.withColumns({"_min": ends.select("_min").scalar(), "_max": ends.select("_max").scalar()})
+        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}")) for k in key]
+        return h.alias("h").join(ends.alias("e"), same).select("h.*", "_min", "_max")
     width = F.col("_max") - F.col("_min")
     place = F.floor((F.col("_v").cast("double") - F.col("_min")) / width * BUCKETS)
-    h = h.alias("h").join(ends.alias("e"), same).select(
-        *[F.col(f"h.{k}").alias(k) for k in key], "_v", "_c",
+    h = with_bounds(h).select(
+        *key, "_v", "_c",
         F.when((width > 0) & (width < float("inf")), place).otherwise(0).cast("int").alias("_b"))
     local = Window.partitionBy(*key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_lc", F.sum("_c").over(local))
@@ -266,9 +268,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumns({"_off": F.coalesce(F.sum("_bt").over(before), F.lit(0)),
                            "_n": F.sum("_bt").over(Window.partitionBy(*key))})
-    same = F.col("h._b") == F.col("t._b")
-    for k in key:
-        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}"))
+    same = [F.col("h._b") == F.col("t._b"), *[F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in key]]
     hi = F.col("_off") + F.col("_lc")
     h = (h.alias("h").join(tot.alias("t"), same)
           .select(*[F.col(f"h.{k}").alias(k) for k in key], "_v", "_n",
@@ -294,13 +294,11 @@ def iqr_flags(df: DataFrame, col: str, k: float = 1.5, by: list[str] | None = No
     ``is_upper_outlier`` (>= q3 + k IQR) and ``is_lower_outlier``
     (<= q1 - k IQR).  Filter on the flags to drop outliers."""
     by = by or []
-    key = by or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(1))
-    q = exact_quantiles(d, key, col, {"q1": 0.25, "q3": 0.75}, method="midpoint")
-    # one row per group; without ``by`` it is a single row joined on a
-    # constant key, which must be broadcast (a shuffle would gather all rows)
-    j = d.join(q, key, "left") if by else d.join(F.broadcast(q), key, "left")
+    q = exact_quantiles(df, by, col, {"q1": 0.25, "q3": 0.75}, method="midpoint")
+    if by:
+        j = df.join(q, by, "left")
+    else:       # two values for the whole table
+        j = df.withColumns({"q1": q.select("q1").scalar(), "q3": q.select("q3").scalar()})
     iqr = F.col("q3") - F.col("q1")
-    j = j.withColumns({"is_upper_outlier": F.col(col) >= F.col("q3") + k * iqr,
-                       "is_lower_outlier": F.col(col) <= F.col("q1") - k * iqr})
-    return j if by else j.drop("_all")
+    return j.withColumns({"is_upper_outlier": F.col(col) >= F.col("q3") + k * iqr,
+                          "is_lower_outlier": F.col(col) <= F.col("q1") - k * iqr})

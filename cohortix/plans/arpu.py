@@ -112,7 +112,7 @@ def top_rest_mix(cur: DataFrame, value: str, tier_col: str, tier_labels, q: floa
     """Split a slice at p``q`` of ``value`` into top (>=) and rest (<);
     locations and percent per tier for both sides, empty tiers included."""
     spark = cur.sparkSession
-    cut = exact_quantiles(cur.withColumn("_g", F.lit(1)), ["_g"], value, {"cut": q}).drop("_g")
+    cut = exact_quantiles(cur, [], value, {"cut": q})
     # a single group -> exactly one row: broadcasting it is size-safe (a
     # shuffle join on a constant key would send every row to one task)
     j = cur.crossJoin(F.broadcast(cut))

@@ -53,8 +53,8 @@ def cohort_drivers(daily: DataFrame, customers: DataFrame,
     # cross join: each account row expands to its own days)
     bounds = day_flows.select("dt").unionByName(churn.select("dt")).agg(
         F.min("dt").alias("lo"), F.max("dt").alias("hi"))     # one row
-    grid = (c.select("account_id").distinct().crossJoin(F.broadcast(bounds))
-             .select("account_id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("dt")))
+    grid = c.select("account_id").distinct().select("account_id", F.explode(F.sequence(
+        bounds.select("lo").scalar(), bounds.select("hi").scalar(), F.expr("INTERVAL 1 DAY"))).alias("dt"))
     g = (grid.join(day_flows, ["account_id", "dt"], "left").join(churn, ["account_id", "dt"], "left")
              .fillna(0, subset=FLOWS + ["loc_delta", "churn_delta"]))
     g = g.withColumn("net", F.col("new_live_saas") + F.col("upsell_saas_arr") +
