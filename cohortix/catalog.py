@@ -323,6 +323,16 @@ def _ec_parent(t):
     return sub.recurring_parent_month(inv, ids, acc, EC_START)
 
 
+@register("joi21_billed_ids")
+def joi21(spark, d):
+    """Listed ids that have at least one invoice (semi-join: no invoice row
+    multiplies an id)."""
+    t = _t(spark, d)
+    billed = fx.order_days(t).select(F.concat(F.lit("G-"), F.col("customer_id").cast("string")).alias("guid"))
+    return sub.explode_ids(fx.id_lists(t), "id_list", "account_id").join(billed, "guid", "left_semi").select(
+        "guid", "account_id")
+
+
 @register("m2_recurring_parent_month")
 def m2(spark, d):
     return _ec_parent(_t(spark, d))
