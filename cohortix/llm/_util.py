@@ -61,6 +61,14 @@ def worker_cache() -> dict:
     return mod.__dict__.setdefault("cache", {})
 
 
+def release_memory() -> None:
+    """Give back what a reused worker still holds: other operators' caches and
+    Arrow's free pages."""
+    import pyarrow as pa
+    worker_cache().clear()
+    pa.default_memory_pool().release_unused()
+
+
 def with_columns_of(df: DataFrame, cols: list[str]) -> DataFrame:
     """Only ``cols``; columns a table lacks come as nulls, and further columns
     (whatever their names) never reach the operator."""

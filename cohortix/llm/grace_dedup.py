@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ascii_lower, with_columns_of
+from ._util import ascii_lower, release_memory, with_columns_of
 
 GROUP_SCHEMA = "sha binary, keep_id bigint, group_size bigint, keep_rows bigint"
 COMBINED_SCHEMA = "sha binary, content binary, keep_id bigint, group_size bigint, keep_rows bigint"
@@ -125,7 +125,7 @@ def _spilled(f) -> Iterator[tuple]:
             return
 
 
-def dedup_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def dedup_groups(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """(sha, keep_id, group_size, keep_rows) of every distinct normalised text."""
     import pyarrow as pa
 
@@ -149,6 +149,7 @@ def dedup_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def combine(it):
+        release_memory()
         table = ContentTable()
         for b in it:
             for sha, content, doc in zip(b["sha"].to_pylist(), b["content"].to_pylist(), b["doc_id"].to_pylist()):
@@ -170,7 +171,7 @@ def dedup_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     return combined.repartition("sha").mapInArrow(bucket, GROUP_SCHEMA)
 
 
-def dedup_decisions(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def dedup_decisions(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     groups = dedup_groups(docs, budget)
     members = with_columns_of(docs, ["doc_id", "text"]).select(
@@ -182,7 +183,7 @@ def dedup_decisions(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+def dedup(docs: DataFrame, budget: int = 32 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  Of rows that
     repeat both doc_id and text one stays."""
     spark_cols = docs.columns

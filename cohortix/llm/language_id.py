@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import with_columns_of, written
+from ._util import release_memory, with_columns_of, written
 
 DIM = 4096
 UND = "und"
@@ -191,8 +191,8 @@ def predict(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
             lang, score = np.full(len(pdf), UND, object), np.zeros(len(pdf))
             at = np.flatnonzero(pdf["has_letter"].to_numpy()) if model["families"] else []
             texts = pdf["text"].to_numpy()
-            for i in range(0, len(at), 2048):
-                part = at[i:i + 2048]
+            for i in range(0, len(at), 512):
+                part = at[i:i + 512]
                 lang[part], score[part] = classify(np.stack([features(texts[k]) for k in part]), model)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
 
@@ -212,12 +212,13 @@ def with_language(docs: DataFrame, min_score: float = 0.5, families: dict[str, s
 
     @F.pandas_udf("boolean")
     def accepted(col: pd.Series) -> pd.Series:
+        release_memory()
         out = np.zeros(len(col), bool)
         if model["families"]:
             values = col.to_numpy()
-            for i in range(0, len(col), 2048):
-                x = np.stack([features(t) for t in values[i:i + 2048]])
-                out[i:i + 2048] = classify(x, model)[1] >= min_score
+            for i in range(0, len(col), 512):
+                x = np.stack([features(t) for t in values[i:i + 512]])
+                out[i:i + 512] = classify(x, model)[1] >= min_score
         return pd.Series(out)
 
     return docs.filter(texts.isNotNull() & texts.rlike(r"\p{L}")).filter(accepted(texts))

@@ -43,11 +43,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import discard, with_columns_of, written
+from ._util import discard, release_memory, with_columns_of, written
 from .graph import connected_components
+from .segments import row_slices
 from .shingles import set_keys, shingle_sets
 
 FRAGMENT_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20       # text whose sets a task holds at once
 CUTS = 4
 PAIRS_PER_ENTRY = 64        # so many comparisons per prefix entry are done at once
 BLOCK_SCHEMA = ("frag int, part int, seq int, rows int, idx binary, counts binary, keys binary, hashes binary, "
@@ -91,17 +93,20 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, size: int, limit: int, fragments: int, width: int) -> DataFrame:
-    """A batch's segments as one row per fragment, and a row that describes its
-    documents (frag -1)."""
+    """The segments of a run of documents as one row per fragment, and a row
+    that describes the documents (frag -1)."""
     def run(it):
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
+        release_memory()
         part = TaskContext.get().partitionId()
         names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
         types = [pa.int32()] * 4 + [pa.binary()] * 9
-        for seq, b in enumerate(it):
+        pieces = (b.slice(*piece) for b in it for piece in row_slices(b["text"], SLICE_BYTES))
+        for seq, b in enumerate(pieces):
+            pa.default_memory_pool().release_unused()
             offsets, hashes = shingle_sets(b["text"], size)
             k1 = set_keys(offsets, hashes)
             n = np.diff(offsets)
@@ -191,7 +196,7 @@ def _live_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        for b in it:
+        for b in (b.slice(*piece) for b in it for piece in row_slices(b["text"], SLICE_BYTES)):
             offsets, hashes = shingle_sets(b["text"], size)
             k1 = set_keys(offsets, hashes)
             want = b["cls"].to_numpy(zero_copy_only=False)

@@ -136,12 +136,12 @@ def _merge_leftovers(pieces: DataFrame, window: int) -> DataFrame:
     parts = wins.groupBy("part").agg(F.sum("used").alias("used_part"))
     ordered = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("used_part").over(ordered), F.lit(0)).alias("before_part"))
-    total = wins.agg(F.sum("used").alias("all_used"))
+    total = wins.agg(F.sum("used").alias("u")).first()["u"] or 0
     before = F.coalesce(F.sum("used").over(
         Window.partitionBy("part").orderBy("win").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = wins.select("part", "win", before.alias("before_win")).join(parts, "part")
     at = pieces.join(wins, ["part", "win"]).withColumn("at", F.expr("before_part + before_win + offset"))
-    at = at.crossJoin(F.broadcast(total))       # one row
+    at = at.withColumn("all_used", F.lit(total).cast("bigint"))
     # a piece is cut at each multiple of the window and, in the remainder, at
     # the binary digits of its length
     at = at.withColumn("tail_at", F.expr(f"all_used div {window} * {window}")).withColumn(

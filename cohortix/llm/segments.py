@@ -23,6 +23,19 @@ def as_large(texts) -> pa.Array:
     return pc.fill_null(arr.cast(pa.large_string()), "")
 
 
+def row_slices(texts, target: int = 8 << 20):
+    """(first row, rows) of runs of about ``target`` bytes of text, one row at
+    least: what is done with a run bounds the memory, not the batch."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0)
+    ends = np.cumsum(np.asarray(sizes).astype(np.int64) + 16)
+    row, n = 0, len(ends)
+    while row < n:
+        before = ends[row - 1] if row else 0
+        end = min(max(int(np.searchsorted(ends, before + target, side="right")), row + 1), n)
+        yield row, end - row
+        row = end
+
+
 def factorize(lists: pa.Array):
     """(distinct strings, code of every string, offsets of the lists)."""
     offsets = np.asarray(lists.offsets, dtype=np.int64)
@@ -52,7 +65,7 @@ class RaggedCache:
     its memory is bounded whatever the corpus holds.
     """
 
-    def __init__(self, encode, limit: int = 2_000_000, dtype=np.uint16):
+    def __init__(self, encode, limit: int = 1_000_000, dtype=np.uint16):
         self.encode, self.limit, self.dtype = encode, limit, dtype
         self.clear()
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from ._util import worker_cache
-from .segments import RaggedCache, as_large, factorize, gather, spans
+from .segments import RaggedCache, as_large, factorize, gather, row_slices, spans
 
 SEPARATOR = "<|endoftext|>"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -50,9 +50,8 @@ class WordEncoder:
         cuts = np.unique(cuts)
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)
         texts = pc.binary_join(lists, pa.scalar(SEPARATOR, words.type)).to_pylist()
-        ids = [np.array(e.ids + [self.sep], dtype=np.int64)
-               for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.concatenate(ids)
+        ids = np.concatenate([np.array(e.ids + [self.sep], dtype=np.int64) for k in range(0, len(texts), 256)
+                              for e in tok.encode_batch_fast(texts[k:k + 256], add_special_tokens=False)])
         ends = np.flatnonzero(ids == self.sep)
         if len(ends) != n:
             raise ValueError("the separator did not mark every word")
@@ -100,8 +99,14 @@ def encoder(path: str) -> RaggedCache:
 def batch_ids(texts, path: str):
     """Yield (first row, last row + 1, token offsets of those rows, ids) of a
     batch of texts in runs of bounded size; null texts are empty."""
-    texts = as_large(texts)
     cache = encoder(path)
+    for row, count in row_slices(texts, 8 << 20):
+        for a, b, upto, ids in _slice_ids(texts.slice(row, count), cache):
+            yield row + a, row + b, upto, ids
+
+
+def _slice_ids(texts, cache: RaggedCache):
+    texts = as_large(texts)
     lowered = pc.ascii_lower(texts)
     if not any(pc.any(pc.match_substring(lowered, s)).as_py() for s in SPECIALS):
         texts = lowered         # fewer distinct words; a special string must keep its case
