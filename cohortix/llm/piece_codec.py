@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._util import with_columns_of, worker_cache
 from .piece_model import BPE, BYTE, CONTROL, MARK, NORMAL, UNIGRAM, UNKNOWN, USER_DEFINED, Cutter, parse
-from .segments import BREAK, RaggedCache, as_large, factorize, gather, spans
+from .segments import BREAK, RaggedCache, as_large, factorize, gather, row_slices, spans
 
 CODEC_SCHEMA = ("doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_chars bigint, round_trip boolean, "
                 "ids array<int>, decoded string")
@@ -88,7 +88,7 @@ class Codec:
         self.inner = build(proto, prefix=False)
         proto.normalizer_spec.add_dummy_prefix = False
         self.inner_lib = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.cache = RaggedCache(self._segments, dtype=np.int32)
+        self.cache = RaggedCache(self._segments, limit=500_000, dtype=np.int32)
         # the bytes of each piece, for decoding by position
         out = []
         for p in proto.pieces:
@@ -109,15 +109,22 @@ class Codec:
                 raise ValueError(f"the two libraries differ on {t[:80]!r}: {a[:20]} and {b[:20]}")
 
     def _segments(self, segments):
-        texts = segments.to_pylist()
-        ids = [e.ids for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
-        self._same(texts, ids, self.inner_lib.encode(texts, num_threads=1))
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-        return lengths, flat
+        lengths, flat = [], []
+        for k in range(0, len(segments), 16384):        # an encoding is far larger than its ids
+            texts = segments.slice(k, 16384).to_pylist()
+            ids = [e.ids for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+            self._same(texts, ids, self.inner_lib.encode(texts, num_threads=1))
+            lengths += [len(x) for x in ids]
+            flat.append(np.fromiter((i for x in ids for i in x), np.int32))
+        return np.array(lengths, np.int64), np.concatenate(flat)
 
     def encode(self, texts):
         """Yield (first, last + 1, offsets, ids) in runs of bounded size."""
+        for row, count in row_slices(texts):
+            for a, b, upto, ids in self._encode(texts.slice(row, count)):
+                yield row + a, row + b, upto, ids
+
+    def _encode(self, texts):
         cut, whole = self.cutter(texts)
         distinct, codes, offsets = factorize(pc.split_pattern(cut, BREAK))
         starts, lengths, flat = self.cache.lookup(distinct)
