@@ -14,6 +14,13 @@ training fold; their features are made on the executors and each machine is
 trained in a task of its own, on at most twice the rows of a language.  Only
 the weights (languages squared times ``DIM``) come to the driver.
 
+Filter: the winner of a vote always scores 0.5 or more, so the score alone
+cannot say that a text is in none of the languages.  ``with_language`` asks two
+quantities that can fail: the mean log-likelihood of the text's n-grams under
+the predicted language's profile, and the share of letters among its non-blank
+bytes.  Each language's bounds are fitted on its training rows, every row
+measured against the profile of the others.
+
 Edge cases: null text, or text without a letter: ``und`` with score 0; a null
 doc_id counts as the text '' in the fold's checksum; with no labelled row every
 text is ``und``; one language or one family needs no machine; ties go to the
@@ -31,6 +38,7 @@ from ._util import release_memory, with_columns_of, written
 
 DIM = 4096
 UND = "und"
+ODD, MARGIN, SMOOTH = 0.005, 0.5, 0.1      # of the profiles: odd training rows, nats below the others, weight of a uniform text
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -64,6 +72,12 @@ def features(text: str) -> np.ndarray:
     return (v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32)
 
 
+def letter_share(text: str) -> float:
+    """Bytes of letters among the bytes that are not blank."""
+    raw = text.encode("utf-8", "replace")
+    return sum(map(len, raw.translate(_TABLE).split())) / (sum(map(len, raw.split())) or 1)
+
+
 def fold(col="doc_id"):
     """crc32 of the doc_id as text, modulo 4."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 4
@@ -92,8 +106,26 @@ def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, cost: float = 10.0
     return w
 
 
-def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: int = 400) -> dict:
-    """The model: languages by family and a weight vector per machine."""
+def profile(x: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Of a language's feature rows: log-probabilities of the features, the
+    least likelihood and the least share of letters of a text in it.
+
+    A row's likelihood is taken without the row itself.  ``ODD`` of the rows may
+    lie below the bounds before the margins, so a few wrong labels move none."""
+    p = x.astype(np.float64) ** 2
+    total, n = p.sum(axis=0), len(p)
+
+    def logs(mass, rows):
+        return np.log((mass + SMOOTH * max(rows, 1) / DIM) / (rows + SMOOTH * max(rows, 1)))
+
+    likely = np.array([row @ logs(np.maximum(total - row, 0.0), n - 1) for row in p])
+    k = int(ODD * n)
+    return logs(total, n), float(np.sort(likely)[k] - MARGIN), float(np.sort(share)[k] / 2)
+
+
+def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: int = 400, profiles: bool = False) -> dict:
+    """The model: languages by family and a weight vector per machine; with
+    ``profiles`` also each language's profile and bounds."""
     families = FAMILIES if families is None else families
     rows = with_columns_of(docs, ["doc_id", "text", "lang"]).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -102,7 +134,7 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     sizes = {r["lang"]: r["n"] for r in counts.collect()}       # one row per language
     if not sizes:
-        return {"families": {}, "machines": {}}
+        return {"families": {}, "machines": {}, "profiles": {}}
     # a language's share of the hash range that gives the expected sample size
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
@@ -111,10 +143,23 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
 
     def featurise(it):
         for pdf in it:
-            yield pd.DataFrame({"lang": pdf["lang"], "x": [features(t).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"lang": pdf["lang"], "x": [features(t).tobytes() for t in pdf["text"]],
+                                "share": [letter_share(t) for t in pdf["text"]]})
+
+    sample = written(labelled.filter(place < share).select("lang", "text").mapInPandas(
+        featurise, "lang string, x binary, share double"), "langid-sample")
 
-    sample = written(labelled.filter(place < share).select("lang", "text").mapInPandas(featurise, "lang string, x binary"),
-                     "langid-sample")
+    def describe(pdf):
+        order = np.argsort(pdf["x"], kind="stable")
+        x = np.stack([np.frombuffer(v, np.float32) for v in pdf["x"].to_numpy()[order]])
+        logs, least, letters = profile(x, pdf["share"].to_numpy())
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logs": [logs.astype(np.float32).tobytes()],
+                             "least": [least], "letters": [letters]})
+
+    described = {}
+    if profiles:
+        described = {r["lang"]: (np.frombuffer(r["logs"], np.float32), r["least"], r["letters"]) for r in sample.groupBy(
+            "lang").applyInPandas(describe, "lang string, logs binary, least double, letters double").collect()}
     of = {lang: families.get(lang, lang) for lang in sizes}
     groups: dict[str, list[str]] = {}
     for lang in sorted(of):
@@ -124,7 +169,7 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
     for fam, langs in groups.items():
         pairs += [(fam, a, b) for i, a in enumerate(langs) for b in langs[i + 1:]]
     if not pairs:
-        return {"families": groups, "machines": {}}
+        return {"families": groups, "machines": {}, "profiles": described}
     # a row goes to each machine that its language takes part in
     tasks = {lang: [k for k, (kind, a, b) in enumerate(pairs)
                     if (of[lang] if kind == "family" else lang) in (a, b) and kind in ("family", of[lang])]
@@ -145,7 +190,7 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
 
     fitted = sample.withColumn("k", F.explode(machine)).groupBy("k").applyInPandas(
         train, "k int, w binary, scale double").collect()
-    return {"families": groups,
+    return {"families": groups, "profiles": described,
             "machines": {pairs[r["k"]]: (np.frombuffer(r["w"], np.float32), r["scale"]) for r in fitted}}
 
 
@@ -203,11 +248,27 @@ def identify(docs: DataFrame, families: dict[str, str] | None = None, per_langua
     return predict(docs, fit(docs, families, per_language))
 
 
+def recognised(x: np.ndarray, share: np.ndarray, model: dict, min_score: float = 0.5) -> np.ndarray:
+    """Whether each text is in the language predicted for it: the vote's score
+    and the bounds of the language's profile."""
+    lang, score = classify(x, model)
+    ok = score >= min_score
+    for name in set(lang):
+        at = np.flatnonzero(lang == name)
+        if name not in model["profiles"]:       # the sample missed a rare language
+            continue
+        logs, least, letters = model["profiles"][name]
+        ok[at] &= ((x[at].astype(np.float64) ** 2) @ logs >= least) & (share[at] >= letters)
+    return ok
+
+
 def with_language(docs: DataFrame, min_score: float = 0.5, families: dict[str, str] | None = None,
                   per_language: int = 400) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: they hold a letter,
-    and the score is at least ``min_score``.  Columns are those of ``docs``."""
-    model = fit(docs, families, per_language)
+    the score is at least ``min_score`` (0.5 rejects nothing), and likelihood
+    and share of letters reach the predicted language's bounds.  Columns are
+    those of ``docs``."""
+    model = fit(docs, families, per_language, profiles=True)
     texts = docs["text"].cast("string") if "text" in docs.columns else F.lit(None).cast("string")
 
     @F.pandas_udf("boolean")
@@ -217,8 +278,9 @@ def with_language(docs: DataFrame, min_score: float = 0.5, families: dict[str, s
         if model["families"]:
             values = col.to_numpy()
             for i in range(0, len(col), 512):
-                x = np.stack([features(t) for t in values[i:i + 512]])
-                out[i:i + 512] = classify(x, model)[1] >= min_score
+                part = values[i:i + 512]
+                x, share = np.stack([features(t) for t in part]), np.array([letter_share(t) for t in part])
+                out[i:i + 512] = recognised(x, share, model, min_score)
         return pd.Series(out)
 
     return docs.filter(texts.isNotNull() & texts.rlike(r"\p{L}")).filter(accepted(texts))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from cohortix.llm import language_id as g
-from tests.llm.common import documents, odd_documents
+from tests.llm.common import components, crc, documents, lower, odd_documents
 
 SYLLABLES = {"en": "th ing er the and of".split(), "de": "ung sch ein keit und der".split(),
              "fr": "eau oi que les ment é".split(), "es": "ción ado que los ñ os".split()}
@@ -65,3 +65,54 @@ def test_svm_separates_and_is_repeatable():
     w = g.train_svm(x, y)
     assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() > 0.97
     assert (w == g.train_svm(x, y)).all()
+
+
+def junk():
+    """Texts with letters that are in none of the corpus's languages."""
+    rng = random.Random(4)
+    return ["Все люди рождаются свободными и равными в своем достоинстве и правах",
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+            " ".join("%032x" % rng.getrandbits(128) for _ in range(20)),
+            "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(300)),
+            "123 456 a 789 !!! 000", "x 123 456 !!! 789"]
+
+
+def test_filter_rejects_rows_with_letters(spark):
+    rows = corpus(240) + [(900 + k, t, None, *[None] * 5) for k, t in enumerate(junk())]
+    out = g.with_language(documents(spark, rows))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(240))
+    # no labelled row of the language itself: the only profile still rejects
+    one = [r for r in corpus(240) if r[2] == "en"] + [(900, junk()[0], None, *[None] * 5)]
+    assert 900 not in {r["doc_id"] for r in g.with_language(documents(spark, one)).collect()}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = corpus(200)
+    copies = [(300 + k, rows[k][1].upper() if k % 2 and rows[k][1].isascii() else rows[k][1], *rows[k][2:]) for k in range(0, 40)]
+    near = [(400 + k, rows[150 + k][1] + " the", *rows[150 + k][2:]) for k in range(40)]
+    bad = [(500 + k, t, "en" if k == 0 else None, *[None] * 5) for k, t in enumerate([*junk(), "123 !!", "", None])]
+    documents(spark, rows + copies + near + bad).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    largest = {}
+    for r in rows + copies + near:
+        largest[lower(r[1])] = max(largest.get(lower(r[1]), r), r)
+    stay = list(largest.values())
+    texts = {r[0]: r[1] for r in stay}
+    want = {d: texts[d] for d, _, c in components(stay) if d == c}
+    assert len(want) < len(stay) < len(rows + copies + near)
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for r in out:
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == set(want)
+    for d, pieces in got.items():
+        ids, at = encoder.encode(want[d], add_special_tokens=False).ids + [2], 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert (r["start"], r["ids_crc32"]) == (at, crc(ids[at:at + r["length"]]))
+            at += r["length"]
+        assert at == len(ids)
