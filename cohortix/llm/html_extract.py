@@ -13,6 +13,15 @@ minimum cut; such blocks are decided first, and flow runs on the rest.
 
 Scale: pages are independent; one pass, no shuffle.
 
+An article or main element inside a container that is boilerplate by its name
+is scored as an article: a wrapper's class ("layout with-sidebar") does not
+outweigh it.  In navigation, asides, footers, comments, adverts and lists of
+related pages, and in an article's own boilerplate, it counts only if the page
+has no other article.  Scripts, styles, controls, players, frames and drawings
+are skipped; a self-closed or unclosed one hides nothing (an unclosed script or
+style hides the rest, as in browsers).  Text of math, object and, inside an
+article, noscript elements is text.
+
 Edge cases: null or empty html, and html without content, gives the empty
 string and n_chars 0; unclosed, unknown and wrongly nested tags are tolerated;
 character references are decoded once; pages of any length are read whole;
@@ -32,17 +41,24 @@ from pyspark.sql import functions as F
 
 from ._util import with_columns_of, worker_cache
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# skipped with their content, if not self-closed and if their own end follows
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|iframe|object|svg|math|select|textarea|button|canvas|video|audio)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
+    r"|<(?P<raw>script|style)\b" + _ATTRIBUTES + r"(?<!/)>.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<skip>iframe|select|textarea|button|canvas|video|audio)\b" + _ATTRIBUTES + r"(?<!/)>(?:(?!</?(?P=skip)\b).)*+</(?P=skip)\s*>"
+    r"|<(?P<nest>svg|template)\b" + _ATTRIBUTES + r"(?<!/)>(?:(?!</?(?P=nest)\b).|<(?P=nest)\b[^>]*/>"
+    r"|<(?P=nest)\b[^>]*>(?:(?!</?(?P=nest)\b).)*+</(?P=nest)\s*>)*+</(?P=nest)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>" + _ATTRIBUTES + r")>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)>"
     r"|<[!?/][^>]*>"
-    r"|([^<]+|<)", re.S | re.I)
+    r"|(?P<text>[^<]+|<)", re.S | re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q ruby rp rt s samp small "
-                   "span strike strong sub sup time tt u var wbr".split())
+                   "span strike strong sub sup time tt u var wbr math menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
+SELF_CLOSED = frozenset("script style iframe select textarea button canvas video audio svg template object math noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # a new one ends an open one of the same kind
 IMPLIED_END = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"),
@@ -54,12 +70,19 @@ AWAY_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox
     consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter
     notice notices notification overlay pagination pager popup promo promotion recommended related replies reply respond search share
     sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets""".split())
+# in these an article may be a teaser or a comment
+LIST_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox comment comments disqus footer modal popup promo
+    promotion recommended related replies reply respond sidebar sponsor sponsored widget widgets""".split())
+LIST_TAGS = frozenset("nav footer aside menu dialog".split())
 HOME_WORDS = frozenset("article articlebody body content entry main post story text".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-HIDDEN, AWAY, HOME = "hidden", "away", "home"
+# "has-sidebar" tells of a neighbour, not of the element
+_MODIFIER = re.compile(r"(?:has|with|without|no)(?:[-_]|(?=[A-Z]))")
+
+HIDDEN, AWAY, LIST, HOME, ARTICLE, MAIN = "hidden", "away", "list", "home", "article", "main"
 
 
 def kind_of(tag: str, attributes: str) -> str | None:
@@ -74,7 +97,7 @@ def kind_of(tag: str, attributes: str) -> str | None:
 
 def container_kind(tag: str, attributes: str) -> str | None:
     """What an element says about its content, by tag, role, class and id."""
-    if tag == "head":
+    if tag in ("head", "annotation", "annotation-xml"):
         return HIDDEN
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) \
@@ -82,18 +105,19 @@ def container_kind(tag: str, attributes: str) -> str | None:
         return HIDDEN
     role = found.get("role", "").lower()
     if role in AWAY_ROLES:
-        return AWAY
+        return AWAY if role in ("form", "search") else LIST
     if tag in AWAY_TAGS:
-        return AWAY
-    if tag in ("article", "main") or role in ("main", "article"):
-        return HOME
+        return LIST if tag in LIST_TAGS else AWAY
+    names = [n for n in (found.get("class", "") + " " + found.get("id", "")).split() if not _MODIFIER.match(n)]
+    words = {w.lower() for n in names for w in _WORD.findall(n)}
+    if tag == "main" or role == "main":
+        return MAIN
+    if tag == "article" or role == "article":
+        return HOME if words & LIST_WORDS else ARTICLE
     if tag in ("html", "body"):
         return None
-    words = {w.lower() for w in _WORD.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if words & AWAY_WORDS and not words & HOME_WORDS:
-        return AWAY
-    if words & {"comment", "comments"}:
-        return AWAY
+    if words & AWAY_WORDS and not words & HOME_WORDS or words & {"comment", "comments"}:
+        return LIST if words & LIST_WORDS else AWAY
     return HOME if words & HOME_WORDS else (AWAY if tag == "header" else None)
 
 
@@ -109,11 +133,12 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, hidden ones left out."""
     out: list[Block] = []
-    # an open element: tag, number, inside article, inside boilerplate, hidden, inside a header, region
+    # an open element: tag, number, inside article (ARTICLE or MAIN: by its tag), inside boilerplate (ARTICLE: in an
+    # article there), hidden, inside a header, region
     stack = [("", 0, False, False, False, False, 0)]
     current, links, number = None, 0, 0
     for m in _TOKEN.finditer(page):
-        text = m[8]
+        text = m["text"]
         if text is not None:
             top = stack[-1]
             if top[4]:
@@ -129,12 +154,12 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 current.linked += len(text)
             continue
-        name = m[3] or m[6]
+        name = m["tag"] or m["tag2"]
         if name is None:
-            if m[1] and m[1].lower() in ("iframe", "object", "video", "audio", "canvas"):
+            if m["skip"] and m["skip"].lower() in ("iframe", "video", "audio", "canvas"):
                 current = None
             continue
-        tag, closing = name.lower(), (m[2] or m[5])
+        tag, closing, attributes = name.lower(), m["end"] or m["end2"], m["attributes"] or m["attributes2"] or ""
         if tag not in INLINE or tag == "wbr":
             if tag != "wbr":
                 current = None
@@ -150,7 +175,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if tag in VOID:
+        if tag in VOID or tag in SELF_CLOSED and attributes.endswith("/"):
             continue
         ends = IMPLIED_END.get(tag, ()) or (("p",) if tag in CLOSES_P else ())
         if tag in CLOSES_P and "p" not in ends:
@@ -163,17 +188,24 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] not in INLINE and not (stack[k][0] == "p" and "p" in ends):
                 break
         top, number = stack[-1], number + 1
-        kind = kind_of(tag, m[4] or m[7] or "")
+        kind = kind_of(tag, attributes)
         home, away, hidden, head, region = top[2], top[3], top[4], top[5], top[6]
+        if tag == "noscript" and not kind and not home:
+            kind = LIST                 # of an article it is text, elsewhere a notice
         if kind == HIDDEN:
             hidden = True
-        elif kind == HOME:
-            home, region = True, number
-        elif kind == AWAY:
+        elif kind in (HOME, ARTICLE, MAIN):
+            if kind == MAIN or kind == ARTICLE and away == AWAY:
+                away = False            # a wrapper's name says nothing about the article in it
+            elif kind == ARTICLE and away == LIST:
+                away = ARTICLE
+            home, region = (home or HOME) if kind == HOME else kind, number
+        elif kind:
             if tag == "header" and home:
                 head = True             # an article's own header: its headings stay
             else:
-                away = True
+                # inside an article every further article counts as one of a list
+                away = LIST if kind == LIST or home == ARTICLE or away == LIST else AWAY
             region = number
         if tag == "a":
             links += 1
@@ -272,6 +304,10 @@ def extract_text(page: str | None) -> str:
         return ""
     found = [(b, " ".join(_html.unescape("".join(b.parts)).split())) for b in blocks_of(page)]
     found = [(b, t) for b, t in found if t]
+    if not any(b.home in (ARTICLE, MAIN) and not b.away for b, _ in found):
+        for b, _ in found:              # the only articles of the page, whatever holds them
+            if b.away == ARTICLE:
+                b.away = False
     has_home = any(b.home and not b.away for b, _ in found)
     scores = [score(b, t, has_home) for b, t in found]
     edges, last = [], {}

@@ -53,3 +53,28 @@ def test_query(spark):
     assert sorted([(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in out], key=str) == sorted(
         [(1, "u", "x y", 3), (None, None, "", 0), (1, "u", "", 0)], key=str)
     assert g.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("page,text", [
+    (PAGE % '<div class="layout with-sidebar"><article><p>One two.</p></article></div>', "One two."),
+    (PAGE % '<div id="search-page"><article><h1>T</h1><p>One two.</p></article><p>x</p></div>', "T One two."),
+    (PAGE % '<div class="comments-enabled"><main><p>One two.</p></main></div>', "One two."),
+    (PAGE % '<div class="sidebar-layout"><article><p>One two.</p></article></div>', "One two."),
+    (PAGE % '<form id="aspnet"><article><p>One two.</p></article></form>', "One two."),
+    (PAGE % '<main><div class="layout notices"><article><p>One two.</p></article></div></main>', "One two."),
+    # teasers and comments stay away
+    (PAGE % '<article><p>One two.</p></article><div class="sidebar"><article><p>Teaser text</p></article></div>', "One two."),
+    (PAGE % '<article><p>One two.</p><div class="replies"><article><p>I agree with this</p></article></div></article>', "One two."),
+    (PAGE % '<div class="layout search"><article><p>One two.</p></article></div><div id="comments"><article class="comment">'
+     '<p>I agree</p></article></div>', "One two."),
+    # elements that hold text, and raw ones without an end
+    (PAGE % "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><object>chart of it</object>"
+     "<noscript><p>plain form</p></noscript></article>", "Let x=1 be. chart of it plain form"),
+    (PAGE % "<article><p>One <svg/>two.</p><p>Three <button/>four.</p><script src='x'/><p>Five.</p></article><svg></svg>",
+     "One two. Three four. Five."),
+    ("<article><p>One two.</p><object data=x><p>Three four.</p></article>", "One two. Three four."),
+    ("<article><p>One <button>two.</p><p>Three.</p><button>Buy</button></article>", "One two. Three."),
+    ("<article><p>One <svg><svg><text>no</text></svg><title>no</title></svg>two.</p><select><option>no</select></article>", "One two."),
+])
+def test_nothing_else_is_dropped(page, text):
+    assert g.extract_text(page) == text
