@@ -25,7 +25,10 @@ summed.
    a group of near copies costs about its size, not the square, and no
    candidate that could change a component is left out.
 
-The result has a row per document; pairs are never listed per group.
+``ngram_components`` has a row per document; pairs are never listed per group.
+``ngram_links`` is the join with all its links: steps 1 to 5 for every candidate
+pair of classes, whose answer is the linked classes and each document's class
+and number of links.
 
 Edge cases: no words, null or empty text: no shingles, linked with nothing
 (such documents are not linked with one another); fewer words than ``size``:
@@ -366,8 +369,9 @@ def _class_components(lists: DataFrame, segments: DataFrame, num: int, code: str
         star_round += 1
 
 
-def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, portion: float = 0.4) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _candidates(docs: DataFrame, size: int, num: int, portion: float) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Classes of the documents; of the live classes the prefix entries and the
+    segments, and the type of their codes."""
     texts = _texts(docs)
     classes = _document_classes(texts, size, num, portion)
     sets = written(_live_sets(texts, classes, size), "join-sets")
@@ -376,7 +380,41 @@ def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, portion: flo
     discard(sets)
     segments = ready.select("cls", F.posexplode("segments").alias("cut", "seg"))
     entries = ready.select("cls", "n", "weight", F.inline("prefix"))
-    lists = written(entries, "join-lists")
+    return classes, written(entries, "join-lists"), segments, code
+
+
+def ngram_links(docs: DataFrame, size: int = 5, num: int = 80, portion: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (documents, pairs).
+
+    documents: doc_id, n_shingles, class_id (equal sets), n_links (linked other
+    documents, those of the own class included) of every document.
+    pairs: class_a < class_b of every two linked classes.  Every candidate pair
+    is verified, so pairs of a group of near copies are as many as its links."""
+    classes, lists, segments, code = _candidates(docs, size, num, portion)
+    pairs = lists.alias("a").join(lists.alias("b"), F.expr(
+        f"a.code = b.code and a.cls < b.cls and {_may_link(num, 'a', 'b')}")).selectExpr(
+        "a.cls as a", "b.cls as b", "a.n as na", "b.n as nb").distinct()
+    pairs = written(pairs, "join-pairs")
+    links = written(_verified(pairs, segments, num, code), "join-links")
+    discard(pairs)
+    members = classes.filter("n > 0").groupBy("cls").agg(F.count("*").alias("m"))
+    both = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    others = both.join(members.select(F.col("cls").alias("other"), "m"), "other").groupBy("cls").agg(
+        F.sum("m").alias("outside"))
+    counts = members.join(others, "cls", "left").select(
+        "cls", (F.col("m") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"))
+    documents = classes.filter("n > 0").join(counts, "cls").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), "n_links")
+    documents = documents.unionByName(classes.filter("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("class_id"),
+        F.lit(0).cast("bigint").alias("n_links")))
+    return documents, links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, num: int = 80, portion: float = 0.4) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    classes, lists, segments, code = _candidates(docs, size, num, portion)
     comps = _class_components(lists, segments, num, code)
     of_class = classes.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low")).join(
         comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

@@ -2,7 +2,7 @@ import random
 
 from cohortix.llm import ngram_join as g
 from cohortix.llm.graph import connected_components
-from tests.llm.common import components, documents, key, odd_documents
+from tests.llm.common import components, documents, key, odd_documents, shingles, words
 
 
 def run(spark, rows, **kw):
@@ -46,3 +46,44 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{k: 1 for k in range(1, 31)}, 50: 50, 100: 50, 200: 200, 201: 200, 202: 200}
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def links(rows):
+    """Number of links per row and linked pairs of different sets, by comparing all pairs."""
+    sets = [frozenset(shingles(r[1])) for r in rows]
+    n, pairs = [0] * len(sets), set()
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                n[a] += 1
+                n[b] += 1
+                if x != y:
+                    pairs.add(frozenset([x, y]))
+    return sets, n, pairs
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = list(odd_documents())
+    for k in range(60):       # chains: neighbours link, the ends of a chain do not
+        w = words(50 + k % 6, 120).split()
+        for j in range(k // 6):
+            w[3 * j] = f"new{j}"
+        rows.append((1000 + k, " ".join(w), *rows[0][2:]))
+    rng.shuffle(rows)
+    sets, n, want = links(rows)
+    docs, pairs = g.ngram_links(documents(spark, rows).repartition(3))
+    got = docs.collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=key) == sorted(
+        ((r[0], len(s), k) for r, s, k in zip(rows, sets, n)), key=key)
+    text = {}       # class of a set, by the ids that are unique
+    unique = {r[0]: s for r, s in zip(rows, sets) if r[0] is not None and sum(x[0] == r[0] for x in rows) == 1}
+    for r in got:
+        if r["doc_id"] in unique and r["class_id"] is not None:
+            assert text.setdefault(r["class_id"], unique[r["doc_id"]]) == unique[r["doc_id"]]
+    pairs = [tuple(r) for r in pairs.collect()]
+    assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    assert {frozenset([text[a], text[b]]) for a, b in pairs} == want and len(pairs) == len(want) > 500
+    none, no_pairs = g.ngram_links(documents(spark, []))
+    assert none.collect() == [] and no_pairs.collect() == []
