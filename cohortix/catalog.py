@@ -305,7 +305,6 @@ FIXTURE_SCHEDULE = sub.ShareSchedule(first_change="1998-03-01", tds_edges=(20, 5
 EC_START = "1996-07-01"
 ARPU_SEGMENT, ARPU_SINCE = "BUILDING", "1996-01-01"
 SURVEYS_AS_OF = "2024-07-20"     # the surveys (events) are of January 2024
-INVESTOR_MONTHS = [f"{1995 + m // 12}-{m % 12 + 1:02d}-01" for m in range(80)]     # every month up to AS_OF
 NON_RECURRING_PRIORITY = "5-LOW"
 
 
@@ -442,7 +441,9 @@ def m12l(spark, d):
 
 @register("m12_investor_wide")
 def m12w(spark, d):
-    return sub.investor_wide(sub.investor_long(_loc(_t(spark, d))), INVESTOR_MONTHS)
+    t = _t(spark, d)
+    months = sub.month_axis(fx.order_days(t), "dt", fx.AS_OF)
+    return sub.investor_wide(sub.investor_long(_loc(t)), months)
 
 
 @register("m13_account_timeline")

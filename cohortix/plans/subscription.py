@@ -10,6 +10,8 @@ monthly_payments            M5   live-day payments, tenure number, margin bps
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import is_month_end, month_start
@@ -401,11 +403,22 @@ def investor_long(loc: DataFrame) -> DataFrame:
         F.when(paying, monthly("payments_margin_arr_full_month")).otherwise(0.0).alias("monthly_payments_margin")))
 
 
+def month_axis(days: DataFrame, date_col: str, as_of: str) -> list[str]:
+    """First days of the months from the first to the last ``date_col``, none
+    after ``as_of``; the month of ``as_of`` alone if there is no such day.  One
+    row comes to the driver."""
+    end = F.lit(as_of).cast("date")
+    r = days.filter(month_start(date_col) <= month_start(end)).agg(
+        F.min(date_col).cast("date").alias("lo"), F.max(date_col).cast("date").alias("hi")).first()
+    lo, hi = (r["lo"], r["hi"]) if r["lo"] else [date.fromisoformat(as_of)] * 2
+    return [f"{m // 12:04d}-{m % 12 + 1:02d}-01" for m in range(lo.year * 12 + lo.month - 1, hi.year * 12 + hi.month)]
+
+
 def investor_wide(long: DataFrame, months: list[str]) -> DataFrame:
     """M12 wide: one row per account, a column ``<yyyy_MM>_<metric>`` per month
     and metric and ``<yyyy_MM>_status``; ``long`` has one row per account and
-    month.  The months are given, so the columns are known before the job runs
-    (no extra pass to find pivot values)."""
+    month.  The months are given (``month_axis``: a scan of the days alone), so
+    the pipeline does not run twice to find pivot values."""
     labels = [m[:7].replace("-", "_") for m in months]
     return (long.withColumn("m", F.date_format("month", "yyyy_MM")).filter(F.col("m").isin(*labels))
                 .groupBy("customer_id").pivot("m", labels)

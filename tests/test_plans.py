@@ -99,3 +99,26 @@ def test_module_state_windows(spark):
     assert got[1].start_mods == 1 and got[1].promo == 1 and got[1].small == 1 and got[1].large is None
     assert 2 not in got                      # both rows outside the windows
     assert got[3].start_mods == 1 and got[3].large is None
+
+
+def test_investor_months_follow_the_table(spark, tmp_path):
+    import shutil
+
+    from cohortix.catalog import QUERIES
+
+    sf = str(tmp_path)
+    for name in ("customer", "nation", "region"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", sf)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(20)
+    first, other = [r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").limit(2).collect()]
+    early = lambda key, day: orders.limit(1).withColumn("o_custkey", F.lit(key).cast(orders.schema["o_custkey"].dataType)).withColumn(
+        "o_orderdate", F.lit(day).cast(orders.schema["o_orderdate"].dataType)).withColumn("o_orderstatus", F.lit("F"))
+    early(first, "1993-11-05").unionByName(early(other, "1994-02-07")).unionByName(early(other, "2002-01-03")).write.parquet(
+        f"{sf}/orders.parquet")
+    out = QUERIES["m12_investor_wide"](spark, sf)
+    months = sorted({c[:7] for c in out.columns if c.endswith("_status")})
+    assert months == ["1993_11", "1993_12", "1994_01", "1994_02"]      # 2002 lies behind AS_OF
+    rows = {r["customer_id"]: r for r in out.collect()}
+    assert rows[first]["1993_11_status"] and rows[other]["1994_02_status"] and not rows[other]["1993_11_status"]
+    empty = sub.month_axis(spark.createDataFrame([], "dt date"), "dt", "2001-08-01")
+    assert empty == ["2001-08-01"]
