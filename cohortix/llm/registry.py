@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     grace_dedup,
     html_extract,
     language_id,
@@ -16,6 +20,7 @@ from . import (
     token_files,
     url_filter,
 )
+from ._util import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,3 +98,41 @@ def op9(spark, sf_dir):
 @register("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _finite(scale: int) -> str:
+    """SQL of the usable vectors with components floor(scale * x)."""
+    return f"""select *, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds as one CTE per assignment and per update."""
+    gap = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    ctes = [f"e as ({_finite(1024)})", "v as materialized (select row_number() over () as r, vec_id, q from e where len(q) = 64)",
+            f"""c0 as materialized (select (row_number() over (order by h) - 1)::integer as c, q from
+            (select sha256('3:' || vec_id) as h, q from v order by h limit {k}))"""]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} as materialized (select r, min(struct_pack(d := d, c := c)) as m from
+        (select v.r, c.c, {gap} as d from v cross join c{n} c) group by r)""")
+        if n < rounds:
+            ctes.append(f"""s{n} as (select c, i, sum(x) as s, count(*) as n from
+            (select a.m.c as c, unnest(v.q) as x, unnest(range(64)) as i from a{n} a join v using (r)) group by c, i)""")
+            ctes.append(f"""c{n + 1} as materialized (select o.c, coalesce(u.q, o.q) as q from c{n} o left join
+            (select c, list(((s - (((s % n) + n) % n)) // n)::bigint order by i) as q from s{n} group by c) u using (c))""")
+    return f"""with {", ".join(ctes)}
+    select v.vec_id, a.m.c as cluster, a.m.d as distance, sum(a.m.d) over (partition by a.m.c)::bigint as cluster_inertia,
+           sum(a.m.d) over ()::bigint as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+    from a{rounds} a join v using (r) join c{rounds} c on c.c = a.m.c"""
+
+
+@register("op11_centroids", _clustering_sql())
+def op11(spark, sf_dir):
+    found = centroids.cluster(_read(spark, sf_dir, "embeddings"))
+    rows = written(found.assigned, "clusters")
+    sums = {r["cluster"]: r["s"] for r in rows.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    facts = [(c, sums.get(c, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())
+             for c, x in enumerate(found.centroids)]       # a row per centroid
+    facts = spark.createDataFrame(facts, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return rows.join(F.broadcast(facts), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
