@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     centroids,
     grace_dedup,
+    hard_negatives,
     html_extract,
     language_id,
     ngram_join,
@@ -136,3 +137,23 @@ def op11(spark, sf_dir):
     facts = spark.createDataFrame(facts, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return rows.join(F.broadcast(facts), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@register("op12_hard_negatives", f"""
+with e as ({_finite(256)}),
+r as (select vec_id, q, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+      from e where vec_id is not null and label is not null),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label,
+             list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint as score
+      from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, own, vec_id as positive_id, score as positive_score from s where label = own
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::integer as rank,
+       s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id)
+where s.label <> p.own and 80 * positive_score <= 100 * s.score and s.score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) <= 5""")
+def op12(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
