@@ -23,6 +23,8 @@ from .plans import subscription as sub
 from .plans import tickets as tk
 from .sources import fixtures as fx
 from .sources.query import coerce_types, query_to_table
+from .sources.shared import new_folder
+from .sources.sinks import MonthTable
 from .sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +92,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROCESSOR_VENDORS = {"urgent": "1-URGENT", "high": "2-HIGH"}
-NON_PREVENTABLE = ("AUTOMOBILE", "MACHINERY")
 CARE_START, CARE_END = "2024-01-01", "2024-01-31"
 
 
@@ -104,24 +105,49 @@ def m42(spark, d):
     return churn.processor_churn(fx.customers(t), ev, pay, "1995-01-01", fx.AS_OF, PROCESSOR_VENDORS)
 
 
-def _cohort(t):
-    c = fx.customers(t).withColumnRenamed("parent_id", "account_id")
-    return cohort.cohort_drivers(fx.daily(t), c, NON_PREVENTABLE)
+COHORT_RULES = cohort.CohortRules(excluded_resellers=("Reseller 3", "Reseller 11"), excluded_owner_accounts=("N20",),
+                                  excluded_sellers=("Seller 1",))
+
+
+def _cohort(t, levels=1, days=None):
+    g = cohort.cohort_drivers(fx.account_days(t) if days is None else days, fx.account_snapshots(t), fx.account_directory(t), fx.account_opportunities(t),
+                              fx.account_products(t), COHORT_RULES, levels)
+    return g.select("dt", *cohort.OWNER, "location_count", *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
 
 
 @register("m43_cohort_drivers")
 def m43(spark, d):
-    g = _cohort(_t(spark, d))
-    return g.select("dt", "account_id", "location_count",
-                    *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
+    return _cohort(_t(spark, d))
 
 
 @register("m44_period_growth")
 def m44(spark, d):
-    g = _cohort(_t(spark, d))
-    g = g.select("dt", "account_id", "location_count",
-                 *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
-    return cohort.period_growth(g, fx.AS_OF, "1995-01-01")
+    return cohort.period_growth(_cohort(_t(spark, d)), fx.AS_OF)
+
+
+RESTATED = "1999-05-01"     # the month whose amounts are restated to their double
+
+
+def _saved_cohort(spark, d):
+    """The cohort table, saved by month; then one month is restated and its
+    partition alone rewritten, from that month's days alone."""
+    t = _t(spark, d)
+    table = MonthTable(spark, new_folder(spark, "cohort-growth"))
+    table.create(_cohort(t))
+    days = fx.account_days(t).filter(F.trunc("dt", "month") == F.lit(RESTATED).cast("date"))
+    table.replace(_cohort(t, days=days.withColumn("live_amount", F.col("live_amount") * 2)), [RESTATED])
+    return table
+
+
+@register("snk3_saved_cohort")
+def snk3(spark, d):
+    return _saved_cohort(spark, d).read().drop(MonthTable.PART)
+
+
+@register("snk3_saved_growth")
+def snk3g(spark, d):
+    """Period growth read from the saved cohort table."""
+    return cohort.period_growth(_saved_cohort(spark, d).read().drop(MonthTable.PART), fx.AS_OF)
 
 
 # --------------------------------------------------------------------- care
@@ -783,10 +809,5 @@ def srt2(spark, d):
 
 @register("m43_cohort_drivers_grandparent")
 def m43g(spark, d):
-    """Cohort drivers rolled up one more level (location -> parent ->
-    grandparent): stocks and flows per region and day."""
-    t = _t(spark, d)
-    c = fx.customers(t).withColumn("account_id", F.col("grandparent_id").cast("long"))
-    g = cohort.cohort_drivers(fx.daily(t), c, NON_PREVENTABLE)
-    return g.select("dt", "account_id", "location_count",
-                    *[F.round(c_, 2).alias(c_) for c_ in ["live_saas_arr"] + cohort.FLOWS])
+    """Cohort drivers with the flows rolled up two levels, as the locations are."""
+    return _cohort(_t(spark, d), levels=2)

@@ -10,7 +10,10 @@ latest_per_key  JOI-9     latest row per key: the greatest (order, columns)
                           struct, so ties have one answer; aggregated before
                           the shuffle.
 unmatched       JOI-20    anti join.
-hierarchy       JOI-10    entity -> parent -> grandparent chain.
+hierarchy       JOI-10    entity -> parent -> grandparent chain, by month when
+                          the entities are monthly snapshots.
+asof_lookup     JOI-16    values and running sums of the last row at or before a
+                          probe's time: one window per key over rows and probes.
 """
 
 from __future__ import annotations
@@ -84,6 +87,30 @@ def hierarchy(entities: DataFrame, key: str, parent: str, time_col: str | None =
     return out
 
 
+def asof_lookup(probes: DataFrame, rows: DataFrame, keys: list[str], time_col: str, values: list[str],
+                running: list[str] = ()) -> DataFrame:
+    """Every probe with the ``values`` of the last row of its keys at or before
+    its time (null without one), that row's time as ``row_<time>``, and for the
+    ``running`` columns ``cum_<c>``, their sum over all rows up to it.
+
+    rows: unique on keys + time.  Rows and probes are put in one sorted stream per
+    key (rows first on equal times), so sparse rows need no grid and a key is
+    shuffled once; the window streams, whatever stretch of time lies between."""
+    mine = [c for c in probes.columns if c not in (*keys, time_col)]
+    at = F.struct(F.col(time_col).alias("t"), *[F.col(c) for c in values])
+    a = rows.select(*keys, time_col, F.lit(0).alias("_probe"), at.alias("_row"), *[F.col(c).alias(f"_r_{c}") for c in running],
+                    F.lit(None).alias("_mine"))
+    b = probes.select(*keys, time_col, F.lit(1).alias("_probe"), F.lit(None).alias("_row"),
+                      *[F.lit(None).alias(f"_r_{c}") for c in running], F.struct(*mine).alias("_mine"))
+    w = Window.partitionBy(*keys).orderBy(time_col, "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).select(
+        *keys, time_col, "_probe", "_mine", F.last("_row", ignorenulls=True).over(w).alias("_row"),
+        *[F.sum(f"_r_{c}").over(w).alias(f"cum_{c}") for c in running])
+    return both.filter("_probe = 1").select(
+        *keys, time_col, "_mine.*", F.col("_row.t").alias(f"row_{time_col}"), *[F.col(f"_row.{c}").alias(c) for c in values],
+        *[f"cum_{c}" for c in running])
+
+
 def hour_split(states: DataFrame, start_col: str = "start_ts", seconds_col: str = "seconds",
                hour_col: str = "hour", out_col: str = "seconds_in_hour") -> DataFrame:
     """One row per (interval, touched clock hour) with the overlap seconds

@@ -1,117 +1,207 @@
 """M43 daily cohort drivers and M44 period cohort growth.
 
-M43 builds, per account and day, the stock (live locations, live ARR) and the
-flows (new-location ARR, upsell, downsell, churn split preventable/not).
-Stocks are running sums of the flows over a dense day spine per account (the
-spine is bounded by the calendar).
-
-M44 evaluates 12 periods (6 lengths x backward/forward) for every month and
-account.  The warehouse form is a range join of periods with daily rows; here
-stocks are equi-join lookups on the period's start and end day and flows are
-differences of per-account prefix sums, ``cum(end) - cum(start - 1)``.  The
-cohort table must be dense per account (one row per day, as the daily
-snapshot is) for the equi lookups to be exact.
+M43 gives, per day and top account, the stocks of that day's snapshot (live
+locations, live ARR, ARR of locations on their first order day) and the flows
+attached to it: upsell and downsell of won opportunities by the sign of their
+amounts, churned ARR split by churn reason.
+
+* Locations roll up two levels (location -> parent -> grandparent) on the
+  snapshot of their month (``operators.joins.hierarchy``, keyed by account and
+  month).  Daily rows meet the chain by (month, account), a pair that is unique
+  in the snapshot, and are added up before anything is keyed by the top account.
+* Opportunities are added up by (account, close date) and then by (owner, day)
+  before they meet the days; no day x opportunity product exists.
+* ``levels=1`` attaches flows to the owner's direct children, ``levels=2`` rolls
+  them up as the locations are.
+
+M44 evaluates periods (lengths x forward/lookback) of every month from an
+account's first row on.  The cohort rows may be sparse: a stock is that of the
+last row at or before the period's edge, a flow the difference of running sums
+at the two edges.  Both come from one ``asof_lookup``, a window over the
+account's own rows and edges; no day grid, no range join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nulls import div0
-from ..operators.windows import running_sum
+from ..operators.joins import asof_lookup, hierarchy
 
+STOCKS = ["live_saas_arr", "location_count"]
 FLOWS = ["new_live_saas", "upsell_saas_arr", "downsell_saas_arr", "churned_saas_arr",
          "preventable_churn_arr", "non_preventable_churn_arr"]
+OWNER = ["account_id", "customer_id", "rsm_id", "segment"]
+
+
+@dataclass(frozen=True)
+class CohortRules:
+    """Values of the cohort report.  ``sign``: the amount whose sign tells
+    upsell from downsell (it adds the software amount twice)."""
+
+    live_status: str = "Live"
+    excluded_resellers: tuple[str, ...] = ()
+    excluded_owner_accounts: tuple[str, ...] = ()
+    excluded_sellers: tuple[str, ...] = ()
+    upsell_type: str = "Existing Business (Upsell)"
+    payroll_record: str = "Payroll"
+    existing_business: str = "Existing Customer"
+    preventable_reasons: tuple[str, ...] = ("competitor",)
+    sign: str = "software_mrr + hardware_cost + software_mrr"
+
+
+def _chain(snapshots: DataFrame) -> DataFrame:
+    """(month, account_id, owner, first_order_date): the top of the chain of
+    each account in each month; no owner without a parent and grandparent row."""
+    links = snapshots.select("month", "account_id", "parent_account_id", "first_order_date")
+    up = hierarchy(links, "account_id", "parent_account_id", "month", levels=2)
+    return up.select("month", "account_id", "first_order_date", F.col("parent_2").alias("owner"))
+
+
+def _month(c: str) -> Column:
+    return F.trunc(c, "month")
+
+
+def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, rules: CohortRules) -> DataFrame:
+    """dt, owner attributes, location_count, live_saas_arr, new_live_saas.
+
+    daily: account_id, dt (unique together), status, live_amount.  snapshots:
+    month, account_id (unique together), customer_id, parent_account_id, rsm_id,
+    segment, first_order_date.  accounts: account_id, reseller."""
+    dropped = accounts.filter(F.col("reseller").isin(*rules.excluded_resellers)).select("account_id")
+    days = daily.join(dropped, "account_id", "left_anti") if rules.excluded_resellers else daily
+    located = days.withColumn("month", _month("dt")).join(
+        _chain(snapshots).filter(F.col("owner").isNotNull()), ["month", "account_id"])
+    amount = F.col("live_amount")
+    sums = located.groupBy("dt", "month", "owner").agg(
+        F.count_if(F.col("status") == rules.live_status).alias("location_count"),
+        (F.sum(amount) * 12).alias("live_saas_arr"),
+        (F.sum(F.when(F.col("dt") == F.col("first_order_date"), amount)) * 12).alias("new_live_saas"))
+    owner = snapshots.select("month", F.col("account_id").alias("owner"), F.col("customer_id"), "rsm_id", "segment")
+    if rules.excluded_owner_accounts:
+        owner = owner.filter(~F.col("owner").isin(*rules.excluded_owner_accounts))
+    return sums.join(owner, ["month", "owner"]).select(
+        "dt", F.col("owner").alias("account_id"), "customer_id", "rsm_id", "segment", "location_count", "live_saas_arr", "new_live_saas")
+
+
+def _attach(events: DataFrame, day: str, accounts: DataFrame, snapshots: DataFrame, levels: int) -> DataFrame:
+    """Events (account_id, ``day``, ...) with the ``owner`` that reports them."""
+    if levels == 1:
+        return events.join(accounts.select("account_id", F.col("parent_account_id").alias("owner")), "account_id")
+    chain = _chain(snapshots).select("month", "account_id", "owner")
+    return events.withColumn("month", _month(day)).join(chain, ["month", "account_id"])
+
+
+def opportunity_flows(opps: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
+                      levels: int) -> tuple[DataFrame, DataFrame]:
+    """(owner, dt, upsell, downsell) and the owners with any qualifying opportunity."""
+    upsell = F.col("opp_type") == rules.upsell_type
+    payroll = (F.col("record_type") == rules.payroll_record) & (F.col("business") == rules.existing_business)
+    won = opps.filter(F.col("is_won") & ~F.col("owner_id").isin(*rules.excluded_sellers) & (upsell | payroll))
+    sign = F.expr(rules.sign)
+    by_day = won.groupBy("account_id", F.col("close_date").alias("dt")).agg(
+        F.coalesce(F.sum(F.when(upsell & (sign >= 0), F.col("software_mrr"))), F.lit(0.0)).alias("up"),
+        F.coalesce(F.sum(F.when(upsell & (sign < 0), F.col("software_mrr"))), F.lit(0.0)).alias("down"))
+    owned = _attach(by_day, "dt", accounts, snapshots, levels).filter(F.col("owner").isNotNull())
+    sums = owned.groupBy("owner", "dt").agg((F.sum("up") * 12).alias("upsell_saas_arr"),
+                                            (F.sum("down") * 12).alias("downsell_saas_arr"))
+    return sums, owned.select("owner").distinct()
+
+
+def churn_flows(status: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
+                levels: int) -> tuple[DataFrame, DataFrame]:
+    """(owner, dt, lost_p, lost_o): churned ARR of preventable and other reasons
+    (null without any), and per owner which kinds of children it has."""
+    reason = F.coalesce(F.lower("churn_reason"), F.lit("")).isin(*[r.lower() for r in rules.preventable_reasons])
+    kinds = accounts.select("account_id", reason.alias("preventable"))
+    gone = status.filter((F.col("churn_date") == F.col("dt")) & F.col("first_order_date").isNotNull())
+    lost = gone.groupBy("account_id", "dt").agg((F.sum("saas_price") * 12).alias("lost")).join(kinds, "account_id")
+    sums = _attach(lost, "dt", accounts, snapshots, levels).filter(F.col("owner").isNotNull()).groupBy("owner", "dt").agg(
+        F.sum(F.when(F.col("preventable"), F.col("lost"))).alias("lost_p"),
+        F.sum(F.when(~F.col("preventable"), F.col("lost"))).alias("lost_o"))
+    if levels == 1:
+        children = accounts.select("account_id", F.col("parent_account_id").alias("owner"))
+    else:
+        children = _chain(snapshots).select("account_id", "owner").distinct()
+    flags = children.join(kinds, "account_id").filter(F.col("owner").isNotNull()).groupBy("owner").agg(
+        F.bool_or("preventable").alias("any_p"), F.bool_or(~F.col("preventable")).alias("any_o"))
+    return sums, flags
+
+
+def cohort_drivers(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, opps: DataFrame, status: DataFrame,
+                   rules: CohortRules = CohortRules(), levels: int = 1) -> DataFrame:
+    """One row per day and top account with a daily row below it.
+
+    accounts: account_id, parent_account_id, reseller, churn_reason.  opps:
+    account_id, close_date, is_won, owner_id, opp_type, record_type, business,
+    software_mrr, hardware_cost.  status: account_id, dt, saas_price,
+    churn_date, first_order_date (a row per product and day).
+
+    Nulls follow the report: upsell and downsell are 0 on other days for accounts
+    with any qualifying opportunity and null for the rest; a churn kind is 0 when
+    the account has children of the other kind only, null without churn."""
+    stocks = cohort_stocks(daily, snapshots, accounts, rules)
+    opp_sums, opp_owners = opportunity_flows(opps, accounts, snapshots, rules, levels)
+    lost, kinds = churn_flows(status, accounts, snapshots, rules, levels)
+    own = F.col("account_id")
+    out = (stocks
+           .join(opp_sums.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")
+           .join(opp_owners.select(F.col("owner").alias("account_id"), F.lit(True).alias("has_opp")), "account_id", "left")
+           .join(lost.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")
+           .join(kinds.withColumnRenamed("owner", "account_id"), "account_id", "left"))
+    zero = F.lit(0.0)
+    other = F.coalesce("any_o", F.lit(True))        # no children: one row of the other kind
+    return out.select(
+        "dt", own, "customer_id", "rsm_id", "segment", "location_count", "live_saas_arr", "new_live_saas",
+        *[F.when(F.col("has_opp"), F.coalesce(c, zero)).alias(c) for c in ("upsell_saas_arr", "downsell_saas_arr")],
+        F.when(F.col("lost_p").isNotNull() | F.col("lost_o").isNotNull(),
+               F.coalesce("lost_p", zero) + F.coalesce("lost_o", zero)).alias("churned_saas_arr"),
+        F.when(other, F.coalesce("lost_p", zero)).otherwise(F.col("lost_p")).alias("preventable_churn_arr"),
+        F.when(F.coalesce("any_p", F.lit(False)), F.coalesce("lost_o", zero)).otherwise(F.col("lost_o"))
+        .alias("non_preventable_churn_arr"))
+
 
+def period_growth(cohort: DataFrame, as_of: str, lengths: tuple[int, ...] = (30, 60, 90, 180, 270, 365)) -> DataFrame:
+    """Growth per month, length and direction over all accounts that have live
+    locations at the period's start.
 
-def cohort_drivers(daily: DataFrame, customers: DataFrame,
-                   non_preventable_segments: tuple[str, ...]) -> DataFrame:
-    """daily: customer_id, dt, status, volume.  customers: customer_id,
-    account_id, segment, first_order_date, last_order_date, churn_date.
-
-    The days run from the first to the last day of the data (snapshots and
-    churn), so no flow lies outside the grid and stocks start at zero."""
-    c = customers.select("customer_id", "account_id", "segment", "first_order_date",
-                         "last_order_date", "churn_date")
-    d = daily.join(c, "customer_id")
-    first = F.col("dt") == F.col("first_order_date")
-    arr = F.col("volume") * 12
-    day_flows = d.groupBy("account_id", "dt").agg(
-        F.sum(F.when(first, arr).otherwise(0.0)).alias("new_live_saas"),
-        F.sum(F.when(~first & (F.col("status") == "Live"), arr).otherwise(0.0)).alias("upsell_saas_arr"),
-        F.sum(F.when(~first & (F.col("status") == "Backlog"), -arr).otherwise(0.0)).alias("downsell_saas_arr"),
-        F.count_if(first).alias("loc_delta"))
-    last = (d.filter(F.col("churn_date").isNotNull() & (F.col("dt") == F.col("last_order_date")))
-             .select("account_id", F.col("churn_date").alias("dt"), arr.alias("c_arr"),
-                     F.col("segment").isin(*non_preventable_segments).alias("np")))
-    churn = last.groupBy("account_id", "dt").agg(
-        F.sum("c_arr").alias("churned_saas_arr"),
-        F.sum(F.when(~F.col("np"), F.col("c_arr")).otherwise(0.0)).alias("preventable_churn_arr"),
-        F.sum(F.when(F.col("np"), F.col("c_arr")).otherwise(0.0)).alias("non_preventable_churn_arr"),
-        (-F.count(F.lit(1))).alias("churn_delta"))
-    # dense day grid per account, generated from the calendar range (no
-    # cross join: each account row expands to its own days)
-    bounds = day_flows.select("dt").unionByName(churn.select("dt")).agg(
-        F.min("dt").alias("lo"), F.max("dt").alias("hi"))     # one row
-    grid = c.select("account_id").distinct().select("account_id", F.explode(F.sequence(
-        bounds.select("lo").scalar(), bounds.select("hi").scalar(), F.expr("INTERVAL 1 DAY"))).alias("dt"))
-    g = (grid.join(day_flows, ["account_id", "dt"], "left").join(churn, ["account_id", "dt"], "left")
-             .fillna(0, subset=FLOWS + ["loc_delta", "churn_delta"]))
-    g = g.withColumn("net", F.col("new_live_saas") + F.col("upsell_saas_arr") +
-                     F.col("downsell_saas_arr") - F.col("churned_saas_arr"))
-    g = g.withColumn("locs", F.col("loc_delta") + F.col("churn_delta"))
-    g = running_sum(g, ["account_id"], "dt", {"location_count": "locs", "live_saas_arr": "net"})
-    return g.select("dt", "account_id", "location_count", "live_saas_arr", *FLOWS)
-
-
-def period_growth(cohort: DataFrame, as_of: str, first_month: str,
-                  lengths=(30, 60, 90, 180, 270, 365)) -> DataFrame:
+    cohort: account_id, dt (unique together), STOCKS, FLOWS; rows may be sparse.
+    A period that ends after ``as_of`` ends on the day before it (its nominal
+    length stays; ``effective_days`` tells the real one).  A missing flow is 0."""
     a = F.lit(as_of).cast("date")
-    # one row per account with its last day: flows of a period that runs past
-    # the data are summed up to that day, as a range join would
-    accounts = cohort.groupBy("account_id").agg(F.max("dt").alias("last_dt"))
-    # each account expands to its (month, length, direction) periods: months
-    # from the calendar, 12 period shapes from the parameter list
+    first = cohort.groupBy("account_id").agg(F.min("dt").alias("first_dt"))
     shapes = F.array(*[F.struct(F.lit(n).alias("daysinperiod"), F.lit(d).alias("period_type"))
-                       for d in ("backward", "forward") for n in lengths])
-    pa = (accounts
-          .withColumn("month", F.explode(F.sequence(F.trunc(F.lit(first_month).cast("date"), "month"),
-                                                    F.trunc(a, "month"), F.expr("INTERVAL 1 MONTH"))))
-          .withColumn("p", F.explode(shapes)).select("account_id", "last_dt", "month", "p.*"))
-    back = F.col("period_type") == "backward"
-    pa = (pa.withColumn("period_start", F.when(back, F.date_sub("month", F.col("daysinperiod")))
-                        .otherwise(F.col("month")))
-            .withColumn("period_end", F.when(back, F.col("month"))
-                        .otherwise(F.date_add("month", F.col("daysinperiod"))))
-            .withColumn("period_end", F.when(F.col("period_end") > a, F.date_sub(a, 1))
-                        .otherwise(F.col("period_end")))
-            .filter("period_start <= period_end")       # the cut at as_of may leave no day
-            .withColumn("flow_end", F.least("period_end", "last_dt")))
-    cum = running_sum(cohort, ["account_id"], "dt", {f"cum_{f}": f for f in FLOWS})
-    cum = cum.select("account_id", "dt", "live_saas_arr", "location_count", *FLOWS,
-                     *[f"cum_{f}" for f in FLOWS])
-    # one lookup at the start day gives the start stock and, since
-    # cum(start - 1) = cum(start) - flow(start), the flow baseline too
-    st = cum.select("account_id", F.col("dt").alias("period_start"),
-                    F.col("live_saas_arr").alias("period_start_saas"),
-                    F.col("location_count").alias("period_start_location"),
-                    *[(F.col(f"cum_{f}") - F.col(f)).alias(f"s_{f}") for f in FLOWS])
-    en = cum.select("account_id", F.col("dt").alias("flow_end"),
-                    F.col("live_saas_arr").alias("end_saas"),
-                    *[F.col(f"cum_{f}").alias(f"e_{f}") for f in FLOWS])
-    j = (pa.join(st, ["account_id", "period_start"], "inner")   # needs a start row
-           .filter(F.col("period_start_location") > 0)
-           .join(en, ["account_id", "flow_end"], "left")
-           .withColumn("end_saas", F.when(F.col("flow_end") == F.col("period_end"), F.col("end_saas"))))
-    flow = {f: F.col(f"e_{f}") - F.coalesce(F.col(f"s_{f}"), F.lit(0.0)) for f in FLOWS}
+                       for d in ("forward", "lookback") for n in lengths])
+    months = F.sequence(F.trunc("first_dt", "month"), F.greatest(F.trunc(a, "month"), F.trunc("first_dt", "month")),
+                        F.expr("INTERVAL 1 MONTH"))
+    p = (first.withColumn("month", F.explode(months)).filter(F.col("month") <= a)
+         .withColumn("p", F.explode(shapes)).select("account_id", "first_dt", "month", "p.*"))
+    forward = F.col("period_type") == "forward"
+    start = F.when(forward, F.col("month")).otherwise(F.date_sub(F.last_day("month"), F.col("daysinperiod")))
+    end = F.when(forward, F.date_add("month", F.col("daysinperiod"))).otherwise(F.last_day("month"))
     keys = ["month", "period_start", "period_end", "daysinperiod", "period_type"]
-    g = j.groupBy(*keys).agg(
-        F.round(F.sum("period_start_saas"), 2).alias("period_start_saas"),
-        F.round(F.sum("end_saas"), 2).alias("period_end_saas"),
-        F.round(F.sum(flow["new_live_saas"]), 2).alias("new_location"),
-        F.round(F.sum(flow["upsell_saas_arr"]), 2).alias("upsell"),
-        F.round(F.sum(flow["downsell_saas_arr"]), 2).alias("downsell"),
-        F.round(F.sum(flow["churned_saas_arr"]), 2).alias("churn"))
+    p = (p.withColumn("period_start", start).withColumn("period_end", F.when(end > a, F.date_sub(a, 1)).otherwise(end))
+         # no stock before the first row; the cut at as_of may leave no day
+         .filter((F.col("period_start") <= F.col("period_end")) & (F.col("period_start") >= F.col("first_dt")))
+         .select("account_id", *keys))
+    edges = p.select("*", F.explode(F.array("period_start", "period_end")).alias("dt"))
+    seen = asof_lookup(edges, cohort.select("account_id", "dt", *STOCKS, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FLOWS]),
+                       ["account_id"], "dt", STOCKS + FLOWS, FLOWS)
+    at_start, at_end = F.col("dt") == F.col("period_start"), F.col("dt") == F.col("period_end")
+    # a flow counts from the start day on: the running sum there, less that day's own row
+    before = {f: F.col(f"cum_{f}") - F.when(F.col("row_dt") == F.col("dt"), F.col(f)).otherwise(0.0) for f in FLOWS}
+    # a period of one day has two edges on it
+    per = seen.groupBy("account_id", *keys).agg(
+        F.max(F.when(at_start, F.col("live_saas_arr"))).alias("start_saas"),
+        F.max(F.when(at_start, F.col("location_count"))).alias("start_locations"),
+        F.max(F.when(at_end, F.col("live_saas_arr"))).alias("end_saas"),
+        *[(F.max(F.when(at_end, F.col(f"cum_{f}"))) - F.max(F.when(at_start, before[f]))).alias(f) for f in FLOWS])
+    g = per.filter("start_locations > 0").groupBy(*keys).agg(
+        F.round(F.sum("start_saas"), 2).alias("period_start_saas"), F.round(F.sum("end_saas"), 2).alias("period_end_saas"),
+        *[F.round(F.sum(f), 2).alias(n) for n, f in (("new_location", "new_live_saas"), ("upsell", "upsell_saas_arr"),
+                                                     ("downsell", "downsell_saas_arr"), ("churn", "churned_saas_arr"))])
     growth = div0(F.col("period_start_saas") + F.col("new_location") + F.col("upsell") +
                   F.col("downsell") - F.col("churn"), F.col("period_start_saas")) * 100
-    return g.withColumn("cohort_growth", F.round(growth, 2))
+    return g.withColumns({"effective_days": F.datediff("period_end", "period_start"), "cohort_growth": F.round(growth, 2)})

@@ -326,11 +326,116 @@ def customer_months(t: Tables, as_of: str = AS_OF) -> DataFrame:
     its size is bounded by the calendar, not by a cross join."""
     c = customers(t, as_of).filter(F.col("first_order_date").isNotNull())
     end = F.trunc(F.coalesce("churn_date", F.lit(as_of).cast("date")), "month")
-    return c.select("customer_id", "parent_id", "churn_date", "first_order_date",
+    return c.select("customer_id", "parent_id", "segment", "churn_date", "churn_reason", "first_order_date",
                     F.explode(F.sequence(F.trunc("first_order_date", "month"), end,
                                          F.expr("INTERVAL 1 MONTH"))).alias("month"))
 
 
+# ------------------------------------------------------------ account cohorts
+# Accounts are customers (C<key>), nations (N<key>) and regions (R<key>).  A
+# customer's parent is its nation; customers of MOVED_SEGMENT belong to the next
+# nation from MOVED_FROM on.  Nations of GRANDPARENT_REGIONS have the region as
+# parent, the other nations and the regions are their own parents.  A nation's
+# resellers sell to customers with a negative balance.
+MOVED_SEGMENT, MOVED_FROM = "MACHINERY", "1998-07-01"
+NATIONS = 25
+GRANDPARENT_REGIONS = (0, 1)
+PAYROLL_PRIORITY, NEW_PRIORITY, DOWN_PRIORITY = "3-MEDIUM", "1-URGENT", "5-LOW"
+
+
+def _location(c="customer_id"):
+    return F.concat(F.lit("C"), F.col(c).cast("string"))
+
+
+def _nation_account(key):
+    return F.concat(F.lit("N"), key.cast("string"))
+
+
+def _nation_parent():
+    return F.when(F.col("n_regionkey").isin(*GRANDPARENT_REGIONS), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))) \
+        .otherwise(_nation_account(F.col("n_nationkey")))
+
+
+@_memo
+def account_days(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Daily account snapshot: account_id, dt, status, live_amount (the day's
+    volume of live days).  An account that churns has a row on that day."""
+    d = daily(t).select(_location().alias("account_id"), "dt", "status",
+                        F.when(F.col("status") == "Live", F.col("volume")).otherwise(0.0).alias("live_amount"))
+    gone = customers(t, as_of).filter("churn_date is not null").select(
+        _location().alias("account_id"), F.col("churn_date").alias("dt"), F.lit("Churn").alias("status"),
+        F.lit(0.0).alias("live_amount"))
+    return d.unionByName(gone)
+
+
+@_memo
+def account_snapshots(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Monthly snapshot of all accounts: month, account_id, customer_id,
+    parent_account_id, rsm_id, segment, first_order_date."""
+    cm = customer_months(t, as_of)
+    moved = (F.col("segment") == MOVED_SEGMENT) & (F.col("month") >= F.lit(MOVED_FROM).cast("date"))
+    locations = cm.select("month", _location().alias("account_id"), F.col("customer_id"), _nation_account(
+        F.when(moved, (F.col("parent_id") + 1) % NATIONS).otherwise(F.col("parent_id"))).alias("parent_account_id"),
+        F.lit(None).cast("string").alias("rsm_id"), "segment", "first_order_date")
+    span = cm.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    months = F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar(), F.expr("INTERVAL 1 MONTH"))).alias("month")
+    n, r = t("nation"), t("region")
+    no_date = F.lit(None).cast("date").alias("first_order_date")
+    # fixed-size dimensions: a row per month each
+    nations = n.select(months, _nation_account(F.col("n_nationkey")).alias("account_id"),
+                       (-1 - F.col("n_nationkey")).cast("long").alias("customer_id"), _nation_parent().alias("parent_account_id"),
+                       F.concat(F.lit("RSM"), (F.col("n_nationkey") % 7).cast("string")).alias("rsm_id"),
+                       F.col("n_name").alias("segment"), no_date)
+    regions = r.select(months, F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("account_id"),
+                       (-1001 - F.col("r_regionkey")).cast("long").alias("customer_id"),
+                       F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("parent_account_id"),
+                       F.lit("RSM7").alias("rsm_id"), F.col("r_name").alias("segment"), no_date)
+    return locations.unionByName(nations).unionByName(regions)
+
+
+@_memo
+def account_directory(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Accounts as of now: account_id, parent_account_id, reseller, churn_reason."""
+    key = F.when(F.col("segment") == MOVED_SEGMENT, (F.col("parent_id") + 1) % NATIONS).otherwise(F.col("parent_id"))
+    reseller = F.when(F.col("acctbal") < 0, F.concat(F.lit("Reseller "), F.col("parent_id").cast("string")))
+    locations = customers(t, as_of).select(_location().alias("account_id"), _nation_account(key).alias("parent_account_id"),
+                                           reseller.alias("reseller"), "churn_reason")
+    none = F.lit(None).cast("string")
+    nations = t("nation").select(_nation_account(F.col("n_nationkey")).alias("account_id"), _nation_parent().alias("parent_account_id"),
+                                 none.alias("reseller"), none.alias("churn_reason"))
+    return locations.unionByName(nations)
+
+
+@_memo
+def account_opportunities(t: Tables) -> DataFrame:
+    """An opportunity per order: won unless pending; its seller goes by the day
+    of the week; 3-MEDIUM is payroll of an existing customer, 1-URGENT new
+    business, the others upsell; 5-LOW takes its price away and, when fulfilled,
+    sells hardware for twice the price."""
+    o, p = order_days(t), F.col("o_orderpriority")
+    price = F.col("o_totalprice")
+    return o.select(
+        _location().alias("account_id"), F.col("dt").alias("close_date"), (F.col("o_orderstatus") != "P").alias("is_won"),
+        F.concat(F.lit("Seller "), F.dayofweek("dt").cast("string")).alias("owner_id"),
+        F.when(p.isin(PAYROLL_PRIORITY, NEW_PRIORITY), "New Business").otherwise("Existing Business (Upsell)").alias("opp_type"),
+        F.when(p == PAYROLL_PRIORITY, "Payroll").otherwise("Software").alias("record_type"),
+        F.when(p == NEW_PRIORITY, "New Customer").otherwise("Existing Customer").alias("business"),
+        F.when(p == DOWN_PRIORITY, -price).otherwise(price).alias("software_mrr"),
+        F.when((p == DOWN_PRIORITY) & (F.col("o_orderstatus") == "F"), price * 2).otherwise(0.0).alias("hardware_cost"))
+
+
+@_memo
+def account_products(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """Product status by day: account_id, dt, product, saas_price, churn_date,
+    first_order_date; a churned account's last products stand on its churn day."""
+    c = customers(t, as_of).select("customer_id", "first_order_date", "last_order_date", "churn_date")
+    lines = module_lines(t).groupBy("customer_id", "dt", "module").agg(F.sum("amount").alias("saas_price")).join(c, "customer_id")
+    gone = lines.filter((F.col("dt") == F.col("last_order_date")) & F.col("churn_date").isNotNull()).withColumn("dt", F.col("churn_date"))
+    both = lines.unionByName(gone)
+    return both.select(_location().alias("account_id"), "dt", F.col("module").alias("product"), "saas_price", "churn_date",
+                       "first_order_date")
+
+
 # ------------------------------------------------------- tickets and devices
 TICKET_EVENT, DEVICE_EVENT = "error", "click"
 

@@ -1,10 +1,13 @@
-"""Sinks: CSV, a bundle of named tables (one folder per sheet), saved tables."""
+"""Sinks: CSV, a bundle of named tables (one folder per sheet), saved tables,
+and tables kept by month."""
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,3 +38,71 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
         w.parquet(path)
     else:
         w.saveAsTable(name)
+
+
+class MonthTable:
+    """A Parquet table with a folder per month of its date column.
+
+    ``create`` writes it anew, ``replace`` rewrites only the months it is given
+    (dynamic partition overwrite: the files of other months stay as they are),
+    ``read`` lists and opens the folders of the wanted months only.  Rows are dealt
+    by month and rebalanced before the write: a month's rows come in files of the
+    advisory size, and a month that holds a third of all rows is split over tasks."""
+
+    PART = "month_part"
+
+    def __init__(self, spark: SparkSession, path: str, date_col: str = "dt"):
+        self.spark, self.path, self.date_col = spark, path.rstrip("/"), date_col
+
+    def _write(self, df: DataFrame, dynamic: bool) -> None:
+        if self.PART in df.columns:
+            raise ValueError(f"the table's own partition column is called {self.PART}")
+        rows = df.withColumn(self.PART, F.trunc(self.date_col, "month")).hint("rebalance", self.PART)
+        w = rows.write.mode("overwrite").partitionBy(self.PART)
+        if dynamic:
+            w = w.option("partitionOverwriteMode", "dynamic")
+        w.parquet(self.path)
+
+    def create(self, df: DataFrame) -> None:
+        """The whole table anew.  Rows without a date get a partition of their own."""
+        self._write(df, dynamic=False)
+
+    def replace(self, df: DataFrame, months: list[str]) -> None:
+        """Rows of ``months`` (first days, yyyy-MM-01) instead of what stands there.
+        A month without rows in ``df`` becomes empty; rows of other months are an
+        error, as they would replace their month by a part of it.  ``df`` is
+        evaluated once."""
+        wanted = sorted({dt.date.fromisoformat(m) for m in months})
+        if any(m.day != 1 for m in wanted):
+            raise ValueError("a month is named by its first day")
+        month, kind = F.trunc(self.date_col, "month"), df.schema[self.date_col].dataType
+        stray = F.raise_error(F.concat(F.lit("a row outside the replaced months: "), F.coalesce(F.col(self.date_col).cast("string"), F.lit("null"))))
+        inside = F.coalesce(month.isin(*wanted), F.lit(False))
+        old = {m: self._files(m) for m in wanted}
+        self._write(df.withColumn(self.date_col, F.when(inside, F.col(self.date_col)).otherwise(stray.cast(kind))), dynamic=True)
+        for m in wanted:
+            if old[m] and old[m] <= self._files(m):     # no rows came in place of the old ones
+                self._folder(m, lambda fs, path: fs.delete(path, True))
+
+    def _folder(self, month: dt.date, use):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.PART}={month}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return use(fs, path) if fs.exists(path) else None
+
+    def _files(self, month: dt.date) -> set[str]:
+        return set(self._folder(month, lambda fs, path: [f.getPath().getName() for f in fs.listStatus(path)]) or [])
+
+    def read(self, first: str | None = None, last: str | None = None, months: list[str] | None = None,
+             schema: T.StructType | None = None) -> DataFrame:
+        """The rows, with the month as a column; ``first``/``last`` bound the months
+        (both included) and prune folders before any file is opened."""
+        r = self.spark.read
+        df = (r.schema(schema) if schema is not None else r).parquet(self.path)
+        df = df.withColumn(self.PART, F.col(self.PART).cast("date"))
+        if first:
+            df = df.filter(F.col(self.PART) >= F.lit(first).cast("date"))
+        if last:
+            df = df.filter(F.col(self.PART) <= F.lit(last).cast("date"))
+        if months is not None:
+            df = df.filter(F.col(self.PART).isin(*[dt.date.fromisoformat(m) for m in months]))
+        return df
