@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 
 from ._util import with_columns_of, written
 
+BROADCAST_ROWS = 1 << 17        # ids of 8 bytes
 PART_FIELDS = {"type": "string", "text": "string", "ref": "string", "width": "int", "height": "int",
                "seconds": "double", "pages": "int"}
 SEGMENTS = ("conv_id bigint, block bigint, part int, n_turns bigint, text string, n_chars bigint, expanded_tokens bigint, "
@@ -320,6 +321,8 @@ def digests(segments: DataFrame, template: Template | None = None) -> DataFrame:
     per = each.groupBy("conv_id").agg(F.count("*").alias("segments"), *[F.first(c).alias(c) for c in each.columns[1:]])
     single = per.filter("segments = 1").select(each.columns)
     several = per.filter("segments > 1").select(F.col("conv_id").alias("several"))
+    if several.count() <= BROADCAST_ROWS:       # else the segments are shuffled to meet their ids
+        several = F.broadcast(several)
     rest = segments.join(several, F.col("conv_id").eqNullSafe(F.col("several")), "left_semi")
     rest = rest.repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
     return single.unionByName(_digest_runs(rest, template, whole=True))
