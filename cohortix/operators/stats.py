@@ -22,6 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .quantiles import exact_quantiles
+
 
 # ----------------------------------------------------------------- t tails
 def _betacf(a, b, x, iters=300, eps=1e-15):
@@ -224,71 +226,7 @@ def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
                     rd("p75"), rd("max"))
 
 
-# ----------------------------------------------------------- exact quantiles
-BUCKETS = 4096      # value ranges per group that exact_quantiles counts apart
-
-
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    method: str = "linear") -> DataFrame:
-    """Exact quantiles per group (none: of the whole table): 'linear' (numpy default) or 'midpoint'
-    (mean of the two neighbouring ranks).  Returns group + one column per
-    prob name.
-
-    Distributed rank, no single-task sort even for one global group:
-    1. (group, value) histogram -- hash aggregation with map-side combine;
-    2. bucket of each value: its place between the group's smallest and
-       largest value, cut into ``BUCKETS``.  A rounded subtraction, division
-       and product keep the order, and the bounds are exact aggregates, so the
-       bucket is the same however often the plan is evaluated (with a cached
-       input, without exchange reuse, after a lost executor);
-    3. running counts per (group, bucket);
-    4. per (group, bucket) totals -> offsets of earlier buckets (a window per
-       group over at most ``BUCKETS`` rows);
-    5. global rank interval [lo, hi) of every distinct value, then the
-       values at the two ranks around ``(n - 1) p``.
-    """
-    from pyspark.sql import Window
-    key = list(group)
-    h = (df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    ends = h.groupBy(*key).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
-    def with_bounds(h: DataFrame) -> DataFrame:
-        if not key:     # one global group: the bounds are two values
-            return h.withColumns({"_min": ends.select("_min").scalar(), "_max": ends.select("_max").scalar()})
-        same = [F.col(f"h.{k}").eqNullSafe(F.col(f"e.{k}")) for k in key]
-        return h.alias("h").join(ends.alias("e"), same).select("h.*", "_min", "_max")
-    width = F.col("_max") - F.col("_min")
-    place = F.floor((F.col("_v").cast("double") - F.col("_min")) / width * BUCKETS)
-    h = with_bounds(h).select(
-        *key, "_v", "_c",
-        F.when((width > 0) & (width < float("inf")), place).otherwise(0).cast("int").alias("_b"))
-    local = Window.partitionBy(*key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("_lc", F.sum("_c").over(local))
-    tot = h.groupBy(*key, "_b").agg(F.sum("_c").alias("_bt"))
-    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumns({"_off": F.coalesce(F.sum("_bt").over(before), F.lit(0)),
-                           "_n": F.sum("_bt").over(Window.partitionBy(*key))})
-    same = [F.col("h._b") == F.col("t._b"), *[F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in key]]
-    hi = F.col("_off") + F.col("_lc")
-    h = (h.alias("h").join(tot.alias("t"), same)
-          .select(*[F.col(f"h.{k}").alias(k) for k in key], "_v", "_n",
-                  hi.alias("_hi"), (hi - F.col("_c")).alias("_lo")))   # ranks [_lo, _hi) hold _v (0-based)
-    aggs = []
-    for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        k0, k1 = F.floor(pos), F.ceil(pos)
-        at = lambda k: (F.col("_lo") <= k) & (k < F.col("_hi"))
-        aggs += [F.max(F.when(at(k0), F.col("_v"))).alias(f"_{name}_0"),
-                 F.max(F.when(at(k1), F.col("_v"))).alias(f"_{name}_1"),
-                 F.max(pos - k0).alias(f"_{name}_f")]
-    g = h.groupBy(*key).agg(*aggs)
-    if method == "midpoint":
-        return g.select(*key, *[((F.col(f"_{n}_0") + F.col(f"_{n}_1")) / 2).alias(n) for n in probs])
-    return g.select(*key, *[
-        (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")).alias(n)
-        for n in probs])
-
-
+# ----------------------------------------------------------- outlier fences
 def iqr_flags(df: DataFrame, col: str, k: float = 1.5, by: list[str] | None = None) -> DataFrame:
     """FLT-15: Tukey fences from midpoint quartiles; adds ``q1``, ``q3``,
     ``is_upper_outlier`` (>= q3 + k IQR) and ``is_lower_outlier``

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.buckets import cut_right, label_map
 from ..functions.nulls import div0, safe_div
 from ..operators.joins import latest_per_key
-from ..operators.stats import exact_quantiles
+from ..operators.quantiles import exact_quantiles
 
 # Tier edges, labels and ranks.
 GPV_EDGES = [0, 250000, 500000, 1e6, 3e6, 5e6, float("inf")]
