@@ -703,6 +703,20 @@ def m46(spark, d):
     return stats.ols_segments(_features(_t(spark, d)), "ticket_count", OLS_X_ALL, "age_bucket", OLS_X_SEG)
 
 
+# without end_mods, the sum of the module columns, the design has full rank
+OLS_X_FULL = [c for c in OLS_X_ALL if c != "end_mods"]
+
+
+@register("m46_ols_full_rank")
+def m46f(spark, d):
+    """Fits whose coefficients are determined (the segments are large enough
+    for that: customers of less than 40 months, and the others)."""
+    xs = [c for c in OLS_X_FULL if not c.startswith("age")]
+    young = F.when(F.col("age") < 40, "Less than 40 Months").otherwise("40+ Months")
+    f = stats.ols_segments(_features(_t(spark, d)).withColumn("tenure", young), "ticket_count", OLS_X_FULL, "tenure", xs)
+    return f.select("segment", "term", *[F.round(c, 9).alias(c) for c in ("coef", "std_err", "r2")], "n", "rank")
+
+
 @register("m46_ols_single")
 def m46s(spark, d):
     f = _features(_t(spark, d))

@@ -1,14 +1,14 @@
 """Statistics on Spark.
 
-The heavy part -- sums, counts, cross products, quantiles -- runs as Spark
-aggregations on executors.  Only result-sized arrays (one row per slice, or a
-p x p Gram matrix per segment) reach numpy, inside a grouped pandas function.
+The heavy part -- sums, counts, quantiles, factors of regressions -- runs on
+executors.  Only result-sized arrays (one row per slice) reach numpy after that,
+inside vectorised functions.
 
 ttest_from_groups  AGG-26  pooled two-sample t-test from per-group n/mean/var
 t_two_sided_p              vectorised Student-t tail (regularised incomplete
                            beta by continued fraction; scipy is not needed)
-ols_by             AGG-27  OLS with intercept per segment from one Gram
-                           aggregate; pseudo-inverse, rank reported
+ols_by             AGG-27  OLS with intercept per segment from triangular
+                           factors (``regression``); rank reported
 corr_matrix        AGG-25  Pearson r of every numeric pair in one aggregate
 describe           AGG-24  count/mean/std/min/quartiles/max in one aggregate
 """
@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .quantiles import exact_quantiles
+from .regression import ols_fits
 
 
 # ----------------------------------------------------------------- t tails
@@ -104,95 +105,23 @@ def pooled_t(n1, m1, v1, n2, m2, v2) -> Column:
 
 
 # ----------------------------------------------------------------- OLS
-def _gram(df: DataFrame, y: str, xs: list[str], segment: Column, add_const: bool):
-    """One aggregation: n, sums of y and y^2, X'y and the upper triangle of
-    X'X per segment (complete cases)."""
-    d = df.select(segment.alias("segment"), F.col(y).cast("double").alias("_y"),
-                  *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]).dropna()
-    names = (["1.0D"] if add_const else []) + [f"_x{i}" for i in range(len(xs))]
-    p = len(names)
-    # the p(p+1)/2 cross products as SQL text: one expression per term keeps
-    # plan construction cheap; the aggregate itself is codegen'd
-    aggs = [F.expr("count(1) AS n"), F.expr("sum(_y) AS sy"), F.expr("sum(_y * _y) AS syy")]
-    for i in range(p):
-        aggs.append(F.expr(f"sum({names[i]} * _y) AS xy_{i}"))
-        for j in range(i, p):
-            aggs.append(F.expr(f"sum({names[i]} * {names[j]}) AS xx_{i}_{j}"))
-    return d.groupBy("segment").agg(*aggs), p
-
-
-def _solve(gram: DataFrame, terms: list[str], subsets: dict[str, list[int]], add_const: bool,
-           default: list[int] | None = None) -> DataFrame:
-    """Per segment (one row each): pseudo-inverse solve on the segment's
-    term subset (``subsets``, else ``default``, else all terms) in
-    ``applyInPandas``."""
-    p = len(terms)
-    default = default if default is not None else list(range(p))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        n = float(r["n"])
-        full = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                full[i, j] = full[j, i] = r[f"xx_{i}_{j}"]
-        fxy = np.array([r[f"xy_{i}"] for i in range(p)], dtype=float)
-        idx = subsets.get(r["segment"], default)
-        xtx, xty = full[np.ix_(idx, idx)], fxy[idx]
-        k = len(idx)
-        inv = np.linalg.pinv(xtx)
-        beta = inv @ xty
-        rank = int(np.linalg.matrix_rank(xtx))
-        rss = max(float(r["syy"] - 2 * beta @ xty + beta @ xtx @ beta), 0.0)
-        dof = n - rank
-        sigma2 = rss / dof if dof > 0 else np.nan
-        se = np.sqrt(np.clip(np.diag(inv) * sigma2, 0, None))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            tval = beta / se
-        pval = t_sf_two_sided(tval, np.full(k, dof))
-        ybar = r["sy"] / n
-        tss = float(r["syy"] - n * ybar * ybar) if add_const else float(r["syy"])
-        r2 = 1.0 - rss / tss if tss > 0 else np.nan
-        return pd.DataFrame({"segment": r["segment"], "term": [terms[i] for i in idx], "coef": beta,
-                             "std_err": se, "t": tval, "p_value": pval, "r2": r2, "n": int(n), "rank": rank})
-
-    schema = ("segment string, term string, coef double, std_err double, t double, "
-              "p_value double, r2 double, n long, rank int")
-    return gram.groupBy("segment").applyInPandas(solve, schema)
-
-
 def ols_by(df: DataFrame, y: str, xs: list[str], by: str | None = None,
            add_const: bool = True) -> DataFrame:
-    """Coefficient table per segment: segment, term, coef, std_err, t, p_value,
-    r2, n, rank.  Rows with a null y or x are dropped (complete cases).
-
-    One Spark aggregate computes n, sum(x_i x_j), sum(x_i y), sum(y), sum(y^2)
-    per segment; the p x p solve (pseudo-inverse, so collinear designs still
-    fit and report their rank) runs per segment in ``applyInPandas`` on that
-    single row."""
-    seg = F.col(by).cast("string") if by else F.lit("all")
-    gram, p = _gram(df, y, xs, seg, add_const)
-    terms = (["const"] if add_const else []) + list(xs)
-    return _solve(gram, terms, {}, add_const)
+    """Coefficient table per segment (without ``by``: one, 'all'): segment, term,
+    coef, std_err, t, p_value, r2, n, rank.  Complete cases only."""
+    if by is None:
+        return ols_fits(df, y, xs, F.lit(None), {"all": list(xs)}, "all", add_const)
+    return ols_fits(df, y, xs, F.col(by), {None: list(xs)}, None, add_const)
 
 
 def ols_segments(df: DataFrame, y: str, total_xs: list[str], by: str, by_xs: list[str],
                  total_label: str = "all", add_const: bool = True) -> DataFrame:
-    """OLS for the whole population (features ``total_xs``) and for each
-    value of ``by`` (features ``by_xs``) from a single pass: Gram matrices
-    are additive, so the per-segment aggregates over the union of features
-    are summed for the whole population and every fit uses its own subset
-    of rows/columns of the same matrices.  Complete cases over the union."""
-    sup = list(total_xs) + [x for x in by_xs if x not in total_xs]
-    gram, p = _gram(df, y, sup, F.col(by).cast("string"), add_const)
-    cols = [c for c in gram.columns if c != "segment"]
-    total = gram.agg(*[F.sum(c).alias(c) for c in cols]).select(F.lit(total_label).alias("segment"), *cols)
-    terms = (["const"] if add_const else []) + sup
-    pos = {t: i for i, t in enumerate(terms)}
-    const = [0] if add_const else []
-    idx_total = const + [pos[x] for x in total_xs]
-    idx_by = const + [pos[x] for x in by_xs]
-    return _solve(gram.unionByName(total), terms, {total_label: idx_total}, add_const, default=idx_by)
+    """OLS for the whole population (features ``total_xs``) and for each value of
+    ``by`` (features ``by_xs``) from a single pass: the factors of the segments
+    stacked are the factor of the population, and a fit takes the columns of its
+    features.  Complete cases over the union of features."""
+    every = list(total_xs) + [x for x in by_xs if x not in total_xs]
+    return ols_fits(df, y, every, F.col(by), {total_label: list(total_xs), None: list(by_xs)}, total_label, add_const)
 
 
 # ----------------------------------------------------------- describe/corr

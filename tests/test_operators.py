@@ -175,3 +175,50 @@ def test_ols_segments_equal_separate_fits(spark):
     assert all(abs(one[("all", t)] - c) < 1e-9 for t, c in whole.items())
     assert all(abs(one[("old", t)] - c) < 1e-9 for t, c in old.items())
     assert ("old", "b") not in one
+
+
+def test_ols_is_stable_under_another_origin(spark):
+    rng = np.random.default_rng(9)
+    age = rng.integers(0, 80, 3000).astype(float)
+    rows = [(float(a), float(a * a), float(b), float(1 + 0.5 * a - 0.01 * a * a + 2 * b + e), "s" if a < 40 else "t")
+            for a, b, e in zip(age, rng.normal(size=3000), rng.normal(size=3000))]
+    df = spark.createDataFrame(rows, "age double, age_sq double, b double, y double, seg string").repartition(5)
+    far = df.withColumns({"age": F.col("age") + 1e6, "b": F.col("b") * 1e-3 - 1e4})
+    one = {r.term: r for r in ols_by(df, "y", ["age", "age_sq", "b"]).collect()}
+    two = {r.term: r for r in ols_by(far, "y", ["age", "age_sq", "b"]).collect()}
+    for t, f in (("age", 1.0), ("age_sq", 1.0), ("b", 1e3)):
+        assert two[t].coef == pytest.approx(one[t].coef * f, rel=1e-9)
+        assert two[t].std_err == pytest.approx(one[t].std_err * f, rel=1e-7) and two[t].rank == 4
+    x = np.column_stack([np.ones(3000), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]])
+    y = np.array([r[3] for r in rows])
+    beta, res, *_ = np.linalg.lstsq(x, y, rcond=None)
+    cov = np.linalg.inv(x.T @ x) * res[0] / (3000 - 4)
+    for k, t in enumerate(["const", "age", "age_sq", "b"]):
+        assert one[t].coef == pytest.approx(beta[k], rel=1e-8) and one[t].std_err == pytest.approx(np.sqrt(cov[k, k]), rel=1e-8)
+    assert one["b"].r2 == pytest.approx(1 - res[0] / ((y - y.mean()) ** 2).sum())
+
+
+def test_ols_deficient_design_takes_the_smallest_solution(spark):
+    rng = np.random.default_rng(10)
+    a, b = rng.normal(size=60) + 3, rng.normal(size=60) * 10
+    y = 1 + a - b + rng.normal(size=60)
+    df = spark.createDataFrame([(float(p), float(q), float(p + q), 5.0, float(r)) for p, q, r in zip(a, b, y)],
+                               "a double, b double, tot double, five double, y double").repartition(3)
+    got = {r.term: r for r in ols_by(df, "y", ["a", "b", "tot", "five"]).collect()}
+    x = np.column_stack([np.ones(60), a, b, a + b, np.full(60, 5.0)])
+    pinv = np.linalg.pinv(x)
+    sigma = ((y - x @ pinv @ y) ** 2).sum() / (60 - 3)
+    for k, t in enumerate(["const", "a", "b", "tot", "five"]):
+        assert got[t].coef == pytest.approx((pinv @ y)[k], abs=1e-9) and got[t].rank == 3
+        assert got[t].std_err == pytest.approx(np.sqrt(sigma * (pinv @ pinv.T)[k, k]), rel=1e-7)
+
+
+def test_ols_odd_inputs(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", None, 1.0), ("b", 1.0, 7.0), (None, 3.0, 6.0), ("a", float("nan"), 1.0)],
+                               "seg string, x double, y double")
+    got = {(r.segment, r.term): r for r in ols_by(df, "y", ["x"], by="seg").collect()}
+    assert got[("a", "x")].coef == pytest.approx(2.0) and got[("a", "x")].n == 2
+    assert got[("b", "x")].rank == 1 and {s for s, _ in got} == {"a", "b"}
+    no_const = ols_by(df.filter("seg = 'a'"), "y", ["x"], add_const=False).collect()
+    assert [r.term for r in no_const] == ["x"] and no_const[0].coef == pytest.approx(2.0)
+    assert ols_by(df.filter("false"), "y", ["x"]).collect() == []
