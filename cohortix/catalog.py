@@ -762,10 +762,20 @@ def m53(spark, d):
     return a.select("series", "month", "pos", F.round("volume", 2).alias("volume"))
 
 
+def _resampled(t, degree, digits):
+    a = series.align_series(_series(t), "month", "volume", "series")
+    r = series.resample_curve(a, "series", "pos", "volume", 20, degree=degree)
+    return r.select("series", F.round("x", 6).alias("x"), F.round("y", digits).alias("y"))
+
+
 @register("m54_resample_curve")
 def m54(spark, d):
-    a = series.align_series(_series(_t(spark, d)), "month", "volume", "series")
-    return series.resample_curve(a, "series", "pos", "volume", 20)
+    return _resampled(_t(spark, d), 3, 2)
+
+
+@register("m54_resample_linear")
+def m54l(spark, d):
+    return _resampled(_t(spark, d), 1, 4)     # twentieths of cents have four digits
 
 
 # ------------------------------------------------------------------ sources

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortix.plans import subscription as sub
@@ -82,13 +84,53 @@ def test_align_and_resample(spark):
     assert got[("g2", 0)] is None           # before the group's first x -> masked
     rs = resample_curve(a, "g", "pos", "y", 20).collect()
     assert len([r for r in rs if r.g == "g2"]) == 5 * 20 - 19
-    import numpy as np
     xs = np.array([0.0, 1.0, 2.0, 3.0, 4.0])
     ys = xs ** 3 - 2 * xs
     assert np.allclose(spline_eval(xs, ys, np.array([0.5, 2.5, 3.7])), np.array([0.5, 2.5, 3.7]) ** 3
                        - 2 * np.array([0.5, 2.5, 3.7]))
 
 
+@pytest.mark.parametrize("degree", [1, 2, 3, 4, 5])
+def test_splines_of_any_degree(degree):
+    """Polynomials of the degree come back; the points are met; inner derivatives
+    up to degree - 1 are continuous; columns are solved as they are alone."""
+    rng = np.random.default_rng(degree)
+    xs = np.cumsum(rng.uniform(0.5, 2.0, 15))
+    xn = np.linspace(xs[0], xs[-1], 101)
+    poly = np.polynomial.Polynomial(rng.normal(size=degree + 1))
+    assert np.allclose(spline_eval(xs, poly(xs), xn, degree), poly(xn), rtol=1e-7, atol=1e-7 * abs(poly(xs)).max())
+    ys = rng.normal(size=(15, 3))
+    out = spline_eval(xs, ys, xs, degree)
+    assert np.allclose(out, ys)
+    assert np.allclose(spline_eval(xs, ys, xn, degree)[:, 1], spline_eval(xs, ys[:, 1], xn, degree))
+    if degree > 1:
+        e = 1e-5
+        for x in xs[2:-2]:
+            f = spline_eval(xs, ys[:, 0], np.array([x - 2 * e, x - e, x + e, x + 2 * e]), degree)
+            assert abs((f[1] - f[0]) / e - (f[3] - f[2]) / e) < 1e-2
+
+
+def test_spline_is_linear_in_its_points():
+    import time
+    n = 20_000
+    xs = np.arange(n, dtype=float)
+    t = time.perf_counter()
+    y = spline_eval(xs, np.sin(xs / 50), xs + 0.5, 3)
+    assert time.perf_counter() - t < 20 and np.allclose(y[5:-5], np.sin((xs + 0.5) / 50)[5:-5], atol=1e-6)     # n x n: 3 GB
+
+
+def test_resample_keeps_short_series_and_gaps(spark):
+    rows = [("a", k, float(k * k)) for k in range(6)] + [("b", k, None if k in (0, 5) else 2.0 * k) for k in range(6)] + [("c", 0, 1.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, pos int, y double").repartition(3)
+    out = {}
+    for r in resample_curve(df, "g", "pos", "y", 4, degree=2).collect():
+        out.setdefault(r.g, []).append((r.x, r.y))
+    a = sorted(out["a"])
+    assert len(a) == 21 and all(abs(y - x * x) < 1e-9 for x, y in a)
+    b = dict(out["b"])
+    assert b[0.75] is None and b[4.25] is None and b[1.0] == pytest.approx(2.0) and sorted(out["c"]) == [(0.0, 1.0), (1.0, None)]
+
+
 def test_module_state_windows(spark):
     from cohortix.plans.tickets import module_state
     rows = [(1, d(1998, 12, 1), "promo"), (1, d(1999, 2, 1), "promo"), (1, d(1999, 3, 1), "small"),
