@@ -215,6 +215,7 @@ GUEST = ["promo", "small"]
 TDS_PRIORITY = "3-MEDIUM"
 EC_STATUS = "P"
 MODULE_SINCE = "1996-01-01"
+MODULE_TERM = 270
 PANEL_MODULES = list(MODULE_TYPES) + ["tds", "ec", "mod_count"]
 UPLIFT_MODULES = PANEL_MODULES + ["guest_count"]
 BUNDLE_FLAGS = {"PR": "promo", "SM": "small", "EC": "ec", "TD": "tds"}
@@ -223,8 +224,13 @@ BUNDLE_MIN_N = 20
 
 def _module_quarters(t):
     o = fx.order_days(t)
-    lines = fx.module_lines(t).filter(F.col("o_orderstatus") == "F")
-    live = fx.daily(t).filter(F.col("status") == "Live").select("customer_id", "dt")
+    ends = fx.customers(t).select("customer_id", F.col("churn_date").alias("end_date"))
+    # a purchase sets the module's quantity from its day on; it lapses after the term
+    bought = fx.module_lines(t).filter(F.col("o_orderstatus") == "F").groupBy("customer_id", "module", "dt").agg(F.sum("qty").alias("qty"))
+    lines = mods.quarter_end_states(bought, ["customer_id", "module"], ["qty"], ends, fx.AS_OF, MODULE_SINCE, MODULE_TERM)
+    status = fx.daily(t).select("customer_id", "dt", "status_code")
+    live = mods.quarter_end_states(status, ["customer_id"], ["status_code"], ends, fx.AS_OF, MODULE_SINCE)
+    live = live.filter(fx.status_label(F.col("status_code")) == "Live")
     tds = o.select("customer_id", "dt", (F.col("o_orderpriority") == TDS_PRIORITY).cast("long").alias("tds_tx"))
     ec = o.filter(F.col("o_orderstatus") == EC_STATUS).select("customer_id", "dt")
     return mods.module_quarters(lines, live, tds, ec, MODULE_TYPES, COUNTED, MODULE_SINCE)
@@ -323,6 +329,16 @@ def m32(spark, d):
     return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, None, min_n=0, with_p=False)
 
 
+@register("m31_bundle_uplift_pvalue")
+def m31p(spark, d):
+    return uplift.bundle_uplift(_panel(_t(spark, d)), BUNDLE_FLAGS, None, min_n=BUNDLE_MIN_N, with_p=True)
+
+
+@register("m32_single_module_uplift_pvalue")
+def m32p(spark, d):
+    return uplift.bundle_uplift(_panel(_t(spark, d)), {"PR": "promo"}, None, min_n=0, with_p=True)
+
+
 # ------------------------------------------------------- location-month chain
 # Fixture schedule: the contract's rates with change dates moved into the
 # fixture's years and tier edges scaled to its account counts.

@@ -6,10 +6,9 @@ Inputs (all at customer-day grain):
   live:  customer_id, dt                   -- live account days
   tds:   customer_id, dt, tds_tx           -- payment transactions
   ec:    customer_id, dt                   -- payroll presence
-A quarter's snapshot is taken from ``snapshot``: 'quarter_end' keeps rows on
-the quarter's last day (dense daily sources); 'quarter' keeps every row of the
-quarter (sparse sources, where the last state of the quarter is what any row
-of it shows).
+A quarter's snapshot is taken from ``snapshot``: 'quarter_end' keeps the rows of
+the quarter's last day, from a dense daily source or from states read there
+(``quarter_end_states``); 'quarter' keeps every row of the quarter.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import is_last_month_of_quarter, is_quarter_end, quarter_start
+from ..operators.intervals import at_quarter_ends, validity
 from ..operators.joins import period_lookback
 
 BUCKETS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
@@ -27,9 +27,20 @@ def _snap(df: DataFrame, snapshot: str) -> DataFrame:
     return df.filter(is_quarter_end("dt")) if snapshot == "quarter_end" else df
 
 
+def quarter_end_states(changes: DataFrame, keys: list[str], states: list[str], ends: DataFrame, as_of: str,
+                       since: str, term_days: int | None = None) -> DataFrame:
+    """The states that stand on quarter ends, from a source of changes
+    (customer_id, the other keys, dt, states).  A state holds until the next change
+    of its keys, for ``term_days`` at most, and not from the customer's end date
+    (``ends``: customer_id, end_date or null) on."""
+    c = changes.join(ends, "customer_id", "left")
+    until = F.least(F.date_add("dt", term_days), F.col("end_date")) if term_days else F.col("end_date")
+    return at_quarter_ends(validity(c, keys, "dt", states, until), as_of, since)
+
+
 def module_quarters(lines: DataFrame, live: DataFrame, tds: DataFrame, ec: DataFrame,
                     modules: dict[str, str], counted: list[str], since: str,
-                    snapshot: str = "quarter") -> DataFrame:
+                    snapshot: str = "quarter_end") -> DataFrame:
     """customer_id, quarter, <module>_count..., tds_count, ec_count, unique_mod.
 
     Grain: every live (customer, quarter).  Module, tds and ec facts hang on
