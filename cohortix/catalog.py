@@ -12,9 +12,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.dates import month_start
+from .functions.buckets import ilike_any
+from .functions.dates import month_start, prev_quarter_start
 from .operators import stats
-from .operators.joins import hierarchy
+from .operators.aggregates import value_counts
+from .operators.joins import hierarchy, natural_merge
 from .operators.windows import top_k
 from .plans import arpu, attach, care, churn, cohort, series, uplift
 from .plans import modules as mods
@@ -24,7 +26,7 @@ from .plans import tickets as tk
 from .sources import fixtures as fx
 from .sources.query import coerce_types, query_to_table
 from .sources.shared import new_folder
-from .sources.sinks import MonthTable
+from .sources.sinks import Bundle, MonthTable
 from .sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +101,9 @@ CARE_START, CARE_END = "2024-01-01", "2024-01-31"
 def m42(spark, d):
     t = _t(spark, d)
     o = fx.order_days(t)
-    ev = o.select("customer_id", "dt", F.col("o_orderkey").alias("seq"),
+    # a pending or open order names no vendor yet: a customer's first months may
+    # only be filled from a later one
+    ev = o.filter(F.col("o_orderstatus") == "F").select("customer_id", "dt", F.col("o_orderkey").alias("seq"),
                   F.col("o_orderpriority").alias("vendor"))
     pay = o.groupBy("customer_id", month_start("dt").alias("month")).agg(F.sum("o_totalprice").alias("gmv"))
     return churn.processor_churn(fx.customers(t), ev, pay, "1995-01-01", fx.AS_OF, PROCESSOR_VENDORS)
@@ -251,7 +255,7 @@ def m23(spark, d):
 @register("m25_customer_quarter_modules")
 def m25(spark, d):
     p = _mod_panel(_t(spark, d))
-    return p.select("customer_id", "quarter", F.add_months("quarter", -3).alias("prev_quarter"),
+    return p.select("customer_id", "quarter", prev_quarter_start("quarter").alias("prev_quarter"),
                     F.add_months("quarter", 15).alias("next_year"),
                     *[F.round(m, 2).alias(m) if m in MODULE_TYPES else F.col(m) for m in PANEL_MODULES])
 
@@ -355,13 +359,17 @@ def m1(spark, d):
     return sub.explode_ids(fx.id_lists(_t(spark, d)), "id_list", "account_id")
 
 
-def _ec_parent(t):
+def _invoices(t):
+    return fx.order_days(t).select(F.concat(F.lit("G-"), F.col("customer_id").cast("string")).alias("guid"),
+                                   F.col("dt").alias("check_date"), F.col("o_totalprice").alias("total"),
+                                   (F.col("o_orderpriority") != NON_RECURRING_PRIORITY).alias("recurring"))
+
+
+def _ec_parent(t, allow_fanout=False):
     ids = sub.explode_ids(fx.id_lists(t), "id_list", "account_id")
-    inv = fx.order_days(t).select(F.concat(F.lit("G-"), F.col("customer_id").cast("string")).alias("guid"),
-                                  F.col("dt").alias("check_date"), F.col("o_totalprice").alias("total"),
-                                  (F.col("o_orderpriority") != NON_RECURRING_PRIORITY).alias("recurring"))
+    inv = _invoices(t)
     acc = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("parent_id"))
-    return sub.recurring_parent_month(inv, ids, acc, EC_START)
+    return sub.recurring_parent_month(inv, ids, acc, EC_START, allow_fanout=allow_fanout)
 
 
 @register("joi21_billed_ids")
@@ -374,6 +382,21 @@ def joi21(spark, d):
         "guid", "account_id")
 
 
+@register("joi3_reseller_terms")
+def joi3(spark, d):
+    """Accounts with the terms of their reseller.  Most accounts have none, and the
+    terms of direct sales stand under the null reseller: null keys on both sides."""
+    accounts = fx.account_directory(_t(spark, d)).select("account_id", "reseller", "churn_reason")
+    terms = accounts.groupBy("reseller").agg(F.count("*").alias("accounts"), F.count("churn_reason").alias("churned"))
+    return natural_merge(accounts.select("account_id", "reseller"), terms)
+
+
+@register("m2_recurring_parent_month_fanout")
+def m2f(spark, d):
+    """Every listed id of a parent counts its invoices, as an unguarded join does."""
+    return _ec_parent(_t(spark, d), allow_fanout=True)
+
+
 @register("m2_recurring_parent_month")
 def m2(spark, d):
     return _ec_parent(_t(spark, d))
@@ -398,7 +421,7 @@ def _loc(t, persist=False):
     lost blocks are recomputed from lineage).  Single readers stream it."""
     key = ("loc", persist)
     if key not in t.memo:
-        loc = sub.location_month(sub.month_facts(fx.daily(t)), fx.customers(t), FIXTURE_SCHEDULE)
+        loc = sub.location_month(sub.month_facts(fx.daily(t), fx.status_label), fx.customers(t), FIXTURE_SCHEDULE)
         t.memo[key] = loc.persist(StorageLevel.MEMORY_AND_DISK) if persist else loc
     return t.memo[key]
 
@@ -491,7 +514,39 @@ def m12w(spark, d):
 @register("m13_account_timeline")
 def m13(spark, d):
     t = _t(spark, d)
-    return sub.account_timeline(sub.investor_long(_loc(t)), fx.accounts(t))
+    return sub.account_timeline(sub.investor_long(_loc(t)), fx.accounts(t), info=fx.account_info(t))
+
+
+def _payroll(t):
+    ids = sub.explode_ids(fx.id_lists(t), "id_list", "account_id")
+    acc = t("customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("parent_id"))
+    return sub.payroll_long(_invoices(t), ids, acc, EC_START)
+
+
+@register("m12_payroll_wide")
+def m12p(spark, d):
+    t = _t(spark, d)
+    return sub.payroll_wide(_payroll(t), sub.month_axis(fx.order_days(t), "dt", fx.AS_OF))
+
+
+@register("snk5_investor_bundle")
+def snk5(spark, d):
+    """The investor data set saved as one bundle; the outputs and row counts that
+    its manifest names, and the accounts of each output as read back."""
+    t = _t(spark, d)
+    inputs = sub.InvestorInputs(_loc(t), fx.accounts(t), fx.account_info(t), _payroll(t),
+                                tuple(sub.month_axis(fx.order_days(t), "dt", fx.AS_OF)))
+    folder = new_folder(spark, "investor")
+    sub.investor_dataset(inputs, folder, save_raw=True, stage=new_folder(spark, "investor-long"))
+    bundle = Bundle(spark, folder)
+    out = None
+    for name, n in sorted(bundle.manifest()["rows"].items()):
+        df = bundle.read(name)
+        key = "customer_id" if "customer_id" in df.columns else "guid"
+        one = df.agg(F.lit(name).alias("output"), F.lit(n).cast("long").alias("rows"), F.count("*").alias("rows_read"),
+                     F.count_distinct(key).alias("accounts"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ------------------------------------------------------------------ reporting
@@ -565,6 +620,7 @@ CURRENT_MONTH = "2000-06-01"
 HEADROOM_MIN_N = 3
 LIVE_MONTH_MIN_N = 10
 MIX_TYPE, MIX_TIER = "FSR - BUILDING", "1M - 3M"
+MORE_ARR_COLS = ("guest_saas_arr", "commerce_saas_arr", "xc_saas_arr")
 ARR_COLS = {"live_payments_arr": "live_payments_arr", "live_saas_arr": "live_saas_arr",
             "ec_saas_arr": "ec_saas_arr"}
 
@@ -594,7 +650,7 @@ def m34(spark, d):
 
 @register("m35_booking_cohort")
 def m35(spark, d):
-    cols = ["live_arr", *ARR_COLS]
+    cols = ["live_arr", *ARR_COLS, *MORE_ARR_COLS]
     b = arpu.booking_cohort(_m33(_t(spark, d)), "service_group", cols, 3, *ARPU_QUARTERS)
     return b.select("close_quarter", "service_group", "locations", F.round("annualized_gpv", 2).alias("annualized_gpv"),
                     "avg_gpv", *[F.round(c, 2).alias(c) for c in cols],
@@ -677,6 +733,7 @@ def m41(spark, d):
 # ------------------------------------------------------------------ tickets
 TICKET_AT, TICKET_END = "1999-01-01", "1999-07-01"
 EVENT_START, EVENT_MID, EVENT_END = "2024-01-01", "2024-01-16", "2024-01-31"
+TICKET_PATTERNS = ["econ%", "large", "Med%", "promo", "%mall", "standard"]
 TICKET_MODULES = ["economy", "large", "medium", "promo", "small", "standard"]
 THIRD_PARTY = ["promo", "small"]
 
@@ -684,7 +741,7 @@ THIRD_PARTY = ["promo", "small"]
 def _features(t, with_devices=True):
     cust = fx.customers(t)
     pop = tk.population(cust, TICKET_AT)
-    lines = fx.module_lines(t).withColumn("module", F.lower("module"))
+    lines = fx.module_lines(t).filter(ilike_any("module", TICKET_PATTERNS)).withColumn("module", F.lower("module"))
     # one pass over the line items of both windows (start modules and the
     # module flags of the period come from the same aggregation)
     state = tk.module_state(lines, TICKET_AT, TICKET_END, TICKET_MODULES)
@@ -761,6 +818,12 @@ def flt15(spark, d):
     return f.select("customer_id", "ticket_count", "q1", "q3", "is_upper_outlier", "is_lower_outlier")
 
 
+@register("agg17_bucket_shares")
+def agg17(spark, d):
+    """How the accounts of the feature table spread over their module counts."""
+    return value_counts(_features(_t(spark, d)), "end_mods")
+
+
 # ------------------------------------------------------------------ series
 def _series(t):
     """Monthly volume per nation, priority and status: all orders, in series

@@ -6,9 +6,10 @@ period_offset   JOI-7/8   same entity's values N months later, as a left
 hour_split      JOI-17    state intervals split over clock hours by
                           exploding the (bounded) hour list of each interval,
                           replacing an interval-overlap nested-loop join.
-latest_per_key  JOI-9     latest row per key: the greatest (order, columns)
-                          struct, so ties have one answer; aggregated before
-                          the shuffle.
+latest_rows     JOI-9     the rows of a key's latest time, ties kept: the
+                          latest time is hash-aggregated, rows are filtered by it.
+natural_merge   JOI-3     equi-join on all shared columns in which null keys
+                          match null keys, spread over salts.
 unmatched       JOI-20    anti join.
 hierarchy       JOI-10    entity -> parent -> grandparent chain, by month when
                           the entities are monthly snapshots.
@@ -60,14 +61,44 @@ def period_lookback(df: DataFrame, keys: list[str], time_col: str, cols: list[st
     return out.filter(F.col("_has").isNotNull()).drop("_has")
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order_col: str,
-                   cols: list[str] | None = None) -> DataFrame:
-    """Row with the greatest ``order_col`` per key (ties: the
-    greatest of the other columns, in their order)."""
-    cols = cols or [c for c in df.columns if c not in keys]
-    packed = F.struct(F.col(order_col).alias("_order"), *[F.col(c) for c in cols])
-    return (df.groupBy(*keys).agg(F.max(packed).alias("_r"))
-              .select(*keys, *[F.col("_r." + c).alias(c) for c in cols]))
+def latest_rows(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """All rows of each key's greatest ``order_col``: ties are kept (a caller that
+    needs one row brings keys that are unique with the order).
+
+    The greatest order is a fixed-width buffer, so it is hash-aggregated with a
+    map-side step; the rows then meet it by (keys, order), an equi-join that AQE
+    broadcasts or splits, and no key's rows are sorted or gathered.  Null keys
+    match themselves; rows with a null order count only where nothing else is."""
+    top = df.groupBy(*keys).agg(F.max(order_col).alias("_top"))
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
+    on.append(F.col(f"d.{order_col}").eqNullSafe(F.col("t._top")))
+    return df.alias("d").join(top.alias("t"), on, "left_semi")
+
+
+def natural_merge(left: DataFrame, right: DataFrame, how: str = "left", salts: int = 32) -> DataFrame:
+    """Join on all shared column names; a null key matches a null key.
+
+    The null key is the hot one (rows whose attribute is unknown), so left rows
+    with a null in any key are dealt over ``salts`` by a hash of the whole row and
+    right rows with one are copied to each salt.  ``how``: 'left' or 'inner'."""
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
+    keys = [c for c in left.columns if c in right.columns]
+    if not keys:
+        raise ValueError("no shared column")
+    def unknown(names):
+        out = F.lit(False)
+        for c in names:
+            out = out | F.col(c).isNull()
+        return out
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    a = left.withColumn("_salt", F.when(unknown(keys), spread).otherwise(0))
+    copies = F.when(unknown(keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(copies))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys] + [F.col("a._salt") == F.col("b._salt")]
+    more = [c for c in right.columns if c not in keys]
+    return a.alias("a").join(b.alias("b"), on, how).select(*[F.col(f"a.{c}").alias(c) for c in left.columns],
+                                                           *[F.col(f"b.{c}").alias(c) for c in more])
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:

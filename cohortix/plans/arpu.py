@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.buckets import cut_right, label_map
 from ..functions.nulls import div0, safe_div
-from ..operators.joins import latest_per_key
+from ..operators.joins import latest_rows
 from ..operators.quantiles import exact_quantiles
 
 # Tier edges, labels and ranks.
@@ -49,7 +49,7 @@ def booking_cohort(m33: DataFrame, group: str, arr_cols: list[str], exact_months
     locations, average annual volume (thousands, bround 2), the sum and the
     ARPU of each ARR column and the share of the quarter's locations."""
     b = m33.filter((F.col("last_months") == exact_months) & (F.col("gpv") > 0))
-    b = latest_per_key(b, ["customer_id"], "month", ["close_quarter", group, "annualized_gpv", *arr_cols])
+    b = latest_rows(b.select("customer_id", "month", "close_quarter", group, "annualized_gpv", *arr_cols), ["customer_id"], "month")
     g = b.groupBy("close_quarter", group).agg(
         F.count("customer_id").alias("locations"),     # a location once
         F.sum("annualized_gpv").alias("annualized_gpv"), *[F.sum(c).alias(c) for c in arr_cols])

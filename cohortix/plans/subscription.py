@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dates import is_month_end, month_start
 from ..functions.nulls import safe_div
-from ..operators.joins import latest_per_key, period_offset
+from ..operators.joins import latest_rows, period_offset
 
 # measure columns of a retention panel -> output names
 RETENTION_MEASURES = {
@@ -258,7 +258,7 @@ def location_month(facts: DataFrame, accounts: DataFrame,
         saas.alias("pos_live_saas_arr"), rev.alias("rev_share_arr"),
         F.when(live_like, saas).otherwise(0.0).alias("pos_live_saas_arr_full_month"),
         F.when(live_like, F.col("payments_margin_arr")).otherwise(0.0).alias("payments_margin_arr_full_month"),
-        "annual_gmv", "annual_gpv", "has_guest_saas")
+        "annual_gmv", "annual_gpv", "has_guest_saas", *[c for c in ("pos_backlog_saas_arr",) if c in facts.columns])
     # status 12 months later is read before the churn relabel (source order)
     j = period_offset(j.withColumnRenamed("live_count", "is_live"), ["customer_id"], "month",
                       ["status", "is_live"], 12, "_12", fill=None)
@@ -267,26 +267,28 @@ def location_month(facts: DataFrame, accounts: DataFrame,
                         .otherwise(F.col("status")))
 
 
-def month_facts(daily: DataFrame) -> DataFrame:
+def month_facts(daily: DataFrame, status_of=None) -> DataFrame:
     """The customer-month fact table of :func:`location_month` in one
     aggregation of the daily snapshot (daily: customer_id, dt, status,
-    volume, margin, gpv, tds/dd/gh/ue_tx)."""
+    volume, margin, gpv, tds/dd/gh/ue_tx).  ``status_of``: the label of a
+    status code, when the snapshot brings ``status_code``."""
     live = F.col("status") == "Live"
     lsum = lambda c: F.coalesce(F.sum(F.when(live, F.col(c))), F.lit(0))
     # the month's last status is taken by its integer code when present
     # (fixed-width buffer -> hash aggregation), else by the label
-    last = (F.max_by("status_code", "dt") if "status_code" in daily.columns
+    last = (F.max_by("status_code", "dt") if status_of is not None
             else F.max_by("status", "dt"))
     g = daily.groupBy("customer_id", month_start("dt").alias("month")).agg(
         last.alias("_last"),
         (lsum("volume") * 12).cast("double").alias("pos_live_saas_arr"),
+        (F.coalesce(F.sum(F.when(F.col("status") == "Backlog", F.col("volume"))), F.lit(0)) * 12).cast("double")
+        .alias("pos_backlog_saas_arr"),
         F.sum("gh_tx").alias("has_guest_saas"),
         (F.sum("volume") * 12).alias("annual_gmv"), (F.sum("gpv") * 12).alias("annual_gpv"),
         (lsum("margin") * 12).cast("double").alias("payments_margin_arr"),
         *[lsum(c).cast("long").alias(c) for c in ("tds_tx", "dd_tx", "gh_tx", "ue_tx")])
-    if "status_code" in daily.columns:
-        from ..sources.fixtures import status_label
-        return g.withColumn("status", status_label(F.col("_last"))).drop("_last")
+    if status_of is not None:      # the labels of the codes: a row per status
+        return g.withColumn("status", status_of(F.col("_last"))).drop("_last")
     return g.withColumnRenamed("_last", "status")
 
 
@@ -384,19 +386,19 @@ def arpu_by_line(loc: DataFrame, nps: DataFrame, segment: str, since: str, surve
 # Investor sets and account timeline
 # =====================================================================
 INVESTOR_STATUSES = ("Backlog", "Go-Live", "Live", "Churn", "Canceled Contract")
-INVESTOR_METRICS = ("pre_live_saas", "live_saas", "monthly_gmv", "monthly_payments_margin")
+INVESTOR_METRICS = ("backlog_saas", "pre_live_saas", "live_saas", "monthly_gmv", "monthly_payments_margin")
 
 
 def investor_long(loc: DataFrame) -> DataFrame:
     """M12 long: account-month rows of the reported statuses.  The month of the
-    first order is labelled 'Go-Live Month'; monthly SaaS counts as pre-live
-    while in backlog and as live otherwise; volume and payments margin count
+    first order is labelled 'Go-Live Month'; the booked amount is the backlog;
+    monthly SaaS counts as pre-live while in backlog and as live otherwise; volume and payments margin count
     only in the go-live month and while live."""
     status = F.when(month_start("fod") == F.col("month"), F.lit("Go-Live Month")).otherwise(F.col("status"))
     backlog, paying = F.col("status") == "Backlog", F.col("status").isin("Go-Live Month", "Live")
     monthly = lambda c: F.round(c, 2) / 12
     return (loc.filter(F.col("status").isin(*INVESTOR_STATUSES)).withColumn("status", status).select(
-        "customer_id", "parent_id", "month", "status",
+        "customer_id", "parent_id", "month", "status", monthly("pos_backlog_saas_arr").alias("backlog_saas"),
         F.when(backlog, monthly("pos_live_saas_arr")).otherwise(0.0).alias("pre_live_saas"),
         F.when(backlog, 0.0).otherwise(monthly("pos_live_saas_arr")).alias("live_saas"),
         F.when(paying, monthly("annual_gmv")).otherwise(0.0).alias("monthly_gmv"),
@@ -425,9 +427,31 @@ def investor_wide(long: DataFrame, months: list[str]) -> DataFrame:
                 .agg(*[F.max(x).alias(x) for x in ("status", *INVESTOR_METRICS)]))
 
 
+def payroll_long(invoices: DataFrame, id_map: DataFrame, accounts: DataFrame, start: str) -> DataFrame:
+    """Recurring payroll invoices x12 by parent, id and month: parent_id, guid,
+    month, ec_saas_arr.  Inputs as of ``recurring_parent_month``."""
+    inv = (invoices.filter(F.col("recurring") & (month_start("check_date") >= F.lit(start).cast("date")))
+           .groupBy("guid", month_start("check_date").alias("month")).agg(F.sum(F.col("total") * 12).alias("ec_saas_arr")))
+    owners = id_map.join(accounts, "account_id").select("guid", "parent_id").distinct()
+    return inv.join(owners, "guid").select("parent_id", "guid", "month", "ec_saas_arr")
+
+
+def payroll_wide(flat: DataFrame, months: list[str]) -> DataFrame:
+    """M12 payroll set: one row per (parent, id), a column ``<yyyy_MM>_live_ec_saas``
+    per month with the monthly amount."""
+    labels = [m[:7].replace("-", "_") for m in months]
+    return (flat.withColumn("m", F.date_format("month", "yyyy_MM")).filter(F.col("m").isin(*labels))
+            .groupBy("parent_id", "guid").pivot("m", labels).agg((F.round(F.sum("ec_saas_arr"), 2) / 12).alias("live_ec_saas"))
+            .withColumnsRenamed({m: f"{m}_live_ec_saas" for m in labels}))
+
+
+ACCOUNT_ATTRIBUTES = ("location_name", "market_segment", "restaurant_type", "state", "first_go_live_on_parent", "parent_name")
+
+
 def account_timeline(long: DataFrame, accounts: DataFrame, far: str = "2099-01-01",
-                     no_go_live: str = "2013-01-02") -> DataFrame:
-    """M13, per account of ``long``: latest status, booking and go-live date.
+                     no_go_live: str = "2013-01-02", info: DataFrame | None = None) -> DataFrame:
+    """M13, per account of ``long``: latest status, booking and go-live date, and
+    the ACCOUNT_ATTRIBUTES of ``info`` (customer_id and these) when given.
 
     accounts: customer_id, first_order_date, close_date.  First booked month:
     of Backlog or Live rows; first live month: of Live rows.  Go-live is the
@@ -435,7 +459,7 @@ def account_timeline(long: DataFrame, accounts: DataFrame, far: str = "2099-01-0
     first order.  Booking is the close date, or the day before go-live when it
     lies behind that (``far`` without one); an earlier first booked month
     replaces it."""
-    last = latest_per_key(long, ["customer_id"], "month", ["status"])
+    last = latest_rows(long.select("customer_id", "month", "status"), ["customer_id"], "month").drop("month")
     g = long.groupBy("customer_id").agg(
         F.min(F.when(F.col("status").isin("Backlog", "Live"), F.col("month"))).alias("booked"),
         F.min(F.when(F.col("status") == "Live", F.col("month"))).alias("live"))
@@ -444,7 +468,46 @@ def account_timeline(long: DataFrame, accounts: DataFrame, far: str = "2099-01-0
     day = lambda d: F.lit(d).cast("date")
     book = F.coalesce(F.when(F.col("close_date") > F.col("go_live_date"),
                              F.date_sub(F.coalesce("go_live_date", day(no_go_live)), 1)).otherwise(F.col("close_date")), day(far))
-    return j.withColumn("go_live_date", go).select(
+    out = j.withColumn("go_live_date", go).select(
         "customer_id", F.col("status").alias("last_status"),
         F.when(F.col("booked") < month_start("close_date"), F.col("booked")).otherwise(book).alias("booking_date"),
         "go_live_date")
+    return out if info is None else out.join(info.select("customer_id", *ACCOUNT_ATTRIBUTES), "customer_id", "left")
+
+
+@dataclass(frozen=True)
+class InvestorInputs:
+    """What the investor data set is made of; frames as in the functions above."""
+
+    locations: DataFrame
+    accounts: DataFrame
+    info: DataFrame
+    payroll: DataFrame
+    months: tuple[str, ...]
+
+
+def investor_dataset(inputs: InvestorInputs, folder: str | None = None, save: bool = True, save_raw: bool = False,
+                     stage: str | None = None) -> dict[str, DataFrame]:
+    """M12/M13 as a whole: account info, monthly location data, monthly payroll data
+    and payroll account info, and with ``save_raw`` the two long sets.
+
+    The long location set feeds three outputs; it is written once to ``stage`` and
+    read from there, so the chain before it runs once.  With ``save`` the outputs
+    are committed to ``folder`` together (``sources.sinks.Bundle``)."""
+    long = investor_long(inputs.locations)
+    if stage:
+        long.write.mode("overwrite").parquet(stage)
+        long = long.sparkSession.read.schema(long.schema).parquet(stage)
+    payroll_accounts = inputs.payroll.groupBy("parent_id", "guid").agg(F.min("month").alias("first_month"))
+    out = {"account_info": account_timeline(long, inputs.accounts, info=inputs.info),
+           "monthly_location_data": investor_wide(long, list(inputs.months)),
+           "monthly_payroll_data": payroll_wide(inputs.payroll, list(inputs.months)),
+           "payroll_account_info": payroll_accounts}
+    if save_raw:
+        out |= {"investor_long": long, "payroll_long": inputs.payroll}
+    if save:
+        if not folder:
+            raise ValueError("a folder is needed to save the data set")
+        from ..sources.sinks import Bundle
+        Bundle(long.sparkSession, folder).commit(out)
+    return out

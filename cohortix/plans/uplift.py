@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import quarter_start
 from ..functions.nulls import row_sum, safe_div
-from ..operators.joins import latest_per_key, period_lookback
+from ..operators.joins import latest_rows, period_lookback
 from ..operators.stats import pooled_t, t_two_sided_p
 
 
 def latest_customer(daily: DataFrame, customers: DataFrame, attrs: list[str]) -> DataFrame:
-    """Attributes from each customer's latest snapshot day, plus the
-    quarter of the first order."""
-    last = latest_per_key(daily, ["customer_id"], "dt", ["dt", "status"])
+    """Attributes from each customer's latest snapshot day (two rows of that
+    day give two), plus the quarter of the first order."""
+    last = latest_rows(daily.select("customer_id", "dt", "status"), ["customer_id"], "dt")
     c = customers.select("customer_id", "first_order_date", *attrs)
     return (last.join(c, "customer_id", "left")
                 .select("customer_id", F.md5(F.col("customer_id").cast("string")).alias("customer_key"),

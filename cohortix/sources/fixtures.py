@@ -142,6 +142,17 @@ def accounts(t: Tables) -> DataFrame:
         F.col("customer_id") % 11 != 0, F.date_add("first_order_date", lag)).alias("close_date"))
 
 
+@_memo
+def account_info(t: Tables) -> DataFrame:
+    """customer_id, location_name, market_segment, restaurant_type (FSR or QSR),
+    state (nation name), first_go_live_on_parent, parent_name."""
+    p = parents(t).select("parent_id", "parent_name", F.col("parent_first_go_live").alias("first_go_live_on_parent"))
+    return customers(t).join(F.broadcast(p), "parent_id", "left").select(      # a row per nation
+        "customer_id", F.col("customer_name").alias("location_name"), F.col("segment").alias("market_segment"),
+        F.when(F.col("segment").isin(*FSR_SEGMENTS), "FSR").otherwise("QSR").alias("restaurant_type"),
+        F.col("parent_name").alias("state"), "first_go_live_on_parent", "parent_name")
+
+
 @_memo
 def customer_month(t: Tables) -> DataFrame:
     """Customer-month measures (annualised x12): pos_saas_arr (Live days),
@@ -296,7 +307,8 @@ def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Monthly book of business: one row per customer and month with a live
     day, before the ``as_of`` month, for customers with a first order.
     service_model FSR for the FSR segments else QSR; every 10th customer is
-    e-commerce; close date = first order - 30 days."""
+    e-commerce; close date = first order - 30 days; guest ARR from the lowest
+    priority, commerce ARR from the middle ones, xc ARR from backlog days."""
     cm = customer_month(t).filter(F.col("live_days") > 0)
     c = customers(t, as_of).select("customer_id", "segment", "first_order_date")
     svc = F.when(F.col("segment").isin(*FSR_SEGMENTS), "FSR").otherwise("QSR")
@@ -316,6 +328,10 @@ def monthly_book(t: Tables, as_of: str = AS_OF) -> DataFrame:
                       (F.col("pos_saas_arr") + F.col("payments_arr")).alias("live_arr"),
                       F.col("payments_arr").alias("live_payments_arr"),
                       F.col("pos_saas_arr").alias("live_saas_arr"), "ec_saas_arr",
+                      *[(F.round(a, 2) + 0.0).alias(n) for n, a in (       # whole cents, no negative zero
+                          ("guest_saas_arr", F.col("annual_gmv") - F.col("annual_gpv")),
+                          ("commerce_saas_arr", F.col("annual_gpv") - F.col("payments_arr")),
+                          ("xc_saas_arr", F.col("annual_gmv") - F.col("pos_saas_arr") - F.col("ec_saas_arr")))],
                       F.col("volume").alias("gpv"), "margin", F.col("tx").alias("gpv_tx")))
 
 

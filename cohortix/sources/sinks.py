@@ -1,12 +1,14 @@
 """Sinks: CSV, a bundle of named tables (one folder per sheet), saved tables,
-and tables kept by month."""
+tables kept by month, and bundles whose outputs appear together."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
@@ -106,3 +108,78 @@ class MonthTable:
         if months is not None:
             df = df.filter(F.col(self.PART).isin(*[dt.date.fromisoformat(m) for m in months]))
         return df
+
+
+class Bundle:
+    """Several outputs that readers see together or not at all.
+
+    Outputs are written below a new data folder that no reader knows; the manifest,
+    written last and moved into place by one rename, names that folder, the outputs
+    and their row counts.  A write that fails leaves the manifest, and so the bundle,
+    as it was, and takes its own data folder away.  The folder of the bundle before
+    the last one is removed after a commit: readers of the last one keep theirs."""
+
+    MANIFEST = "_manifest.json"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> dict | None:
+        """The manifest of the last commit; None before the first one."""
+        path, fs = self._path(self.MANIFEST), self._fs()
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def commit(self, outputs: dict[str, DataFrame], fmt: str = "parquet") -> dict:
+        data = f"data-{uuid.uuid4().hex[:12]}"
+        before = self.manifest()
+        rows = {}
+        try:
+            for name, df in outputs.items():
+                if not name or "/" in name or name.startswith(("_", ".")):
+                    raise ValueError(f"no name for an output: {name!r}")
+                where = f"{self.folder}/{data}/{name}"
+                # the rows that the writing job has seen, counted while it writes
+                seen = Observation(name)
+                w = df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("header", True)
+                w.format(fmt).save(where)
+                rows[name] = seen.get.get("n", 0)
+        except Exception:
+            self._fs().delete(self._path(data), True)
+            raise
+        m = {"data": data, "format": fmt, "rows": rows, "previous": before["data"] if before else None}
+        self._put(m)
+        if before and before["previous"]:
+            self._fs().delete(self._path(before["previous"]), True)
+        return m
+
+    def _put(self, manifest: dict) -> None:
+        new = self._path(f"_new-{uuid.uuid4().hex[:12]}.json")
+        stream = self._fs().create(new, True)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._path("x").toUri(), self.spark._jsc.hadoopConfiguration())
+        over = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(over, 1)
+        options[0] = over.OVERWRITE
+        context.rename(new, self._path(self.MANIFEST), options)
+
+    def read(self, name: str) -> DataFrame:
+        m = self.manifest()
+        if m is None or name not in m["rows"]:
+            raise KeyError(f"no output {name!r} in the bundle")
+        return self.spark.read.option("header", True).format(m["format"]).load(f"{self.folder}/{m['data']}/{name}")

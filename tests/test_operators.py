@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortix.operators.aggregates import conditional_distinct, value_counts, with_total
-from cohortix.operators.joins import hierarchy, hour_split, latest_per_key, period_offset
+from cohortix.operators.joins import hierarchy, hour_split, latest_rows, natural_merge, period_offset
 from cohortix.operators.stats import (corr_matrix, describe, exact_quantiles, iqr_flags, ols_by,
                                       t_sf_two_sided)
 from cohortix.operators.windows import ffill, nearest_non_null
@@ -31,11 +31,24 @@ def test_period_offset_handles_gaps(spark):
     assert ("a", d(2021, 1)) in out                # rows only present in the future stay
 
 
-def test_latest_per_key(spark):
-    df = spark.createDataFrame([(1, d(2020, 1), "x"), (1, d(2020, 3), "y"), (2, d(2020, 2), "z")],
-                               "k int, dt date, s string")
-    got = {r.k: r.s for r in latest_per_key(df, ["k"], "dt", ["s"]).collect()}
-    assert got == {1: "y", 2: "z"}
+def test_latest_rows_keep_ties(spark):
+    df = spark.createDataFrame([(1, d(2020, 1), "x"), (1, d(2020, 3), "y"), (1, d(2020, 3), "w"), (1, d(2020, 3), "w"), (2, d(2020, 2), "z"),
+                                (2, None, "n"), (None, d(2020, 1), "p"), (None, d(2020, 2), "q"), (3, None, "only")], "k int, dt date, s string")
+    got = sorted(((r.k, r.s) for r in latest_rows(df, ["k"], "dt").collect()), key=str)
+    assert got == sorted([(1, "w"), (1, "w"), (1, "y"), (2, "z"), (None, "q"), (3, "only")], key=str)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_natural_merge_matches_null_keys(spark, how):
+    left = [(k % 3 if k % 4 else None, "a" if k % 2 else None, k) for k in range(60)]
+    right = [(0, "a", 1.0), (None, None, 2.0), (None, "a", 3.0), (1, None, 4.0), (None, None, 5.0), (9, "z", 6.0)]
+    out = natural_merge(spark.createDataFrame(left, "k int, s string, v int"), spark.createDataFrame(right, "s2 int, s string, w double")
+                        .withColumnRenamed("s2", "k"), how, salts=5)
+    want = []
+    for k, s, v in left:
+        hits = [w for rk, rs, w in right if rk == k and rs == s]
+        want += [(k, s, v, w) for w in hits] or ([(k, s, v, None)] if how == "left" else [])
+    assert out.columns == ["k", "s", "v", "w"] and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
 
 
 def test_hour_split_cases(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortix.functions import ilike_any
@@ -55,3 +56,44 @@ def test_sinks(spark):
     assert [spark.read.parquet(p).count() for p in paths] == [2, 1]
     save_table(df, "unused", path=os.path.join(root, "table"), partition_by=["v"])
     assert spark.read.parquet(os.path.join(root, "table")).count() == 2
+
+
+def test_bundle_appears_whole_or_not_at_all(spark, tmp_path):
+    from cohortix.sources import Bundle
+    folder = str(tmp_path / "bundle")
+    bundle = Bundle(spark, folder)
+    assert bundle.manifest() is None
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    first = bundle.commit({"a": a, "b": a.filter("k > 1"), "none": a.filter("k > 5")})
+    assert first["rows"] == {"a": 2, "b": 1, "none": 0}
+    assert bundle.read("a").count() == 2 and bundle.read("none").columns == ["k", "v"]
+    broken = a.select("k", F.raise_error(F.lit("no such value")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="no such value"):
+        bundle.commit({"a": a.filter("k = 1"), "b": broken})
+    # readers see the bundle as it was, and no part of the failed one is left
+    assert bundle.manifest() == first and bundle.read("a").count() == 2
+    assert [n for n in os.listdir(folder) if n.startswith("data-")] == [first["data"]]
+    second = bundle.commit({"a": a.filter("k = 1")})
+    assert bundle.read("a").count() == 1 and second["previous"] == first["data"]
+    with pytest.raises(KeyError):
+        bundle.read("b")
+    third = bundle.commit({"a": a}, fmt="csv")
+    assert sorted(n for n in os.listdir(folder) if n.startswith("data-")) == sorted([second["data"], third["data"]])
+    assert bundle.read("a").count() == 2
+    for bad in ("", "x/y", "_hidden"):
+        with pytest.raises(ValueError):
+            bundle.commit({bad: a})
+
+
+def test_shared_folder_follows_the_session(spark):
+    from types import SimpleNamespace as NS
+
+    from cohortix.sources import new_folder, shared_root
+
+    def session(master, folder):
+        return NS(conf=NS(get=lambda k, d: d), sparkContext=NS(master=master, getConf=lambda: NS(get=lambda k, d: folder)))
+    assert shared_root(session("yarn", "hdfs://h/shared/")) == "hdfs://h/shared"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_root(session(master, None))
+    assert shared_root(spark).startswith("file:") and new_folder(spark, "t") != new_folder(spark, "t")
