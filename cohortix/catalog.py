@@ -228,7 +228,7 @@ BUNDLE_MIN_N = 20
 
 def _module_quarters(t):
     o = fx.order_days(t)
-    ends = fx.customers(t).select("customer_id", F.col("churn_date").alias("end_date"))
+    ends = fx.customer_ends(t).select("customer_id", F.col("churn_date").alias("end_date"))
     # a purchase sets the module's quantity from its day on; it lapses after the term
     bought = fx.module_lines(t).filter(F.col("o_orderstatus") == "F").groupBy("customer_id", "module", "dt").agg(F.sum("qty").alias("qty"))
     lines = mods.quarter_end_states(bought, ["customer_id", "module"], ["qty"], ends, fx.AS_OF, MODULE_SINCE, MODULE_TERM)

@@ -14,17 +14,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.dates import quarter_end
 
 
-def validity(changes: DataFrame, keys: list[str], time_col: str, states: list[str], until: Column | None = None) -> DataFrame:
+def validity(changes: DataFrame, keys: list[str], time_col: str, states: list[str], until: Column | None = None,
+             join_equal: bool = True) -> DataFrame:
     """keys, states, valid_from, valid_to (exclusive; null: still valid).
 
     changes: unique on keys + time.  ``until``: a day after which a row holds no
-    longer, whatever follows.  Neighbouring intervals of equal states are one; an
-    interval of no day is left out."""
+    longer, whatever follows.  Neighbouring intervals of equal states are one with
+    ``join_equal`` (two more windows over the same partitioning); an interval of no
+    day is left out."""
     w = Window.partitionBy(*keys).orderBy(time_col)
     follow = F.lead(time_col).over(w)
     d = changes.withColumn("_until", until if until is not None else F.lit(None).cast("date"))
     d = d.select(*keys, *states, F.col(time_col).alias("valid_from"), F.least(follow, "_until").alias("valid_to"))
     d = d.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    if not join_equal:
+        return d
     v = Window.partitionBy(*keys).orderBy("valid_from")
     state = F.struct(*states)
     joined = F.lag(state).over(v).eqNullSafe(state) & F.lag("valid_to").over(v).eqNullSafe(F.col("valid_from"))

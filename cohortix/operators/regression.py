@@ -5,9 +5,10 @@ batch, to the triangular factor R of [1, x, y] (QR), a matrix as wide as the mod
 whatever the number of rows.  Factors of two sets of rows stacked and factored
 again are the factor of their union, so they are merged over a first layer of
 buckets and then per segment; no cross products are formed and nothing is
-subtracted from a large sum.  Columns are shifted and scaled by their means and
-deviations first (one aggregate), which the fit takes back at the end: a column
-measured from another origin gives the same slopes.
+subtracted from a large sum.  A factor measures its columns from an origin inside
+its own rows (the first one) and carries it; merging moves factors to a common
+origin, the fit moves the result back.  So a column that is measured from far away
+gives the same slopes, and the rows are read once.
 
 The solve works on one small factor per segment: singular values give the rank,
 and a deficient design gets the coefficients and errors of smallest norm in the
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 RESULT = ("segment string, term string, coef double, std_err double, t double, p_value double, r2 double, n long, rank int")
-FACTOR = "segment string, n long, r binary"
+FACTOR = "segment string, n long, origin binary, r binary"
 RANK_TOLERANCE = 1e-10      # of a singular value against the largest, columns of length 1
 LAYER = 64          # buckets of the first merge of a segment's factors
 
@@ -34,9 +35,16 @@ def stack(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
     return r if len(r) == k else np.vstack([r, np.zeros((k - len(r), k))])
 
 
-def solve(r: np.ndarray, n: int, at: list[int], mean: np.ndarray, scale: np.ndarray, add_const: bool):
+def moved(r: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The factor of [1, c - by] from that of [1, c]."""
+    out = r.copy()
+    out[:, 1:] -= np.outer(r[:, 0], by)
+    return out
+
+
+def solve(r: np.ndarray, n: int, at: list[int], origin: np.ndarray, add_const: bool):
     """(coef, std_err, rank, r2) of the terms ``at`` from the factor of
-    [1 if add_const, x, y] with columns (c - mean) / scale."""
+    [1 if add_const, x, y], columns measured from ``origin`` (0 for the 1)."""
     y = r[:, -1]
     x = r[:, at]
     size = np.sqrt((x * x).sum(axis=0))
@@ -44,16 +52,14 @@ def solve(r: np.ndarray, n: int, at: list[int], mean: np.ndarray, scale: np.ndar
     u, s, vt = np.linalg.svd(x / size, full_matrices=False)
     use = s > s.max(initial=0.0) * RANK_TOLERANCE
     rank = int(use.sum())
-    # standardised coefficients are inner @ (u' y), and a @ (those in the columns' own units)
-    inner = (vt[use].T / s[use]) / size[:, None]
-    a = np.diag(scale[at])
+    # from the origin's coefficients to those of the columns themselves
+    back = np.eye(len(at))
     if add_const:
-        a[0, 1:] = mean[at[1:]]
-    back = np.linalg.inv(a)
-    half = scale[-1] * back @ inner
+        back[0, 1:] = -origin[at[1:]]
+    half = back @ ((vt[use].T / s[use]) / size[:, None])
     beta = half @ (u[:, use].T @ y)
     if add_const:
-        beta[0] += mean[-1]
+        beta[0] += origin[-1]
     if rank < len(at):          # the solution of smallest norm: no part in the null space
         null = np.linalg.qr(back @ (vt[~use].T / size[:, None]))[0]
         half, beta = half - null @ (null.T @ half), beta - null @ (null.T @ beta)
@@ -78,10 +84,7 @@ def ols_fits(df: DataFrame, y: str, xs: list[str], segment: Column, fits: dict[s
     names = [f"_x{i}" for i in range(len(xs))] + ["_y"]
     d = df.select(segment.cast("string").alias("segment"), *[F.col(c).cast("double").alias(n) for c, n in zip([*xs, y], names)])
     d = d.dropna(subset=names)
-    facts = d.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"s{n}") for n in names]).first()   # one row
     k = len(names) + add_const
-    mean = np.array([facts[f"m{n}"] or 0.0 for n in names]) if add_const else np.zeros(len(names))
-    scale = np.array([facts[f"s{n}"] or 1.0 for n in names])
     others = {s: f for s, f in fits.items() if s != total}
 
     def factors(batches):
@@ -89,32 +92,36 @@ def ols_fits(df: DataFrame, y: str, xs: list[str], segment: Column, fits: dict[s
         for b in batches:
             seg = np.array(b.column("segment").to_pylist(), dtype=object)
             m = np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names])
-            m = (m - mean) / scale
-            if add_const:
-                m = np.column_stack([np.ones(len(m)), m])
             for s in set(seg.tolist()):
                 part = m[seg == s] if s is not None else m[[v is None for v in seg]]
-                n, r = held.get(s, (0, None))
-                held[s] = (n + len(part), stack(r, part))
+                n, origin, r = held.get(s, (0, part[0] if add_const else np.zeros(len(names)), None))
+                rows = part - origin
+                if add_const:
+                    rows = np.column_stack([np.ones(len(rows)), rows])
+                held[s] = (n + len(part), origin, stack(r, rows))
         if held:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array(list(held), pa.string()), "n": pa.array([n for n, _ in held.values()], pa.int64()),
-                                              "r": pa.array([r.tobytes() for _, r in held.values()], pa.binary())})
+            n, origin, r = zip(*held.values())
+            yield pa.RecordBatch.from_pydict({"segment": pa.array(list(held), pa.string()), "n": pa.array(n, pa.int64()),
+                                              "origin": pa.array([x.tobytes() for x in origin], pa.binary()),
+                                              "r": pa.array([x.tobytes() for x in r], pa.binary())})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = None
-        for x in pdf["r"]:
-            r = stack(r, np.frombuffer(x).reshape(k, k))
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "n": [int(pdf["n"].sum())], "r": [r.tobytes()]})
+        # the origin of the largest part is nearest to the whole
+        origin, r = np.frombuffer(pdf["origin"].iloc[int(pdf["n"].to_numpy().argmax())]), None
+        for x, o in zip(pdf["r"], pdf["origin"]):
+            f = np.frombuffer(x).reshape(k, k)
+            r = stack(r, moved(f, origin - np.frombuffer(o)) if add_const else f)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "n": [int(pdf["n"].sum())], "origin": [origin.tobytes()], "r": [r.tobytes()]})
 
     parts = d.mapInArrow(factors, FACTOR).withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(LAYER)))
     parts = parts.groupBy("segment", "bucket").applyInPandas(merge, FACTOR)
     if total is not None:
         copies = F.array(F.struct(F.col("segment").alias("s"), F.lit(False).alias("t")), F.struct(F.lit(total).alias("s"), F.lit(True).alias("t")))
-        parts = parts.select(F.explode(copies).alias("c"), "n", "r").select(F.col("c.s").alias("segment"), F.col("c.t").alias("is_total"), "n", "r")
+        parts = parts.select(F.explode(copies).alias("c"), "n", "origin", "r").select(
+            F.col("c.s").alias("segment"), F.col("c.t").alias("is_total"), "n", "origin", "r")
     else:
         parts = parts.withColumn("is_total", F.lit(False))
     parts = parts.filter("segment is not null")
-    mean1, scale1 = (np.concatenate([[0.0], mean]), np.concatenate([[1.0], scale])) if add_const else (mean, scale)
     place = {x: i + add_const for i, x in enumerate(xs)}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +130,8 @@ def ols_fits(df: DataFrame, y: str, xs: list[str], segment: Column, fits: dict[s
         terms = fits[total] if pdf["is_total"].iloc[0] else others.get(label, fits.get(None, xs))
         at = ([0] if add_const else []) + [place[x] for x in terms]
         n = int(m["n"])
-        beta, se, rank, r2 = solve(np.frombuffer(m["r"]).reshape(k, k), n, at, mean1, scale1, add_const)
+        beta, se, rank, r2 = solve(np.frombuffer(m["r"]).reshape(k, k), n, at, np.frombuffer(m["origin"]) if not add_const else
+                                    np.concatenate([[0.0], np.frombuffer(m["origin"])]), add_const)
         with np.errstate(divide="ignore", invalid="ignore"):
             t = beta / se
         return pd.DataFrame({"segment": label, "term": (["const"] if add_const else []) + list(terms), "coef": beta, "std_err": se, "t": t,

@@ -6,13 +6,13 @@ attached to it: upsell and downsell of won opportunities by the sign of their
 amounts, churned ARR split by churn reason.
 
 * Locations roll up two levels (location -> parent -> grandparent) on the
-  snapshot of their month (``operators.joins.hierarchy``, keyed by account and
-  month).  Daily rows meet the chain by (month, account), a pair that is unique
-  in the snapshot, and are added up before anything is keyed by the top account.
+  snapshot of their month.  Daily rows meet it by (month, account), a pair that is
+  unique there, and are added up per parent and day before they go up again.
 * Opportunities are added up by (account, close date) and then by (owner, day)
   before they meet the days; no day x opportunity product exists.
 * ``levels=1`` attaches flows to the owner's direct children, ``levels=2`` rolls
-  them up as the locations are.
+  them up as the locations are, on the chain of their month
+  (``operators.joins.hierarchy``, keyed by account and month).
 
 M44 evaluates periods (lengths x forward/lookback) of every month from an
 account's first row on.  The cohort rows may be sparse: a stock is that of the
@@ -70,15 +70,20 @@ def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, r
     daily: account_id, dt (unique together), status, live_amount.  snapshots:
     month, account_id (unique together), customer_id, parent_account_id, rsm_id,
     segment, first_order_date.  accounts: account_id, reseller."""
+    up = snapshots.select("month", "account_id", F.col("parent_account_id").alias("up"))
     dropped = accounts.filter(F.col("reseller").isin(*rules.excluded_resellers)).select("account_id")
     days = daily.join(dropped, "account_id", "left_anti") if rules.excluded_resellers else daily
     located = days.withColumn("month", _month("dt")).join(
-        _chain(snapshots).filter(F.col("owner").isNotNull()), ["month", "account_id"])
+        snapshots.select("month", "account_id", "first_order_date", F.col("parent_account_id").alias("up")), ["month", "account_id"])
     amount = F.col("live_amount")
-    sums = located.groupBy("dt", "month", "owner").agg(
-        F.count_if(F.col("status") == rules.live_status).alias("location_count"),
-        (F.sum(amount) * 12).alias("live_saas_arr"),
-        (F.sum(F.when(F.col("dt") == F.col("first_order_date"), amount)) * 12).alias("new_live_saas"))
+    # sums of a parent's day first: what goes up another level is one row per
+    # parent and day, and an account has one parent in a month
+    parents = located.groupBy("dt", "month", "up").agg(
+        F.count_if(F.col("status") == rules.live_status).alias("n"), F.sum(amount).alias("live"),
+        F.sum(F.when(F.col("dt") == F.col("first_order_date"), amount)).alias("new"))
+    above = parents.withColumnRenamed("up", "account_id").join(up, ["month", "account_id"]).withColumnRenamed("up", "owner")
+    sums = above.groupBy("dt", "month", "owner").agg(
+        F.sum("n").alias("location_count"), (F.sum("live") * 12).alias("live_saas_arr"), (F.sum("new") * 12).alias("new_live_saas"))
     owner = snapshots.select("month", F.col("account_id").alias("owner"), F.col("customer_id"), "rsm_id", "segment")
     if rules.excluded_owner_accounts:
         owner = owner.filter(~F.col("owner").isin(*rules.excluded_owner_accounts))

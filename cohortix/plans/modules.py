@@ -35,7 +35,7 @@ def quarter_end_states(changes: DataFrame, keys: list[str], states: list[str], e
     (``ends``: customer_id, end_date or null) on."""
     c = changes.join(ends, "customer_id", "left")
     until = F.least(F.date_add("dt", term_days), F.col("end_date")) if term_days else F.col("end_date")
-    return at_quarter_ends(validity(c, keys, "dt", states, until), as_of, since)
+    return at_quarter_ends(validity(c, keys, "dt", states, until, join_equal=False), as_of, since)
 
 
 def module_quarters(lines: DataFrame, live: DataFrame, tds: DataFrame, ec: DataFrame,

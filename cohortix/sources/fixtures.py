@@ -112,6 +112,14 @@ def order_span(t: Tables) -> DataFrame:
                                          F.max("dt").alias("last_order_date"))
 
 
+@_memo
+def customer_ends(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """customer_id, first_order_date, last_order_date, churn_date of customers
+    with an order."""
+    churn = F.date_add("last_order_date", CHURN_LAG_DAYS)
+    return order_span(t).withColumn("churn_date", F.when(churn <= F.lit(as_of).cast("date"), churn))
+
+
 @_memo
 def customers(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """customer_id, customer_name, parent_id, grandparent_id, segment, acctbal,
@@ -378,7 +386,7 @@ def account_days(t: Tables, as_of: str = AS_OF) -> DataFrame:
     volume of live days).  An account that churns has a row on that day."""
     d = daily(t).select(_location().alias("account_id"), "dt", "status",
                         F.when(F.col("status") == "Live", F.col("volume")).otherwise(0.0).alias("live_amount"))
-    gone = customers(t, as_of).filter("churn_date is not null").select(
+    gone = customer_ends(t, as_of).filter("churn_date is not null").select(
         _location().alias("account_id"), F.col("churn_date").alias("dt"), F.lit("Churn").alias("status"),
         F.lit(0.0).alias("live_amount"))
     return d.unionByName(gone)
@@ -444,7 +452,7 @@ def account_opportunities(t: Tables) -> DataFrame:
 def account_products(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Product status by day: account_id, dt, product, saas_price, churn_date,
     first_order_date; a churned account's last products stand on its churn day."""
-    c = customers(t, as_of).select("customer_id", "first_order_date", "last_order_date", "churn_date")
+    c = customer_ends(t, as_of)
     lines = module_lines(t).groupBy("customer_id", "dt", "module").agg(F.sum("amount").alias("saas_price")).join(c, "customer_id")
     gone = lines.filter((F.col("dt") == F.col("last_order_date")) & F.col("churn_date").isNotNull()).withColumn("dt", F.col("churn_date"))
     both = lines.unionByName(gone)

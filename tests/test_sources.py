@@ -96,4 +96,6 @@ def test_shared_folder_follows_the_session(spark):
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_root(session(master, None))
-    assert shared_root(spark).startswith("file:") and new_folder(spark, "t") != new_folder(spark, "t")
+    assert shared_root(session("local[2]", None)).startswith("file://")
+    a, b = new_folder(spark, "t"), new_folder(spark, "t")
+    assert a != b and a.startswith(shared_root(spark) + "/t-")
