@@ -115,7 +115,7 @@ COHORT_RULES = cohort.CohortRules(excluded_resellers=("Reseller 3", "Reseller 11
 
 def _cohort(t, levels=1, days=None):
     g = cohort.cohort_drivers(fx.account_days(t) if days is None else days, fx.account_snapshots(t), fx.account_directory(t), fx.account_opportunities(t),
-                              fx.account_products(t), COHORT_RULES, levels)
+                              fx.account_products(t), COHORT_RULES, levels, fx.parent_snapshots(t))
     return g.select("dt", *cohort.OWNER, "location_count", *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
 
 

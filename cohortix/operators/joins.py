@@ -133,8 +133,15 @@ def asof_lookup(probes: DataFrame, rows: DataFrame, keys: list[str], time_col: s
                     F.lit(None).alias("_mine"))
     b = probes.select(*keys, time_col, F.lit(1).alias("_probe"), F.lit(None).alias("_row"),
                       *[F.lit(None).alias(f"_r_{c}") for c in running], F.struct(*mine).alias("_mine"))
+    return asof_stream(a.unionByName(b), keys, time_col, values, running)
+
+
+def asof_stream(both: DataFrame, keys: list[str], time_col: str, values: list[str], running: list[str] = ()) -> DataFrame:
+    """``asof_lookup`` on rows and probes that already stand in one frame: keys,
+    time, _probe (0 or 1), _row (a row's time t and values, null in probes),
+    _r_<c> of the running columns (null in probes) and _mine (a probe's columns)."""
     w = Window.partitionBy(*keys).orderBy(time_col, "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).select(
+    both = both.select(
         *keys, time_col, "_probe", "_mine", F.last("_row", ignorenulls=True).over(w).alias("_row"),
         *[F.sum(f"_r_{c}").over(w).alias(f"cum_{c}") for c in running])
     return both.filter("_probe = 1").select(

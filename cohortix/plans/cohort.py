@@ -8,8 +8,9 @@ amounts, churned ARR split by churn reason.
 * Locations roll up two levels (location -> parent -> grandparent) on the
   snapshot of their month.  Daily rows meet it by (month, account), a pair that is
   unique there, and are added up per parent and day before they go up again.
-* Opportunities are added up by (account, close date) and then by (owner, day)
-  before they meet the days; no day x opportunity product exists.
+* Opportunities and churned products are added up by (account, day) in one stream
+  and then by (owner, day) before they meet the days; no day x opportunity product
+  exists.
 * ``levels=1`` attaches flows to the owner's direct children, ``levels=2`` rolls
   them up as the locations are, on the chain of their month
   (``operators.joins.hierarchy``, keyed by account and month).
@@ -17,7 +18,7 @@ amounts, churned ARR split by churn reason.
 M44 evaluates periods (lengths x forward/lookback) of every month from an
 account's first row on.  The cohort rows may be sparse: a stock is that of the
 last row at or before the period's edge, a flow the difference of running sums
-at the two edges.  Both come from one ``asof_lookup``, a window over the
+at the two edges.  Both come from one ``asof_stream``, a window over the
 account's own rows and edges; no day grid, no range join.
 """
 
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nulls import div0
-from ..operators.joins import asof_lookup, hierarchy
+from ..operators.joins import asof_stream, hierarchy
 
 STOCKS = ["live_saas_arr", "location_count"]
 FLOWS = ["new_live_saas", "upsell_saas_arr", "downsell_saas_arr", "churned_saas_arr",
@@ -64,13 +65,16 @@ def _month(c: str) -> Column:
     return F.trunc(c, "month")
 
 
-def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, rules: CohortRules) -> DataFrame:
+def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, rules: CohortRules,
+                  parents: DataFrame | None = None) -> DataFrame:
     """dt, owner attributes, location_count, live_saas_arr, new_live_saas.
 
     daily: account_id, dt (unique together), status, live_amount.  snapshots:
     month, account_id (unique together), customer_id, parent_account_id, rsm_id,
-    segment, first_order_date.  accounts: account_id, reseller."""
-    up = snapshots.select("month", "account_id", F.col("parent_account_id").alias("up"))
+    segment, first_order_date.  accounts: account_id, reseller.  ``parents``: the
+    snapshot rows of accounts that are a parent of any (all, if not given)."""
+    parents = snapshots if parents is None else parents
+    up = parents.select("month", "account_id", F.col("parent_account_id").alias("up"))
     dropped = accounts.filter(F.col("reseller").isin(*rules.excluded_resellers)).select("account_id")
     days = daily.join(dropped, "account_id", "left_anti") if rules.excluded_resellers else daily
     located = days.withColumn("month", _month("dt")).join(
@@ -78,65 +82,60 @@ def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, r
     amount = F.col("live_amount")
     # sums of a parent's day first: what goes up another level is one row per
     # parent and day, and an account has one parent in a month
-    parents = located.groupBy("dt", "month", "up").agg(
+    sums = located.groupBy("dt", "month", "up").agg(
         F.count_if(F.col("status") == rules.live_status).alias("n"), F.sum(amount).alias("live"),
         F.sum(F.when(F.col("dt") == F.col("first_order_date"), amount)).alias("new"))
-    above = parents.withColumnRenamed("up", "account_id").join(up, ["month", "account_id"]).withColumnRenamed("up", "owner")
+    above = sums.withColumnRenamed("up", "account_id").join(up, ["month", "account_id"]).withColumnRenamed("up", "owner")
     sums = above.groupBy("dt", "month", "owner").agg(
         F.sum("n").alias("location_count"), (F.sum("live") * 12).alias("live_saas_arr"), (F.sum("new") * 12).alias("new_live_saas"))
-    owner = snapshots.select("month", F.col("account_id").alias("owner"), F.col("customer_id"), "rsm_id", "segment")
+    owner = parents.select("month", F.col("account_id").alias("owner"), F.col("customer_id"), "rsm_id", "segment")
     if rules.excluded_owner_accounts:
         owner = owner.filter(~F.col("owner").isin(*rules.excluded_owner_accounts))
     return sums.join(owner, ["month", "owner"]).select(
         "dt", F.col("owner").alias("account_id"), "customer_id", "rsm_id", "segment", "location_count", "live_saas_arr", "new_live_saas")
 
 
-def _attach(events: DataFrame, day: str, accounts: DataFrame, snapshots: DataFrame, levels: int) -> DataFrame:
-    """Events (account_id, ``day``, ...) with the ``owner`` that reports them."""
-    if levels == 1:
-        return events.join(accounts.select("account_id", F.col("parent_account_id").alias("owner")), "account_id")
-    chain = _chain(snapshots).select("month", "account_id", "owner")
-    return events.withColumn("month", _month(day)).join(chain, ["month", "account_id"])
-
-
-def opportunity_flows(opps: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
-                      levels: int) -> tuple[DataFrame, DataFrame]:
-    """(owner, dt, upsell, downsell) and the owners with any qualifying opportunity."""
+def account_flows(opps: DataFrame, status: DataFrame, rules: CohortRules) -> DataFrame:
+    """account_id, dt, up, down, lost, opp: an account's day of qualifying
+    opportunities (``opp`` 1) and its churned amount."""
     upsell = F.col("opp_type") == rules.upsell_type
     payroll = (F.col("record_type") == rules.payroll_record) & (F.col("business") == rules.existing_business)
     won = opps.filter(F.col("is_won") & ~F.col("owner_id").isin(*rules.excluded_sellers) & (upsell | payroll))
-    sign = F.expr(rules.sign)
-    by_day = won.groupBy("account_id", F.col("close_date").alias("dt")).agg(
-        F.coalesce(F.sum(F.when(upsell & (sign >= 0), F.col("software_mrr"))), F.lit(0.0)).alias("up"),
-        F.coalesce(F.sum(F.when(upsell & (sign < 0), F.col("software_mrr"))), F.lit(0.0)).alias("down"))
-    owned = _attach(by_day, "dt", accounts, snapshots, levels).filter(F.col("owner").isNotNull())
-    sums = owned.groupBy("owner", "dt").agg((F.sum("up") * 12).alias("upsell_saas_arr"),
-                                            (F.sum("down") * 12).alias("downsell_saas_arr"))
-    return sums, owned.select("owner").distinct()
+    sign, mrr = F.expr(rules.sign), F.coalesce("software_mrr", F.lit(0.0))
+    up, down = F.when(upsell & (sign >= 0), mrr).otherwise(0.0), F.when(upsell & (sign < 0), mrr).otherwise(0.0)
+    sold = won.select("account_id", F.col("close_date").alias("dt"), up.alias("up"), down.alias("down"),
+                      F.lit(None).cast("double").alias("lost"), F.lit(1).alias("opp"))
+    gone = status.filter((F.col("churn_date") == F.col("dt")) & F.col("first_order_date").isNotNull())
+    zero = F.lit(0.0)
+    churned = gone.select("account_id", "dt", zero.alias("up"), zero.alias("down"), F.col("saas_price").cast("double").alias("lost"), F.lit(0).alias("opp"))
+    return sold.unionByName(churned).groupBy("account_id", "dt").agg(
+        F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("lost").alias("lost"), F.max("opp").alias("opp"))
 
 
-def churn_flows(status: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
+def owner_flows(flows: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
                 levels: int) -> tuple[DataFrame, DataFrame]:
-    """(owner, dt, lost_p, lost_o): churned ARR of preventable and other reasons
-    (null without any), and per owner which kinds of children it has."""
+    """(owner, dt, upsell, downsell, lost_p, lost_o), churned amounts by kind of
+    reason; and per owner whether it has any qualifying opportunity and children
+    of either kind (has_opp, any_p, any_o)."""
     reason = F.coalesce(F.lower("churn_reason"), F.lit("")).isin(*[r.lower() for r in rules.preventable_reasons])
-    kinds = accounts.select("account_id", reason.alias("preventable"))
-    gone = status.filter((F.col("churn_date") == F.col("dt")) & F.col("first_order_date").isNotNull())
-    lost = gone.groupBy("account_id", "dt").agg((F.sum("saas_price") * 12).alias("lost")).join(kinds, "account_id")
-    sums = _attach(lost, "dt", accounts, snapshots, levels).filter(F.col("owner").isNotNull()).groupBy("owner", "dt").agg(
-        F.sum(F.when(F.col("preventable"), F.col("lost"))).alias("lost_p"),
-        F.sum(F.when(~F.col("preventable"), F.col("lost"))).alias("lost_o"))
+    kinds = accounts.select("account_id", F.col("parent_account_id").alias("owner"), reason.alias("preventable"))
     if levels == 1:
-        children = accounts.select("account_id", F.col("parent_account_id").alias("owner"))
+        owned, children = flows.join(kinds, "account_id"), kinds
     else:
-        children = _chain(snapshots).select("account_id", "owner").distinct()
-    flags = children.join(kinds, "account_id").filter(F.col("owner").isNotNull()).groupBy("owner").agg(
-        F.bool_or("preventable").alias("any_p"), F.bool_or(~F.col("preventable")).alias("any_o"))
-    return sums, flags
+        chain = _chain(snapshots).select("month", "account_id", "owner")
+        owned = flows.withColumn("month", _month("dt")).join(chain, ["month", "account_id"]).join(kinds.drop("owner"), "account_id")
+        children = chain.select("account_id", "owner").distinct().join(kinds.drop("owner"), "account_id")
+    owned, p = owned.filter(F.col("owner").isNotNull()), F.col("preventable")
+    sums = owned.groupBy("owner", "dt").agg(
+        (F.sum("up") * 12).alias("upsell_saas_arr"), (F.sum("down") * 12).alias("downsell_saas_arr"),
+        (F.sum(F.when(p, F.col("lost"))) * 12).alias("lost_p"), (F.sum(F.when(~p, F.col("lost"))) * 12).alias("lost_o"))
+    seen = owned.select("owner", F.col("opp").alias("o"), F.lit(False).alias("p"), F.lit(False).alias("q")).unionByName(
+        children.filter(F.col("owner").isNotNull()).select("owner", F.lit(0).alias("o"), p.alias("p"), (~p).alias("q")))
+    return sums, seen.groupBy("owner").agg((F.max("o") == 1).alias("has_opp"), F.bool_or("p").alias("any_p"), F.bool_or("q").alias("any_o"))
 
 
 def cohort_drivers(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, opps: DataFrame, status: DataFrame,
-                   rules: CohortRules = CohortRules(), levels: int = 1) -> DataFrame:
+                   rules: CohortRules = CohortRules(), levels: int = 1, parents: DataFrame | None = None) -> DataFrame:
     """One row per day and top account with a daily row below it.
 
     accounts: account_id, parent_account_id, reseller, churn_reason.  opps:
@@ -147,14 +146,11 @@ def cohort_drivers(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame,
     Nulls follow the report: upsell and downsell are 0 on other days for accounts
     with any qualifying opportunity and null for the rest; a churn kind is 0 when
     the account has children of the other kind only, null without churn."""
-    stocks = cohort_stocks(daily, snapshots, accounts, rules)
-    opp_sums, opp_owners = opportunity_flows(opps, accounts, snapshots, rules, levels)
-    lost, kinds = churn_flows(status, accounts, snapshots, rules, levels)
+    stocks = cohort_stocks(daily, snapshots, accounts, rules, parents)
+    sums, kinds = owner_flows(account_flows(opps, status, rules), accounts, snapshots, rules, levels)
     own = F.col("account_id")
     out = (stocks
-           .join(opp_sums.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")
-           .join(opp_owners.select(F.col("owner").alias("account_id"), F.lit(True).alias("has_opp")), "account_id", "left")
-           .join(lost.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")
+           .join(sums.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")
            .join(kinds.withColumnRenamed("owner", "account_id"), "account_id", "left"))
     zero = F.lit(0.0)
     other = F.coalesce("any_o", F.lit(True))        # no children: one row of the other kind
@@ -176,24 +172,31 @@ def period_growth(cohort: DataFrame, as_of: str, lengths: tuple[int, ...] = (30,
     A period that ends after ``as_of`` ends on the day before it (its nominal
     length stays; ``effective_days`` tells the real one).  A missing flow is 0."""
     a = F.lit(as_of).cast("date")
-    first = cohort.groupBy("account_id").agg(F.min("dt").alias("first_dt"))
-    shapes = F.array(*[F.struct(F.lit(n).alias("daysinperiod"), F.lit(d).alias("period_type"))
-                       for d in ("forward", "lookback") for n in lengths])
-    months = F.sequence(F.trunc("first_dt", "month"), F.greatest(F.trunc(a, "month"), F.trunc("first_dt", "month")),
-                        F.expr("INTERVAL 1 MONTH"))
-    p = (first.withColumn("month", F.explode(months)).filter(F.col("month") <= a)
-         .withColumn("p", F.explode(shapes)).select("account_id", "first_dt", "month", "p.*"))
-    forward = F.col("period_type") == "forward"
-    start = F.when(forward, F.col("month")).otherwise(F.date_sub(F.last_day("month"), F.col("daysinperiod")))
-    end = F.when(forward, F.date_add("month", F.col("daysinperiod"))).otherwise(F.last_day("month"))
     keys = ["month", "period_start", "period_end", "daysinperiod", "period_type"]
-    p = (p.withColumn("period_start", start).withColumn("period_end", F.when(end > a, F.date_sub(a, 1)).otherwise(end))
-         # no stock before the first row; the cut at as_of may leave no day
-         .filter((F.col("period_start") <= F.col("period_end")) & (F.col("period_start") >= F.col("first_dt")))
-         .select("account_id", *keys))
-    edges = p.select("*", F.explode(F.array("period_start", "period_end")).alias("dt"))
-    seen = asof_lookup(edges, cohort.select("account_id", "dt", *STOCKS, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FLOWS]),
-                       ["account_id"], "dt", STOCKS + FLOWS, FLOWS)
+    d = cohort.select("account_id", "dt", *STOCKS, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FLOWS])
+    d = d.withColumn("_first", F.min("dt").over(Window.partitionBy("account_id")))
+
+    def period(month: Column, n: int, kind: str) -> Column:
+        start = month if kind == "forward" else F.date_sub(F.last_day(month), n)
+        end = F.date_add(month, n) if kind == "forward" else F.last_day(month)
+        return F.struct(month.alias("month"), start.alias("period_start"), F.when(end > a, F.date_sub(a, 1)).otherwise(end).alias("period_end"),
+                        F.lit(n).alias("daysinperiod"), F.lit(kind).alias("period_type"))
+
+    # the account's first row brings all its periods: the cohort rows are read once
+    months = F.sequence(F.trunc("_first", "month"), F.greatest(F.trunc(a, "month"), F.trunc("_first", "month")), F.expr("INTERVAL 1 MONTH"))
+    every = F.flatten(F.transform(months, lambda m: F.array(*[period(m, n, k) for k in ("forward", "lookback") for n in lengths])))
+    # no stock before the first row; the cut at as_of may leave no day
+    every = F.filter(every, lambda p: (p["month"] <= a) & (p["period_start"] <= p["period_end"]) & (p["period_start"] >= F.col("_first")))
+    edges = F.flatten(F.transform(every, lambda p: F.array(
+        F.struct(p["period_start"].alias("dt"), F.lit(1).alias("probe"), p.alias("mine")),
+        F.struct(p["period_end"].alias("dt"), F.lit(1).alias("probe"), p.alias("mine")))))
+    own = F.array(F.struct(F.col("dt").alias("dt"), F.lit(0).alias("probe"), F.lit(None).alias("mine")))
+    d = d.withColumn("e", F.explode(F.when(F.col("dt") == F.col("_first"), F.concat(own, edges)).otherwise(own)))
+    row = F.col("e.probe") == 0
+    both = d.select("account_id", F.col("e.dt").alias("dt"), F.col("e.probe").alias("_probe"), F.col("e.mine").alias("_mine"),
+                    F.when(row, F.struct(F.col("dt").alias("t"), *STOCKS, *FLOWS)).alias("_row"),
+                    *[F.when(row, F.col(f)).alias(f"_r_{f}") for f in FLOWS])
+    seen = asof_stream(both, ["account_id"], "dt", STOCKS + FLOWS, FLOWS)
     at_start, at_end = F.col("dt") == F.col("period_start"), F.col("dt") == F.col("period_end")
     # a flow counts from the start day on: the running sum there, less that day's own row
     before = {f: F.col(f"cum_{f}") - F.when(F.col("row_dt") == F.col("dt"), F.col(f)).otherwise(0.0) for f in FLOWS}

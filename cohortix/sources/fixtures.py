@@ -396,13 +396,27 @@ def account_days(t: Tables, as_of: str = AS_OF) -> DataFrame:
 def account_snapshots(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Monthly snapshot of all accounts: month, account_id, customer_id,
     parent_account_id, rsm_id, segment, first_order_date."""
-    cm = customer_months(t, as_of)
+    return location_snapshots(t, as_of).unionByName(parent_snapshots(t, as_of))
+
+
+@_memo
+def location_snapshots(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """The customers' rows of the monthly snapshot."""
+    c = t("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("parent_id"),
+                             F.col("c_mktsegment").alias("segment")).join(customer_ends(t, as_of), "customer_id")
+    end = F.trunc(F.coalesce("churn_date", F.lit(as_of).cast("date")), "month")
+    cm = c.withColumn("month", F.explode(F.sequence(F.trunc("first_order_date", "month"), end, F.expr("INTERVAL 1 MONTH"))))
     moved = (F.col("segment") == MOVED_SEGMENT) & (F.col("month") >= F.lit(MOVED_FROM).cast("date"))
-    locations = cm.select("month", _location().alias("account_id"), F.col("customer_id"), _nation_account(
+    return cm.select("month", _location().alias("account_id"), F.col("customer_id"), _nation_account(
         F.when(moved, (F.col("parent_id") + 1) % NATIONS).otherwise(F.col("parent_id"))).alias("parent_account_id"),
         F.lit(None).cast("string").alias("rsm_id"), "segment", "first_order_date")
-    span = cm.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    months = F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar(), F.expr("INTERVAL 1 MONTH"))).alias("month")
+
+
+@_memo
+def parent_snapshots(t: Tables, as_of: str = AS_OF) -> DataFrame:
+    """The nations' and regions' rows: a row per month each."""
+    lo = t("orders").agg(F.trunc(F.min("o_orderdate"), "month").alias("lo"))
+    months = F.explode(F.sequence(lo.scalar(), F.trunc(F.lit(as_of).cast("date"), "month"), F.expr("INTERVAL 1 MONTH"))).alias("month")
     n, r = t("nation"), t("region")
     no_date = F.lit(None).cast("date").alias("first_order_date")
     # fixed-size dimensions: a row per month each
@@ -414,7 +428,7 @@ def account_snapshots(t: Tables, as_of: str = AS_OF) -> DataFrame:
                        (-1001 - F.col("r_regionkey")).cast("long").alias("customer_id"),
                        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("parent_account_id"),
                        F.lit("RSM7").alias("rsm_id"), F.col("r_name").alias("segment"), no_date)
-    return locations.unionByName(nations).unionByName(regions)
+    return nations.unionByName(regions)
 
 
 @_memo
@@ -422,8 +436,12 @@ def account_directory(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Accounts as of now: account_id, parent_account_id, reseller, churn_reason."""
     key = F.when(F.col("segment") == MOVED_SEGMENT, (F.col("parent_id") + 1) % NATIONS).otherwise(F.col("parent_id"))
     reseller = F.when(F.col("acctbal") < 0, F.concat(F.lit("Reseller "), F.col("parent_id").cast("string")))
-    locations = customers(t, as_of).select(_location().alias("account_id"), _nation_account(key).alias("parent_account_id"),
-                                           reseller.alias("reseller"), "churn_reason")
+    c = t("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("parent_id"),
+                             F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"))
+    c = c.join(customer_ends(t, as_of).select("customer_id", "churn_date"), "customer_id", "left")
+    why = F.when(F.col("churn_date").isNotNull(), F.when(F.col("segment") == COMPETITOR_SEGMENT, "Competitor").otherwise("Other"))
+    locations = c.select(_location().alias("account_id"), _nation_account(key).alias("parent_account_id"), reseller.alias("reseller"),
+                         why.alias("churn_reason"))
     none = F.lit(None).cast("string")
     nations = t("nation").select(_nation_account(F.col("n_nationkey")).alias("account_id"), _nation_parent().alias("parent_account_id"),
                                  none.alias("reseller"), none.alias("churn_reason"))
