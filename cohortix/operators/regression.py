@@ -83,7 +83,6 @@ def ols_fits(df: DataFrame, y: str, xs: list[str], segment: Column, fits: dict[s
     from .stats import t_sf_two_sided
     names = [f"_x{i}" for i in range(len(xs))] + ["_y"]
     d = df.select(segment.cast("string").alias("segment"), *[F.col(c).cast("double").alias(n) for c, n in zip([*xs, y], names)])
-    d = d.dropna(subset=names)
     k = len(names) + add_const
     others = {s: f for s, f in fits.items() if s != total}
 
@@ -92,6 +91,10 @@ def ols_fits(df: DataFrame, y: str, xs: list[str], segment: Column, fits: dict[s
         for b in batches:
             seg = np.array(b.column("segment").to_pylist(), dtype=object)
             m = np.column_stack([b.column(n).to_numpy(zero_copy_only=False) for n in names])
+            # complete cases; dropped here, as a filter above a wide projection of
+            # features makes the optimiser derive constraints for seconds
+            whole = ~np.isnan(m).any(axis=1)
+            seg, m = seg[whole], m[whole]
             for s in set(seg.tolist()):
                 part = m[seg == s] if s is not None else m[[v is None for v in seg]]
                 n, origin, r = held.get(s, (0, part[0] if add_const else np.zeros(len(names)), None))
