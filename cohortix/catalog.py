@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.buckets import ilike_any
 from .functions.dates import month_start, prev_quarter_start
-from .operators import stats
+from .operators import quantiles, stats
 from .operators.aggregates import value_counts
 from .operators.joins import hierarchy, natural_merge
 from .operators.windows import top_k
@@ -288,6 +288,30 @@ def m27(spark, d):
                     *[F.round(c, 4).alias(c) for c in q.columns[4:]])
 
 
+YEAR_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+SKETCH_SIZE = 1024
+
+
+@register("agg8_year_quantiles")
+def agg8(spark, d):
+    """Yearly quartiles of daily volumes from saved (customer, quarter) sketches,
+    held against the days: a quartile is right when its rank is within twice the
+    sketch's stated error of what was asked."""
+    t = _t(spark, d)
+    path = new_folder(spark, "volume-sketches")
+    uplift.quarter_sketches(fx.daily(t), fx.customers(t), SKETCH_SIZE).write.parquet(path)
+    saved = spark.read.parquet(path).withColumn("year", F.year("quarter"))
+    years = quantiles.merged_quantiles(saved, ["year"], YEAR_PROBS, SKETCH_SIZE)
+    days = uplift.counted_days(fx.daily(t), fx.customers(t)).filter(F.col("volume") > 0).select(F.year("dt").alias("year"), "volume")
+    both = days.join(F.broadcast(years), "year")        # a row per year
+    below = [F.count_if(F.col("volume") < F.col(c)).alias(f"lt_{c}") for c in YEAR_PROBS]
+    upto = [F.count_if(F.col("volume") <= F.col(c)).alias(f"le_{c}") for c in YEAR_PROBS]
+    g = both.groupBy("year", "n").agg(F.count("*").alias("days"), *below, *upto)
+    e = 2 * quantiles.rank_error(SKETCH_SIZE)
+    ok = [((F.col(f"lt_{c}") / F.col("days") <= p + e) & (F.col(f"le_{c}") / F.col("days") >= p - e)).alias(f"{c}_ok") for c, p in YEAR_PROBS.items()]
+    return g.select("year", "n", "days", *ok)
+
+
 def _vy(t):
     return uplift.volume_yoy(_qv(t), 12)
 

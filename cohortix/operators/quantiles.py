@@ -88,3 +88,24 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         return g.select(*key, *[((F.col(f"_{n}_0") + F.col(f"_{n}_1")) / 2).alias(n) for n in probs])
     return g.select(*key, *[
         (F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_f")).alias(n) for n in probs])
+
+
+def rank_error(k: int) -> float:
+    """Rank error of a sketch of size ``k`` as a share of the count, that 99 of 100
+    answers keep (the published bound of this sketch, fitted to its size)."""
+    return 2.296 / k ** 0.9021
+
+
+def quantile_sketches(df: DataFrame, group: list[str], value: str, k: int = 1024) -> DataFrame:
+    """A mergeable summary of ``value`` per group: group, n, sketch (binary, of
+    bounded size whatever the count).  Nulls do not count; a group without values
+    has none.  Saved as a table, it answers coarser groups later."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, group: list[str], probs: dict[str, float], k: int = 1024) -> DataFrame:
+    """Quantiles of coarser groups from their parts' sketches alone: group, n and a
+    column per prob name, each a value whose rank is off by ``rank_error(k)`` of n."""
+    m = sketches.groupBy(*group).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s"))
+    return m.select(*group, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(c) for c, p in probs.items()])

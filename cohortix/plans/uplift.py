@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.dates import quarter_start
 from ..functions.nulls import row_sum, safe_div
 from ..operators.joins import latest_rows, period_lookback
+from ..operators.quantiles import quantile_sketches
 from ..operators.stats import pooled_t, t_two_sided_p
 
 
@@ -22,13 +23,24 @@ def latest_customer(daily: DataFrame, customers: DataFrame, attrs: list[str]) ->
                         quarter_start("first_order_date").alias("first_order_quarter")))
 
 
+def counted_days(daily: DataFrame, customers: DataFrame, status: str = "Live") -> DataFrame:
+    """Days of ``status`` after the quarter of the customer's first order."""
+    return (daily.join(customers.select("customer_id", "first_order_date"), "customer_id")
+            .filter((F.col("status") == status) & (F.col("first_order_date") < quarter_start("dt"))))
+
+
+def quarter_sketches(daily: DataFrame, customers: DataFrame, k: int = 1024) -> DataFrame:
+    """Sketches of the positive daily volumes per (customer, quarter), to be saved:
+    years, segments or all customers are answered from them without the days."""
+    d = counted_days(daily, customers).filter(F.col("volume") > 0)
+    return quantile_sketches(d.withColumn("quarter", quarter_start("dt")), ["customer_id", "quarter"], "volume", k)
+
+
 def quarter_volume(daily: DataFrame, customers: DataFrame, status: str = "Live") -> DataFrame:
     """Per (customer, quarter) of ``status`` days after the first-order
     quarter: total volume, active days and min/p25/median/p75/max over
     positive days (exact, linear interpolation)."""
-    d = (daily.join(customers.select("customer_id", "first_order_date"), "customer_id")
-              .filter((F.col("status") == status) &
-                      (F.col("first_order_date") < quarter_start("dt"))))
+    d = counted_days(daily, customers, status)
     pos = F.when(F.col("volume") > 0, F.col("volume"))
     return d.groupBy("customer_id", quarter_start("dt").alias("quarter")).agg(
         F.sum("volume").alias("gmv"),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortix.operators.quantiles import STEP, exact_quantiles, order_key
+from cohortix.operators.quantiles import STEP, exact_quantiles, merged_quantiles, order_key, quantile_sketches, rank_error
 
 
 def bits(x):
@@ -66,3 +66,18 @@ def test_no_window_above_the_bound_with_one_far_outlier(spark):
     assert max(r[0], r[1], values) < 25_000        # bound: 2 ** 21 for any data
     got = exact_quantiles(df, [], "v", {"m": 0.5, "top": 0.999}).first()
     assert got.m == pytest.approx(500_000 / 7.0) and got.top == pytest.approx(999_000 / 7.0)
+
+
+def test_sketches_merge_without_the_rows(spark, tmp_path):
+    df = spark.range(60_000).select((F.col("id") % 50).alias("k"), (F.col("id") % 7).alias("q"), F.col("id").cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(99, 0, None)], "k long, q long, v double")).repartition(6)
+    quantile_sketches(df, ["k", "q"], "v", 512).write.parquet(str(tmp_path / "s"))
+    saved = spark.read.parquet(str(tmp_path / "s"))
+    assert saved.filter("k = 99").count() == 0 and saved.agg(F.sum("n")).first()[0] == 60_000
+    assert saved.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    whole = merged_quantiles(saved, [], {"a": 0.1, "m": 0.5, "z": 0.99}, 512).first()
+    for c, p in (("a", 0.1), ("m", 0.5), ("z", 0.99)):
+        assert abs(whole[c] / 60_000 - p) < 2 * rank_error(512)
+    per = merged_quantiles(saved, ["q"], {"m": 0.5}, 512).collect()
+    assert len(per) == 7 and all(abs(r.m / 60_000 - 0.5) < 2 * rank_error(512) for r in per)
+    assert 0.012 < rank_error(200) < 0.02
