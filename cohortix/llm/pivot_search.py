@@ -22,9 +22,10 @@ is 1.  Only pivots, ring edges and ring statistics reach the driver: their
 number is a parameter.
 
 Edge cases: null vec_ids, null vectors, and vectors that hold null or
-non-finite components take no part; shorter vectors are padded with zeros; a
-vec_id that repeats is one vector (the smallest in array order); ties go to the
-smaller vec_id; fewer than k candidates give all; an empty table gives an empty
+non-finite components take no part; shorter vectors are padded with zeros; rows
+that repeat a vec_id are rows of their own (only the query's own row is no
+candidate of it); scores that may not fit a long stop the job with an error; ties
+go to the smaller vec_id; fewer than k candidates give all; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,18 +38,22 @@ from pyspark.sql import functions as F
 
 from ._util import discard, with_columns_of, written
 
+RING = "pivot int, ring int, split int, ids binary, rows binary, xs binary"
 RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, as whole numbers."""
+    """(row_id, vec_id, v): floor(scale * x) of each component, as whole numbers.
+    A row's number holds once the rows are written."""
     rows = with_columns_of(vectors, ["vec_id", "embedding"]).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     # exists() is null where only null components speak against a vector
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad)
-    rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    far = F.exists("e", lambda x: F.abs(x * scale) >= 2.0 ** 62)
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), "vec_id",
+                       F.when(far, F.raise_error(F.lit("a component is too large for whole numbers"))).otherwise(
+                           F.transform("e", lambda x: F.floor(x * scale).cast("bigint"))).alias("v"))
 
 
 def _matrix(lists, dim: int) -> np.ndarray:
@@ -109,11 +114,14 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
     spark = vectors.sparkSession
     rows = written(quantised(vectors, scale), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.max(norm).alias("top")).first()
+    stats = rows.agg(F.max(F.size("v")).alias("dim"), F.max(norm).alias("top"),
+                     F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     if stats["dim"] is None:
         return spark.createDataFrame([], RESULT)
     dim, top = max(int(stats["dim"]), 1), float(stats["top"])
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    if dim * (stats["most"] or 0) ** 2 >= 1 << 63:
+        raise ValueError("inner products may not fit a long")
+    drawn = rows.orderBy(F.xxhash64("row_id", "vec_id"), "row_id").limit(sample_rows).collect()
     sample = _extended(_matrix([r["v"] for r in drawn], dim), top)
     centres = choose_pivots(sample, pivots)
     d = _distances(sample, centres)
@@ -131,10 +139,10 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
             near = dist.argmin(axis=1)
             r = dist[np.arange(len(x)), near]
             ring = [int(np.searchsorted(edges[p], v, side="right")) for p, v in zip(near, r)]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "pivot": near.astype(np.int32), "ring": np.array(ring, np.int32),
+            yield pd.DataFrame({"row_id": pdf["row_id"], "vec_id": pdf["vec_id"], "pivot": near.astype(np.int32), "ring": np.array(ring, np.int32),
                                 "dist": r, "x": [v.astype("<i8").tobytes() for v in x]})
 
-    placed = written(rows.mapInPandas(assign, "vec_id bigint, pivot int, ring int, dist double, x binary"), "placed")
+    placed = written(rows.mapInPandas(assign, "row_id bigint, vec_id bigint, pivot int, ring int, dist double, x binary"), "placed")
     discard(rows)
     # a row per ring: pivots * rings at most
     ring_stats = placed.groupBy("pivot", "ring").agg(
@@ -145,14 +153,15 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
     slices = max(1, -(-blocks // 64))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values(["vec_id", "row_id"])
         return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1], "ring": pdf["ring"].iloc[:1], "split": pdf["split"].iloc[:1],
-                             "ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()], "xs": [b"".join(pdf["x"])]})
+                             "ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()],
+                             "rows": [pdf["row_id"].to_numpy().astype("<i8").tobytes()], "xs": [b"".join(pdf["x"])]})
 
     index = placed.join(splits, ["pivot", "ring"]).withColumn(
-        "split", F.pmod(F.xxhash64("vec_id", F.lit("split")), "splits").cast("int"))
+        "split", F.pmod(F.xxhash64("row_id", F.lit("split")), "splits").cast("int"))
     index = written(index.groupBy("pivot", "ring", "split").applyInPandas(
-        gather, "pivot int, ring int, split int, ids binary, xs binary"), "pivot-index")
+        gather, RING), "pivot-index")
 
     queries = placed.filter(F.col("vec_id") % query_modulus == 0)
     query_counts = {r["pivot"]: r["n"] for r in queries.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
@@ -161,10 +170,11 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
     query_splits = F.broadcast(spark.createDataFrame(
         [(p, -(-n // query_rows)) for p, n in query_counts.items()], "pivot int, splits bigint"))
     query_blocks = queries.join(query_splits, "pivot").withColumn(
-        "split", F.pmod(F.xxhash64("vec_id", F.lit("query")), "splits").cast("int")).withColumn("ring", F.lit(0))
+        "split", F.pmod(F.xxhash64("row_id", F.lit("query")), "splits").cast("int")).withColumn("ring", F.lit(0))
     query_blocks = query_blocks.groupBy("pivot", "split").applyInPandas(
-        gather, "pivot int, ring int, split int, ids binary, xs binary").select(
-        F.col("pivot").alias("qp"), F.col("split").alias("qs"), F.col("ids").alias("qids"), F.col("xs").alias("qx"))
+        gather, RING).select(
+        F.col("pivot").alias("qp"), F.col("split").alias("qs"), F.col("ids").alias("qids"), F.col("rows").alias("qrows"),
+        F.col("xs").alias("qx"))
 
     def arrays(ids, xs):
         i = np.frombuffer(ids, "<i8")
@@ -184,16 +194,16 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
     # one block of each pivot gives its queries a first threshold
     first = index.groupBy("pivot").agg(F.min(F.struct("ring", "split")).alias("f")).select(
         F.col("pivot").alias("qp"), F.col("f.ring").alias("ring"), F.col("f.split").alias("split"))
-    seeds = index.select(F.col("pivot").alias("qp"), "ring", "split", "ids", "xs").join(first, ["qp", "ring", "split"]).select(
-        "qp", "ids", "xs")
+    seeds = index.select(F.col("pivot").alias("qp"), "ring", "split", "rows", "ids", "xs").join(first, ["qp", "ring", "split"]).select(
+        "qp", "rows", "ids", "xs")
 
     def plan(it):
         for pdf in it:
-            for qp, qs, qids, qx, ids, xs in zip(pdf["qp"], pdf["qs"], pdf["qids"], pdf["qx"], pdf["ids"], pdf["xs"]):
-                qi, q = arrays(qids, qx)
+            for qp, qs, qrows, qx, rows, xs in zip(pdf["qp"], pdf["qs"], pdf["qrows"], pdf["qx"], pdf["rows"], pdf["xs"]):
+                qi, q = arrays(qrows, qx)
                 floor = np.full(len(qi), -np.inf)
-                if ids is not None:
-                    xi, x = arrays(ids, xs)
+                if rows is not None:
+                    xi, x = arrays(rows, xs)
                     for j, s in enumerate(_products(q, x)):
                         s = s[xi != qi[j]]
                         if len(s) >= k:
@@ -211,8 +221,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
         qi, q = arrays(left["qids"].iloc[0], left["qx"].iloc[0])
+        qr = np.frombuffer(left["qrows"].iloc[0], "<i8")
         bound = upper(q)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qi)
         floor = np.full(len(qi), -np.inf)
@@ -222,21 +233,22 @@ def top_k(vectors: DataFrame, k: int = 20, query_modulus: int = 20, scale: float
             if not len(todo):
                 continue
             xi, x = arrays(row.ids, row.xs)
+            xr = np.frombuffer(row.rows, "<i8")
             for j, s in zip(todo, _products(q[todo], x)):
-                use = (xi != qi[j]) & (s >= floor[j])
+                use = (xr != qr[j]) & (s >= floor[j])
                 if use.any():
                     found[j] = best(np.concatenate([found[j][0], s[use]]), np.concatenate([found[j][1], xi[use]]), k)
                     if len(found[j][0]) == k:
                         floor[j] = found[j][0][-1]
         n = [len(f[0]) for f in found]
-        return pd.DataFrame({"query_id": np.repeat(qi, n), "vec_id": np.concatenate([f[1] for f in found]),
+        return pd.DataFrame({"query_row": np.repeat(qr, n), "query_id": np.repeat(qi, n), "vec_id": np.concatenate([f[1] for f in found]),
                              "score": np.concatenate([f[0] for f in found])})
 
     work = wanted.join(index, ["pivot", "ring"]).withColumn(
         "slice", F.pmod(F.xxhash64("pivot", "ring", "split"), F.lit(slices)).cast("int"))
     asked = query_blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     partial = asked.groupBy("qp", "qs", "slice").cogroup(work.groupBy("qp", "qs", "slice")).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
