@@ -6,6 +6,7 @@ runs one pipeline over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -901,7 +902,7 @@ SELECT month,
                            THEN customer_id END),
        count(DISTINCT CASE WHEN trunc(churn_date, 'MM') = month AND first_order_date IS NULL
                            THEN customer_id END)
-FROM customer_months
+FROM {view}
 GROUP BY month
 """
 
@@ -910,8 +911,12 @@ GROUP BY month
 def src1(spark, d):
     """M19 through the SQL path: a temp view over the derived monthly
     snapshot, SQL text, positional column names."""
-    fx.customer_months(_t(spark, d)).createOrReplaceTempView("customer_months")
-    return query_to_table(spark, CHURN_SQL, ["month", "churns", "cancelled_contracts"])
+    view = f"customer_months_{uuid.uuid4().hex[:12]}"        # calls do not share a name
+    fx.customer_months(_t(spark, d)).createOrReplaceTempView(view)
+    try:        # the view is part of the analysed plan from here on
+        return query_to_table(spark, CHURN_SQL.format(view=view), ["month", "churns", "cancelled_contracts"])
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 @register("joi10_hierarchy")
