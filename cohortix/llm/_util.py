@@ -62,11 +62,19 @@ def worker_cache() -> dict:
 
 
 def release_memory() -> None:
-    """Give back what a reused worker still holds: other operators' caches and
-    Arrow's free pages."""
+    """Give back what a reused worker still holds: other operators' caches and the
+    free pages of Arrow and of the C heap, which an earlier stage's arrays leave."""
+    import ctypes
+    import gc
+
     import pyarrow as pa
     worker_cache().clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass
 
 
 def with_columns_of(df: DataFrame, cols: list[str]) -> DataFrame:

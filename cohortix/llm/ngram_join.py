@@ -52,7 +52,7 @@ from .segments import row_slices
 from .shingles import set_keys, shingle_sets
 
 FRAGMENT_BYTES = 8 << 20
-SLICE_BYTES = 4 << 20       # text whose sets a task holds at once
+SLICE_BYTES = 1 << 20       # text whose sets a task holds at once
 CUTS = 4
 PAIRS_PER_ENTRY = 64        # so many comparisons per prefix entry are done at once
 BLOCK_SCHEMA = ("frag int, part int, seq int, rows int, idx binary, counts binary, keys binary, hashes binary, "
@@ -114,18 +114,17 @@ def _blocks(docs: DataFrame, size: int, limit: int, fragments: int, width: int)
             k1 = set_keys(offsets, hashes)
             n = np.diff(offsets)
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            m = np.zeros(len(n), np.int64)
+            m, rows = np.zeros(len(n), np.int64), []
             for f, pos in _cut(hashes, doc, fragments, limit):
                 idx, counts = np.unique(doc[pos], return_counts=True)
                 m[idx] += counts
-                row = [f, part, seq, len(n), idx.astype("<i4").tobytes(), counts.astype("<i4").tobytes(),
-                       k1[idx].astype("<i8").tobytes(), _pack(hashes[pos], width)] + [None] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
-            row = [-1, part, seq, len(n), None, None, None, None, 
-                   pc.fill_null(b["doc_id"], 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
-                   pc.is_valid(b["doc_id"]).to_numpy(zero_copy_only=False).astype("u1").tobytes(),
-                   n.astype("<i8").tobytes(), m.astype("<i8").tobytes(), k1.astype("<i8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+                rows.append([f, part, seq, len(n), idx.astype("<i4").tobytes(), counts.astype("<i4").tobytes(),
+                             k1[idx].astype("<i8").tobytes(), _pack(hashes[pos], width)] + [None] * 5)
+            rows.append([-1, part, seq, len(n), None, None, None, None,
+                         pc.fill_null(b["doc_id"], 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
+                         pc.is_valid(b["doc_id"]).to_numpy(zero_copy_only=False).astype("u1").tobytes(),
+                         n.astype("<i8").tobytes(), m.astype("<i8").tobytes(), k1.astype("<i8").tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names)
 
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
