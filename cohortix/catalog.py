@@ -26,7 +26,7 @@ from .plans import subscription as sub
 from .plans import tickets as tk
 from .sources import fixtures as fx
 from .sources.query import coerce_types, query_to_table
-from .sources.shared import new_folder
+from .sources.shared import new_folder, staged
 from .sources.sinks import Bundle, MonthTable
 from .sources.tables import Tables
 
@@ -114,9 +114,20 @@ COHORT_RULES = cohort.CohortRules(excluded_resellers=("Reseller 3", "Reseller 11
                                   excluded_sellers=("Seller 1",))
 
 
-def _cohort(t, levels=1, days=None):
-    g = cohort.cohort_drivers(fx.account_days(t) if days is None else days, fx.account_snapshots(t), fx.account_directory(t), fx.account_opportunities(t),
-                              fx.account_products(t), COHORT_RULES, levels, fx.parent_snapshots(t))
+def _flows(t, levels=1):
+    """The owners' flows, saved: jobs that need other stocks beside them read these."""
+    flows = cohort.account_flows(fx.account_opportunities(t), fx.account_products(t), COHORT_RULES)
+    return cohort.owner_flows(flows, fx.account_directory(t), fx.account_snapshots(t), COHORT_RULES, levels, fx.parent_snapshots(t),
+                              lambda df: staged(df, "cohort-flows"))
+
+
+def _cohort(t, levels=1, flows=None, days=None, month=None):
+    """``days`` and ``month``: other daily rows, all of one month."""
+    snapshots, parents = fx.account_snapshots(t), fx.parent_snapshots(t)
+    if month:
+        snapshots, parents = [s.filter(F.col("month") == F.lit(month).cast("date")) for s in (snapshots, parents)]
+    stocks = cohort.cohort_stocks(fx.account_days(t) if days is None else days, snapshots, fx.account_directory(t), COHORT_RULES, parents)
+    g = cohort.with_flows(stocks, *(flows or _flows(t, levels)))
     return g.select("dt", *cohort.OWNER, "location_count", *[F.round(c, 2).alias(c) for c in ["live_saas_arr"] + cohort.FLOWS])
 
 
@@ -138,9 +149,10 @@ def _saved_cohort(spark, d):
     partition alone rewritten, from that month's days alone."""
     t = _t(spark, d)
     table = MonthTable(spark, new_folder(spark, "cohort-growth"))
-    table.create(_cohort(t))
+    flows = _flows(t)
+    table.create(_cohort(t, flows=flows))
     days = fx.account_days(t).filter(F.trunc("dt", "month") == F.lit(RESTATED).cast("date"))
-    table.replace(_cohort(t, days=days.withColumn("live_amount", F.col("live_amount") * 2)), [RESTATED])
+    table.replace(_cohort(t, flows=flows, days=days.withColumn("live_amount", F.col("live_amount") * 2), month=RESTATED), [RESTATED])
     return table
 
 

@@ -106,11 +106,13 @@ def unmatched(left: DataFrame, right: DataFrame, on: Column | list[str]) -> Data
 
 
 def hierarchy(entities: DataFrame, key: str, parent: str, time_col: str | None = None,
-              levels: int = 2) -> DataFrame:
-    """Add ``parent_1..parent_levels`` by repeated self-joins (key -> parent),
-    matching on ``time_col`` too when given (monthly snapshots)."""
+              levels: int = 2, links: DataFrame | None = None) -> DataFrame:
+    """Add ``parent_1..parent_levels`` by repeated joins (key -> parent),
+    matching on ``time_col`` too when given (monthly snapshots).  ``links``: the
+    entities that are a parent of any (all ``entities``, if not given); ``entities``
+    then need no key of their own."""
     keys = [time_col] if time_col else []
-    link = entities.select(*keys, F.col(key).alias("_k"), F.col(parent).alias("_p"))
+    link = (entities if links is None else links).select(*keys, F.col(key).alias("_k"), F.col(parent).alias("_p"))
     out = entities.withColumn("parent_1", F.col(parent))
     for i in range(2, levels + 1):
         j = link.withColumnRenamed("_k", f"parent_{i-1}").withColumnRenamed("_p", f"parent_{i}")

@@ -6,14 +6,14 @@ attached to it: upsell and downsell of won opportunities by the sign of their
 amounts, churned ARR split by churn reason.
 
 * Locations roll up two levels (location -> parent -> grandparent) on the
-  snapshot of their month.  Daily rows meet it by (month, account), a pair that is
-  unique there, and are added up per parent and day before they go up again.
+  snapshot of their month.  Daily rows meet it by account and year (``_by_year``)
+  and are added up per parent and day before they go up again.
 * Opportunities and churned products are added up by (account, day) in one stream
   and then by (owner, day) before they meet the days; no day x opportunity product
   exists.
 * ``levels=1`` attaches flows to the owner's direct children, ``levels=2`` rolls
-  them up as the locations are, on the chain of their month
-  (``operators.joins.hierarchy``, keyed by account and month).
+  them up as the locations are: added up per parent and day, then on the chain of
+  their month (``operators.joins.hierarchy``).
 
 M44 evaluates periods (lengths x forward/lookback) of every month from an
 account's first row on.  The cohort rows may be sparse: a stock is that of the
@@ -24,6 +24,7 @@ account's own rows and edges; no day grid, no range join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -53,18 +54,28 @@ class CohortRules:
     sign: str = "software_mrr + hardware_cost + software_mrr"
 
 
-def _chain(snapshots: DataFrame) -> DataFrame:
-    """(month, account_id, owner, first_order_date): the top of the chain of
-    each account in each month; no owner without a parent and grandparent row."""
-    links = snapshots.select("month", "account_id", "parent_account_id", "first_order_date")
-    up = hierarchy(links, "account_id", "parent_account_id", "month", levels=2)
-    return up.select("month", "account_id", "first_order_date", F.col("parent_2").alias("owner"))
-
-
 def _month(c: str) -> Column:
     return F.trunc(c, "month")
 
 
+def _by_year(snapshots: DataFrame, *attrs: str) -> DataFrame:
+    """account_id, year, the ``attrs``, n: how many snapshot rows with these attrs
+    the account has in each of the year's twelve months.
+
+    Days meet a snapshot by (account_id, year) and their month's count: what is
+    shuffled is a row per year and not one per month."""
+    n = F.array(*[F.count_if(F.month("month") == k).cast("int") for k in range(1, 13)])
+    firsts = snapshots.filter(F.col("month") == _month("month"))
+    return firsts.groupBy("account_id", F.year("month").alias("year"), *attrs).agg(n.alias("n"))
+
+
+def _on_day(days: DataFrame, by_year: DataFrame) -> DataFrame:
+    """``days`` with the snapshot of their month: its attrs, month, and held, the
+    number of its rows."""
+    both = days.withColumn("year", F.year("dt")).join(by_year, ["account_id", "year"])
+    return both.withColumns({"month": _month("dt"), "held": F.element_at("n", F.month("dt"))}).filter("held > 0")
+
+
 def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, rules: CohortRules,
                   parents: DataFrame | None = None) -> DataFrame:
     """dt, owner attributes, location_count, live_saas_arr, new_live_saas.
@@ -77,13 +88,13 @@ def cohort_stocks(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, r
     up = parents.select("month", "account_id", F.col("parent_account_id").alias("up"))
     dropped = accounts.filter(F.col("reseller").isin(*rules.excluded_resellers)).select("account_id")
     days = daily.join(dropped, "account_id", "left_anti") if rules.excluded_resellers else daily
-    located = days.withColumn("month", _month("dt")).join(
-        snapshots.select("month", "account_id", "first_order_date", F.col("parent_account_id").alias("up")), ["month", "account_id"])
-    amount = F.col("live_amount")
+    located = _on_day(days, _by_year(snapshots, "first_order_date", "parent_account_id").withColumnRenamed("parent_account_id", "up"))
+    held = F.col("held")
+    amount = F.col("live_amount") * held
     # sums of a parent's day first: what goes up another level is one row per
     # parent and day, and an account has one parent in a month
     sums = located.groupBy("dt", "month", "up").agg(
-        F.count_if(F.col("status") == rules.live_status).alias("n"), F.sum(amount).alias("live"),
+        F.sum(F.when(F.col("status") == rules.live_status, held).otherwise(0)).alias("n"), F.sum(amount).alias("live"),
         F.sum(F.when(F.col("dt") == F.col("first_order_date"), amount)).alias("new"))
     above = sums.withColumnRenamed("up", "account_id").join(up, ["month", "account_id"]).withColumnRenamed("up", "owner")
     sums = above.groupBy("dt", "month", "owner").agg(
@@ -112,30 +123,53 @@ def account_flows(opps: DataFrame, status: DataFrame, rules: CohortRules) -> Dat
         F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("lost").alias("lost"), F.max("opp").alias("opp"))
 
 
-def owner_flows(flows: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules,
-                levels: int) -> tuple[DataFrame, DataFrame]:
+def owner_flows(flows: DataFrame, accounts: DataFrame, snapshots: DataFrame, rules: CohortRules, levels: int,
+                parents: DataFrame | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(owner, dt, upsell, downsell, lost_p, lost_o), churned amounts by kind of
     reason; and per owner whether it has any qualifying opportunity and children
-    of either kind (has_opp, any_p, any_o)."""
+    of either kind (has_opp, any_p, any_o).
+
+    ``parents`` as in ``cohort_stocks``.  ``stage`` saves a frame that is read more
+    than once and gives it back as read (else it is computed again)."""
     reason = F.coalesce(F.lower("churn_reason"), F.lit("")).isin(*[r.lower() for r in rules.preventable_reasons])
     kinds = accounts.select("account_id", F.col("parent_account_id").alias("owner"), reason.alias("preventable"))
+    p, known = F.col("preventable"), F.col("owner").isNotNull()
+
+    def sums(df: DataFrame, *keys: str, held: Column) -> DataFrame:
+        lost = F.col("lost") * held
+        return df.groupBy(*keys).agg(F.sum(F.col("up") * held).alias("up"), F.sum(F.col("down") * held).alias("down"),
+                                     F.sum(F.when(p, lost)).alias("lost_p"), F.sum(F.when(~p, lost)).alias("lost_o"), F.max("opp").alias("opp"))
+
     if levels == 1:
-        owned, children = flows.join(kinds, "account_id"), kinds
+        days = sums(flows.join(kinds, "account_id").filter(known), "owner", "dt", held=F.lit(1))
+        children = kinds.filter(known).groupBy("owner").agg(F.bool_or(p).alias("any_p"), F.bool_or(~p).alias("any_o"))
     else:
-        chain = _chain(snapshots).select("month", "account_id", "owner")
-        owned = flows.withColumn("month", _month("dt")).join(chain, ["month", "account_id"]).join(kinds.drop("owner"), "account_id")
-        children = chain.select("account_id", "owner").distinct().join(kinds.drop("owner"), "account_id")
-    owned, p = owned.filter(F.col("owner").isNotNull()), F.col("preventable")
-    sums = owned.groupBy("owner", "dt").agg(
-        (F.sum("up") * 12).alias("upsell_saas_arr"), (F.sum("down") * 12).alias("downsell_saas_arr"),
-        (F.sum(F.when(p, F.col("lost"))) * 12).alias("lost_p"), (F.sum(F.when(~p, F.col("lost"))) * 12).alias("lost_o"))
-    seen = owned.select("owner", F.col("opp").alias("o"), F.lit(False).alias("p"), F.lit(False).alias("q")).unionByName(
-        children.filter(F.col("owner").isNotNull()).select("owner", F.lit(0).alias("o"), p.alias("p"), (~p).alias("q")))
-    return sums, seen.groupBy("owner").agg((F.max("o") == 1).alias("has_opp"), F.bool_or("p").alias("any_p"), F.bool_or("q").alias("any_o"))
+        links = (snapshots if parents is None else parents).select("month", "account_id", "parent_account_id")
+
+        def owned(df: DataFrame) -> DataFrame:
+            up = hierarchy(df, "account_id", "parent_account_id", "month", levels=2, links=links)
+            return up.withColumnRenamed("parent_2", "owner").filter(known)
+
+        # sums of a parent's day first, as the stocks are: few rows go up the chain
+        by_year = stage(_by_year(snapshots, "parent_account_id").join(kinds.drop("owner"), "account_id"))
+        below = sums(_on_day(flows, by_year), "month", "dt", "parent_account_id", held=F.col("held"))
+        days = owned(below).groupBy("owner", "dt").agg(*[F.sum(c).alias(c) for c in ("up", "down", "lost_p", "lost_o")], F.max("opp").alias("opp"))
+        seen = by_year.groupBy("year", "parent_account_id", "preventable").agg(
+            F.array(*[F.max(F.element_at("n", k)) for k in range(1, 13)]).alias("n"))
+        seen = seen.select("year", "parent_account_id", "preventable", F.posexplode("n").alias("k", "held")).filter("held > 0")
+        children = owned(seen.withColumn("month", F.make_date("year", F.col("k") + 1, F.lit(1)))).groupBy("owner").agg(
+            F.bool_or(p).alias("any_p"), F.bool_or(~p).alias("any_o"))
+    days = stage(days)
+    opp = days.groupBy("owner").agg((F.max("opp") == 1).alias("o"))
+    kinds = opp.join(children, "owner", "full").select("owner", *[F.coalesce(c, F.lit(False)).alias(n) for c, n in (
+        ("o", "has_opp"), ("any_p", "any_p"), ("any_o", "any_o"))])
+    return days.select("owner", "dt", (F.col("up") * 12).alias("upsell_saas_arr"), (F.col("down") * 12).alias("downsell_saas_arr"),
+                       (F.col("lost_p") * 12).alias("lost_p"), (F.col("lost_o") * 12).alias("lost_o")), stage(kinds)
 
 
 def cohort_drivers(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame, opps: DataFrame, status: DataFrame,
-                   rules: CohortRules = CohortRules(), levels: int = 1, parents: DataFrame | None = None) -> DataFrame:
+                   rules: CohortRules = CohortRules(), levels: int = 1, parents: DataFrame | None = None,
+                   stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One row per day and top account with a daily row below it.
 
     accounts: account_id, parent_account_id, reseller, churn_reason.  opps:
@@ -147,7 +181,11 @@ def cohort_drivers(daily: DataFrame, snapshots: DataFrame, accounts: DataFrame,
     with any qualifying opportunity and null for the rest; a churn kind is 0 when
     the account has children of the other kind only, null without churn."""
     stocks = cohort_stocks(daily, snapshots, accounts, rules, parents)
-    sums, kinds = owner_flows(account_flows(opps, status, rules), accounts, snapshots, rules, levels)
+    return with_flows(stocks, *owner_flows(account_flows(opps, status, rules), accounts, snapshots, rules, levels, parents, stage))
+
+
+def with_flows(stocks: DataFrame, sums: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The report's rows of ``cohort_stocks`` and ``owner_flows``."""
     own = F.col("account_id")
     out = (stocks
            .join(sums.withColumnRenamed("owner", "account_id"), ["account_id", "dt"], "left")

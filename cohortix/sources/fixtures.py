@@ -189,13 +189,18 @@ def module_lines(t: Tables) -> DataFrame:
 
     ``part`` is joined without a broadcast hint: it grows with the scale
     factor, so the choice is left to AQE's measured sizes."""
+    return _lines_of(t, order_days(t).select("o_orderkey", "customer_id", "dt", "o_orderstatus"))
+
+
+def _lines_of(t: Tables, o: DataFrame) -> DataFrame:
+    """The line items of the orders ``o`` (o_orderkey and others): ``o``'s columns,
+    module, qty, amount."""
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     part = t("part").select(F.col("p_partkey"), F.col("p_type").alias("module"))
-    o = order_days(t).select("o_orderkey", "customer_id", "dt", "o_orderstatus")
+    own = ["customer_id", "dt", *[c for c in o.columns if c not in ("customer_id", "dt")]]
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey)
-              .select("customer_id", "dt", "o_orderkey", "o_orderstatus", "module",
-                      F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount")))
+              .select(*own, "module", F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("amount")))
 
 
 # --------------------------------------------------------------------- care
@@ -470,8 +475,11 @@ def account_opportunities(t: Tables) -> DataFrame:
 def account_products(t: Tables, as_of: str = AS_OF) -> DataFrame:
     """Product status by day: account_id, dt, product, saas_price, churn_date,
     first_order_date; a churned account's last products stand on its churn day."""
-    c = customer_ends(t, as_of)
-    lines = module_lines(t).groupBy("customer_id", "dt", "module").agg(F.sum("amount").alias("saas_price")).join(c, "customer_id")
+    # the orders know their customer's dates before they meet the line items: who
+    # asks for some days joins the lines of those days' orders
+    ends = ["first_order_date", "last_order_date", "churn_date"]
+    o = order_days(t).select("o_orderkey", "customer_id", "dt").join(customer_ends(t, as_of), "customer_id")
+    lines = _lines_of(t, o).groupBy("customer_id", "dt", "module", *ends).agg(F.sum("amount").alias("saas_price"))
     gone = lines.filter((F.col("dt") == F.col("last_order_date")) & F.col("churn_date").isNotNull()).withColumn("dt", F.col("churn_date"))
     both = lines.unionByName(gone)
     return both.select(_location().alias("account_id"), "dt", F.col("module").alias("product"), "saas_price", "churn_date",

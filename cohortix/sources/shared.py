@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
@@ -30,3 +30,11 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, tag: str) -> str:
     """An unused path; nothing is created there."""
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a new folder and read from there: computed once, however
+    many readers and later jobs it has."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -152,3 +152,45 @@ def test_month_table_refuses_stray_rows_and_prunes(spark, tmp_path):
     plan = table.read("2020-02-01")._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "month_part" in plan.split("PartitionFilters", 1)[1][:200]
     assert table.read("2020-02-01").filter(F.col("v") == 2).inputFiles()
+
+
+def test_snapshots_meet_days_by_year(spark):
+    """A repeated snapshot row counts as often as it stands; a snapshot in mid-month
+    and an unknown month meet no day; parts of a year may have other parents."""
+    _, snaps, *_ = inputs(spark)
+    odd = spark.createDataFrame([(D(2020, 1, 1), "L1", 1, "P1", None, "s", D(2020, 1, 5)), (D(2020, 3, 9), "L1", 1, "P9", None, "s", None),
+                                 (None, "L1", 1, "P9", None, "s", None)], SNAP)
+    by_year = co._by_year(snaps.unionByName(odd), "parent_account_id")
+    assert {(r.account_id, r.parent_account_id): r.n[:3] for r in by_year.collect() if r.account_id in ("L1", "L2")} == {
+        ("L1", "P1"): [2, 1, 0], ("L2", "P1"): [1, 0, 0], ("L2", "P2"): [0, 1, 0]}
+    days = spark.createDataFrame([("L1", D(2020, 1, 5)), ("L2", D(2020, 2, 7)), ("L1", D(2020, 3, 9)), ("L1", None)], "account_id string, dt date")
+    assert sorted((r.account_id, r.dt, r.parent_account_id, r.held) for r in co._on_day(days, by_year).collect()) == [
+        ("L1", D(2020, 1, 5), "P1", 2), ("L2", D(2020, 2, 7), "P2", 1)]
+
+
+def test_chain_is_read_from_the_parents_alone(spark):
+    daily, snaps, accounts, opps, status = inputs(spark)
+    parents = snaps.filter("account_id in ('P1', 'P2', 'G')")
+    saved = []
+    got = co.cohort_drivers(daily, snaps, accounts, opps, status, RULES, 2, parents, lambda df: saved.append(df) or df)
+    assert rows(got) == rows(co.cohort_drivers(daily, snaps, accounts, opps, status, RULES, levels=2))
+    assert len(saved) == 3      # what is read more than once
+
+
+def test_grandparent_plan_is_small(spark):
+    """The saved flows keep the last plan small, on which the driver's memory depends."""
+    from cohortix.catalog import QUERIES
+
+    from .conftest import SF001
+    plan = QUERIES["m43_cohort_drivers_grandparent"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 20
+
+
+def test_a_restated_month_computes_the_flows_once(spark, monkeypatch):
+    from cohortix import catalog
+
+    from .conftest import SF001
+    calls, real = [], co.account_flows
+    monkeypatch.setattr(co, "account_flows", lambda *a: calls.append(a) or real(*a))
+    catalog._saved_cohort(spark, SF001)
+    assert len(calls) == 1
