@@ -421,10 +421,15 @@ def investor_wide(long: DataFrame, months: list[str]) -> DataFrame:
     and metric and ``<yyyy_MM>_status``; ``long`` has one row per account and
     month.  The months are given (``month_axis``: a scan of the days alone), so
     the pipeline does not run twice to find pivot values."""
-    labels = [m[:7].replace("-", "_") for m in months]
-    return (long.withColumn("m", F.date_format("month", "yyyy_MM")).filter(F.col("m").isin(*labels))
-                .groupBy("customer_id").pivot("m", labels)
-                .agg(*[F.max(x).alias(x) for x in ("status", *INVESTOR_METRICS)]))
+    columns = ("status", *INVESTOR_METRICS)
+    at = {int(m[:4]) * 12 + int(m[5:7]) - 1: m[:7].replace("-", "_") for m in months}
+    m = F.year("month") * 12 + F.month("month") - 1
+    # one shuffle by account; its months are gathered and each column is read from
+    # them, so a row's cost does not grow with the number of columns
+    rows = long.select("customer_id", m.alias("m"), *columns).filter(F.col("m").isin(*at)).repartition("customer_id")
+    one = rows.groupBy("customer_id", "m").agg(*[F.max(x).alias(x) for x in columns])
+    held = one.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("m", F.struct(*columns)))).alias("held"))
+    return held.select("customer_id", *[F.col("held").getItem(k)[x].alias(f"{label}_{x}") for k, label in at.items() for x in columns])
 
 
 def payroll_long(invoices: DataFrame, id_map: DataFrame, accounts: DataFrame, start: str) -> DataFrame:
@@ -486,25 +491,29 @@ class InvestorInputs:
     months: tuple[str, ...]
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def investor_dataset(inputs: InvestorInputs, folder: str | None = None, save: bool = True, save_raw: bool = False,
                      stage: str | None = None) -> dict[str, DataFrame]:
     """M12/M13 as a whole: account info, monthly location data, monthly payroll data
     and payroll account info, and with ``save_raw`` the two long sets.
 
-    The long location set feeds three outputs; it is written once to ``stage`` and
-    read from there, so the chain before it runs once.  With ``save`` the outputs
+    The long location and payroll sets feed three outputs each; they are written
+    once to ``stage`` and read from there, so the chains before them run once.  With ``save`` the outputs
     are committed to ``folder`` together (``sources.sinks.Bundle``)."""
-    long = investor_long(inputs.locations)
+    long, payroll = investor_long(inputs.locations), inputs.payroll
     if stage:
-        long.write.mode("overwrite").parquet(stage)
-        long = long.sparkSession.read.schema(long.schema).parquet(stage)
-    payroll_accounts = inputs.payroll.groupBy("parent_id", "guid").agg(F.min("month").alias("first_month"))
+        long, payroll = [_staged(df, f"{stage}/{name}") for df, name in ((long, "locations"), (payroll, "payroll"))]
+    payroll_accounts = payroll.groupBy("parent_id", "guid").agg(F.min("month").alias("first_month"))
     out = {"account_info": account_timeline(long, inputs.accounts, info=inputs.info),
            "monthly_location_data": investor_wide(long, list(inputs.months)),
-           "monthly_payroll_data": payroll_wide(inputs.payroll, list(inputs.months)),
+           "monthly_payroll_data": payroll_wide(payroll, list(inputs.months)),
            "payroll_account_info": payroll_accounts}
     if save_raw:
-        out |= {"investor_long": long, "payroll_long": inputs.payroll}
+        out |= {"investor_long": long, "payroll_long": payroll}
     if save:
         if not folder:
             raise ValueError("a folder is needed to save the data set")

@@ -164,3 +164,31 @@ def test_investor_months_follow_the_table(spark, tmp_path):
     assert rows[first]["1993_11_status"] and rows[other]["1994_02_status"] and not rows[other]["1993_11_status"]
     empty = sub.month_axis(spark.createDataFrame([], "dt date"), "dt", "2001-08-01")
     assert empty == ["2001-08-01"]
+
+
+def test_investor_months_are_read_from_one_row_an_account(spark):
+    cols = "customer_id long, parent_id long, month date, status string, " + ", ".join(f"{m} double" for m in sub.INVESTOR_METRICS)
+    D = dt.date
+    long = spark.createDataFrame([
+        (1, 9, D(2020, 1, 1), "Live", None, 0.0, 1.0, 2.0, 3.0), (1, 9, D(2020, 1, 17), "Backlog", 5.0, 0.0, 0.5, 4.0, 3.0),
+        (1, 9, D(2021, 1, 1), "Churn", 1.0, 1.0, 1.0, 1.0, 1.0), (2, 9, D(2030, 1, 1), "Live", 1.0, 1.0, 1.0, 1.0, 1.0),
+        (None, 9, D(2020, 2, 1), None, 7.0, None, None, None, None)], cols)
+    wide = sub.investor_wide(long, ["2020-01-01", "2020-02-01", "2021-01-01"])
+    assert wide.columns[:3] == ["customer_id", "2020_01_status", "2020_01_backlog_saas"] and len(wide.columns) == 19
+    got = {r.customer_id: r.asDict() for r in wide.collect()}
+    assert set(got) == {1, None}        # 2 has no month on the axis
+    assert [got[1][f"2020_01_{c}"] for c in ("status", *sub.INVESTOR_METRICS)] == ["Live", 5.0, 0.0, 1.0, 4.0, 3.0]
+    assert got[1]["2020_02_status"] is None and got[1]["2021_01_status"] == "Churn" and got[None]["2020_02_backlog_saas"] == 7.0
+    # a month's columns are no aggregates of their own
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("max(") <= 6
+
+
+def test_investor_payroll_is_computed_once(spark, tmp_path):
+    from cohortix import catalog
+
+    from .conftest import SF001
+    t = catalog._t(spark, SF001)
+    inputs = sub.InvestorInputs(catalog._loc(t), catalog.fx.accounts(t), catalog.fx.account_info(t), catalog._payroll(t), ("1998-01-01",))
+    out = sub.investor_dataset(inputs, save=False, save_raw=True, stage=str(tmp_path / "long"))
+    for name in ("payroll_account_info", "monthly_payroll_data", "payroll_long"):
+        assert all(str(tmp_path) in f for f in out[name].inputFiles())
