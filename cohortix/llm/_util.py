@@ -61,14 +61,16 @@ def worker_cache() -> dict:
     return mod.__dict__.setdefault("cache", {})
 
 
-def release_memory() -> None:
-    """Give back what a reused worker still holds: other operators' caches and the
-    free pages of Arrow and of the C heap, which an earlier stage's arrays leave."""
+def release_memory(keep=None) -> None:
+    """Give back what a reused worker still holds: other operators' caches (all but
+    the one named ``keep``) and the free pages of Arrow and of the C heap, which an
+    earlier stage's arrays leave."""
     import ctypes
     import gc
 
     import pyarrow as pa
-    worker_cache().clear()
+    for key in worker_cache().keys() - {keep}:
+        del worker_cache()[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

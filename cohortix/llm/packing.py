@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import with_columns_of, written
+from ._util import release_memory, with_columns_of, written
 from .word_tokens import batch_ids
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -84,6 +84,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
         import pyarrow as pa
         from pyspark import TaskContext
 
+        release_memory(("words", vocabulary))
         part = TaskContext.get().partitionId()
         windows = OpenWindows(window, open_windows, min_cut)
         held: dict[int, list] = {}       # key -> pieces of a window that is still open

@@ -21,6 +21,8 @@ from .segments import RaggedCache, as_large, factorize, gather, row_slices, span
 SEPARATOR = "<|endoftext|>"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 
+SLICE_BYTES = 2 << 20       # text that is encoded at once
+
 
 class WordEncoder:
     """Encodes arrays of distinct words with the library.
@@ -100,7 +102,7 @@ def batch_ids(texts, path: str):
     """Yield (first row, last row + 1, token offsets of those rows, ids) of a
     batch of texts in runs of bounded size; null texts are empty."""
     cache = encoder(path)
-    for row, count in row_slices(texts, 8 << 20):
+    for row, count in row_slices(texts, SLICE_BYTES):
         for a, b, upto, ids in _slice_ids(texts.slice(row, count), cache):
             yield row + a, row + b, upto, ids
 

@@ -87,3 +87,11 @@ def test_links_against_all_pairs(spark):
     assert {frozenset([text[a], text[b]]) for a, b in pairs} == want and len(pairs) == len(want) > 500
     none, no_pairs = g.ngram_links(documents(spark, []))
     assert none.collect() == [] and no_pairs.collect() == []
+
+
+def test_sets_are_made_of_small_runs_of_text(spark):
+    from cohortix.llm import ngram_join
+    texts = [(k, f"{k} " + "abcdefg " * 40_000) for k in range(14)]      # 4.5 MB
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    heads = ngram_join._blocks(docs, 5, 1 << 64, 2, 8).filter("frag < 0").collect()
+    assert max(r.rows for r in heads) * 320_000 <= 2 << 20 and sum(r.rows for r in heads) == 14

@@ -158,3 +158,18 @@ def test_packing_repeated_and_empty(spark):
     out = packing.pack(documents(spark, rows), WORDS, window=8).collect()
     assert sum(r["length"] for r in out) == 3 * 3 + 1
     assert packing.pack(documents(spark, []), WORDS).collect() == []
+
+
+def test_small_runs_of_text_are_encoded_at_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from cohortix.llm import _util, word_tokens
+    seen, real = [], word_tokens._slice_ids
+    monkeypatch.setattr(word_tokens, "_slice_ids", lambda t, c: seen.append(t.nbytes) or real(t, c))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert sum(b - a for a, b, _, _ in word_tokens.batch_ids(pa.array(["abc " * 100_000] * 15), path)) == 15    # 6 MB
+    assert max(seen) <= 3 << 20
+    _util.worker_cache()["other"] = 1
+    _util.release_memory(("words", path))
+    assert ("words", path) in _util.worker_cache() and "other" not in _util.worker_cache()
