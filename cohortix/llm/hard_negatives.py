@@ -21,15 +21,19 @@ anchors whose windows are not full: for positives down to the sample's last
 needed row of the label, then without any threshold; for negatives down to the
 window's lower end.  The result is exact; the sample only decides the rounds.
 
-Scale: anchors are a stated query set, compared in blocks with all rows.  Blocks
-of at most ``query_rows`` anchors go to each of at most ``max_shards`` shards of
-the index, and a task reads one pair of blocks at a time, so memory is bounded by
-the block sizes and the index is shuffled once a round.  A block returns at most
+Scale: anchors are a stated query set, compared in blocks with all rows.  Index
+blocks lie in at most ``max_shards`` shards, blocks of about ``query_rows`` anchors
+in parts of at most about ``ASKED_BYTES``; both are shuffled once a round and neither
+is copied: a task reads one shard against one part (a Cartesian product, whatever
+their sizes look like to the planner) and takes one pair of blocks at a time, so
+memory is bounded by the block and part sizes.  A block returns at most
 ``positives`` (or ``negatives`` per window) rows for an anchor, so neither a label
 nor a vector that a third of the rows holds multiplies anything.  Ranks are taken
 over those rows with map-side limits.  What rounds have found lies in the shared
 folder, a lost executor repeats its tasks only.  To the driver come counts,
-maxima, energies per dimension and the sample.
+maxima, energies per dimension and the sample, of which a task returns only rows
+below a bound on the hash; joins by anchor are sort-merge joins, as written files are
+several times smaller than the rows the planner would broadcast.
 
 Edge cases: rows with a null vec_id, label or vector, or any null or non-finite
 component take no part; shorter vectors are padded with zeros; rows that repeat
@@ -51,10 +55,12 @@ from pyspark.sql import functions as F
 from ._util import discard, with_columns_of, written
 
 RESULT = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
-INDEX = ("shard int, n int, row_ids binary, vec_ids binary, labels binary, left_out binary, starts binary, "
+INDEX = ("shard int, row_ids binary, vec_ids binary, labels binary, left_out binary, starts binary, "
          "post_rows binary, post_values binary, rest binary")
 ASKED = ("block int, row_ids binary, vec_ids binary, labels binary, x binary, low binary, window_low binary, "
          "window_score binary, window_id binary")
+#: Of the anchors that a task holds while it reads a shard.
+ASKED_BYTES = 16 << 20
 FOUND = "row_id bigint, slot int, vec_id bigint, score bigint, anchor_id bigint, window_id bigint, window_score bigint"
 
 
@@ -79,6 +85,24 @@ def matrix(lists, dim: int) -> np.ndarray:
     return out
 
 
+def width(most: int) -> str:
+    """The narrowest type that holds whole numbers up to ``most``."""
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+
+
+def sample_of(rows: DataFrame, n: int, size: int) -> list:
+    """The ``size`` rows of smallest hash, of ``n``.  Each task of a top-k returns up to
+    ``size`` rows, so only rows below a bound on the hash enter it: about twice as many
+    as needed from all tasks together."""
+    mark, part = F.xxhash64("row_id", "vec_id"), 2 * size / n
+    while True:
+        near = rows.filter(mark < int((part - 0.5) * 2.0 ** 64)) if part < 1 else rows
+        drawn = near.orderBy(mark, "row_id").limit(size).select("row_id", "label", "v").collect()
+        if part >= 1 or len(drawn) == size:
+            return drawn
+        part *= 4
+
+
 def prefix_norms(x: np.ndarray) -> np.ndarray:
     """Norm of the first p components of each row, for p = 0 .. dim."""
     return np.sqrt(np.hstack([np.zeros((len(x), 1)), np.cumsum(x.astype(np.float64) ** 2, axis=1)]))
@@ -185,14 +209,14 @@ class Miner:
         if self.dim * most * most * 100 >= 1 << 63:
             raise ValueError("inner products times 100 may not fit a long")
         self.exact_floats = self.dim * most * most < 1 << 52
-        self.value = "<i4" if most < 1 << 31 else "<i8"
+        self.value, self.place = width(most), width(block_rows)
         self.shards = max(1, min(max_shards, self.n // (2 * block_rows)))
         square = (F.col("x").cast("double") * F.col("x").cast("double"))
         energy = np.zeros(self.dim)
         for r in rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(square).alias("s")).collect():
             energy[r["d"]] = r["s"]         # a row per dimension
         self.order = np.argsort(energy, kind="stable")
-        drawn = rows.orderBy(F.xxhash64("row_id", "vec_id"), "row_id").limit(sample_rows).select("row_id", "label", "v").collect()
+        drawn = sample_of(rows, self.n, sample_rows)
         self.sample = (np.array([r["row_id"] for r in drawn], np.int64), np.array([r["label"] for r in drawn], np.int64),
                        matrix([r["v"] for r in drawn], self.dim))
 
@@ -225,7 +249,7 @@ class Miner:
         return self.anchors.select("row_id", "label", "v").mapInPandas(run, "row_id bigint, lows array<double>")
 
     def index(self, cut: float) -> DataFrame:
-        order, dim, size, shards, value = self.order, self.dim, self.block_rows, self.shards, self.value
+        order, dim, size, shards, value, place = self.order, self.dim, self.block_rows, self.shards, self.value, self.place
 
         def pack(parts):
             pdf = pd.concat(parts)
@@ -235,9 +259,9 @@ class Miner:
                 return None
             shard = (int(b.row_ids[0]) * 2654435761 >> 16) % shards
             return pd.DataFrame({
-                "shard": np.array([shard], np.int32), "n": np.array([b.n], np.int32), "row_ids": [b.row_ids.tobytes()],
+                "shard": np.array([shard], np.int32), "row_ids": [b.row_ids.tobytes()],
                 "vec_ids": [b.vec_ids.tobytes()], "labels": [b.labels.tobytes()], "left_out": [b.left_out.astype("<i4").tobytes()],
-                "starts": [b.starts.astype("<i8").tobytes()], "post_rows": [b.post_rows.astype("<i4").tobytes()],
+                "starts": [b.starts.astype("<i8").tobytes()], "post_rows": [b.post_rows.astype(place).tobytes()],
                 "post_values": [b.post_values.astype(value).tobytes()], "rest": [b.rest.astype(value).tobytes()]})
 
         def run(batches):
@@ -257,8 +281,8 @@ class Miner:
         return self.rows.select("row_id", "vec_id", "label", "v").mapInPandas(run, INDEX)
 
     def asked(self, queries: DataFrame, count: int) -> DataFrame:
-        """Queries (row_id, vec_id, label, v, low, windows) in blocks, one copy per shard."""
-        order, dim, slots = self.order, self.dim, self.positives
+        """Queries (row_id, vec_id, label, v, low, windows) in blocks, a few to a partition."""
+        order, dim, slots, value = self.order, self.dim, self.positives, self.value
 
         def gather(pdf: pd.DataFrame) -> pd.DataFrame:
             low, score, ident = (np.full((len(pdf), slots), f, t) for f, t in ((np.inf, "<f8"), (0, "<i8"), (0, "<i8")))
@@ -268,14 +292,15 @@ class Miner:
             return pd.DataFrame({
                 "block": pdf["block"].iloc[:1], "row_ids": [pdf["row_id"].to_numpy(np.int64).tobytes()],
                 "vec_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "labels": [pdf["label"].to_numpy(np.int64).tobytes()],
-                "x": [matrix(list(pdf["v"]), dim)[:, order].tobytes()], "low": [pdf["low"].to_numpy(np.float64).tobytes()],
+                "x": [matrix(list(pdf["v"]), dim)[:, order].astype(value).tobytes()], "low": [pdf["low"].to_numpy(np.float64).tobytes()],
                 "window_low": [low.tobytes()], "window_score": [score.tobytes()], "window_id": [ident.tobytes()]})
 
         blocks = -(-count // self.query_rows)
         put = queries.select("row_id", "vec_id", "label", "v", "low", "windows",
                              F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("block"))
-        return put.groupBy("block").applyInPandas(gather, ASKED).withColumn(
-            "shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
+        size = np.dtype(value).itemsize * dim + 32 + 24 * slots
+        parts = max(1, min(blocks, -(-count * size // ASKED_BYTES)))
+        return put.groupBy("block").applyInPandas(gather, ASKED).repartitionById(parts, F.pmod("block", F.lit(parts)))
 
     def join(self, queries: DataFrame) -> DataFrame:
         """FOUND rows: for each query the best rows of each block that reach its
@@ -286,17 +311,20 @@ class Miner:
         if not facts["n"]:
             return spark.createDataFrame([], FOUND)
         cut = facts["cut"] if facts["cut"] is not None else float("inf")
-        dim, value, slots, exact, step = self.dim, self.value, self.positives, self.exact_floats, self.step
+        dim, value, place, slots, exact, step = self.dim, self.value, self.place, self.positives, self.exact_floats, self.step
         keep, low, high = (self.positives, self.negatives), self.low, self.high
 
         def run(batches):
             for b in batches:
-                for r in b.to_pylist():
+                block = None
+                for k in range(b.num_rows):     # views of the batch, no copies
+                    r = {c: b.column(c)[k].as_buffer() for c in b.schema.names if c not in ("shard", "block")}
                     ints = {c: np.frombuffer(r[c], "<i8") for c in ("row_ids", "vec_ids", "labels", "a_row_ids", "a_vec_ids", "a_labels")}
-                    block = Block(ints["row_ids"], ints["vec_ids"], ints["labels"],
-                                  np.frombuffer(r["left_out"], "<i4").astype(np.int64), np.frombuffer(r["starts"], "<i8"),
-                                  np.frombuffer(r["post_rows"], "<i4"), np.frombuffer(r["post_values"], value), np.frombuffer(r["rest"], value))
-                    q = np.frombuffer(r["x"], "<i8").reshape(-1, dim)
+                    if block is None or block.row_ids[0] != ints["row_ids"][0]:     # the pairs of an index block follow each other
+                        block = Block(ints["row_ids"], ints["vec_ids"], ints["labels"],
+                                      np.frombuffer(r["left_out"], "<i4").astype(np.int64), np.frombuffer(r["starts"], "<i8"),
+                                      np.frombuffer(r["post_rows"], place), np.frombuffer(r["post_values"], value), np.frombuffer(r["rest"], value))
+                    q = np.frombuffer(r["x"], value).reshape(-1, dim)
                     qi, xi, score = reaching(q, np.frombuffer(r["low"], "<f8"), block, exact, step)
                     same = ints["a_labels"][qi] == ints["labels"][xi]
                     window_low = np.frombuffer(r["window_low"], "<f8").reshape(-1, slots)
@@ -320,7 +348,8 @@ class Miner:
 
         asked = self.asked(queries, facts["n"])
         asked = asked.withColumnsRenamed({c: f"a_{c}" for c in ("row_ids", "vec_ids", "labels")})
-        return self.index(cut).join(asked, "shard").mapInArrow(run, FOUND)
+        index = self.index(cut).repartitionById(self.shards, F.col("shard"))
+        return index.crossJoin(asked.hint("shuffle_replicate_nl")).mapInArrow(run, FOUND)
 
     def best_positives(self, ranks: tuple[int, ...]) -> DataFrame:
         """row_id, slot, vec_id, score, anchor_id of each anchor's positives."""
@@ -334,7 +363,7 @@ class Miner:
             found = self.join(queries).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= self.positives)
             found = self.write(found.withColumn("slot", F.col("rank") - 1), "mining-positives")
             have = found.groupBy("row_id").agg(F.count("*").alias("have"))
-            full = pending.select("row_id", "need").join(have, "row_id").filter("have >= need").select("row_id")
+            full = pending.select("row_id", "need").join(have.hint("merge"), "row_id").filter("have >= need").select("row_id").hint("merge")
             kept.append(found.join(full, "row_id", "left_semi"))
             pending = self.write(pending.join(full, "row_id", "left_anti"), "mining-anchors")
             if pending.isEmpty():
@@ -358,12 +387,12 @@ class Miner:
             low = low - F.abs(low) * 1e-9 - 1e-6
             per = pending.withColumn("low", low).groupBy("row_id").agg(
                 F.min("low").alias("low"), F.collect_list(F.struct("slot", "vec_id", "score", "low")).alias("windows"))
-            queries = self.everyone.select("row_id", "vec_id", "label", "v", "norm").join(per, "row_id")
+            queries = self.everyone.select("row_id", "vec_id", "label", "v", "norm").join(per.hint("merge"), "row_id")
             found = self.join(queries).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= self.negatives)
             found = self.write(found, "mining-negatives")
             if k == len(steps) - 1:
                 return found if out is None else out.unionByName(found)
-            full = found.groupBy("row_id", "slot").agg(F.count("*").alias("have")).filter(F.col("have") >= self.negatives)
+            full = found.groupBy("row_id", "slot").agg(F.count("*").alias("have")).filter(F.col("have") >= self.negatives).hint("merge")
             done = found.join(full.select("row_id", "slot"), ["row_id", "slot"], "left_semi")
             out = done if out is None else out.unionByName(done)
             pending = self.write(pending.join(full, ["row_id", "slot"], "left_anti"), "mining-windows")

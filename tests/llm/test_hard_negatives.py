@@ -80,3 +80,47 @@ def test_index_leaves_out_and_loses_nothing(cut, exact):
         assert len(block.post_values) < x.size and block.left_out.max() > 0
     if cut == 240.0:
         assert block.n < 300
+
+
+def many(spark, n, parts=16):
+    component = [(F.pmod(F.xxhash64("id", F.lit(d)), F.lit(201)) - 100) / 100.0 for d in range(8)]
+    return spark.range(n, numPartitions=parts).select(F.col("id").alias("vec_id"), F.array(*component).cast("array<float>").alias("embedding"),
+                                                      F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("label"))
+
+
+def miner_of(spark, n, sample_rows, query_rows=8):
+    rows = g.written(g.usable(many(spark, n), 256.0), "mining-rows")
+    return g.Miner(rows, rows.filter("vec_id % 10 = 0"), 3, 4, 80, 100, 16, query_rows, sample_rows, 8, 3)
+
+
+def test_no_copies_and_no_broadcast_of_queries(spark):
+    """Anchors reach every shard, but neither a copy per shard nor through the driver."""
+    miner = miner_of(spark, 2000, 40)
+    queries = miner.anchors.withColumn("low", F.lit(float("-inf"))).withColumn("windows", F.lit(None).cast(g.WINDOWS))
+    plan = miner.join(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert "CartesianProduct" in plan
+    asked = miner.asked(queries, 200)
+    assert miner.shards == 8 and 20 < asked.count() <= 25      # blocks of 8 in expectation
+    assert asked.rdd.getNumPartitions() == 1
+
+
+def test_parts_of_queries_are_bounded(spark, monkeypatch):
+    miner = miner_of(spark, 2000, 40)
+    queries = miner.anchors.withColumn("low", F.lit(float("-inf"))).withColumn("windows", F.lit(None).cast(g.WINDOWS))
+    whole = sorted(tuple(r) for r in miner.join(queries).collect())
+    monkeypatch.setattr(g, "ASKED_BYTES", 4000)
+    assert miner.asked(queries, 200).rdd.getNumPartitions() > 1
+    assert sorted(tuple(r) for r in miner.join(queries).collect()) == whole
+
+
+@pytest.mark.parametrize("n, size", [(4000, 30), (4000, 3999), (50, 60)])
+def test_few_rows_enter_the_sample(spark, monkeypatch, n, size):
+    """A top-k returns ``size`` rows from each task to the driver."""
+    entered, sort = [], type(spark.range(1)).orderBy
+    monkeypatch.setattr(type(spark.range(1)), "orderBy", lambda df, *by: (entered.append(df.count()), sort(df, *by))[1])
+    miner = miner_of(spark, n, size)
+    monkeypatch.undo()
+    marked = sorted(tuple(r) for r in miner.rows.select(F.xxhash64("row_id", "vec_id"), "row_id").collect())
+    assert miner.sample[0].tolist() == [r for _, r in marked[:size]]
+    assert max(entered) <= max(4 * size, 200)
