@@ -115,7 +115,7 @@ class Block:
         self.row_ids, self.vec_ids, self.labels, self.left_out = row_ids, vec_ids, labels, left_out
         self.starts, self.post_rows, self.post_values, self.rest = starts, post_rows, post_values, rest
         self.n, self.dim = len(row_ids), len(starts) - 1
-        self._norms = None
+        self._norms = self._postings = self._remaining = None
 
     @classmethod
     def build(cls, row_ids, vec_ids, labels, x: np.ndarray, cut: float) -> "Block":
@@ -152,38 +152,60 @@ class Block:
             self._norms = prefix_norms(self.remainder(self.dim))
         return self._norms
 
+    def postings(self, kind) -> np.ndarray:
+        if self._postings is None or self._postings.dtype != kind:
+            self._postings = self.dense(0, self.dim).astype(kind)
+        return self._postings
+
+    def remaining(self, at: int, kind) -> np.ndarray:
+        """``remainder`` without the dimensions that are zero in every row."""
+        if self._remaining is None or self._remaining[0] != (at, kind):
+            end = max(at, int(self.left_out.max(initial=0)))
+            self._remaining = (at, kind), np.ascontiguousarray(self.remainder(at)[:, :end]).astype(kind)
+        return self._remaining[1]
+
 
 def reaching(q: np.ndarray, low: np.ndarray, block: Block, exact_floats: bool, step: int = 8,
-             sparse: float = 1 / 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the pairs whose score reaches the query's threshold."""
+             sparse: float = 1 / 16, strip: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the pairs whose score reaches the query's threshold.
+    Queries go in strips, whose partial scores fit a core's cache.  The first strip looks
+    after every ``step`` dimensions how many pairs are left; the others first read as many
+    dimensions as it took until few were left."""
     kind = np.float64 if exact_floats else np.int64
     q = q.astype(kind)
-    q_norms, x_norms = prefix_norms(q), block.norms()
-    slack = 1e-9 * np.outer(q_norms[:, -1], x_norms[:, -1]) + 1e-6
-    partial = np.zeros((len(q), block.n), kind)
-    at, rows = block.dim, np.arange(block.n)
-    alive = np.ones(partial.shape, bool)
-    while at > 0:
-        first = max(0, at - step)
-        partial += q[:, first:at] @ block.dense(first, at).astype(kind).T
-        at = first
-        ends = np.maximum(block.left_out, at)
-        alive = partial + q_norms[:, ends] * x_norms[rows, ends] + slack >= low[:, None]
-        if alive.mean() < sparse:
-            break
-    rest = block.remainder(at).astype(kind)
-    if alive.mean() < sparse:
-        qi, xi = np.nonzero(alive)
-        score = partial[qi, xi]
-        for s in range(0, len(qi), 1 << 16):        # bounded: some pairs at a time
-            score[s:s + (1 << 16)] += np.einsum("ij,ij->i", q[qi[s:s + (1 << 16)]], rest[xi[s:s + (1 << 16)]])
-    else:
-        partial += q @ rest.T
-        qi, xi = np.nonzero(alive)
-        score = partial[qi, xi]
-    score = score.astype(np.int64)
-    use = score >= low[qi]
-    return qi[use], xi[use], score[use]
+    q_norms, x_norms, x = prefix_norms(q), block.norms(), block.postings(kind)
+    enough = low - 1e-9 * q_norms[:, -1] * x_norms[:, -1].max(initial=0.0) - 1e-6      # bounds are floats
+    rows, far, found = np.arange(block.n), max(0, block.dim - step), []
+    for s in range(0, max(len(q), 1), strip):
+        own, norms, least = q[s:s + strip], q_norms[s:s + strip], enough[s:s + strip, None]
+        at, first, partial = block.dim, far, np.zeros((len(own), block.n), kind)
+        while True:
+            partial += own[:, first:at] @ x[:, first:at].T
+            at, first = first, max(0, first - step)
+            ends = np.maximum(block.left_out, at)
+            bound = norms.take(ends, axis=1)
+            bound *= x_norms[rows, ends]
+            bound += partial
+            alive = bound >= least
+            few = np.count_nonzero(alive) < sparse * alive.size
+            if few or at == 0:
+                break
+        far = at if s == 0 else far
+        rest = block.remaining(at, kind)
+        if few:
+            qi, xi = np.nonzero(alive)
+            score = partial[qi, xi]
+            for k in range(0, len(qi), 1 << 16):        # bounded: some pairs at a time
+                pairs = slice(k, k + (1 << 16))
+                score[pairs] += np.einsum("ij,ij->i", own[qi[pairs], :rest.shape[1]], rest[xi[pairs]])
+        else:
+            partial += own[:, :rest.shape[1]] @ rest.T
+            qi, xi = np.nonzero(alive)
+            score = partial[qi, xi]
+        score = score.astype(np.int64)
+        use = score >= low[s:s + strip][qi]
+        found.append((qi[use] + s, xi[use], score[use]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def first_of_each(group: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> np.ndarray:
